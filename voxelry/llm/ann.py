@@ -171,15 +171,15 @@ def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, count:
     those whose vec_id is divisible by 100); rows with the query's vec_id are not its neighbours. Vectors that are null,
     zero, hold null or non-finite components or have an uncommon dimension take no part on either side, nor do rows
     without an id. With too few other rows all are returned; an empty table gives no rows. Repeated rows (same id, same
-    vector) are one candidate. Further columns are ignored.
+    vector) are one candidate and one query. Further columns are ignored.
     """
     queries = F.col("vec_id") % QUERY_EVERY == 0 if queries is None else queries
     spark, most = vectors.sparkSession, count + 1
     dimension = common_dimension(vectors, "embedding")
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), dimension)).select("vec_id", queries.alias("asks"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
-    # the smallest ids of a vector, and one more for each query id among them that is not its own neighbour
+    # one id more than asked for, since a query is not its own neighbour
     entries = written(_by_vector(rows.select("vec_id", "v"), most).withColumn("key", F.xxhash64("v")), "entries")
-    asked = written(rows.where("asks").select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("key")), "queries")
+    asked = written(rows.where("asks").select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("key")).distinct(), "queries")
     size = entries.count()
     if not size:
         return spark.createDataFrame([], f"query_id {_kind(vectors)}, rank int, vec_id {_kind(vectors)}, score double")

@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -253,7 +254,7 @@ def decode_ids(rows: DataFrame, path: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     @F.pandas_udf("binary")
-    def decoded(batches):
+    def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokens = prefix_encoder(path).tokens
         for ids in batches:
             yield ids.map(lambda x: None if x is None else b"".join(map(tokens.__getitem__, memoryview(bytes(x)).cast("I"))))

@@ -220,13 +220,13 @@ def oracle_sql() -> str:
     keys = "lang_key, source_key"
     ctes = [
         f"d as (select row_number() over () as rid, doc_id, case when lang is null then '?' else '=' || lang end as lang_key, case when source is null then '?' else '=' || source end as own_source, coalesce(text, '') as text from documents)",
-        rf"w as (select *, list_filter(regexp_split_to_array(text, '{WORD_BREAK}'), x -> x <> '') as words, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '{NOT_BREAK}')) as lines from d)",
+        rf"w as (select *, list_filter(regexp_split_to_array(text, '{WORD_BREAK}'), lambda x: x <> '') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{NOT_BREAK}')) as lines from d)",
         "g as (select rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as g from (select rid, words, unnest(range(1, len(words) - 1)) as i from w))",
         "r as (select rid, count(distinct i + k) as n from (select rid, i from (select rid, i, count(*) over (partition by rid, g) as c from g) where c > 1), (select unnest([0, 1, 2]) as k) group by rid)",
         f"s as (select rid, doc_id, lang_key, own_source, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars, cast(len(regexp_extract_all(text, '{SYMBOLS}')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words from w left join r using (rid))",
         f"b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed from s)",
         f"v as (select *, {x} from b)",
-        f"sizes as (select lang_key, own_source, case when count(*) >= {MIN_GROUP} then own_source else '*' end as source_key from v where not base_failed group by all)",
+        f"sizes as (select lang_key, own_source, case when count(*) >= {MIN_GROUP} then own_source else '*' end as source_key from v where not base_failed group by lang_key, own_source)",
         f"f0 as (select v.*, source_key from v join sizes using (lang_key, own_source) where not base_failed)",
         f"f as (select * from f0 where (lang_key, source_key) in (select ({keys}) from f0 group by {keys} having count(*) >= {MIN_GROUP}))",
         "c0 as (" + " union all ".join(f"select {keys}, '{a}' as axis, {CENTRE_BIN_SQL.format(x=a)} as bin, count(*) as n from f group by all" for a in AXES) + ")",

@@ -5,8 +5,9 @@ of the categories before it. While training, these probabilities are out of fold
 seen the document, so that later links of the chain learn from predictions as uncertain as those they will meet.
 
 The chain is fitted on a bounded sample of labelled documents (``PER_CLASS`` of each class, those with the smallest
-hashes of their ids; whole texts) and then applied to all. Features are words and word beginnings whose occurrence in
-sampled documents depends on the label, by a chi-square test, at most ``MAX_FEATURES``. Scoring is a map over rows: it
+hashes of their ids; whole texts) and then applied to all. Features are two short lists of abusive words, each as a
+whole, and words and word beginnings whose occurrence in sampled documents depends on the label, by a chi-square test,
+at most ``MAX_FEATURES``. Scoring is a map over rows: it
 looks up the different words of a text, remembers nothing but recent words, and needs no shuffle.
 """
 
@@ -41,9 +42,13 @@ CATEGORIES = ["insult", "contempt", "other_abuse", "toxic"]
 _WORDS = re.compile(r"[^\W_]+")
 
 
+_SEEDS = {w: "#insult" for w in INSULTS} | {w: "#contempt" for w in CONTEMPT}
+
+
 def features_of(word: str) -> list[str]:
-    """A word and its beginnings, as feature names."""
-    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
+    """A word, its beginnings and the list of abusive words that holds it, as feature names."""
+    found = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
+    return [*found, _SEEDS[word]] if word in _SEEDS else found
 
 
 def words_of(text: str | None) -> set[str]:
@@ -74,7 +79,7 @@ def _with(x: np.ndarray, earlier: np.ndarray) -> np.ndarray:
     return np.hstack([x, earlier, np.ones((len(x), 1))])
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 200) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.1, steps: int = 300) -> np.ndarray:
     """Weights of a logistic regression; the last column of x is the intercept and is not shrunk. Accelerated gradient steps."""
     n, d = x.shape
     if not n or y.min() == y.max():  # one class only: a constant
@@ -140,7 +145,7 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[str]:
     a, b, n = F.col("a"), F.col("b"), n1 + n0
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / ((a + b) * (F.lit(float(n)) - a - b + 1e-9) * n1 * n0)
     chosen = counts.where(a + b >= LEAST_DOCUMENTS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI_SQUARE)
-    return [r["feature"] for r in chosen.orderBy(F.desc("chi"), "feature").limit(limit).select("feature").collect()]
+    return ["#insult", "#contempt"] + [r["feature"] for r in chosen.orderBy(F.desc("chi"), "feature").limit(limit).select("feature").collect()]
 
 
 def category_labels(words: set[str], y: int) -> list[int]:
