@@ -6,8 +6,8 @@ seen the document, so that later links of the chain learn from predictions as un
 
 The chain is fitted on a bounded sample of labelled documents (``PER_CLASS`` of each class, those with the smallest
 hashes of their ids; whole texts) and then applied to all. Features are two short lists of abusive words, each as a
-whole, and words and word beginnings whose occurrence in sampled documents depends on the label, by a chi-square test,
-at most ``MAX_FEATURES``. Scoring is a map over rows: it
+whole, and words and word beginnings (once, twice or four times in different words) whose occurrence in sampled
+documents depends on the label, by a chi-square test, at most ``MAX_FEATURES``. Scoring is a map over rows: it
 looks up the different words of a text, remembers nothing but recent words, and needs no shuffle.
 """
 
@@ -29,7 +29,9 @@ PER_CLASS = 4000
 MAX_FEATURES = 1024
 FOLDS = 4
 THRESHOLD = 0.5
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
+#: A feature counts the different words of a text that have it; an indicator says whether there are so many.
+LEVELS = (1, 2, 4)
 LEAST_CHI_SQUARE = 15.0
 LEAST_DOCUMENTS = 3
 CACHE_WORDS = 400_000
@@ -51,6 +53,32 @@ def features_of(word: str) -> list[str]:
     return [*found, _SEEDS[word]] if word in _SEEDS else found
 
 
+def indicator(feature: str, level: int) -> str:
+    return feature if level == 1 else f"{feature}{level}"
+
+
+class Indicators:
+    """Finds the chosen indicators in sets of words; remembers the features of recent words."""
+
+    def __init__(self, chosen: list[str]):
+        self.place = {f: i for i, f in enumerate(chosen)}
+        self.features = {f.rstrip("0123456789") if "*" in f or "#" in f else f for f in chosen}
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def of(self, words) -> list[int]:
+        counts: dict[str, int] = {}
+        known = self.known
+        for word in words:
+            found = known.get(word)
+            if found is None:
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                found = known[word] = tuple(f for f in features_of(word) if f in self.features)
+            for f in found:
+                counts[f] = counts.get(f, 0) + 1
+        return sorted(self.place[i] for f, n in counts.items() for level in LEVELS if n >= level and (i := indicator(f, level)) in self.place)
+
+
 def words_of(text: str | None) -> set[str]:
     return set(_WORDS.findall(text.lower())) if isinstance(text, str) else set()
 
@@ -140,12 +168,14 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[str]:
         return []
     beginnings = [F.when(F.char_length("w") >= n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in PREFIXES]
     words = sample.select("doc_id", "y", F.explode("words").alias("w"))
-    names = words.select("doc_id", "y", F.explode(F.array(F.col("w"), *beginnings)).alias("feature")).where("feature is not null").distinct()
+    names = words.select("doc_id", "y", F.explode(F.array(F.col("w"), *beginnings)).alias("name")).where("name is not null").groupBy("doc_id", "y", "name").agg(F.count(F.lit(1)).alias("n"))
+    levels = [F.when(F.col("n") >= k, F.col("name") if k == 1 else F.concat("name", F.lit(str(k)))) for k in LEVELS]
+    names = names.select("y", F.explode(F.array(*levels)).alias("feature")).where("feature is not null")
     counts = names.groupBy("feature").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     a, b, n = F.col("a"), F.col("b"), n1 + n0
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / ((a + b) * (F.lit(float(n)) - a - b + 1e-9) * n1 * n0)
     chosen = counts.where(a + b >= LEAST_DOCUMENTS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI_SQUARE)
-    return ["#insult", "#contempt"] + [r["feature"] for r in chosen.orderBy(F.desc("chi"), "feature").limit(limit).select("feature").collect()]
+    return [indicator(f, k) for f in ("#insult", "#contempt") for k in LEVELS] + [r["feature"] for r in chosen.orderBy(F.desc("chi"), "feature").limit(limit).select("feature").collect()]
 
 
 def category_labels(words: set[str], y: int) -> list[int]:
@@ -161,11 +191,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     """
     sample = written(labelled_sample(docs, labels, "toxic", per_class), "sample")
     features = select_features(sample)
-    place = {f: i for i, f in enumerate(features)}
 
     @F.pandas_udf("struct<found: array<int>, labels: array<int>>")
     def encoded(words: pd.Series, y: pd.Series) -> pd.DataFrame:
-        found = [sorted({place[f] for w in ws for f in features_of(w) if f in place}) for ws in words]
+        indicators = Indicators(features)
+        found = [indicators.of(ws) for ws in words]
         return pd.DataFrame({"found": found, "labels": [category_labels(set(ws), int(k)) for ws, k in zip(words, y)]})
 
     rows = sample.select(F.xxhash64("doc_id").alias("h"), encoded("words", "y").alias("e")).select("h", "e.found", "e.labels").collect()
@@ -178,27 +208,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
 
 
 class Scorer:
-    """Scores texts in a worker; remembers the features of recent words."""
+    """Scores texts in a worker."""
 
     def __init__(self, chain: Chain):
-        self.chain, self.place, self.known = chain, {f: i for i, f in enumerate(chain.features)}, {}
+        self.chain, self.indicators = chain, Indicators(chain.features)
 
-    def indicators(self, texts) -> np.ndarray:
-        x = np.zeros((len(texts), len(self.place)))
-        known, place = self.known, self.place
+    def rows(self, texts) -> np.ndarray:
+        x = np.zeros((len(texts), len(self.chain.features)))
         for i, text in enumerate(texts):
-            for word in words_of(text):
-                at = known.get(word)
-                if at is None:
-                    if len(known) > CACHE_WORDS:
-                        known.clear()
-                    at = known[word] = tuple(place[f] for f in features_of(word) if f in place)
-                for j in at:
-                    x[i, j] = 1.0
+            x[i, self.indicators.of(words_of(text))] = 1.0
         return x
 
     def score(self, texts) -> np.ndarray:
-        return np.vstack([self.chain.probabilities(self.indicators(texts[i : i + 512])) for i in range(0, len(texts), 512)] or [np.zeros((0, len(self.chain.categories)))])
+        return np.vstack([self.chain.probabilities(self.rows(texts[i : i + 512])) for i in range(0, len(texts), 512)] or [np.zeros((0, len(self.chain.categories)))])
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, into: str = "toxicity") -> DataFrame:
