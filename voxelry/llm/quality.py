@@ -135,9 +135,11 @@ def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
 
 
 def _grouped(fit: DataFrame) -> DataFrame:
-    """The estimate each row belongs to: its language and source, or its language where the source has too few rows."""
+    """The estimate each row belongs to, its source's or that of the language's small sources, and whether rows are enough."""
     sizes = fit.groupBy("lang_key", "own_source").agg(F.count(F.lit(1)).alias("rows"))
-    return sizes.select("lang_key", "own_source", F.when(F.col("rows") >= MIN_GROUP, F.col("own_source")).otherwise("*").alias("source_key"))
+    keyed = sizes.withColumn("source_key", F.when(F.col("rows") >= MIN_GROUP, F.col("own_source")).otherwise("*"))
+    enough = F.sum("rows").over(Window.partitionBy(*_KEY)) >= MIN_GROUP
+    return keyed.select("lang_key", "own_source", "source_key", enough.alias("enough"))
 
 
 def robust_estimates(fit: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -203,9 +205,8 @@ def _judged(docs: DataFrame, carry: list[str], steps: int) -> DataFrame:
     vector = [F.when(~F.col("base_failed"), F.expr(f"case when n_words > 0 then {sql} end")).alias(a) for a, (sql, _) in VECTOR.items()]
     fit = rows.where("not base_failed").select("lang_key", "own_source", *vector)
     groups = written(_grouped(fit), "groups")
-    fit = fit.join(groups, ["lang_key", "own_source"])
-    large = fit.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= MIN_GROUP)
-    estimates = robust_estimates(fit.join(large.drop("rows"), _KEY, "left_semi"), steps)
+    fit = fit.join(groups, ["lang_key", "own_source"]).where("enough")
+    estimates = robust_estimates(fit, steps)
     judged = rows.select("*", *vector).join(groups, ["lang_key", "own_source"], "left").join(estimates, _KEY, "left")
     outlier = F.coalesce(F.expr(distance_sql()) * F.col("shrink") > F.lit(chi_square_quantile(TAIL)), F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~outlier)

@@ -1,81 +1,6 @@
 """Helpers that several operators of this package use: written intermediate tables and connected components."""
 
-from __future__ import annotations
+from voxelry.operators.components import connected_components
+from voxelry.plans.stored import shared_folder, written
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, named by ``spark.checkpoint.dir``.
-
-    Only a local session, as in tests, may leave the setting out: it then gets a temporary folder. On a cluster a
-    missing setting is an error, because a machine-local folder would not be seen by the other executors.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="voxelry-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back.
-
-    This cuts the lineage: a lost executor costs at most the stage at hand, and an expensive pass over texts runs once
-    however many later steps read its result. The table lives as long as the shared folder does.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/voxelry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components of ``edges(src, dst)`` as rows ``(node, component)``; component is the smallest node.
-
-    Rounds of large-star and small-star contraction; each round is written to the shared folder. Minima are combined
-    before they are shuffled, and the joins are plain equi-joins, so that a hub with very many edges is split by
-    adaptive execution. Loops and null ends are ignored, repeated edges count once, no edges give no rows. A graph that
-    has not settled after ``max_rounds`` raises an error instead of returning a wrong answer.
-    """
-    now = written(
-        edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(),
-        "edges",
-    )
-    before = _signature(now)
-    if before[0] == 0:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    for _ in range(max_rounds):
-        now = written(_small_star(_large_star(now)), "edges")
-        after = _signature(now)
-        if after == before:
-            leaves = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            return leaves.unionByName(roots)
-        before = after
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
-
-
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u is tied to the smallest node among u and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """u and its smaller neighbours are tied to the smallest of them."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
-    return edges.join(low, "u").select(tied.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+__all__ = ["connected_components", "shared_folder", "written"]
