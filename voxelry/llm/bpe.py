@@ -132,8 +132,8 @@ class TextEncoder:
     Parts are what single spaces cut (see _CUT), and the ids of a part do not depend on the others.
     """
 
-    def __init__(self, encode_part: Callable[[str], list[int]]):
-        self.encode_part = encode_part
+    def __init__(self, encode_part: Callable[[str], list[int]], limit: int = CACHE_WORDS):
+        self.encode_part, self.limit = encode_part, limit
         self.known: dict[str, bytes] = {}  # ids of " " + part
 
     def packed(self, part: str) -> bytes:
@@ -144,7 +144,7 @@ class TextEncoder:
         head, *rest = text.split(" ")
         ids = list(map(self.known.get, rest))
         if None in ids:
-            if len(self.known) > CACHE_WORDS:
+            if len(self.known) > self.limit:
                 self.known.clear()
                 ids = [None] * len(rest)
             for at, found in enumerate(ids):
@@ -172,7 +172,7 @@ class TextEncoder:
             found = self.known.get(part) if clean else None
             if found is None:
                 found = self.packed(" " + part)
-                if clean and len(part) <= 64 and len(self.known) <= CACHE_WORDS:
+                if clean and len(part) <= 64 and len(self.known) <= self.limit:
                     self.known[part] = found
             out.append(found)
         return b"".join(out)

@@ -36,6 +36,7 @@ from voxelry.llm.shared import written
 CAPACITY = 2048
 END_OF_DOCUMENT = 0
 SALTS = 1024
+CACHE_WORDS = 100_000
 
 
 @dataclass
@@ -232,7 +233,7 @@ def _encoder(path: str, pattern: str) -> TextEncoder:
     import tiktoken
 
     encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks_of_json(path), special_tokens={})
-    return TextEncoder(encoding.encode_ordinary)
+    return TextEncoder(encoding.encode_ordinary, CACHE_WORDS)
 
 
 def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:

@@ -34,7 +34,7 @@ PREFIXES = (4, 5, 6, 7)
 LEVELS = (1, 2, 4)
 LEAST_CHI_SQUARE = 15.0
 LEAST_DOCUMENTS = 3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 50_000
 
 #: Seeds of the first two categories; toxic documents without a seed make up the third.
 INSULTS = ["idiot", "moron", "loser", "scum", "trash", "clown"]
