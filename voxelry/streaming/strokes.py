@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from voxelry.operators.labels import ERASER
 from voxelry.sources.tables import COORDINATES
 
 
-def stroke_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def stroke_stream(spark: SparkSession, folder: str, schema: StructType | str) -> DataFrame:
     """Strokes that arrive as Parquet files in a folder."""
     return spark.readStream.schema(schema).parquet(folder)
 
