@@ -32,11 +32,18 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def _all() -> None:
+    """The other modules of queries register theirs when they are imported."""
+    from voxelry.plans import models, segmentation  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_sql)
 
 
