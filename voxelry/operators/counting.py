@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml import Model
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +42,38 @@ def box_residuals(density: DataFrame, boxes: DataFrame) -> DataFrame:
     """For ``boxes(box, image_id, t, y0, y1, x0, x1, count)`` the density inside and what is missing from the given count."""
     inside = density.join(boxes, ["image_id", "t"]).where("y >= y0 and y < y1 and x >= x0 and x < x1")
     return inside.groupBy("box").agg(F.sum("v").alias("density"), (F.first("count") - F.sum("v")).alias("residual"))
+
+
+def train_density(samples: DataFrame, count: int = 4, trees: int = 10, depth: int = 8) -> list[Model]:
+    """``count`` forests of different seeds on ``samples(f ARRAY, v)``; none without samples."""
+    rows = samples.select(F.col("v").cast("double").alias("label"), array_to_vector(F.col("f").cast("array<double>")).alias("features"))
+    if rows.isEmpty():
+        return []
+    return [RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=i).fit(rows) for i in range(count)]
+
+
+def predict_density(rows: DataFrame, models: list[Model]) -> DataFrame:
+    """The density each model finds, not below 0, as one channel for each model; one channel of zeros without models."""
+    place = COORDINATES[:-1]
+    if not models:
+        return rows.select(*place, F.lit(0).alias("c"), F.lit(0.0).alias("v"))
+    scored = rows.withColumn("features", array_to_vector(F.col("f").cast("array<double>")))
+    for i, m in enumerate(models):
+        scored = m.transform(scored).withColumnRenamed("prediction", f"m{i}")
+    found = F.array(*(F.greatest(f"m{i}", F.lit(0.0)) for i in range(len(models))))
+    return scored.select(*place, F.posexplode(found).alias("c", "v"))
+
+
+def fit_to_boxes(density: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Density inside boxes rescaled so that each box sums to its given count; a pixel in several boxes takes their mean factor.
+
+    Boxes without any density are left as they are: no factor can give them a count.
+    """
+    sums = box_residuals(density, boxes).where("density > 0").select("box", ((F.col("density") + F.col("residual")) / F.col("density")).alias("factor"))
+    inside = density.join(boxes.join(sums, "box"), ["image_id", "t"]).where("y >= y0 and y < y1 and x >= x0 and x < x1").groupBy(*COORDINATES).agg(F.avg("factor").alias("factor"))
+    return density.join(inside, COORDINATES, "left").select(*COORDINATES, (F.col("v") * F.coalesce("factor", F.lit(1.0))).alias("v"))
+
+
+def count_table(density: DataFrame, nicknames: DataFrame) -> DataFrame:
+    """``nickname, total`` of ``nicknames(image_id, nickname)``; images without density count 0."""
+    return nicknames.join(count_objects(density), "image_id", "left").select("nickname", F.coalesce("total", F.lit(0.0)).alias("total"))

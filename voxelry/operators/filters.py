@@ -65,17 +65,63 @@ def difference_of_gaussians(px: DataFrame, s0: float, s1: float, shape: dict[str
     return a.unionByName(b.withColumn("v", -F.col("v"))).groupBy(*COORDINATES).agg(F.sum("v").alias("v"))
 
 
-def _derivatives(px: DataFrame, sigma: float, orders: list[dict[str, int]], shape: dict[str, int]) -> DataFrame:
+def _derivatives(px: DataFrame, sigma: float, orders: list[dict[str, int]], shape: dict[str, int], axes: str = "yx") -> DataFrame:
     """Images of several separable derivative filters side by side, as channels."""
     out = None
     for c, order in enumerate(orders):
         d = px.withColumn("c", F.lit(c))
-        for a in "yx":
+        for a in axes:
             d = within(kernel_along(d, a, gaussian_kernel(sigma, order.get(a, 0))), {a: shape[a]})
         out = d if out is None else out.unionByName(d)
     return out
 
 
+def anisotropic_smoothing(px: DataFrame, sigmas: dict[str, float], shape: dict[str, int] | None = None) -> DataFrame:
+    """Gaussian smoothing with a sigma of its own along each named axis; axes of sigma 0 are left alone."""
+    axes = "".join(a for a in "zyx" if sigmas.get(a, 0) > 0)
+    return gaussian_smoothing(px, sigmas, axes, shape)
+
+
+def _orders(axes: str) -> list[dict[str, int]]:
+    """Derivative orders of the upper triangle of the Hessian."""
+    return [{a: 2} if a == b else {a: 1, b: 1} for i, a in enumerate(axes) for b in axes[i:]]
+
+
+def hessian(px: DataFrame, sigma: float, shape: dict[str, int], axes: str = "yx") -> DataFrame:
+    """Second derivatives as channels: the upper triangle, row by row (3 channels in 2D, 6 in 3D)."""
+    return _derivatives(px, sigma, _orders(axes), shape, axes)
+
+
+def _eigen_image(matrices: DataFrame, axes: str) -> DataFrame:
+    """Eigenvalues of the symmetric matrices whose upper triangles are the channels, largest first, as channels; absent channels are 0."""
+    pixel, n = ["image_id", "t", "z", "y", "x"], len(axes)
+    entries = n * (n + 1) // 2
+    rows = matrices.groupBy(*pixel).agg(*(F.coalesce(F.max(F.when(F.col("c") == i, F.col("v"))), F.lit(0.0)).alias(f"h{i}") for i in range(entries)))
+
+    @F.pandas_udf("array<double>")
+    def eigenvalues(*h: pd.Series) -> pd.Series:
+        m = np.zeros((len(h[0]), n, n))
+        for (i, j), v in zip(((i, j) for i in range(n) for j in range(i, n)), h):
+            m[:, i, j] = m[:, j, i] = v.to_numpy()
+        return pd.Series(list(np.linalg.eigvalsh(m)[:, ::-1]))
+
+    return rows.select(*pixel, F.posexplode(eigenvalues(*(f"h{i}" for i in range(entries)))).alias("c", "v"))
+
+
+def hessian_eigenvalues(px: DataFrame, sigma: float, shape: dict[str, int], axes: str = "yx") -> DataFrame:
+    return _eigen_image(hessian(px, sigma, shape, axes), axes)
+
+
+def structure_tensor_eigenvalues(px: DataFrame, inner: float, outer: float, shape: dict[str, int], axes: str = "yx") -> DataFrame:
+    """Products of gradients at ``inner``, smoothed at ``outer``, and their eigenvalues as channels."""
+    pixel = ["image_id", "t", "z", "y", "x"]
+    gradient = _derivatives(px, inner, [{a: 1} for a in axes], shape, axes)
+    rows = gradient.groupBy(*pixel).agg(*(F.coalesce(F.max(F.when(F.col("c") == i, F.col("v"))), F.lit(0.0)).alias(f"g{i}") for i in range(len(axes))))
+    products = F.array(*(F.col(f"g{i}") * F.col(f"g{j}") for i in range(len(axes)) for j in range(i, len(axes))))
+    tensor = rows.select(*pixel, F.posexplode(products).alias("c", "v"))
+    return _eigen_image(gaussian_smoothing(tensor, outer, axes, shape), axes)
+
+
 def gradient_magnitude(px: DataFrame, sigma: float, shape: dict[str, int]) -> DataFrame:
     both = _derivatives(px, sigma, [{"y": 1}, {"x": 1}], shape)
     return both.groupBy("image_id", "t", "z", "y", "x").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v")).select("image_id", "t", "z", "y", "x", F.lit(0).alias("c"), "v")

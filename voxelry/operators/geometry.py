@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelry.operators.filters import gaussian_kernel, kernel_along, within
 from voxelry.sources.tables import COORDINATES
 
 AXES = ["t", "z", "y", "x", "c"]
@@ -106,6 +107,35 @@ def resize_nearest(px: DataFrame, factor: dict[str, int]) -> DataFrame:
     return px
 
 
+def resize(px: DataFrame, source: dict[str, int], target: dict[str, int], order: int = 1) -> DataFrame:
+    """Images resized from ``source`` to ``target`` lengths of the named axes, by nearest (order 0) or linear interpolation (1).
+
+    Corners are kept: place i of n comes from ``i * (source - 1) / (n - 1)``. An axis that shrinks is first smoothed with
+    sigma ``(source / target - 1) / 2`` where order is 1. Each pixel is sent to the places it contributes to; absent pixels
+    count as 0 in linear interpolation.
+    """
+    if order not in (0, 1):
+        raise ValueError("order 0 or 1")
+    for a, n in target.items():
+        m = source[a]
+        if order == 1 and n < m:
+            px = within(kernel_along(px, a, gaussian_kernel((m / n - 1) / 2)), {a: m})
+        if n == m:
+            continue
+        parts = []
+        for i in range(n):
+            at = i * (m - 1) / (n - 1) if n > 1 else (m - 1) / 2
+            low = min(int(at), m - 1)
+            share = at - low
+            for j, w in ((int(at + 0.5), 1.0),) if order == 0 else ((low, 1 - share), (low + 1, share)):
+                if w > 0 and j < m:
+                    parts.append((j, i, w))
+        plan = F.broadcast(px.sparkSession.createDataFrame(parts, f"{a} int, to int, w double"))  # two rows for each place of one axis
+        moved = px.join(plan, a).withColumn(a, F.col("to"))
+        px = moved.groupBy(*COORDINATES).agg(F.sum(F.col("v") * F.col("w")).alias("v")) if order else moved.select(*COORDINATES, "v")
+    return px
+
+
 def downscale(px: DataFrame, factor: dict[str, int]) -> DataFrame:
     """Box means over whole factors, over the pixels that are present."""
     px = px.withColumns({a: F.floor(F.col(a) / f).cast("int") for a, f in factor.items()})

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelry.operators.components import connected_components as components_of_edges
+from voxelry.operators.regions import connected_components
+from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
 ERASER = 255
@@ -71,3 +74,34 @@ def transfer_object_labels(old: DataFrame, new: DataFrame, cell: int = 32) -> Da
     rivals = claimed.where("new_id is not null").groupBy("image_id", "t", "new_id").agg((F.min("label") != F.max("label")).alias("conflict"))
     state = F.when(F.col("new_id").isNull(), "lost").when(F.col("conflict"), "conflict").otherwise("kept")
     return claimed.join(rivals, ["image_id", "t", "new_id"], "left").select("image_id", "t", "object_id", "new_id", "label", "overlap", state.alias("state"))
+
+
+def annotation_regions(labels: DataFrame) -> DataFrame:
+    """Same-label pixels that touch, also diagonally: label, box, number of pixels and, as anchor, the middle pixel in raster order."""
+    found = written(connected_components(labels.withColumn("v", F.col("v").cast("double")), full=True).withColumnRenamed("v", "region"), "annotated")
+    rows = found.join(labels.select(*COORDINATES, F.col("v").cast("long").alias("label")), COORDINATES)
+    key = ["image_id", "t", "c", "region"]
+    order = Window.partitionBy(*key).orderBy("z", "y", "x")
+    boxes = rows.groupBy(*key).agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("pixels"), *(F.min(a).alias(f"{a}0") for a in "zyx"), *((F.max(a) + 1).alias(f"{a}1") for a in "zyx"))
+    ranked = rows.select(*key, "z", "y", "x", F.row_number().over(order).alias("i"))
+    anchor = ranked.join(boxes.select(*key, (F.floor(F.col("pixels") / 2) + 1).alias("i")), [*key, "i"]).select(*key, F.col("z").alias("anchor_z"), F.col("y").alias("anchor_y"), F.col("x").alias("anchor_x"))
+    return boxes.join(anchor, key)
+
+
+def connect_regions(regions: DataFrame) -> DataFrame:
+    """``region, whole``: regions of blocks joined across block faces; whole is the smallest name.
+
+    ``regions(region STRING, image_id, t, bz, by, bx, label, z0, z1, y0, y1, x0, x1)``: two regions of neighbouring blocks
+    belong together if their labels are equal and their half-open boxes touch along the block axis and overlap along the others.
+    """
+    a = regions.select(*(F.col(c).alias(f"{c}_a") if c not in ("image_id", "t", "label") else F.col(c) for c in regions.columns))
+    links = None
+    for axis in "zyx":
+        nearby = a.select("*", *((F.col(f"b{o}_a") + int(o == axis)).alias(f"b{o}") for o in "zyx"))
+        touch = F.col(f"{axis}1_a") == F.col(f"{axis}0")
+        for o in "zyx".replace(axis, ""):
+            touch = touch & (F.col(f"{o}0_a") < F.col(f"{o}1")) & (F.col(f"{o}0") < F.col(f"{o}1_a"))
+        found = nearby.join(regions, ["image_id", "t", "label", "bz", "by", "bx"]).where(touch).select(F.col("region_a").alias("src"), F.col("region").alias("dst"))
+        links = found if links is None else links.unionByName(found)
+    merged = components_of_edges(links).withColumnRenamed("node", "region")
+    return regions.select("region").join(merged, "region", "left").select("region", F.coalesce("component", "region").alias("whole"))

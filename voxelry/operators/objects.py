@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelry.operators.regions import connected_components
+from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
 OBJECT = ["image_id", "t", "object_id"]
@@ -157,3 +159,103 @@ def nearest_rank(objects: DataFrame, order: str) -> DataFrame:
     return objects.withColumn("rank", F.row_number().over(Window.partitionBy("image_id", "t").orderBy(F.desc(order), "object_id")))
 
 
+
+
+def _around(px: DataFrame) -> DataFrame:
+    """Every place on or next to a pixel of a z slice with the nine values around it, ``n<dy><dx>`` with 0, 1, 2 for -1, 0, 1; absent pixels are 0."""
+    steps = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))).alias("d")
+    sent = px.select("image_id", "t", "z", "c", F.col("y").alias("y_"), F.col("x").alias("x_"), "v", steps)
+    sent = sent.select("image_id", "t", "z", "c", (F.col("y_") - F.col("d.dy")).alias("y"), (F.col("x_") - F.col("d.dx")).alias("x"), "v", "d")
+    at = lambda dy, dx: F.coalesce(F.max(F.when((F.col("d.dy") == dy) & (F.col("d.dx") == dx), F.col("v"))), F.lit(0.0)).alias(f"n{dy + 1}{dx + 1}")
+    return sent.groupBy(*COORDINATES).agg(*(at(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)))
+
+
+RING = ((1, 2), (0, 2), (0, 1), (0, 0), (1, 0), (2, 0), (2, 1), (2, 2))  # east, north-east, and on around
+
+
+def lbp_image(raw: DataFrame) -> DataFrame:
+    """Uniform local binary pattern of 8 samples at radius 1: the number of samples not below the centre, or 9 if they change more than twice around.
+
+    Diagonal samples are interpolated linearly between their four pixels; a sample within 1e-9 below the centre counts as equal.
+    """
+    a = math.sqrt(0.5)
+    n = lambda y, x: F.col(f"n{y}{x}")
+    sample = lambda y, x: n(y, x) if 1 in (y, x) else n(1, 1) * ((1 - a) * (1 - a)) + (n(1, x) + n(y, 1)) * (a * (1 - a)) + n(y, x) * (a * a)
+    bits = _around(raw).select(*COORDINATES, *((sample(y, x) - n(1, 1) >= -1e-9).cast("int").alias(f"b{i}") for i, (y, x) in enumerate(RING)))
+    changes = sum((F.abs(F.col(f"b{i}") - F.col(f"b{(i + 1) % 8}")) for i in range(8)), F.lit(0))
+    ones = sum((F.col(f"b{i}") for i in range(8)), F.lit(0))
+    coded = bits.select(*COORDINATES, F.when(changes <= 2, ones).otherwise(9).alias("code"))
+    return raw.select(*COORDINATES).join(coded, COORDINATES)
+
+
+def lbp_histogram(raw: DataFrame, labels: DataFrame) -> DataFrame:
+    """Share of the object's pixels with each of the ten patterns: ``image_id, t, object_id, code, share``; patterns without pixels have no row."""
+    named = labels.where("v <> 0").select("image_id", "t", "z", "y", "x", F.col("v").alias("object_id"))
+    n = lbp_image(raw).join(named, ["image_id", "t", "z", "y", "x"]).groupBy(*OBJECT, "code").agg(F.count(F.lit(1)).alias("n"))
+    return n.select(*OBJECT, "code", (F.col("n") / F.sum("n").over(Window.partitionBy(*OBJECT))).alias("share"))
+
+
+def skeletons(labels: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Label pixels left after thinning every object of every slice by Zhang and Suen's rule.
+
+    Objects are thinned apart, so that touching ones do not matter to each other. A round is one grouped pass over all
+    pixels left; there are about as many rounds as half the width of the widest object.
+    """
+    now = written(labels.where("v <> 0").select(*COORDINATES, "v"), "thin")
+    frame = ["image_id", "t", "z", "c"]
+    p = [f"b{i}" for i in (2, 1, 0, 7, 6, 5, 4, 3)]  # north, north-east, and on clockwise
+    for _ in range(max_rounds):
+        gone = 0
+        for first in (True, False):
+            steps = F.explode(F.array(*(F.struct(F.lit(y - 1).alias("dy"), F.lit(x - 1).alias("dx"), F.lit(i).alias("i")) for i, (y, x) in enumerate(RING)))).alias("d")
+            ask = now.select(*frame, "v", F.col("y").alias("y_"), F.col("x").alias("x_"), steps).select(*frame, "v", (F.col("y_") - F.col("d.dy")).alias("y"), (F.col("x_") - F.col("d.dx")).alias("x"), F.col("d.i").alias("i"))
+            sent = now.select(*COORDINATES, "v", F.lit(-1).alias("i")).unionByName(ask)
+            bits = sent.groupBy(*COORDINATES, "v").agg(F.max((F.col("i") == -1).cast("int")).alias("own"), *(F.max((F.col("i") == i).cast("int")).alias(f"b{i}") for i in range(8))).where("own = 1")
+            neighbours = sum((F.col(c) for c in p), F.lit(0))
+            rises = sum((((F.col(p[i]) == 0) & (F.col(p[(i + 1) % 8]) == 1)).cast("int") for i in range(8)), F.lit(0))
+            north, east, south, west = (F.col(p[i]) for i in (0, 2, 4, 6))
+            open_ = (north * east * south == 0) & (east * south * west == 0) if first else (north * east * west == 0) & (north * south * west == 0)
+            marked = written(bits.select(*COORDINATES, "v", (neighbours.between(2, 6) & (rises == 1) & open_).alias("gone")), "thin")
+            gone += marked.where("gone").count()
+            now = marked.where("not gone").drop("gone")
+        if not gone:
+            return now
+    raise RuntimeError(f"not thin after {max_rounds} rounds")
+
+
+def skeleton_features(labels: DataFrame) -> DataFrame:
+    """For each 2D object: skeleton pixels, end points, branches (parts left without the crossings), total and average branch length, holes, centre.
+
+    Around a pixel, runs of neighbours are counted: one run is an end, three or more are a crossing. Length adds 1 for each pair of pixels with a common side and the root
+    of 2 for each diagonal pair without a common neighbour. Holes come from Euler's number of the object, which is a sum over
+    its 2 x 2 windows; the object is taken as one piece.
+    """
+    thin = written(skeletons(labels), "skeleton")
+    pair = lambda dy, dx: (F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
+    steps = F.explode(F.array(*(F.struct(*pair(y - 1, x - 1)) for y, x in RING))).alias("d")
+    frame = ["image_id", "t", "z", "c", "v"]
+    sent = thin.select(*frame, F.col("y").alias("y_"), F.col("x").alias("x_"), steps).select(*frame, (F.col("y_") + F.col("d.dy")).alias("y"), (F.col("x_") + F.col("d.dx")).alias("x"), "d")
+    met = sent.join(thin, [*frame, "y", "x"])
+    side = (F.col("d.dy") == 0) | (F.col("d.dx") == 0)
+    at = lambda dy, dx: F.max(((F.col("d.dy") == dy) & (F.col("d.dx") == dx)).cast("int"))
+    diagonal = sum((at(dy, dx) * (1 - at(dy, 0)) * (1 - at(0, dx)) for dy in (-1, 1) for dx in (-1, 1)), F.lit(0))
+    rises = sum(((1 - at(RING[i][0] - 1, RING[i][1] - 1)) * at(RING[(i + 1) % 8][0] - 1, RING[(i + 1) % 8][1] - 1) for i in range(8)), F.lit(0))
+    around = met.groupBy(*frame, "y", "x").agg(rises.alias("n"), (F.sum(side.cast("int")) / 2 + diagonal * (math.sqrt(2) / 2)).alias("length"))
+    pixels = written(thin.join(around, [*frame, "y", "x"], "left").fillna({"n": 0, "length": 0.0}), "around")
+    simple = pixels.where("n < 3").select(*COORDINATES, F.col("v").cast("double").alias("v"))
+    parts = connected_components(simple, full=True).withColumnRenamed("v", "part").join(pixels.select(*COORDINATES, "v"), COORDINATES)
+    branches = parts.groupBy("image_id", "t", "v").agg(F.count_distinct("part").alias("branches"))
+    sums = pixels.groupBy("image_id", "t", "v").agg(F.count(F.lit(1)).alias("skeleton_pixels"), F.sum((F.col("n") == 1).cast("int")).alias("ends"), F.sum("length").alias("total_length"), F.avg("y").alias("skeleton_cy"), F.avg("x").alias("skeleton_cx"))
+    key = ["image_id", "t", "v"]
+    found = sums.join(branches, key, "left").join(_holes(labels), key).withColumn("branches", F.coalesce("branches", F.lit(0)))
+    return found.withColumn("average_length", F.when(F.col("branches") > 0, F.col("total_length") / F.col("branches")).otherwise(0.0)).withColumnRenamed("v", "object_id")
+
+
+def _holes(labels: DataFrame) -> DataFrame:
+    """``image_id, t, v, holes`` from the counts of 2 x 2 windows with one, three, and two diagonal pixels."""
+    windows = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (0, 1) for dx in (0, 1)))).alias("d")
+    sent = labels.where("v <> 0").select("image_id", "t", "z", "c", "v", F.col("y").alias("y_"), F.col("x").alias("x_"), windows)
+    quads = sent.groupBy("image_id", "t", "z", "c", "v", (F.col("y_") - F.col("d.dy")).alias("y"), (F.col("x_") - F.col("d.dx")).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("d.dy") * 2 + F.col("d.dx")).alias("s"))
+    crossed = (F.col("n") == 2) & (F.col("s") == 3)
+    euler = (F.sum((F.col("n") == 1).cast("int")) - F.sum((F.col("n") == 3).cast("int")) - 2 * F.sum(crossed.cast("int"))) / 4
+    return quads.groupBy("image_id", "t", "v").agg(F.round(1 - euler).cast("long").alias("holes"))

@@ -5,11 +5,14 @@ Objects have ``image_id, t, object_id, cy, cx`` and further features; links go f
 
 from __future__ import annotations
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators.components import connected_components
 from voxelry.operators.objects import OBJECT
+from voxelry.operators.regions import relabel_by_map
 from voxelry.plans.stored import written
 
 
@@ -117,3 +120,63 @@ def annotations(tracks: DataFrame, last_frame: int) -> DataFrame:
     """Appearances and disappearances of tracks that do not span all frames."""
     spans = track_spans(tracks)
     return spans.select("image_id", "track_id", "first", "last", (F.col("first") > 0).alias("appears"), (F.col("last") < last_frame).alias("disappears"))
+
+
+def division_links(links: DataFrame, chosen: DataFrame, divisions: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """Second children: objects of ``divisions(image_id, t, object_id)`` with a chosen link take one more target that no link
+    has taken, by the same rounds of mutually cheapest links."""
+    dividing = divisions.select("image_id", "t", F.col("object_id").alias("src")).distinct().join(chosen.select("image_id", "t", "src"), ["image_id", "t", "src"], "left_semi")
+    free = links.join(dividing, ["image_id", "t", "src"], "left_semi").join(chosen.select("image_id", "t", "dst"), ["image_id", "t", "dst"], "left_anti")
+    return link_tracks(free, max_rounds)
+
+
+def family_tree(objects: DataFrame, chosen: DataFrame, second: DataFrame) -> DataFrame:
+    """``image_id, t, object_id, track_id, lineage_id, parent_track_id``: a division ends a track and starts two with it as parent.
+
+    A lineage is all that descends from one first object. Tracks without a parent have parent 0.
+    """
+    place = ["image_id", "t", "src"]
+    both = chosen.select(*place, "dst").unionByName(second.select(*place, "dst"))
+    tracks = written(lineages(objects, chosen.join(second.select(*place), place, "left_anti")), "tracks")
+    families = lineages(objects, both).withColumnRenamed("track_id", "lineage_id")
+    mothers = tracks.select("image_id", "t", F.col("object_id").alias("src"), F.col("track_id").alias("parent_track_id"))
+    born = both.join(second.select(*place), place, "left_semi").join(mothers, place).select("image_id", (F.col("t") + 1).alias("t"), F.col("dst").alias("object_id"), "parent_track_id")
+    parents = born.join(tracks, OBJECT).select("image_id", "track_id", "parent_track_id")
+    return tracks.join(families, OBJECT).join(parents, ["image_id", "track_id"], "left").select(*OBJECT, "track_id", "lineage_id", F.coalesce("parent_track_id", F.lit(0)).alias("parent_track_id"))
+
+
+def label_by(labels: DataFrame, assigned: DataFrame, column: str) -> DataFrame:
+    """The label image with each object's track, lineage or other number; objects without one become 0."""
+    return relabel_by_map(labels, assigned.select("image_id", "t", F.col("object_id").alias("old"), F.col(column).alias("new")))
+
+
+def manual_tracking(labels: DataFrame, assignments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The track image of ``assignments(image_id, t, object_id, track_id)`` and the image of objects without a track (1, else 0).
+
+    An object of several tracks shows the smallest.
+    """
+    first = assignments.groupBy(*OBJECT).agg(F.min("track_id").alias("track_id"))
+    image = label_by(labels, first, "track_id")
+    return image, image.withColumn("v", (F.col("v") == 0).cast("int"))
+
+
+def learn_link_weights(links: DataFrame, annotated: DataFrame, columns: list[str]) -> dict[str, float]:
+    """Weights of the features of links, by logistic regression of ``annotated(image_id, t, src, dst)`` against the other links of the same objects.
+
+    Returns the coefficient of each column and, as ``""``, the intercept; all 0 where only one class is known.
+    """
+    key = ["image_id", "t", "src"]
+    known = links.join(annotated.select(*key).distinct(), key, "left_semi").join(annotated.select(*key, "dst", F.lit(1.0).alias("label")).distinct(), [*key, "dst"], "left").fillna({"label": 0.0})
+    rows = known.select("label", array_to_vector(F.array(*(F.col(c).cast("double") for c in columns))).alias("features"))
+    if rows.select("label").distinct().count() < 2:
+        return {c: 0.0 for c in ["", *columns]}
+    model = LogisticRegression(regParam=1e-3).fit(rows)
+    return {"": float(model.intercept), **{c: float(w) for c, w in zip(columns, model.coefficients)}}
+
+
+def spots_and_links(objects: DataFrame, tree: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables for track editors: spots with their features and track, links with the track of their source, and tracks with their span and parent."""
+    spots = objects.join(tree, OBJECT)
+    tied = links.join(tree.select("image_id", "t", F.col("object_id").alias("src"), "track_id"), ["image_id", "t", "src"]).select("image_id", "t", "src", "dst", "track_id")
+    spans = tree.groupBy("image_id", "track_id").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("parent_track_id").alias("parent_track_id"))
+    return spots, tied, spans
