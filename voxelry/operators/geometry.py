@@ -107,30 +107,47 @@ def resize_nearest(px: DataFrame, factor: dict[str, int]) -> DataFrame:
     return px
 
 
+def _weights(at: float, order: int) -> list[tuple[int, float]]:
+    """The places around ``at`` and their shares in the value there."""
+    near, low = int(at + 0.5), int(at)
+    if order == 0:
+        return [(near, 1.0)]
+    if order == 1:
+        return [(low, 1 - at + low), (low + 1, at - low)]
+    if order == 2:
+        d = at - near
+        return [(near - 1, d * (d - 1) / 2), (near, 1 - d * d), (near + 1, d * (d + 1) / 2)]
+    inner, outer = lambda d: (1.5 * d - 2.5) * d * d + 1, lambda d: ((-0.5 * d + 2.5) * d - 4) * d + 2
+    d = at - low
+    return [(low - 1, outer(1 + d)), (low, inner(d)), (low + 1, inner(1 - d)), (low + 2, outer(2 - d))]
+
+
+def _mirrored(place: int, n: int) -> int:
+    period = max(1, 2 * (n - 1))
+    return min(place % period, period - place % period) if n > 1 else 0
+
+
 def resize(px: DataFrame, source: dict[str, int], target: dict[str, int], order: int = 1) -> DataFrame:
-    """Images resized from ``source`` to ``target`` lengths of the named axes, by nearest (order 0) or linear interpolation (1).
+    """Images resized from ``source`` to ``target`` lengths of the named axes, by interpolation of order 0 (nearest) to 3.
 
-    Corners are kept: place i of n comes from ``i * (source - 1) / (n - 1)``. An axis that shrinks is first smoothed with
-    sigma ``(source / target - 1) / 2`` where order is 1. Each pixel is sent to the places it contributes to; absent pixels
-    count as 0 in linear interpolation.
+    Orders 1, 2 and 3 are linear, the parabola through the three nearest pixels, and cubic convolution; the border is a
+    mirror. Corners are kept: place i of n comes from ``i * (source - 1) / (n - 1)``. An axis that shrinks is first
+    smoothed with sigma ``(source / target - 1) / 2`` unless the order is 0. Each pixel is sent to the places it
+    contributes to; absent pixels count as 0 but for order 0.
     """
-    if order not in (0, 1):
-        raise ValueError("order 0 or 1")
+    if order not in (0, 1, 2, 3):
+        raise ValueError("order 0, 1, 2 or 3")
     for a, n in target.items():
         m = source[a]
-        if order == 1 and n < m:
+        if order and n < m:
             px = within(kernel_along(px, a, gaussian_kernel((m / n - 1) / 2)), {a: m})
         if n == m:
             continue
         parts = []
         for i in range(n):
             at = i * (m - 1) / (n - 1) if n > 1 else (m - 1) / 2
-            low = min(int(at), m - 1)
-            share = at - low
-            for j, w in ((int(at + 0.5), 1.0),) if order == 0 else ((low, 1 - share), (low + 1, share)):
-                if w > 0 and j < m:
-                    parts.append((j, i, w))
-        plan = F.broadcast(px.sparkSession.createDataFrame(parts, f"{a} int, to int, w double"))  # two rows for each place of one axis
+            parts.extend((_mirrored(j, m), i, w) for j, w in _weights(at, order) if w)
+        plan = F.broadcast(px.sparkSession.createDataFrame(parts, f"{a} int, to int, w double"))  # at most four rows for each place of one axis
         moved = px.join(plan, a).withColumn(a, F.col("to"))
         px = moved.groupBy(*COORDINATES).agg(F.sum(F.col("v") * F.col("w")).alias("v")) if order else moved.select(*COORDINATES, "v")
     return px

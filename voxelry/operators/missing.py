@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Model
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
 
@@ -16,6 +20,45 @@ def detect_missing(px: DataFrame, patch: int, bins: int = 30, value_range: tuple
     return px.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"), (F.max(place) == 0).alias("missing"))
 
 
+def patch_histograms(px: DataFrame, patch: int, bins: int = 30, value_range: tuple[float, float] = (0.0, 255.0)) -> DataFrame:
+    """Shares of the pixels of each patch in equal bins: ``image_id, t, z, c, py, px, h ARRAY<DOUBLE>``; values outside the range count at its ends."""
+    low, high = value_range
+    place = F.greatest(F.least(F.floor((F.col("v") - low) * bins / (high - low)), F.lit(bins - 1)), F.lit(0))
+    keys = ["image_id", "t", "z", "c", F.floor(F.col("y") / patch).cast("int").alias("py"), F.floor(F.col("x") / patch).cast("int").alias("px")]
+    counts = [F.sum((place == i).cast("int")).cast("double") for i in range(bins)]
+    return px.groupBy(*keys).agg(F.array(*(n / F.count(F.lit(1)) for n in counts)).alias("h"))
+
+
+def train_missing_detector(patches: DataFrame, rounds: int = 4, start: float = 0.1, seed: int = 0) -> Model | None:
+    """A linear detector of missing patches from ``patches(h, label)`` with label 0 or 1; None unless both occur.
+
+    Patches without damage are many and mostly alike: training starts from the damaged ones and a share ``start`` of the
+    others, and each round adds those that the model of the round before got wrong (hard examples), until there are none.
+    """
+    first = F.pmod(F.xxhash64("h", F.lit(seed)), F.lit(1000)) < round(1000 * start)
+    rows = written(patches.select(array_to_vector("h").alias("features"), F.col("label").cast("double").alias("label"), ((F.col("label") == 1) | first).alias("used")), "patches")
+    if rows.select("label").distinct().count() < 2:
+        return None
+    if rows.where("used and label = 0").isEmpty():
+        rows = rows.withColumn("used", F.lit(True))
+    model = None
+    for _ in range(rounds):
+        model = LogisticRegression(maxIter=50, regParam=1e-4).fit(rows.where("used"))
+        scored = model.transform(rows).select("features", "label", "used", (F.col("prediction") != F.col("label")).alias("wrong"))
+        rows = written(scored, "patches")
+        if rows.where("wrong and not used").isEmpty():
+            break
+        rows = rows.select("features", "label", (F.col("used") | F.col("wrong")).alias("used"))
+    return model
+
+
+def detect_missing_trained(px: DataFrame, model: Model, patch: int, bins: int = 30, value_range: tuple[float, float] = (0.0, 255.0)) -> DataFrame:
+    """Like detect_missing, with the verdict of a trained detector: ``image_id, t, z, c, py, px, missing``."""
+    patches = patch_histograms(px, patch, bins, value_range)
+    scored = model.transform(patches.withColumn("features", array_to_vector("h")))
+    return scored.select("image_id", "t", "z", "c", "py", "px", (F.col("prediction") == 1).alias("missing"))
+
+
 def _around(axis: str) -> tuple:
     line = Window.partitionBy(*(c for c in COORDINATES if c != axis)).orderBy(axis)
     before, after = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(1, Window.unboundedFollowing)

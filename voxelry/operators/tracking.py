@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelry.operators.components import connected_components
 from voxelry.operators.objects import OBJECT
-from voxelry.operators.regions import relabel_by_map
+from voxelry.operators.regions import boundary_pixels, relabel_by_map
 from voxelry.plans.stored import written
 
 
@@ -180,3 +180,23 @@ def spots_and_links(objects: DataFrame, tree: DataFrame, links: DataFrame) -> tu
     tied = links.join(tree.select("image_id", "t", F.col("object_id").alias("src"), "track_id"), ["image_id", "t", "src"]).select("image_id", "t", "src", "dst", "track_id")
     spans = tree.groupBy("image_id", "track_id").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("parent_track_id").alias("parent_track_id"))
     return spots, tied, spans
+
+
+def frame_statistics(objects: DataFrame) -> DataFrame:
+    """For each frame: objects, mean and spread of their sizes, all their pixels, and the mean of their intensities."""
+    return objects.groupBy("image_id", "t").agg(
+        F.count(F.lit(1)).alias("objects"), F.avg("count").alias("mean_size"), F.stddev_pop("count").alias("size_spread"), F.sum("count").alias("pixels"), F.avg("mean").alias("mean_intensity")
+    )
+
+
+def outline_records(labels: DataFrame) -> DataFrame:
+    """The outline of each object, one row for each boundary pixel in its turn: ``image_id, t, object_id, position, y, x``.
+
+    Pixels are ordered by angle around the centre of the object's pixels (from the positive x axis towards positive y),
+    then by distance, y and x. For objects that are star-shaped around their centre this is the way along the outline.
+    """
+    centres = labels.where("v <> 0").groupBy("image_id", "t", F.col("v").alias("object_id")).agg(F.avg("y").alias("cy"), F.avg("x").alias("cx"))
+    edge = boundary_pixels(labels.where("v <> 0")).select("image_id", "t", F.col("v").alias("object_id"), "y", "x")
+    dy, dx = F.col("y") - F.col("cy"), F.col("x") - F.col("cx")
+    turn = Window.partitionBy("image_id", "t", "object_id").orderBy(F.round(F.atan2(dy, dx), 6), F.round(dy * dy + dx * dx, 6), "y", "x")
+    return edge.join(centres, ["image_id", "t", "object_id"]).select("image_id", "t", "object_id", (F.row_number().over(turn) - 1).alias("position"), "y", "x")

@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 
 def _all() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from voxelry.plans import models, segmentation  # noqa: F401
+    from voxelry.plans import blocks, models, segmentation  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
