@@ -72,3 +72,12 @@ def test_resizing_keeps_parabolas_inside_and_corners(spark, order):
     got = {r["x"]: r["v"] for r in geometry.resize(px, {"x": 9}, {"x": 17}, order).collect()}
     assert got[0] == pytest.approx(1.0) and got[16] == pytest.approx(65.0)
     assert all(got[i] == pytest.approx((i / 2) ** 2 + 1) for i in range(3, 13))
+
+
+def test_a_single_missing_slice_is_filled_by_the_cubic_and_longer_gaps_by_lines(spark):
+    value = {z: float(z**3 - 4 * z) for z in range(12)}
+    rows = [("i", 0, z, 0, 0, 0, -9.0 if z in (3, 7, 8) else value[z], z in (3, 7, 8)) for z in range(12)]
+    px = spark.createDataFrame(rows, PX + ", missing boolean")
+    got = {r["z"]: r["v"] for r in missing.interpolate_missing(px, method="cubic").collect()}
+    line = [value[6] + (value[9] - value[6]) * i / 3 for i in (1, 2)]
+    assert got == pytest.approx(value | {7: line[0], 8: line[1]})

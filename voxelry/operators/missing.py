@@ -66,17 +66,31 @@ def _around(axis: str) -> tuple:
     return F.last(good, True).over(before), F.first(good, True).over(after)
 
 
-def interpolate_missing(px: DataFrame, axis: str = "z", value_range: tuple[float, float] | None = None) -> DataFrame:
-    """Replaces pixels whose ``missing`` is true by linear interpolation along an axis between the nearest good ones.
+def _cubic(axis: str) -> Column:
+    """The cubic through the two good pixels on either side; null unless all four are there and next to a single missing one."""
+    line = Window.partitionBy(*(c for c in COORDINATES if c != axis)).orderBy(axis)
+    good = F.when(~F.col("missing"), F.struct(F.col(axis).alias("at"), F.col("v").alias("v")))
+    at = lambda k: F.lag(good, -k).over(line)
+    value = lambda k: F.when(at(k)["at"] == F.col(axis) + k, at(k)["v"])
+    return (value(-1) + value(1)) * (2 / 3) - (value(-2) + value(2)) / 6
+
+
+def interpolate_missing(px: DataFrame, axis: str = "z", value_range: tuple[float, float] | None = None, method: str = "linear") -> DataFrame:
+    """Replaces pixels whose ``missing`` is true by interpolation along an axis between the nearest good ones.
 
-    With a good pixel on one side only its value is taken; with none the value becomes 0. Partitions are single lines of
+    Method ``cubic`` holds for single missing pixels with two good ones next to them on either side; all others, and those
+    of method ``linear``, are interpolated linearly. With a good pixel on one side only its value is taken; with none the value becomes 0. Partitions are single lines of
     pixels along the axis, so that they are as small as the image is deep.
     """
     before, after = _around(axis)
     rows = px.withColumn("_b", before).withColumn("_a", after)
     share = (F.col(axis) - F.col("_b.at")) / F.nullif(F.col("_a.at") - F.col("_b.at"), F.lit(0))
     between = F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * share
-    value: Column = F.coalesce(between, F.col("_b.v"), F.col("_a.v"), F.lit(0.0))
+    if method not in ("linear", "cubic"):
+        raise ValueError("method linear or cubic")
+    if method == "cubic":
+        rows = rows.withColumn("_c", _cubic(axis))
+    value: Column = F.coalesce(*([F.col("_c")] if method == "cubic" else []), between, F.col("_b.v"), F.col("_a.v"), F.lit(0.0))
     if value_range:
         value = F.greatest(F.least(value, F.lit(value_range[1])), F.lit(value_range[0]))
     return rows.select(*COORDINATES, F.when(F.col("missing"), value).otherwise(F.col("v")).alias("v"))

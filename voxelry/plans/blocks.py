@@ -64,6 +64,19 @@ def m01_trained(spark, sf_dir):
     return missing.detect_missing_trained(px, missing.train_missing_detector(patches), 8, 10, (0.0, 300.0))
 
 
+GAPS = (
+    "g as (select *, v < 20 as missing, case when v >= 20 then v end as k from px), line as (select *, "
+    + ", ".join(f"case when {f}(t, {n}) over w = t {sign} {n} then {f}(k, {n}) over w end as {name}" for f, n, sign, name in (("lag", 2, "-", "b2"), ("lag", 1, "-", "b1"), ("lead", 1, "+", "a1"), ("lead", 2, "+", "a2")))
+    + ", last_value(case when not missing then t end ignore nulls) over b as bt, last_value(k ignore nulls) over b as bv, first_value(case when not missing then t end ignore nulls) over a as att, first_value(k ignore nulls) over a as av from g "
+    "window w as (partition by image_id, z, y, x, c order by t), b as (partition by image_id, z, y, x, c order by t rows between unbounded preceding and 1 preceding), a as (partition by image_id, z, y, x, c order by t rows between 1 following and unbounded following))"
+)
+
+
+@query("m02_interpolate_cubic", _with(PX_TIME, GAPS) + f"select {P}, c, round(case when missing then coalesce((b1 + a1) * (2.0::double / 3) - (b2 + a2) / 6, bv + (av - bv) * ((t - bt)::double / (att - bt)), bv, av, 0.0) else v end, 6) + 0.0 as v from line")
+def m02_cubic(spark, sf_dir):
+    return rounded(missing.interpolate_missing(px_time(spark, sf_dir).withColumn("missing", F.col("v") < 20), "t", method="cubic"), "v")
+
+
 # outlines and statistics of frames
 
 OUTLINE = "rim as (select a.* from lab a left join lab b on b.image_id = a.image_id and b.t = a.t and b.v = a.v and abs(a.y - b.y) + abs(a.x - b.x) = 1 group by all having count(b.v) < 4), mid as (select image_id, t, v, avg(y) as cy, avg(x) as cx from lab group by all), turn as (select rim.image_id, rim.t, rim.v as object_id, y, x, round(atan2(y - cy, x - cx), 6) as a, round((y - cy) * (y - cy) + (x - cx) * (x - cx), 6) as d from rim join mid using (image_id, t, v))"
