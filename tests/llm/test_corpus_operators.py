@@ -279,6 +279,16 @@ def test_quality_keeps_rows_whole(spark):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == {1: 2, None: 1}
 
 
+def test_small_sources_and_languages_are_judged(spark):
+    clean = lambda i: " ".join(f"{'w' * (3 + (i + k) % 4)}{k}" for k in range(60 + i % 7))
+    junk = " ".join(f"w#$%&{k}" for k in range(60))
+    rows = [(i, clean(i), "de", "a") for i in range(30)] + [(100, junk, "de", "a")]  # an estimate of its own
+    rows += [(200, clean(1), "de", "b"), (201, junk, "de", "b")]  # judged by the language
+    rows += [(300, clean(2), "fr", "c"), (301, junk, "fr", None)]  # judged by all rows
+    kept = {r["doc_id"] for r in quality.drop_low_quality(docs_of(spark, rows)).collect()}
+    assert kept == {*range(30), 200, 300}
+
+
 # toxicity
 
 

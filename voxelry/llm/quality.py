@@ -31,6 +31,8 @@ CORE = 0.75
 STEPS = 3
 TAIL = 1e-8
 MIN_GROUP = 100
+#: The least rows of an estimate where every row is judged: two more than twice the axes.
+LEAST_ROWS = 10
 BINS = 64
 #: Transformed statistics (for texts that pass the base rules) and the least spread regarded as meaningful: its square
 #: is added to each variance, so that a statistic that is constant in a group does not turn trifles into outliers.
@@ -142,6 +144,28 @@ def _grouped(fit: DataFrame) -> DataFrame:
     return keyed.select("lang_key", "own_source", "source_key", enough.alias("enough"))
 
 
+def _own_or_wider(fit: DataFrame) -> DataFrame:
+    """For each language and source ``members``, the estimates its rows take part in, and the one it is judged by.
+
+    A source with LEAST_ROWS rows has an estimate of its own; others are judged by that of all rows of their language,
+    and in languages with fewer rows than that by the estimate of all rows.
+    """
+    sizes = fit.groupBy("lang_key", "own_source").agg(F.count(F.lit(1)).alias("rows"))
+    languages = sizes.groupBy("lang_key").agg(F.sum("rows").alias("lang_rows"), F.min("rows").alias("least"))
+    # one row
+    total = languages.agg((F.min("lang_rows") < LEAST_ROWS).alias("some_left"))
+    own, language = F.col("rows") >= LEAST_ROWS, F.col("lang_rows") >= LEAST_ROWS
+    estimate = lambda lang, source: F.struct(lang.alias("lang_key"), source.alias("source_key"))
+    levels = [
+        (own, estimate(F.col("lang_key"), F.col("own_source"))),
+        (language & (F.col("least") < LEAST_ROWS), estimate(F.col("lang_key"), F.lit("*"))),
+        (F.col("some_left"), estimate(F.lit("*"), F.lit("*"))),
+    ]
+    members = F.filter(F.array(*(F.when(c, e) for c, e in levels)), lambda e: e.isNotNull())
+    judge = F.coalesce(*(F.when(c, e) for c, e in levels))
+    return sizes.join(languages, "lang_key").crossJoin(F.broadcast(total)).select("lang_key", "own_source", members.alias("members"), judge["lang_key"].alias("judge_lang"), judge["source_key"].alias("source_key"))
+
+
 def robust_estimates(fit: DataFrame, steps: int = STEPS) -> DataFrame:
     """Estimates ``m_*, p_*`` and ``shrink`` for each ``lang_key, source_key`` of ``fit`` with the columns of VECTOR."""
     coordinates = fit.select(*_KEY, F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.expr(CENTRE_BIN_SQL.format(x=a)).alias("bin")) for a in AXES))).alias("c")).groupBy(*_KEY, "c.axis", "c.bin").agg(F.count(F.lit(1)).alias("n"))
@@ -193,21 +217,29 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, steps: int =
 
 
 def drop_low_quality(docs: DataFrame, steps: int = STEPS) -> DataFrame:
-    """The rows of ``docs`` that quality_rules keeps, with the same columns."""
-    return _judged(docs, docs.columns, steps).where("kept").select("row.*")
+    """The rows of ``docs`` that pass the base rules and are no outliers, with the same columns.
+
+    As in quality_rules, but every row is judged: by its source's estimate from ``LEAST_ROWS`` rows on, else by its
+    language's, else by that of all rows.
+    """
+    return _judged(docs, docs.columns, steps, everyone=True).where("kept").select("row.*")
 
 
-def _judged(docs: DataFrame, carry: list[str], steps: int) -> DataFrame:
+def _judged(docs: DataFrame, carry: list[str], steps: int, everyone: bool = False) -> DataFrame:
     named = lambda c: F.when(F.col(c).isNull(), F.lit("?")).otherwise(F.concat(F.lit("="), F.col(c)))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), named("lang").alias("lang_key"), named("source").alias("own_source"), text_statistics(F.col("text")).alias("s"))
     rows = written(rows, "statistics").select("row", "lang_key", "own_source", "s.words.n_words", "s.words.word_chars", "s.n_symbols", "s.n_dup_lines", "s.words.n_repeat_words")
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
     vector = [F.when(~F.col("base_failed"), F.expr(f"case when n_words > 0 then {sql} end")).alias(a) for a, (sql, _) in VECTOR.items()]
     fit = rows.where("not base_failed").select("lang_key", "own_source", *vector)
-    groups = written(_grouped(fit), "groups")
-    fit = fit.join(groups, ["lang_key", "own_source"]).where("enough")
+    groups = written((_own_or_wider if everyone else _grouped)(fit), "groups")
+    fit = fit.join(groups, ["lang_key", "own_source"])
+    fit = fit.select(*AXES, F.explode("members").alias("of")).select(*AXES, "of.*") if everyone else fit.where("enough")
     estimates = robust_estimates(fit, steps)
-    judged = rows.select("*", *vector).join(groups, ["lang_key", "own_source"], "left").join(estimates, _KEY, "left")
+    judged = rows.select("*", *vector).join(groups, ["lang_key", "own_source"], "left")
+    if everyone:
+        judged = judged.drop("lang_key").withColumnRenamed("judge_lang", "lang_key")
+    judged = judged.join(estimates, _KEY, "left")
     outlier = F.coalesce(F.expr(distance_sql()) * F.col("shrink") > F.lit(chi_square_quantile(TAIL)), F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~outlier)
 
