@@ -289,6 +289,18 @@ def test_small_sources_and_languages_are_judged(spark):
     assert kept == {*range(30), 200, 300}
 
 
+def test_each_statistic_rejects_alone(spark):
+    words = lambda i, n: [f"{'w' * (3 + (i + k) % 4)}{k}" for k in range(n)]
+    rows = [(i, " ".join(words(i, 90 + i % 20)), "en", "s") for i in range(150)]
+    repeats = " ".join([*words(0, 110), *(["again", "and", "over"] * 30)])  # 45 % of the words
+    lines = "\n".join([*words(0, 200), *(["twice"] * 2), *(f"line{k // 2}" for k in range(90))])  # 46 duplicates in pairs
+    symbols = " ".join([*words(0, 90), "#" * 20])
+    long_words = " ".join(w + "w" * 9 for w in words(0, 90))
+    rows += [(1000, repeats, "en", "s"), (1001, lines, "en", "s"), (1002, symbols, "en", "s"), (1003, long_words, "en", "s"), (1004, "\n".join([*words(0, 90), "twice", "twice"]), "en", "s")]
+    kept = {r["doc_id"] for r in quality.drop_low_quality(docs_of(spark, rows)).collect()}
+    assert kept == {*range(150), 1004}
+
+
 # toxicity
 
 

@@ -43,6 +43,11 @@ VECTOR = {
     "x3": ("cast(n_repeat_words as double) / n_words", 0.12),
 }
 AXES = list(VECTOR)
+_SPREAD = {a: spread for a, (_, spread) in VECTOR.items()}
+#: Tail and least spreads where every row is judged: each axis alone can reject, and a statistic that is zero in nearly
+#: all documents of a group still allows for single short repeats.
+FULL_TAIL = 1e-3
+FULL_SPREAD = {"x0": 0.05, "x1": 0.25, "x2": 0.5, "x3": 0.06}
 _PAIRS = [(a, b) for i, a in enumerate(AXES) for b in AXES[: i + 1]]  # lower triangle
 
 
@@ -99,11 +104,11 @@ def chi_square_quantile(tail: float) -> float:
     return low
 
 
-def precision_steps() -> list[tuple[str, str]]:
+def precision_steps(spread: dict[str, float] | None = None) -> list[tuple[str, str]]:
     """Names and SQL expressions, each using earlier ones, from means (m_) and second moments (s_) to the inverse of the scatter (p_)."""
-    n, steps = len(AXES), []
+    n, steps, spread = len(AXES), [], spread or _SPREAD
     for a, b in _PAIRS:
-        ridge = f" + {VECTOR[a][1] ** 2!r}" if a == b else ""
+        ridge = f" + {spread[a] ** 2!r}" if a == b else ""
         steps.append((f"v_{a}_{b}", f"s_{a}_{b} - m_{a} * m_{b}{ridge}"))
     for i, a in enumerate(AXES):  # Cholesky factor
         for j, b in enumerate(AXES[: i + 1]):
@@ -166,16 +171,16 @@ def _own_or_wider(fit: DataFrame) -> DataFrame:
     return sizes.join(languages, "lang_key").crossJoin(F.broadcast(total)).select("lang_key", "own_source", members.alias("members"), judge["lang_key"].alias("judge_lang"), judge["source_key"].alias("source_key"))
 
 
-def robust_estimates(fit: DataFrame, steps: int = STEPS) -> DataFrame:
+def robust_estimates(fit: DataFrame, steps: int = STEPS, spread: dict[str, float] | None = None) -> DataFrame:
     """Estimates ``m_*, p_*`` and ``shrink`` for each ``lang_key, source_key`` of ``fit`` with the columns of VECTOR."""
     coordinates = fit.select(*_KEY, F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.expr(CENTRE_BIN_SQL.format(x=a)).alias("bin")) for a in AXES))).alias("c")).groupBy(*_KEY, "c.axis", "c.bin").agg(F.count(F.lit(1)).alias("n"))
     medians = _quantile(coordinates, [*_KEY, "axis"], 0.5)
     middle = medians.groupBy(*_KEY).agg(*(F.max(F.when(F.col("axis") == a, (F.col("bin") + 0.5) / BINS)).alias(f"m_{a}") for a in AXES))
-    now = written(middle.select("*", *(F.lit(1 / VECTOR[a][1] ** 2 if a == b else 0.0).alias(f"p_{a}_{b}") for a, b in _PAIRS)), "centres")
+    now = written(middle.select("*", *(F.lit(1 / (spread or _SPREAD)[a] ** 2 if a == b else 0.0).alias(f"p_{a}_{b}") for a, b in _PAIRS)), "centres")
     for _ in range(steps):
         near = _near(fit, now).where("bin <= core")
         moments = near.groupBy(*_KEY).agg(*(F.avg(a).alias(f"m_{a}") for a in AXES), *(F.avg(F.col(a) * F.col(b)).alias(f"s_{a}_{b}") for a, b in _PAIRS))
-        for name, sql in precision_steps():
+        for name, sql in precision_steps(spread):
             moments = moments.withColumn(name, F.expr(sql))
         now = written(moments.select(*_KEY, *(f"m_{a}" for a in AXES), *(f"p_{a}_{b}" for a, b in _PAIRS)), "estimates")
     # the core's own spread is too small for a whole sample: where its edge lies beyond that of a normal sample, distances are shrunk
@@ -220,7 +225,7 @@ def drop_low_quality(docs: DataFrame, steps: int = STEPS) -> DataFrame:
     """The rows of ``docs`` that pass the base rules and are no outliers, with the same columns.
 
     As in quality_rules, but every row is judged: by its source's estimate from ``LEAST_ROWS`` rows on, else by its
-    language's, else by that of all rows.
+    language's, else by that of all rows; and with ``FULL_TAIL`` and ``FULL_SPREAD``.
     """
     return _judged(docs, docs.columns, steps, everyone=True).where("kept").select("row.*")
 
@@ -235,12 +240,12 @@ def _judged(docs: DataFrame, carry: list[str], steps: int, everyone: bool = Fals
     groups = written((_own_or_wider if everyone else _grouped)(fit), "groups")
     fit = fit.join(groups, ["lang_key", "own_source"])
     fit = fit.select(*AXES, F.explode("members").alias("of")).select(*AXES, "of.*") if everyone else fit.where("enough")
-    estimates = robust_estimates(fit, steps)
+    estimates = robust_estimates(fit, steps, FULL_SPREAD if everyone else None)
     judged = rows.select("*", *vector).join(groups, ["lang_key", "own_source"], "left")
     if everyone:
         judged = judged.drop("lang_key").withColumnRenamed("judge_lang", "lang_key")
     judged = judged.join(estimates, _KEY, "left")
-    outlier = F.coalesce(F.expr(distance_sql()) * F.col("shrink") > F.lit(chi_square_quantile(TAIL)), F.lit(False))
+    outlier = F.coalesce(F.expr(distance_sql()) * F.col("shrink") > F.lit(chi_square_quantile(FULL_TAIL if everyone else TAIL)), F.lit(False))
     return judged.withColumn("kept", ~F.col("base_failed") & ~outlier)
 
 
