@@ -225,6 +225,36 @@ def test_neighbours_of_awkward_rows(spark):
     assert ann.nearest_neighbours(frame.limit(0)).count() == 0
 
 
+def test_isolated_vectors_have_all_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_TARGET", 10)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 8))
+    x[::100] = 1000.0 * rng.normal(size=(30, 8))  # each query far from all others: a list of its own
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = Counter(r["query_id"] for r in ann.nearest_neighbours(frame).collect())
+    assert got == {q: 10 for q in range(0, 3000, 100)}
+
+
+def test_recall_with_more_lists_than_the_beam(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_TARGET", 20)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 16))[rng.integers(0, 400, 12000)] + 0.3 * rng.normal(size=(12000, 16))  # 600 lists
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(frame).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    asked = list(range(0, 12000, 100))
+    hits = sum(len(got[q] & {v for _, v in near}) for q, near in zip(asked, ann.exact_neighbours(x, np.arange(12000), asked)))
+    print(f"recall {hits / 10 / len(asked):.4f}")
+    assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_repeated_rows_push_no_ids_out(spark):
+    rows = [(0, [1.0, 0.0])] * 20 + [(i, [1.0, 0.0]) for i in range(1, 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {r["vec_id"] for r in ann.nearest_neighbours(frame).collect()} == {1, 2, 3, 4, 5}
+
+
 # quality rules
 
 

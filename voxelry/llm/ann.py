@@ -4,7 +4,8 @@ Equal vectors are one entry of the index with their smallest ids, so that very c
 Centroids come from balanced k-means on a bounded sample. Every entry goes to the list of its nearest centroid and,
 near a boundary, to those of further centroids that are almost as close (unless a nearer list's centroid lies between).
 Centroids are searched by a neighbour graph in memory, best first. A query reads the lists whose centroids are at most
-``SEARCH_RATIO`` times as far as the nearest. Long lists are read in blocks, by several tasks; within a block distances
+``SEARCH_RATIO`` times as far as the nearest, at least ``LEAST_LISTS``, and as many more as it takes until they certainly
+hold more different ids than asked for. Long lists are read in blocks, by several tasks; within a block distances
 are exact, and only the best few of a block are passed on.
 """
 
@@ -28,6 +29,7 @@ MOST_CENTROIDS = 4096
 REPLICAS = 4
 REPLICA_RATIO = 1.15
 SEARCH_RATIO = 1.4
+LEAST_LISTS = 8
 BEAM = 96
 DEGREE = 24
 BLOCK = 4096
@@ -135,10 +137,25 @@ def posting_lists(graph: CentroidGraph, x: np.ndarray) -> list[list[int]]:
     return out
 
 
-def lists_to_read(graph: CentroidGraph, x: np.ndarray) -> list[list[int]]:
-    """The lists a query reads: those at most SEARCH_RATIO times as far as the nearest."""
+def lists_to_read(graph: CentroidGraph, x: np.ndarray, certain: np.ndarray, count: int = NEIGHBOURS) -> list[list[int]]:
+    """The lists a query reads, nearest first.
+
+    Those at most SEARCH_RATIO times as far as the nearest, LEAST_LISTS at least, and further ones until more than
+    ``count`` different ids are in them for certain: ``certain`` has the number of ids whose nearest list each list is.
+    A query for which the lists found by the graph do not hold so many goes on to all others in order of distance.
+    """
     ids, dist = graph.search(x)
-    return [row[(d <= SEARCH_RATIO * d[0]) & np.isfinite(d)].tolist() for row, d in zip(ids, dist)]
+    out = []
+    for q, row, d in zip(x, ids, dist):
+        near = np.isfinite(d)
+        row, d = row[near], d[near]
+        if certain[row].sum() <= count:
+            d = graph._distances(q[None], np.arange(len(graph.centroids))[None])[0]
+            row = np.argsort(d, kind="stable")
+            d = d[row]
+        enough = int(np.searchsorted(np.cumsum(certain[row]), count, side="right")) + 1
+        out.append(row[: max(int((d <= SEARCH_RATIO * d[0]).sum()), LEAST_LISTS, enough)].tolist())
+    return out
 
 
 def best_of_block(queries: np.ndarray, vectors: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -159,7 +176,7 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, count: int) -> Itera
 def _by_vector(rows: DataFrame, most: int) -> DataFrame:
     """Different vectors with their ``most`` smallest ids. Only that many rows of a vector leave each task."""
     order = Window.partitionBy("v").orderBy("vec_id")
-    few = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+    few = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     return few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
@@ -195,9 +212,10 @@ def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, count:
     @F.pandas_udf("array<int>")
     def read_from(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for v in batches:
-            yield pd.Series(_in_parts(v, lambda x: lists_to_read(graph, x)), dtype=object)
+            yield pd.Series(_in_parts(v, lambda x: lists_to_read(graph, x, certain, count)), dtype=object)
 
-    postings = written(entries.select("ids", "v", "key", F.explode(stored_in("v")).alias("list")), "postings")
+    postings = written(entries.select("ids", "v", "key", F.posexplode(stored_in("v")).alias("place", "list")), "postings")
+    certain = _certain_ids(postings, len(graph.centroids))
     probes = written(asked.groupBy("key").agg(F.first("v").alias("v")).select("key", "v", F.explode(read_from("v")).alias("list")), "probes")
     # one row for each list, at most MOST_CENTROIDS: small enough to be sent to every task
     blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
@@ -220,6 +238,18 @@ def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, count:
     return _ranked(asked.select("query_id", "key"), found, count).select("query_id", "rank", F.col("vec_id").cast(_kind(vectors)).alias("vec_id"), "score")
 
 
+def _certain_ids(postings: DataFrame, lists: int) -> np.ndarray:
+    """How many different ids are known to lie in each list, no id being counted for two lists.
+
+    An id may have several vectors and counts where the first of its places is.
+    """
+    homes = postings.where("place = 0").select(F.explode("ids").alias("id"), "list").groupBy("id").agg(F.min("list").alias("list"))
+    certain = np.zeros(lists, dtype=np.int64)
+    for r in homes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MOST_CENTROIDS rows
+        certain[r["list"]] = r["n"]
+    return certain
+
+
 def _ranked(asked: DataFrame, found: DataFrame, count: int) -> DataFrame:
     """The best rows for each different query vector, then for each query row, its own id left out.
 
