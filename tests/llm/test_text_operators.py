@@ -78,6 +78,15 @@ def test_packing_of_awkward_rows(spark, tokenizer):
     assert packing.packed_documents(docs.limit(0), JSON, public_tokenizers.PATTERN).collect() == []
 
 
+def test_packing_knows_added_tokens(spark, tmp_path):
+    default = Tokenizer.from_file(JSON)
+    texts = [*AWKWARD, "end <|endoftext|> next", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b", "x<|endoftext|>y z", "<|endoftext", "w " * 3000 + "<|endoftext|>"]
+    awkward_docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = [(d["doc_id"], [*default.encode(d["text"] or "", add_special_tokens=False).ids, 0]) for d in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()]
+    assert default.encode("end <|endoftext|> next").ids == [437, 220, 50256, 1306]
+    check_packing(queries.op1_best_fit_packing(spark, str(tmp_path)).collect(), expected)
+
+
 def test_sequences_hold_the_pieces(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(40)
     pieces = packing.token_pieces(docs, JSON, public_tokenizers.PATTERN).cache()

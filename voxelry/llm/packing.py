@@ -18,6 +18,8 @@ What is left over is packed by best fit decreasing.
 
 from __future__ import annotations
 
+import json
+import re
 from array import array
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -218,8 +220,6 @@ def _place(plan: Plan):
 
 def ranks_of_json(path: str) -> dict[bytes, int]:
     """Ranks of the byte-level vocabulary in a ``tokenizers`` JSON file, whose ids follow the order of its merges."""
-    import json
-
     with open(path, encoding="utf-8") as f:
         vocabulary = json.load(f)
     special = {t["content"] for t in vocabulary.get("added_tokens", [])}
@@ -236,13 +236,35 @@ def _encoder(path: str, pattern: str) -> TextEncoder:
     return TextEncoder(encoding.encode_ordinary, CACHE_WORDS)
 
 
-def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+@lru_cache(maxsize=2)
+def _added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """A pattern that finds the added tokens of a ``tokenizers`` file in a text, and their packed ids."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    if any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")):
+        raise ValueError(f"added tokens of {path} that depend on what is beside them are not supported")
+    ids = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+    longest_first = sorted(map(re.escape, ids), key=len, reverse=True)
+    return (re.compile(f"({'|'.join(longest_first)})") if ids else None), ids
+
+
+def _with_added(encoder: TextEncoder, path: str, text: str) -> bytes:
+    """The ids of a text in which each added token is its one id; what lies between is encoded by itself."""
+    found, ids = _added_tokens(path)
+    if found is None:
+        return encoder.encode(text)
+    return b"".join(ids[part] if at % 2 else encoder.encode(part) for at, part in enumerate(found.split(text)) if part)
+
+
+def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """Pieces of the tokenized whole texts: ``doc_id, piece INT, start LONG, length LONG, ids BINARY``.
 
-    The ids are those of the vocabulary in the ``tokenizers`` file ``path`` without special tokens, followed by id 0;
-    packed as little-endian unsigned 32-bit integers. A document of more than ``capacity`` ids is cut into pieces of
-    ``capacity``, of which the first may be shorter; ``start`` counts the ids before a piece. A null text counts as
-    empty and is one piece of one id. Repeated rows are documents of their own; further columns are ignored.
+    The ids are those of the vocabulary in the ``tokenizers`` file ``path``, followed by id 0. No special tokens are put
+    around a text; the strings of the file's added tokens in a text become their ids with ``added``, as the library does
+    by default, and are ordinary text without. Ids are packed as little-endian unsigned 32-bit integers. A document of
+    more than ``capacity`` ids is cut into pieces of ``capacity``, of which the first may be shorter; ``start`` counts
+    the ids before a piece. A null text counts as empty and is one piece of one id. Repeated rows are documents of their
+    own; further columns are ignored.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -251,7 +273,8 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPAC
         for batch in batches:
             rows, size = [], 0
             for at, text in enumerate(batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
+                whole = text.as_py() or ""
+                ids = (_with_added(encoder, path, whole) if added else encoder.encode(whole)) + end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 for piece, start in enumerate([0, *range(first, n, capacity)]):
@@ -272,12 +295,12 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPAC
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-def packed_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
     """Places of all pieces of ``docs``: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
-    Texts are tokenized once; after that only lengths and check sums move.
+    Texts are tokenized once, with or without ``added`` tokens (see token_pieces); after that only lengths and check sums move.
     """
-    pieces = token_pieces(docs, path, pattern, capacity)
+    pieces = token_pieces(docs, path, pattern, capacity, added)
     pieces = written(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(pieces, ["doc_id", "piece", "start", "ids_crc32"], capacity)
 
