@@ -7,6 +7,7 @@ import html
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -246,6 +247,43 @@ def test_extraction_never_fails(source):
         assert text == source
 
 
+ARTICLE = ["How the mill was moved", "The mill stood by the river, and, as everyone knew, the river rose every spring.", "In the third year the miller, tired of carrying sacks, hired twelve oxen and a clockmaker.", "They moved it, beam by beam, to the hill, where it stands today."]
+TAGGED = f"<h1>{ARTICLE[0]}</h1>" + "".join(f"<p>{x}</p>" for x in ARTICLE[1:])
+ASIDE = "<p>Somebody writes, with many, many commas, that all of this, as usual, is wrong, and says so again, and again, and once more, at length.</p>"
+LAYOUTS = {
+    "blog": f"<body><div class='navbar'><a href='/'>Home</a></div><div class='site-content with-sidebar'><div class='post'>{TAGGED}</div><div class='sidebar'>{ASIDE}</div></div><div class='post-comments'>{ASIDE * 9}</div></body>",
+    "news": f"<body><header><p>The paper, daily, since 1900</p></header><main><div class='story-body'>{TAGGED}<div class='ad-slot'>Buy, now, or, never.</div></div><section class='related-articles'><article><h2>Other, one</h2><p>A teaser, short.</p></article></section></main><footer>All, rights, reserved</footer></body>",
+    "table": f"<body><table><tr><td class='menu'><a href='/a'>A</a><br><a href='/b'>B</a></td><td>{TAGGED}</td></tr><tr><td colspan=2 class='footer'>Contact, imprint, terms</td></tr></table></body>",
+    "form": f"<body><form action='/page.aspx'><input type=hidden name=state><div id='ctl00_content'>{TAGGED}</div><div class='newsletter-signup'>Your, mail, please <input name=mail></div></form></body>",
+    "wiki": f"<body class='skin has-toc'><div id='mw-page' role='main'><div id='siteNotice'>Give, give, give, and give.</div>{TAGGED}</div><div id='mw-navigation'><ul><li><a href='/x'>X</a></ul></div></body>",
+    "cookie": f"<body><div id='cookieConsent'>{ASIDE * 2}</div><div><div><div>{TAGGED}</div></div></div><div style='display: none'>{ASIDE}</div></body>",
+    "words": f"<body><div class='entry-header'></div><article class='entry share-open'><div class='entry-header'><h1>{ARTICLE[0]}</h1></div><div class='entry-content'>{TAGGED.split('</h1>')[1]}</div><div class='entry-share'>Tell, your, friends</div><div id='comments'>{ASIDE}</div></article></body>",
+    "comment articles": f"<body><div id='primary'>{TAGGED}</div><ol class='comment-list'><li><article class='comment-body'>{ASIDE}</article></li></ol><form class='comment-form'><p>Write, to, us</p></form></body>",
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_extraction_of_layouts(layout):
+    assert extraction.main_text(LAYOUTS[layout]).split("\n\n") == ARTICLE
+
+
+@pytest.mark.parametrize("name", ["layout-with-sidebar", "content has-sidebar", "no-sidebar", "with-nav", "content-side", "sharing-page", "post social-post", "post-search", "hero search-page", "post comments-open", "layout", "main-content"])
+def test_names_do_not_empty_a_page(name):
+    assert extraction.main_text(f"<body><div class='{name}'>{TAGGED}</div></body>").split("\n\n") == ARTICLE
+    assert extraction.main_text(f"<body><div id='{name}'><div class='sidebar'>{ASIDE}</div>{TAGGED}</div><div class='site-footer'>A, b, c</div></body>").split("\n\n") == ARTICLE
+
+
+def test_a_page_of_which_nothing_would_be_left_ignores_names():
+    assert extraction.main_text(f"<body><div class='sidebar'>{TAGGED.split('</h1>')[1]}</div></body>").split("\n\n") == ARTICLE[1:]
+    assert extraction.main_text("<body><div><p>One, two</p><table class='form'><tr><td>cell</td></tr></table></div></body>") == "One, two\n\ncell"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 50_000 + "deep", "<div><p>x, y</p>" * 20_000 + "deep", "<td>" + "<b>" * 30_000 + "</p></i>" * 30_000 + "deep", "<header>" * 30_000 + "deep"])
+def test_extraction_is_linear_in_depth(page):
+    start = time.monotonic()
+    assert extraction.main_text(page).endswith("deep") and time.monotonic() - start < 10
+
+
 def test_extraction_of_awkward_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "t"), (None, None, "<p>x</p>", "t"), (1, "u", None, "t"), (2, "", "<article><p>" + "word, " * 20000 + "</article>", "t")], "page_id long, url string, html string, text string")
     out = extraction.extract_main_text(pages).collect()

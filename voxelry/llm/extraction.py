@@ -1,16 +1,23 @@
 """Main text of web pages by tree scoring.
 
 Every paragraph passes points to its ancestors: one for being there, one for each comma, and up to three for its
-length; the parent gets them whole, the grandparent half, those above a third, a quarter and so on. An element's points
-are discounted by its link density, the share of its text that lies in links. The element with the most points is the
-container of the article; siblings that read like the article are kept with it. Menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and comments by readers are left out beforehand, wherever they stand.
+length; the parent gets them whole, each further ancestor half of what the one below it got. An element's points are
+discounted by its link density, the share of its text that lies in links. The element with the most points is the
+container of the article; siblings that read like the article are kept with it.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments by readers are left out
+beforehand, wherever they stand. Tags and roles tell them for certain; names of classes and ids are read word by word.
+``site-footer`` is a footer, ``has-sidebar`` says something about a layout, ``search-page`` and ``content-side`` may be
+either: such an element, or a form, goes only if it holds less than half of the page's text outside of links. One that
+is certain by its name stays if it holds that half together with a heading of first order or an ``article`` or ``main``.
+If nothing is left, the names are not regarded. Time grows with the page only, not with the depth of its elements.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,45 +25,130 @@ from pyspark.sql import functions as F
 
 from voxelry.llm.html import BLOCKS, RAW, Node, blocks, parse
 
-SKIPPED_TAGS = RAW | frozenset("head nav footer aside form button select option input label dialog menu svg canvas object embed audio video map math".split())
-SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
-#: Words of class and id names that mark what does not belong to an article.
-SKIPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adbox|banners?|sponsors?|sponsored|promos?|promotions?|"
-    r"cookies?|cookiebar|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|signup|login|paywall|"
-    r"sidebars?|side|aside|related|recommended|recommendations|share|sharing|social|menus?|nav|navbar|navigation|breadcrumbs?|pagination|pager|"
-    r"footers?|masthead|topbar|toolbar|site-header|page-header|header|comments?|commentlist|disqus|replies|reply|respond|widgets?|forms?|search|skip-link|hidden)(?=$|[\s_-])",
-    re.IGNORECASE,
+SKIPPED_TAGS = RAW | frozenset("head nav aside footer button select option input dialog menu svg canvas object embed audio video map".split())
+SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar tablist".split())
+#: What an element is not to be if it is part of an article: words in names of classes and ids.
+OFF_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adbox banner banners sponsor sponsors sponsored promo promos promotion promotions "
+    "cookie cookies cookiebar consent gdpr notice notices alert alerts popup popups modal modals overlay overlays newsletter newsletters subscribe subscription signup login paywall "
+    "sidebar sidebars side aside related recommended recommendations share sharing social menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager "
+    "footer footers masthead topbar toolbar header headers widget widgets search skip hidden".split()
 )
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond".split())
+ARTICLE_WORDS = frozenset("article content body entry post story blog".split())
+#: Words beside those above that do not change what an element is, unless they come last.
+_PLACES = frozenset("site page main global".split())
+_FORMS = frozenset("top bottom left right upper lower box block bar list item items wrapper wrap container inner outer area section panel group primary secondary text title links link icon icons thread form".split())
+#: Words of names that tell how an element looks or behaves, not what it is.
+_MANNERS = frozenset("has no with without not is layout enabled disabled open opened closed on off show".split())
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_BREAK = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _ARTICLE_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articles?-?body|body|content|entry|main|post|story|text|blog)(?=$|[\s_-])", re.IGNORECASE)
 _PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 _START = {"article": 25.0, "main": 20.0, "section": 3.0, "div": 5.0, "blockquote": 3.0, "td": 3.0, "pre": 3.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "li": -3.0, "th": -5.0}
-
-
-def skipped(node: Node) -> bool:
+#: A container holds at least this share of the page's text outside of links and of what is left out for certain.
+MOST = 0.5
+#: With less than this share left, names have misled.
+LEAST_LEFT = 0.05
+
+PLAIN, DOUBT, OFF, COMMENTS, HARD = range(5)
+
+
+def _kind_of_name(name: str) -> int:
+    words = [w for w in _BREAK.split(_CAMEL.sub("-", name).lower()) if w]
+    if _MANNERS.intersection(words) or not any(w in OFF_WORDS or w in COMMENT_WORDS for w in words):
+        return PLAIN
+    while words[-1] in _FORMS and len(words) > 1:
+        words.pop()
+    head, rest = words[-1], words[:-1]
+    if head in COMMENT_WORDS:
+        return COMMENTS
+    if head not in OFF_WORDS:
+        return DOUBT
+    if head in ("header", "headers") and ARTICLE_WORDS.intersection(rest):
+        return PLAIN  # the title of an article
+    return OFF if all(w in OFF_WORDS or w in COMMENT_WORDS or w in _PLACES or w in _FORMS for w in rest) else DOUBT
+
+
+@lru_cache(maxsize=4096)
+def kind_of_names(classes: str, identifier: str) -> int:
+    """What the names of an element say: PLAIN, DOUBT, OFF or COMMENTS."""
+    names = [*classes.split(), *identifier.split()]
+    kinds = {_kind_of_name(x) for x in names}
+    worst = max(kinds, default=PLAIN)
+    if worst in (OFF, COMMENTS) and any(x.lower() in ARTICLE_WORDS for x in names):
+        return DOUBT
+    return worst
+
+
+def kind_of(node: Node, in_article: bool) -> int:
+    """Whether an element is left out: for certain by tag, role or style (HARD), or by what its name says."""
     if node.tag in SKIPPED_TAGS:
-        return True
-    if node.tag == "header":
-        return not _within(node, ("article", "main"))
+        return HARD
     a = node.attributes
-    if not a or node.tag in ("html", "body"):
-        return False
-    if a.get("role", "").lower() in SKIPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
-        return True
+    if a:
+        if node.tag in ("html", "body", "#root"):
+            return PLAIN
+        if a.get("role", "").lower() in SKIPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(a.get("style", "")):
+            return HARD
+    if node.tag == "header" and not in_article:
+        return OFF
+    named = kind_of_names(a.get("class", ""), a.get("id", "")) if a else PLAIN
     if node.tag in ("article", "main"):
-        return "comment" in f"{a.get('class', '')} {a.get('id', '')}".lower()
-    return any(SKIPPED_NAMES.search(_CAMEL.sub("-", a[k])) for k in ("class", "id") if k in a)
+        return COMMENTS if "comment" in f"{a.get('class', '')} {a.get('id', '')}".lower() and named != PLAIN else PLAIN
+    if node.tag in ("form", "label") and named == PLAIN:
+        return DOUBT
+    return named
 
 
-def _within(node: Node, tags: tuple[str, ...]) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in tags:
-            return True
-        up = up.parent
-    return False
+def elements(root: Node) -> tuple[list[Node], dict[int, int]]:
+    """All elements but those below what is left out for certain, parents first, and the kinds of all that were met."""
+    order: list[Node] = []
+    kinds: dict[int, int] = {}
+    stack = [(root, False)]
+    while stack:
+        node, inside = stack.pop()
+        kind = kinds[id(node)] = kind_of(node, inside)
+        if kind == HARD:
+            continue
+        order.append(node)
+        inside = inside or node.tag in ("article", "main")
+        stack.extend((x, inside) for x in reversed(node.children) if not isinstance(x, str))
+    return order, kinds
+
+
+def left_out(order: list[Node], kinds: dict[int, int]) -> set[int]:
+    """The elements to leave out, with all below them."""
+    hard = {k for k, kind in kinds.items() if kind == HARD}
+    if not any(kind in (DOUBT, OFF, COMMENTS) for kind in kinds.values()):
+        return hard
+    own = {id(node): sum(len(x.strip()) for x in node.children if isinstance(x, str)) for node in order}
+    comments = {k for k, kind in kinds.items() if kind == COMMENTS}
+    off = comments | {k for k, kind in kinds.items() if kind == OFF}
+    top = id(order[0])
+    whole, heads = _free_text(order, own, comments)
+    free, _ = _free_text(order, own, off)
+    drop = hard | comments
+    for node in order:
+        key = id(node)
+        if kinds[key] == OFF and not (heads[key] and whole[key] >= MOST * whole[top]) or kinds[key] == DOUBT and free[key] < MOST * free[top]:
+            drop.add(key)
+    left, _ = _free_text(order, own, drop)
+    return drop if left[top] > LEAST_LEFT * whole[top] else hard
+
+
+def _free_text(order: list[Node], own: dict[int, int], apart: set[int]) -> tuple[dict[int, int], dict[int, bool]]:
+    """For each element the characters below it outside of links and of the elements ``apart``, and whether there is a main heading or an article."""
+    size, head = dict.fromkeys(own, 0), dict.fromkeys(own, False)
+    for node in reversed(order):
+        key = id(node)
+        size[key] = 0 if node.tag == "a" else size[key] + own[key]
+        head[key] = head[key] or node.tag in ("h1", "main", "article")
+        if node.parent is not None and key not in apart:
+            size[id(node.parent)] += size[key]
+            head[id(node.parent)] |= head[key]
+    return size, head
 
 
 def _start(node: Node) -> float:
@@ -69,19 +161,20 @@ def main_text(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
-    drop: set[int] = set()
+    met, kinds = elements(root)
+    drop = left_out(met, kinds)
+    skip = lambda node: id(node) in drop
     size: dict[int, int] = {}  # characters below
     linked: dict[int, int] = {}  # of these in links
     commas: dict[int, int] = {}
     order: list[Node] = []
-    stack = [root]
-    while stack:  # parents first; left-out subtrees are not entered
-        node = stack.pop()
-        if skipped(node):
-            drop.add(id(node))
-            continue
-        order.append(node)
-        stack.extend(x for x in reversed(node.children) if not isinstance(x, str))
+    gone: set[int] = set()
+    for node in met:
+        if id(node) in drop or id(node.parent) in gone:
+            gone.add(id(node))
+        else:
+            order.append(node)
+    passed: dict[int, float] = {}  # points from below
     for node in reversed(order):
         key = id(node)
         texts = [x for x in node.children if isinstance(x, str)]
@@ -89,30 +182,24 @@ def main_text(source: str | None) -> str:
         commas[key] = commas.get(key, 0) + sum(x.count(",") + x.count("，") + x.count("、") for x in texts)
         links = size[key] if node.tag == "a" else linked.get(key, 0)
         linked[key] = links
-        if node.parent is not None:
-            up = id(node.parent)
-            size[up] = size.get(up, 0) + size[key]
-            commas[up] = commas.get(up, 0) + commas[key]
-            linked[up] = linked.get(up, 0) + links
-    points: dict[int, float] = {}
-    for node in order:
-        own = any(isinstance(x, str) and not x.isspace() for x in node.children)
-        if not (node.tag in _PARAGRAPHS or own and node.tag in BLOCKS) or not size[id(node)]:
+        if node.parent is None:
             continue
-        score = 1.0 + commas[id(node)] + min(3.0, size[id(node)] / 100.0)
-        up, level = node.parent, 0
-        while up is not None and up.tag not in ("#root", "html"):
-            if id(up) not in points:
-                points[id(up)] = _start(up)
-            points[id(up)] += score / (1.0, 2.0)[level] if level < 2 else score / (3.0 * (level - 1))
-            up, level = up.parent, level + 1
+        up = id(node.parent)
+        size[up] = size.get(up, 0) + size[key]
+        commas[up] = commas.get(up, 0) + commas[key]
+        linked[up] = linked.get(up, 0) + links
+        paragraph = size[key] and (node.tag in _PARAGRAPHS or node.tag in BLOCKS and any(not x.isspace() for x in texts))
+        if paragraph or key in passed:
+            score = 1.0 + commas[key] + min(3.0, size[key] / 100.0) if paragraph else 0.0
+            passed[up] = passed.get(up, 0.0) + score + 0.5 * passed.get(key, 0.0)
+    points: dict[int, float] = {}
     best, top = None, float("-inf")
     for node in order:
-        if id(node) in points:
-            points[id(node)] *= 1.0 - linked[id(node)] / max(1, size[id(node)])
-            if points[id(node)] > top:
-                best, top = node, points[id(node)]
-    skip = lambda node: id(node) in drop
+        key = id(node)
+        if key in passed and node.tag not in ("#root", "html"):
+            points[key] = (passed[key] + _start(node)) * (1.0 - linked[key] / max(1, size[key]))
+            if points[key] > top:
+                best, top = node, points[key]
     if best is None:
         return "\n\n".join(blocks([root], skip))
     up = best.parent
@@ -122,7 +209,7 @@ def main_text(source: str | None) -> str:
         up = up.parent
     chosen = [best]
     if best.parent is not None and best.tag != "body":
-        chosen = [x for x in best.parent.children if not isinstance(x, str) and (x is best or _joins(x, best, top, points, size, linked, drop))]
+        chosen = [x for x in best.parent.children if not isinstance(x, str) and (x is best or _joins(x, best, top, points, size, linked, gone))]
     return "\n\n".join(blocks(chosen, skip))
 
 

@@ -1,7 +1,8 @@
 """Reading of HTML pages, one at a time: a small tree of elements and the text in it.
 
 Browsers repair broken markup; so does this, as far as the text needs it: paragraphs, list items and table parts close
-implicitly, stray end tags are ignored, an unfinished page ends where it ends.
+implicitly, stray end tags are ignored, an unfinished page ends where it ends. Reading takes time in proportion to the
+page, however deeply its elements are nested.
 """
 
 from __future__ import annotations
@@ -49,15 +50,54 @@ def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(source)}
 
 
+class _Open:
+    """The open elements, outermost first, and where each kind of them lies, so that nothing is looked for by climbing."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+
+    @property
+    def here(self) -> Node:
+        return self.stack[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """The innermost place of an open element of these tags, or -1."""
+        return max((found[-1] for t in tags if (found := self.places.get(t))), default=-1)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at this place and all within it."""
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+    def end(self, tag: str) -> None:
+        at = self.last((tag,))
+        if at < 0 or (tag == "p" or tag not in BLOCKS) and self.last(_P_SCOPE - {tag}) > at:
+            return
+        self.cut(at)
+
+    def imply(self, tag: str) -> None:
+        if tag in _CLOSES_P and (at := self.last(("p",))) > self.last(_P_SCOPE):
+            self.cut(at)
+        if tag in _CLOSES:
+            closed, walls = _CLOSES[tag]
+            if (at := self.last(closed)) > self.last(walls):
+                self.cut(at)
+
+
 def parse(source: str) -> Node:
     """The tree of a page. Texts are strings among the children, with character references decoded."""
     root = Node("#root", None)
-    here, at, n = root, 0, len(source)
+    open_, at, n = _Open(root), 0, len(source)
     find = source.find
 
     def text(until: int) -> None:
         if until > at:
-            here.children.append(html.unescape(source[at:until]))
+            open_.here.children.append(html.unescape(source[at:until]))
 
     while at < n:
         lt = find("<", at)
@@ -88,11 +128,11 @@ def parse(source: str) -> Node:
         at = match.end()
         tag = match[2].lower()
         if match[1]:
-            here = _close(here, tag)
+            open_.end(tag)
             continue
-        here = _implied(here, tag)
-        node = Node(tag, here, _attributes(match[3]), start=lt)
-        here.children.append(node)
+        open_.imply(tag)
+        node = Node(tag, open_.here, _attributes(match[3]), start=lt)
+        open_.here.children.append(node)
         if tag in VOID or match[3].endswith("/") and tag not in BLOCKS and tag not in RAW:
             continue
         if tag in RAW:
@@ -105,37 +145,10 @@ def parse(source: str) -> Node:
             close = find(">", stop)
             at = n if close < 0 else close + 1
             continue
-        here = node
+        open_.push(node)
     return root
 
 
-def _close(here: Node, tag: str) -> Node:
-    node: Node | None = here
-    while node is not None and node.tag != tag:
-        if tag == "p" and node.tag in _P_SCOPE or tag not in BLOCKS and node.tag in _P_SCOPE:
-            return here
-        node = node.parent
-    return here if node is None or node.parent is None else node.parent
-
-
-def _implied(here: Node, tag: str) -> Node:
-    if tag in _CLOSES_P:
-        node: Node | None = here
-        while node is not None and node.tag not in _P_SCOPE:
-            if node.tag == "p":
-                here = node.parent  # type: ignore[assignment]
-                break
-            node = node.parent
-    if tag in _CLOSES:
-        closed, walls = _CLOSES[tag]
-        node = here
-        while node is not None and node.tag not in walls:
-            if node.tag in closed:
-                return node.parent  # type: ignore[return-value]
-            node = node.parent
-    return here
-
-
 def blocks(nodes: list[Node], skip) -> list[str]:
     """The texts of blocks in page order, white space turned into single spaces; subtrees for which ``skip`` holds are left out."""
     out: list[str] = []
