@@ -249,6 +249,31 @@ def test_recall_with_more_lists_than_the_beam(spark, monkeypatch):
     assert hits >= 0.9 * 10 * len(asked)
 
 
+def test_lists_grow_with_the_table_and_cells_lose_nothing(spark, monkeypatch):
+    """Several cells: every vector is in the index once as its nearest list's own, lists keep their size, recall and share of rows read hold."""
+    monkeypatch.setattr(ann, "LIST_TARGET", 32)
+    rng = np.random.default_rng(7)
+    lists = {}
+    for n in (3000, 9000):
+        x = rng.normal(size=(n // 40, 24))[rng.integers(0, n // 40, n)] + 0.25 * rng.normal(size=(n, 24))
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        vectors = frame.select("vec_id", F.col("embedding").alias("v")).cache()
+        cells, centroids, postings = ann.build_index(vectors, cell_target=1500)
+        assert len(cells) == n // 1500
+        assert sorted(i for r in postings.where("place = 0").collect() for i in r["ids"]) == list(range(n))
+        lists[n] = centroids.count()
+        got = defaultdict(set)
+        for r in ann.nearest_neighbours(frame, cell_target=1500).collect():
+            got[r["query_id"]].add(r["vec_id"])
+        asked = list(range(0, n, 100))
+        assert sum(len(got[q] & {v for _, v in near}) for q, near in zip(asked, ann.exact_neighbours(x, np.arange(n), asked))) >= 0.9 * 10 * len(asked)
+        probes = ann._probes(vectors.where("vec_id % 100 = 0").select(F.xxhash64("v").alias("key"), "v"), cells, centroids, 10)
+        read = probes.join(postings.groupBy("list").count(), "list").agg(F.sum("count")).first()[0] / len(asked)
+        print(f"{n} vectors in {lists[n]} lists of {len(cells)} cells, {read / n:.3f} of the rows read by a query")
+        assert read < 0.25 * n
+    assert lists[9000] > 2.5 * lists[3000]
+
+
 def test_repeated_rows_push_no_ids_out(spark):
     rows = [(0, [1.0, 0.0])] * 20 + [(i, [1.0, 0.0]) for i in range(1, 6)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")

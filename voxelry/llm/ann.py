@@ -1,12 +1,15 @@
-"""Approximate nearest neighbours with balanced posting lists, a centroid graph and distance-ratio pruning.
+"""Approximate nearest neighbours with balanced posting lists, centroid graphs and distance-ratio pruning.
 
 Equal vectors are one entry of the index with their smallest ids, so that very common vectors cost nothing extra.
-Centroids come from balanced k-means on a bounded sample. Every entry goes to the list of its nearest centroid and,
-near a boundary, to those of further centroids that are almost as close (unless a nearer list's centroid lies between).
-Centroids are searched by a neighbour graph in memory, best first. A query reads the lists whose centroids are at most
-``SEARCH_RATIO`` times as far as the nearest, at least ``LEAST_LISTS``, and as many more as it takes until they certainly
-hold more different ids than asked for. Long lists are read in blocks, by several tasks; within a block distances
-are exact, and only the best few of a block are passed on.
+Lists hold ``LIST_TARGET`` entries on average at any size of the table: their number grows with it. Lists are made within
+cells of about ``CELL_TARGET`` entries, so that neither a task nor the driver ever meets all centroids; a small table is one
+cell. Within a cell the centroids are the entries next to the centres of balanced k-means on a bounded sample of the cell.
+Every entry goes to the list of its nearest centroid and, near a boundary, to those of further centroids that are almost
+as close, also in neighbouring cells. Centroids of a cell are searched by a neighbour graph in memory, best first. A query
+reads the lists whose centroids are at most ``SEARCH_RATIO`` times as far as the nearest (or as that list is wide),
+at least ``LEAST_LISTS``, and as many more as it takes until they certainly hold more different ids than asked for. Long
+lists are read in blocks, by several tasks; within a block distances are exact, and only the best few of a block are
+passed on.
 """
 
 from __future__ import annotations
@@ -25,14 +28,22 @@ NEIGHBOURS = 10
 QUERY_EVERY = 100
 SAMPLE = 32_768
 LIST_TARGET = 128
-MOST_CENTROIDS = 4096
+CELL_TARGET = 131_072
+#: Cells a table is parted into at most; cells grow beyond CELL_TARGET from 536 million different vectors on.
+MOST_CELLS = 4096
 REPLICAS = 4
 REPLICA_RATIO = 1.15
-SEARCH_RATIO = 1.4
-LEAST_LISTS = 8
-BEAM = 96
+SEARCH_RATIO = 1.16
+#: Cells are only a way to hold centroids apart; a query looks at the lists of all cells that may hold one within SEARCH_RATIO.
+CELL_RATIO = 1.3
+CELLS_READ = 16
+LEAST_LISTS = 4
+BEAM = 160
 DEGREE = 24
 BLOCK = 4096
+#: Vectors that meet the centroids of a cell in one task.
+ASSIGNED = 16_384
+LIST_BITS = 24
 
 
 def usable(vector: Column, dimension: int) -> Column:
@@ -137,12 +148,12 @@ def posting_lists(graph: CentroidGraph, x: np.ndarray) -> list[list[int]]:
     return out
 
 
-def lists_to_read(graph: CentroidGraph, x: np.ndarray, certain: np.ndarray, count: int = NEIGHBOURS) -> list[list[int]]:
-    """The lists a query reads, nearest first.
+def lists_to_read(graph: CentroidGraph, x: np.ndarray, radius: np.ndarray, certain: np.ndarray, count: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The lists of a cell that a query may read, nearest first, and their distances.
 
-    Those at most SEARCH_RATIO times as far as the nearest, LEAST_LISTS at least, and further ones until more than
-    ``count`` different ids are in them for certain: ``certain`` has the number of ids whose nearest list each list is.
-    A query for which the lists found by the graph do not hold so many goes on to all others in order of distance.
+    Those at most SEARCH_RATIO times as far as the nearest (or as that is wide), LEAST_LISTS at least, and further ones
+    until more than ``count`` different ids are in them for certain: ``certain`` has the number of ids whose nearest list
+    each list is. Where the lists found by the graph do not hold so many, all of the cell follow in order of distance.
     """
     ids, dist = graph.search(x)
     out = []
@@ -154,7 +165,18 @@ def lists_to_read(graph: CentroidGraph, x: np.ndarray, certain: np.ndarray, coun
             row = np.argsort(d, kind="stable")
             d = d[row]
         enough = int(np.searchsorted(np.cumsum(certain[row]), count, side="right")) + 1
-        out.append(row[: max(int((d <= SEARCH_RATIO * d[0]).sum()), LEAST_LISTS, enough)].tolist())
+        most = max(int((d <= SEARCH_RATIO * max(d[0], radius[row[0]])).sum()), LEAST_LISTS, enough)
+        out.append((row[:most], d[:most]))
+    return out
+
+
+def nearest_cells(cells: np.ndarray, certain: np.ndarray, x: np.ndarray, count: int = NEIGHBOURS) -> list[list[int]]:
+    """The cells whose lists a query looks at, nearest first: within CELL_RATIO, at most CELLS_READ, but as many as surely hold enough ids."""
+    out = []
+    for d in np.sqrt(_squares(x, cells)):
+        order = np.argsort(d, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(certain[order]), count, side="right")) + 1
+        out.append(order[: max(min(int((d <= CELL_RATIO * d[order[0]]).sum()), CELLS_READ), enough)].tolist())
     return out
 
 
@@ -180,7 +202,83 @@ def _by_vector(rows: DataFrame, most: int) -> DataFrame:
     return few.groupBy("v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, count: int = NEIGHBOURS) -> DataFrame:
+def _graph(centroids: pd.DataFrame) -> tuple[CentroidGraph, np.ndarray]:
+    """The graph of a cell's centroids, and the numbers of their lists."""
+    centroids = centroids.sort_values("list")
+    k = len(centroids)
+    entries = np.random.default_rng(0).choice(k, min(k, 16), replace=False)
+    return CentroidGraph(np.stack(centroids["centre"].to_numpy()), np.stack(centroids["near"].to_numpy()).astype(np.int64), entries), centroids["list"].to_numpy()
+
+
+def _beside(centroids: DataFrame, plan: DataFrame) -> DataFrame:
+    """The centroids of each cell once for each of its parts in ``plan(cell, parts)``."""
+    return centroids.join(plan, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(c for c in centroids.columns if c != "cell"))
+
+
+def _fit_cell(rows: pd.DataFrame, target: int) -> pd.DataFrame:
+    """Centroids of one cell, one for each ``target`` entries, from a sample of its vectors: those next to the centres of balanced k-means, and their graph."""
+    rows = rows.sort_values("key")
+    x = np.stack(rows["v"].to_numpy())
+    k = max(1, min(int(rows["n"].iloc[0]) // target, len(x)))
+    centres = balanced_centroids(x, k)
+    nearest = np.concatenate([_squares(centres[at : at + 256], x).argmin(axis=1) for at in range(0, k, 256)])
+    centroids = x[np.unique(nearest)]
+    own, d = [], []
+    for at in range(0, len(x), 4096):
+        squares = _squares(x[at : at + 4096], centroids)
+        own.append(squares.argmin(axis=1))
+        d.append(np.sqrt(squares.min(axis=1)))
+    sizes = np.bincount(np.concatenate(own), minlength=len(centroids))
+    radius = np.bincount(np.concatenate(own), np.concatenate(d), minlength=len(centroids)) / np.maximum(sizes, 1)
+    graph = CentroidGraph.build(centroids)
+    cell = int(rows["cell"].iloc[0])
+    return pd.DataFrame({"cell": cell, "list": (cell << LIST_BITS) + np.arange(len(centroids)), "centre": list(centroids), "radius": radius, "near": [r.tolist() for r in graph.neighbours]})
+
+
+def build_index(vectors: DataFrame, count: int = NEIGHBOURS, cell_target: int = CELL_TARGET) -> tuple[np.ndarray, DataFrame, DataFrame] | None:
+    """Centres of the cells, the table of centroids ``cell, list, centre, radius, near, certain`` and the posting lists
+    ``ids, v, key, place, list`` of ``vectors(vec_id, v)``; None without vectors. ``place`` is 0 in an entry's nearest list."""
+    # one id more than asked for, since a query is not its own neighbour
+    entries = written(_by_vector(vectors.select("vec_id", "v"), count + 1).withColumn("key", F.xxhash64("v")), "entries")
+    size = entries.count()
+    if not size:
+        return None
+    parts, target = max(1, min(MOST_CELLS, size // cell_target)), LIST_TARGET
+    sample = np.stack(entries.orderBy("key", F.col("ids")[0]).limit(min(SAMPLE, size) if parts > 1 else 1).select("v").toPandas()["v"].to_numpy())
+    cells = balanced_centroids(sample, min(parts, len(sample)))
+
+    @F.pandas_udf("int")
+    def home(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            yield pd.Series(_in_parts(v, lambda x: _squares(x, cells).argmin(axis=1).tolist()), dtype="int32")
+
+    placed = written(entries.withColumn("cell", home("v")), "placed")
+    # one row for each cell, at most MOST_CELLS: small enough to be sent to every task
+    sizes = F.broadcast(written(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "sizes"))
+    share = F.greatest(F.lit(float(SAMPLE)), 8 * F.col("n") / LIST_TARGET) / F.col("n")
+    fitted = placed.join(sizes, "cell").where(F.pmod("key", F.lit(1 << 20)) < share * (1 << 20)).select("cell", "n", "key", "v")
+    # a cell of which no row is drawn cannot be: the share is 1 up to SAMPLE rows
+    centroids = written(fitted.groupBy("cell").applyInPandas(lambda rows: _fit_cell(rows, target), "cell int, list long, centre array<double>, radius double, near array<int>"), "centroids")
+    plan = sizes.select("cell", F.ceil(F.col("n") / ASSIGNED).cast("int").alias("parts"))
+    rows = placed.join(plan, "cell").select("cell", F.pmod("key", "parts").cast("int").alias("part"), "ids", "key", "v")
+    beside = _beside(centroids, plan)
+
+    def assign(rows: pd.DataFrame, centroids: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"ids": [], "v": [], "key": [], "lists": []})
+        graph, lists = _graph(centroids)
+        return pd.DataFrame({"ids": rows["ids"], "v": rows["v"], "key": rows["key"], "lists": [lists[m].tolist() for m in _in_parts(rows["v"], lambda x: posting_lists(graph, x))]})
+
+    kind = f"ids {entries.schema['ids'].dataType.simpleString()}, v array<double>, key long, lists array<long>"
+    assigned = rows.groupBy("cell", "part").cogroup(beside.groupBy("cell", "part")).applyInPandas(assign, kind)
+    postings = written(assigned.select("ids", "v", "key", F.posexplode("lists").alias("place", "list")), "postings")
+    # an id may have several vectors and counts where the first of its places is
+    homes = postings.where("place = 0").select(F.explode("ids").alias("id"), "list").groupBy("id").agg(F.min("list").alias("list"))
+    certain = homes.groupBy("list").agg(F.count(F.lit(1)).alias("certain"))
+    return cells, written(centroids.join(certain, "list", "left").na.fill(0, ["certain"]), "lists"), postings
+
+
+def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, count: int = NEIGHBOURS, cell_target: int = CELL_TARGET) -> DataFrame:
     """For each query row its ``count`` nearest other rows of ``vectors(vec_id, embedding)`` as found by the index.
 
     Returns ``query_id, rank`` (from 1, nearest first), ``vec_id, score``: the Euclidean distance in double precision on
@@ -191,36 +289,18 @@ def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, count:
     vector) are one candidate and one query. Further columns are ignored.
     """
     queries = F.col("vec_id") % QUERY_EVERY == 0 if queries is None else queries
-    spark, most = vectors.sparkSession, count + 1
+    most = count + 1
     dimension = common_dimension(vectors, "embedding")
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"), dimension)).select("vec_id", queries.alias("asks"), F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0)).alias("v"))
-    # one id more than asked for, since a query is not its own neighbour
-    entries = written(_by_vector(rows.select("vec_id", "v"), most).withColumn("key", F.xxhash64("v")), "entries")
+    index = build_index(rows, count, cell_target)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], f"query_id {_kind(vectors)}, rank int, vec_id {_kind(vectors)}, score double")
+    cells, centroids, postings = index
     asked = written(rows.where("asks").select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("key")).distinct(), "queries")
-    size = entries.count()
-    if not size:
-        return spark.createDataFrame([], f"query_id {_kind(vectors)}, rank int, vec_id {_kind(vectors)}, score double")
-    k = max(1, min(MOST_CENTROIDS, size // LIST_TARGET))
-    sample = entries.orderBy("key", F.col("ids")[0]).limit(min(SAMPLE, size)).select("v").toPandas()["v"]
-    graph = CentroidGraph.build(balanced_centroids(np.stack(sample.to_numpy()), min(k, len(sample))))
-
-    @F.pandas_udf("array<int>")
-    def stored_in(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in batches:
-            yield pd.Series(_in_parts(v, lambda x: posting_lists(graph, x)), dtype=object)
-
-    @F.pandas_udf("array<int>")
-    def read_from(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for v in batches:
-            yield pd.Series(_in_parts(v, lambda x: lists_to_read(graph, x, certain, count)), dtype=object)
-
-    postings = written(entries.select("ids", "v", "key", F.posexplode(stored_in("v")).alias("place", "list")), "postings")
-    certain = _certain_ids(postings, len(graph.centroids))
-    probes = written(asked.groupBy("key").agg(F.first("v").alias("v")).select("key", "v", F.explode(read_from("v")).alias("list")), "probes")
-    # one row for each list, at most MOST_CENTROIDS: small enough to be sent to every task
+    probes = written(_probes(asked.groupBy("key").agg(F.first("v").alias("v")), cells, centroids, count), "probes")
     blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     shares = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
-    plan = F.broadcast(written(blocks.join(shares, "list"), "plan"))
+    plan = written(blocks.join(shares, "list"), "plan")
     stored = postings.join(plan, "list").select("list", F.pmod("key", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "ids", "v")
     asking = probes.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod("key", "shares").cast("int").alias("share"), "key", "v")
 
@@ -238,16 +318,41 @@ def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, count:
     return _ranked(asked.select("query_id", "key"), found, count).select("query_id", "rank", F.col("vec_id").cast(_kind(vectors)).alias("vec_id"), "score")
 
 
-def _certain_ids(postings: DataFrame, lists: int) -> np.ndarray:
-    """How many different ids are known to lie in each list, no id being counted for two lists.
+def _probes(asked: DataFrame, cells: np.ndarray, centroids: DataFrame, count: int) -> DataFrame:
+    """The lists ``asked(key, v)`` read: ``key, v, list``. Candidates come from the cells, the ratio is that to the nearest of all."""
+    held = centroids.groupBy("cell").agg(F.sum("certain").alias("n"))
+    certain = np.zeros(len(cells), dtype=np.int64)
+    for r in held.collect():  # at most MOST_CELLS rows
+        certain[r["cell"]] = r["n"]
 
-    An id may have several vectors and counts where the first of its places is.
-    """
-    homes = postings.where("place = 0").select(F.explode("ids").alias("id"), "list").groupBy("id").agg(F.min("list").alias("list"))
-    certain = np.zeros(lists, dtype=np.int64)
-    for r in homes.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most MOST_CENTROIDS rows
-        certain[r["list"]] = r["n"]
-    return certain
+    @F.pandas_udf("array<int>")
+    def looks_at(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for v in batches:
+            yield pd.Series(_in_parts(v, lambda x: nearest_cells(cells, certain, x, count)), dtype=object)
+
+    looking = written(asked.select("key", "v", F.explode(looks_at("v")).alias("cell")), "looking")
+    # one row for each cell, at most MOST_CELLS: small enough to be sent to every task
+    plan = F.broadcast(written(looking.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / ASSIGNED).cast("int").alias("parts")), "parts"))
+    rows = looking.join(plan, "cell").select("cell", F.pmod("key", "parts").cast("int").alias("part"), "key", "v")
+    beside = _beside(centroids, plan)
+
+    def candidates(rows: pd.DataFrame, centroids: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple] = []
+        if len(rows) and len(centroids):
+            graph, lists = _graph(centroids)
+            ordered = centroids.sort_values("list")
+            radius, held = ordered["radius"].to_numpy(), ordered["certain"].to_numpy()
+            for key, (row, d) in zip(rows["key"], _in_parts(rows["v"], lambda x: lists_to_read(graph, x, radius, held, count))):
+                out.extend((key, lists[i], x, radius[i], held[i]) for i, x in zip(row, d))
+        return pd.DataFrame(out, columns=["key", "list", "dist", "radius", "certain"]).astype({"key": "int64", "list": "int64", "dist": "float64", "radius": "float64", "certain": "int64"})
+
+    found = rows.groupBy("cell", "part").cogroup(beside.groupBy("cell", "part")).applyInPandas(candidates, "key long, list long, dist double, radius double, certain long")
+    order = Window.partitionBy("key").orderBy("dist", "list")
+    ahead = order.rowsBetween(Window.unboundedPreceding, -1)
+    base = F.first(F.greatest("dist", "radius")).over(order)
+    found = found.select("key", "list", "dist", base.alias("base"), F.row_number().over(order).alias("n"), F.coalesce(F.sum("certain").over(ahead), F.lit(0)).alias("ahead"))
+    read = found.where((F.col("dist") <= SEARCH_RATIO * F.col("base")) | (F.col("n") <= LEAST_LISTS) | (F.col("ahead") <= count))
+    return read.select("key", "list").join(asked, "key").select("key", "v", "list")
 
 
 def _ranked(asked: DataFrame, found: DataFrame, count: int) -> DataFrame:
@@ -262,8 +367,8 @@ def _ranked(asked: DataFrame, found: DataFrame, count: int) -> DataFrame:
     return mine.select("query_id", F.posexplode(F.slice("best", 1, count)).alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
 
 
-def _in_parts(vectors: pd.Series, assign) -> list[list[int]]:
-    out: list[list[int]] = []
+def _in_parts(vectors: pd.Series, assign) -> list:
+    out: list = []
     for at in range(0, len(vectors), 512):
         out.extend(assign(np.stack(vectors.iloc[at : at + 512].to_numpy())))
     return out
