@@ -322,9 +322,22 @@ def test_robust_estimates_ignore_a_cluster_of_outliers(spark):
     rng = np.random.default_rng(0)
     clean = rng.normal([1.6, 0, 0, 0.05], [0.05, 0.02, 0.1, 0.03], (900, 4))
     junk = rng.normal([2.1, 2.5, 0, 0.05], [0.02, 0.1, 0.1, 0.03], (150, 4))
-    fit = spark.createDataFrame([("=en", "=s", *map(float, r)) for r in np.vstack([clean, junk])], "lang_key string, source_key string, x0 double, x1 double, x2 double, x3 double")
-    e = quality.robust_estimates(fit).first()
-    assert abs(e["m_x0"] - 1.6) < 0.02 and abs(e["m_x1"]) < 0.02 and e["shrink"] <= 1
+    rows = [("=en", "=s", i, 1, 1, 1, 1, *map(float, r)) for i, r in enumerate(np.vstack([clean, junk]))]
+    fit = spark.createDataFrame(rows, "lang_key string, source_key string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, x0 double, x1 double, x2 double, x3 double")
+    estimates = quality.robust_estimates(fit).collect()
+    assert [(e["lang_key"], e["source_key"]) for e in estimates] == [("=en", "=s")]
+    assert abs(estimates[0]["m_x0"] - 1.6) < 0.02 and abs(estimates[0]["m_x1"]) < 0.02
+    spread = np.linalg.inv(np.array([[estimates[0][f"p_{max(a, b)}_{min(a, b)}"] for b in quality.AXES] for a in quality.AXES])) - np.diag([quality.ridge(a) for a in quality.AXES])
+    assert np.allclose(spread, np.cov(clean.T), atol=0.004)
+
+
+def test_outliers_of_a_source_are_found_by_its_own_estimate(spark):
+    """Long words are the rule in one source and outliers in others of the same language."""
+    words = lambda i, n: " ".join("w" * (n + (i * k) % 3) + str(k) for k in range(60 + i % 9))
+    rows = [(i, words(i, 3), "en", "short") for i in range(120)] + [(1000 + i, words(i, 9), "en", "long") for i in range(120)] + [(2000 + i, words(i, 3), "en", "few") for i in range(90)]
+    rows += [(500, words(500, 9), "en", "short"), (1500, words(1500, 3), "en", "long"), (2500, words(2500, 9), "en", "few")]
+    kept = {r["doc_id"] for r in quality.drop_low_quality(docs_of(spark, rows)).collect()}
+    assert kept == {*range(120), *range(1000, 1120), *range(2000, 2090)}
 
 
 def test_quality_keeps_rows_whole(spark):
