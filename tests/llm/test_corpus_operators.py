@@ -396,6 +396,39 @@ def test_chain_uses_earlier_probabilities():
     assert ((chain.probabilities(x) > 0.5) == y).mean() > 0.95
 
 
+def test_logistic_regression_agrees_with_newton_steps():
+    rng = np.random.default_rng(1)
+    x = np.hstack([rng.integers(0, 2, (400, 8)).astype(float), np.ones((400, 1))])
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ rng.normal(size=9))))).astype(float)
+    shrink = np.array([0.1] * 8 + [0.0])
+    w = np.zeros(9)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (p - y) + shrink * w)
+    assert np.allclose(toxicity.fit_logistic(x, y), w, atol=1e-3)
+
+
+def test_chain_beats_independent_models():
+    """The second category is one of two words but not both: not linear in the words, but in them and the first category."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 2, (1200, 5)).astype(float)
+    y = np.stack([x[:, 0] * x[:, 1], (x[:, 0] + x[:, 1]) % 2], axis=1)
+    train, held = np.arange(1200) < 800, np.arange(1200) >= 800
+    chain = toxicity.fit_chain(x[train], y[train], np.arange(800) % 4, list("abcde"), ["both", "one"])
+    alone = toxicity.fit_chain(x[train], y[train][:, 1:], np.arange(800) % 4, list("abcde"), ["one"])
+    right = lambda c, k, j: ((c.probabilities(x[held])[:, k] > 0.5) == y[held, j]).mean()
+    assert right(chain, 1, 1) > 0.95 and right(alone, 0, 1) < 0.85
+
+
+def test_kinds_are_groups_of_like_documents():
+    rng = np.random.default_rng(3)
+    words = [[f"{kind}{i}" for i in rng.choice(40, 25, replace=False)] for kind in "abc" for _ in range(30)]
+    own = toxicity.kinds_of(np.array([toxicity.sketch(w) for w in words]))
+    assert all(len(set(own[30 * k : 30 * k + 30])) == 1 for k in range(3)) and len(set(own)) == 3
+    assert len(toxicity.kinds_of(np.zeros((0, toxicity.SKETCH)))) == 0
+    assert set(toxicity.kinds_of(np.array([toxicity.sketch(["x"])] * 4))) == {0}
+
+
 def test_toxicity_of_awkward_rows(spark):
     rows = [(i, "you are a stupid moron " + "w " * i, "en", "s") for i in range(30)] + [(100 + i, "nice words here " + "w " * i, "en", "s") for i in range(30)]
     rows += [(None, None, None, None), (500, "", "en", "s"), (501, "STUPID, moron!", "en", "s"), (502, "w " * 60000 + "moron stupid", "en", "s"), (502, "fine", "en", "s")]

@@ -4,16 +4,21 @@ Categories are predicted one after the other, each by a logistic regression over
 of the categories before it. While training, these probabilities are out of fold: they come from models that have not
 seen the document, so that later links of the chain learn from predictions as uncertain as those they will meet.
 
+Labels know only toxic or not. The first categories are kinds of toxic documents, found among those of the sample: groups
+of documents with like words, whichever these are, by k-means on sketches of all their words. The last category is
+toxic itself.
+
 The chain is fitted on a bounded sample of labelled documents (``PER_CLASS`` of each class, those with the smallest
-hashes of their ids; whole texts) and then applied to all. Features are two short lists of abusive words, each as a
-whole, and words and word beginnings (once, twice or four times in different words) whose occurrence in sampled
-documents depends on the label, by a chi-square test, at most ``MAX_FEATURES``. Scoring is a map over rows: it
-looks up the different words of a text, remembers nothing but recent words, and needs no shuffle.
+hashes of their ids; whole texts) and then applied to all. Features are words and word beginnings (once, twice or four
+times in different words) whose occurrence in sampled documents depends on the label toxic, by a chi-square test, at most
+``MAX_FEATURES``. No word is given beforehand. Scoring is a map over rows: it looks up the different words of a text,
+remembers nothing but recent words, and needs no shuffle.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,21 +41,17 @@ LEAST_CHI_SQUARE = 15.0
 LEAST_DOCUMENTS = 3
 CACHE_WORDS = 50_000
 
-#: Seeds of the first two categories; toxic documents without a seed make up the third.
-INSULTS = ["idiot", "moron", "loser", "scum", "trash", "clown"]
-CONTEMPT = ["stupid", "pathetic", "worthless", "disgusting"]
-CATEGORIES = ["insult", "contempt", "other_abuse", "toxic"]
+#: Kinds of toxic documents, and the length of the sketches they are found by.
+KINDS = 3
+SKETCH = 128
+CATEGORIES = [*(f"kind_{k + 1}" for k in range(KINDS)), "toxic"]
 
 _WORDS = re.compile(r"[^\W_]+")
 
 
-_SEEDS = {w: "#insult" for w in INSULTS} | {w: "#contempt" for w in CONTEMPT}
-
-
 def features_of(word: str) -> list[str]:
-    """A word, its beginnings and the list of abusive words that holds it, as feature names."""
-    found = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
-    return [*found, _SEEDS[word]] if word in _SEEDS else found
+    """A word and its beginnings, as feature names."""
+    return [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n)]
 
 
 def indicator(feature: str, level: int) -> str:
@@ -62,7 +63,7 @@ class Indicators:
 
     def __init__(self, chosen: list[str]):
         self.place = {f: i for i, f in enumerate(chosen)}
-        self.features = {f.rstrip("0123456789") if "*" in f or "#" in f else f for f in chosen}
+        self.features = {f.rstrip("0123456789") if "*" in f else f for f in chosen}
         self.known: dict[str, tuple[str, ...]] = {}
 
     def of(self, words) -> list[int]:
@@ -175,35 +176,54 @@ def select_features(sample: DataFrame, limit: int = MAX_FEATURES) -> list[str]:
     a, b, n = F.col("a"), F.col("b"), n1 + n0
     chi = n * F.pow(a * (n0 - b) - b * (n1 - a), F.lit(2)) / ((a + b) * (F.lit(float(n)) - a - b + 1e-9) * n1 * n0)
     chosen = counts.where(a + b >= LEAST_DOCUMENTS).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI_SQUARE)
-    return [indicator(f, k) for f in ("#insult", "#contempt") for k in LEVELS] + [r["feature"] for r in chosen.orderBy(F.desc("chi"), "feature").limit(limit).select("feature").collect()]
+    return [r["feature"] for r in chosen.orderBy(F.desc("chi"), "feature").limit(limit).select("feature").collect()]
+
+
+def sketch(words) -> np.ndarray:
+    """The different words of a document as counts with signs, by their checksums; of length one."""
+    hashes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.int64)
+    out = np.bincount(hashes >> 1 & SKETCH - 1, np.where(hashes & 1, 1.0, -1.0), minlength=SKETCH)
+    return out / (np.linalg.norm(out) or 1.0)
 
 
-def category_labels(words: set[str], y: int) -> list[int]:
-    """Labels of CATEGORIES: the seeds a toxic document holds, or none of them; toxic itself comes last."""
-    insult, contempt = bool(words.intersection(INSULTS)), bool(words.intersection(CONTEMPT))
-    return [int(y and insult), int(y and contempt), int(y and not insult and not contempt), int(y)]
+def kinds_of(sketches: np.ndarray, kinds: int = KINDS, rounds: int = 25) -> np.ndarray:
+    """Groups of alike rows by k-means; the first centres are rows far apart. With fewer different rows some groups stay empty."""
+    if not len(sketches):
+        return np.zeros(0, dtype=int)
+    centres = [sketches[((sketches - sketches.mean(axis=0)) ** 2).sum(axis=1).argmin()]]
+    while len(centres) < kinds:
+        far = np.min([((sketches - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres.append(sketches[far.argmax()])
+    centres = np.array(centres)
+    for _ in range(rounds):
+        own = np.array([((sketches - c) ** 2).sum(axis=1) for c in centres]).argmin(axis=0)
+        centres = np.array([sketches[own == k].mean(axis=0) if (own == k).any() else centres[k] for k in range(kinds)])
+    return own
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Chain:
     """The chain over CATEGORIES from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
 
+    A document labelled several times is toxic if one of its labels says so; rows without id or label are not used.
     Without labelled documents of both classes the chain gives probabilities near zero, or near one where all are toxic.
     """
     sample = written(labelled_sample(docs, labels, "toxic", per_class), "sample")
     features = select_features(sample)
 
-    @F.pandas_udf("struct<found: array<int>, labels: array<int>>")
-    def encoded(words: pd.Series, y: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("struct<found: array<int>, sketch: array<float>>")
+    def encoded(words: pd.Series) -> pd.DataFrame:
         indicators = Indicators(features)
-        found = [indicators.of(ws) for ws in words]
-        return pd.DataFrame({"found": found, "labels": [category_labels(set(ws), int(k)) for ws, k in zip(words, y)]})
+        return pd.DataFrame({"found": [indicators.of(ws) for ws in words], "sketch": [sketch(ws) for ws in words]})
 
-    rows = sample.select(F.xxhash64("doc_id").alias("h"), encoded("words", "y").alias("e")).select("h", "e.found", "e.labels").collect()
-    rows.sort(key=lambda r: (r["h"], r["found"]))
+    # at most 2 * per_class rows
+    rows = sample.select("y", F.xxhash64("doc_id").alias("h"), encoded("words").alias("e")).select("y", "h", "e.found", "e.sketch").collect()
+    rows.sort(key=lambda r: (r["h"], r["found"], r["sketch"]))
     x, y = np.zeros((len(rows), len(features))), np.zeros((len(rows), len(CATEGORIES)))
     for i, r in enumerate(rows):
         x[i, r["found"]] = 1.0
-        y[i] = r["labels"]
+    toxic = [i for i, r in enumerate(rows) if r["y"]]
+    y[toxic, -1] = 1.0
+    y[toxic, kinds_of(np.array([rows[i]["sketch"] for i in toxic]))] = 1.0
     return fit_chain(x, y, np.array([r["h"] % FOLDS for r in rows], dtype=int), features, CATEGORIES)
 
 
@@ -226,8 +246,8 @@ class Scorer:
 def score_toxicity(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, into: str = "toxicity") -> DataFrame:
     """Adds the column ``into``: a struct of ``p_<category>`` (DOUBLE) and ``is_toxic``, from the whole text.
 
-    Null and empty texts have no features and are scored by the intercepts; they are never toxic. All other columns stay;
-    rows are scored one by one, equal texts alike.
+    Null and empty texts have no features and are scored by the intercepts; they are never toxic. All other columns stay,
+    but one named ``into`` is replaced. Rows are scored one by one, equal texts alike.
     """
     kind = T.StructType([T.StructField(f"p_{c}", T.DoubleType()) for c in chain.categories] + [T.StructField("is_toxic", T.BooleanType())])
 
