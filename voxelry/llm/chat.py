@@ -4,6 +4,9 @@ A conversation of several speakers becomes one training dialogue for each of the
 the assistant's, all others as those of named users, and only the assistant's turns are to be learned. Dialogues are
 returned turn by turn with their places in the rendered text, so that even a conversation with a third of all rows is
 never gathered in one place.
+
+Marks within texts and names cannot forge a turn: each gets a backslash after its ``<`` (one more if there are some), which
+taking one away undoes; line breaks in names become spaces.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 SYSTEM = "system"
 NOBODY = "unknown"
 CHUNK = 512
+#: A mark in a text, perhaps with backslashes already.
+_MARK = r"<(\\*)\|im_(start|end)\|>"
 
 
 def rotate_perspectives(turns: DataFrame) -> DataFrame:
@@ -28,14 +33,15 @@ def rotate_perspectives(turns: DataFrame) -> DataFrame:
     (null otherwise).
 
     Turns are ordered by turn (null first), then speaker and text; repeated rows stay repeated and follow one another.
+    ``speaker`` and ``perspective`` are the roles as they were; what is rendered has marks and names escaped.
     Null texts count as empty. A null conv_id is a conversation of its own. Conversations of system turns only have no
     participant and give no rows; neither does an empty table. Further columns are ignored.
     """
-    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(NOBODY)).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(NOBODY)).alias("speaker"), _escaped(F.coalesce("text", F.lit(""))).alias("text"))
     participants = turns.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("of"), F.col("speaker").alias("perspective")).distinct()
     rows = turns.join(participants, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of")
     learned = F.col("speaker") == F.col("perspective")
-    head = F.when(learned, F.lit("assistant")).when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), F.col("speaker")))
+    head = F.when(learned, F.lit("assistant")).when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).otherwise(F.concat(F.lit("user name="), _escaped(F.regexp_replace("speaker", r"[\r\n]", " "))))
     head = F.concat(F.lit("<|im_start|>"), head, F.lit("\n"))
     rows = rows.select(
         "conv_id", "perspective", "turn", "speaker", F.concat(head, "text", F.lit("<|im_end|>\n")).alias("rendered"), learned.alias("learned"),
@@ -48,6 +54,10 @@ def rotate_perspectives(turns: DataFrame) -> DataFrame:
     )
 
 
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, _MARK, r"<\\$1|im_$2|>")
+
+
 def _if_learned(value: Column) -> Column:
     return F.when(F.col("learned"), value.cast("long"))
 
@@ -68,11 +78,13 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("position", (F.col("row") + F.col("rows_before")).cast("int")).withColumn("start", (F.col("ahead") + F.col("length_before")).cast("long"))
 
 
-ORACLE = """
-with t as (select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations),
+_ESCAPED_SQL = rf"regexp_replace({{x}}, '{_MARK}', '<\\\1|im_\2|>', 'g')"
+ORACLE = (
+    """
+with t as (select conv_id, turn, coalesce(role, 'unknown') as speaker, TEXT as text from conversations),
 p as (select distinct conv_id, speaker as perspective from t where speaker <> 'system'),
 h as (select t.*, perspective, speaker = perspective as learned,
-    '<|im_start|>' || case when speaker = perspective then 'assistant' when speaker = 'system' then 'system' else 'user name=' || speaker end || chr(10) as head
+    '<|im_start|>' || case when speaker = perspective then 'assistant' when speaker = 'system' then 'system' else 'user name=' || NAME end || chr(10) as head
     from t join p on t.conv_id is not distinct from p.conv_id),
 r as (select *, head || text || '<|im_end|>' || chr(10) as rendered from h),
 o as (select *, row_number() over w - 1 as position, sum(length(rendered)) over w - length(rendered) as start from r
@@ -82,4 +94,5 @@ select conv_id, perspective, cast(position as int) as position, turn, speaker, r
     case when learned then cast(start + length(head) as bigint) end as learn_start,
     case when learned then cast(start + length(rendered) - 1 as bigint) end as learn_stop
 from o
-"""
+""".replace("TEXT", _ESCAPED_SQL.format(x="coalesce(text, '')")).replace("NAME", _ESCAPED_SQL.format(x=r"regexp_replace(speaker, '[\r\n]', ' ', 'g')"))
+)

@@ -3,8 +3,8 @@
 From each response two records are made. The metadata record describes it as JSON: HTTP status and headers, digests,
 title, links. The conversion record holds the plain text of the page. Both name the response in WARC-Refers-To and each
 other in WARC-Concurrent-To, carry its target URI, date and payload digest, and have digests and identifiers of their
-own. Identifiers are derived from the response's identifier and the record type, so that a repeated run gives the same
-records.
+own. Identifiers are derived from the response's identifier, the digest of its payload and the record type, so that a
+repeated run gives the same records, rows of the same response share theirs, and other payloads under the same name do not.
 """
 
 from __future__ import annotations
@@ -30,23 +30,25 @@ def digest(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode("ascii")
 
 
-def record_identifier(*names: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_SPACE, '|'.join(names))}>"
+def record_identifier(*names: str | None) -> str:
+    """An identifier for a list of names; null and the empty name differ, and so do all lists."""
+    return f"<urn:uuid:{uuid.uuid5(_SPACE, json.dumps(names))}>"
 
 
 def responses_of_pages(pages: DataFrame, warc_date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Responses ``page_id, record_id, target_uri, warc_date, http_headers, payload`` from crawled ``pages(page_id, url, html)``.
 
-    Identifiers follow from page_id and url (null: empty). A null page has a null payload.
+    Identifiers follow from page_id, url and the digest of the page; null differs from empty, equal rows have equal
+    identifiers. A null page has a null payload.
     """
 
     @F.pandas_udf("string")
-    def identifier(ids: pd.Series, urls: pd.Series) -> pd.Series:
-        return pd.Series([record_identifier("response", i or "", u or "") for i, u in zip(ids, urls)], dtype=object)
+    def identifier(ids: pd.Series, urls: pd.Series, pages: pd.Series) -> pd.Series:
+        return pd.Series([record_identifier("response", i, u, None if p is None else digest(p.encode("utf-8"))) for i, u, p in zip(ids, urls, pages)], dtype=object)
 
     length = F.octet_length(F.coalesce("html", F.lit("")))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"))
-    return pages.select("page_id", identifier(F.col("page_id").cast("string"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(warc_date).alias("warc_date"), headers.alias("http_headers"), F.col("html").alias("payload"))
+    return pages.select("page_id", identifier(F.col("page_id").cast("string"), F.col("url"), F.col("html")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(warc_date).alias("warc_date"), headers.alias("http_headers"), F.col("html").alias("payload"))
 
 
 def http_head(source: str | None) -> dict:
@@ -62,7 +64,7 @@ def http_head(source: str | None) -> dict:
 
 def derivatives(record_id: str | None, target_uri: str | None, warc_date: str | None, http_headers: str | None, payload: str | None) -> list[tuple]:
     """The metadata and the conversion record of one response, in the order of _RECORD."""
-    record_id = record_id or ""
+    named, record_id = record_id, record_id or ""
     body, head = (payload or "").encode("utf-8"), (http_headers or "").encode("utf-8")
     payload_digest, block_digest = digest(body), digest(head + body)
     root = parse(payload or "")
@@ -75,7 +77,7 @@ def derivatives(record_id: str | None, target_uri: str | None, warc_date: str |
         elif node.tag in ("img", "script", "iframe", "source") and node.attributes.get("src"):
             links.append({"path": f"{node.tag.upper()}@/src", "url": node.attributes["src"]})
     text = "\n".join(blocks([root], lambda n: n.tag in RAW or n.tag == "head"))
-    ids = {kind: record_identifier(kind, record_id) for kind in ("metadata", "conversion")}
+    ids = {kind: record_identifier(kind, named, payload_digest) for kind in ("metadata", "conversion")}
     envelope = {
         "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": record_id, "WARC-Target-URI": target_uri, "WARC-Date": warc_date, "WARC-Payload-Digest": payload_digest, "WARC-Block-Digest": block_digest, "Content-Length": str(len(head) + len(body))},
         "HTTP-Response-Metadata": http_head(http_headers) | {"Entity-Length": str(len(body)), "Entity-Digest": payload_digest, "HTML-Metadata": {"Title": title, "Links": links}},
@@ -96,8 +98,9 @@ def derive_records(responses: DataFrame) -> DataFrame:
     ``warc_type`` (metadata, conversion), ``record_id``, ``refers_to`` (the response), ``concurrent_to`` (the other
     derivative), ``target_uri``, ``warc_date``, ``content_type``, ``content_length``, ``block_digest``,
     ``source_payload_digest``, ``source_headers`` (the HTTP headers of the response as they were), ``block BINARY``.
-    Null payloads and headers count as empty and give records of empty pages; null identifiers refer to the empty string;
-    null URIs and dates stay null. Repeated rows give repeated records. A map over rows without a shuffle.
+    Null payloads and headers count as empty and give records of empty pages; null identifiers refer to the empty string,
+    but their records' own identifiers differ from those of an empty one; null URIs and dates stay null. Repeated rows give
+    repeated records; rows of one identifier with other payloads give records with other identifiers. A map over rows without a shuffle.
     """
     names = [x.split()[0] for x in _RECORD.split(", ")]
     others = [F.col(f"`{c}`") for c in responses.columns if c not in (*RESPONSE_COLUMNS, *names)]
