@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences: quality rules, toxicity, near-duplicates, packing.
 
 Each stage reads what the stage before has written and returns a DataFrame; all but the last keep whole rows of
-``documents`` with the same columns.
+``documents`` with the same columns, whatever further columns there are and whatever their names. Empty tables give empty
+results with the same columns.
 """
 
 from __future__ import annotations
@@ -16,22 +17,33 @@ from voxelry.llm.shared import shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break the base rules or are outliers of their language and source go."""
+    """Documents that break the base rules or are outliers of their language and source go.
+
+    Null and empty texts have no words and go; a null language or source is a value of its own; repeated rows stay or go
+    together.
+    """
     return quality.drop_low_quality(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go; the chain is fitted on the labelled ones among ``docs``."""
+    """Toxic documents go; the chain is fitted on the labelled ones among ``docs``.
+
+    Null and empty texts are never toxic; a null id has no label but is scored; repeated rows stay or go together; without
+    labels of both classes no document goes unless all labelled ones are toxic.
+    """
     return toxicity.drop_toxic(docs, toxicity.read_labels(spark, sf_dir))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, that of the smallest id."""
+    """One document of each class of near-duplicates stays, that of the smallest id.
+
+    Texts without words, null ones among them, are a class; of repeated rows one stays; a null id comes after all others.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences. A null text is empty and has one piece, the final token."""
     return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, added=True)
 
 
