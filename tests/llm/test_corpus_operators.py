@@ -466,3 +466,22 @@ def test_pipeline(spark, small):
     assert ids <= {d["doc_id"] for d in by_hand} and len(ids & toxic) <= 0.3 * len(toxic)
     components = Counter(c for _, _, c in plain_classes([(d["doc_id"], plain_fingerprint(d["text"])) for d in docs.collect() if d["doc_id"] in ids]))
     assert max(components.values()) == 1
+
+
+def test_pipeline_of_awkward_and_empty_tables(spark, small, tmp_path):
+    import corpus_pipeline
+
+    text = lambda i: " ".join(f"{'w' * (3 + (i + k) % 4)}{(i * 7919 + k * k) % 10007}" for k in range(70))
+    rows = [(i, text(i), "en", "s", "a", 1) for i in range(40)] + [(3, text(3), "en", "s", "a", 1), (None, text(50), None, None, None, None), (60, None, "en", "s", "b", 2), (61, "", "en", None, "c", 3), (62, "x" * 300_000, "en", "s", "d", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, kept string, fingerprint int")
+    labels = spark.createDataFrame([(1, 1, 0), (2, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, table in (("some", docs), ("none", docs.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.limit(3 if name == "some" else 0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        ids = Counter(r["doc_id"] for r in out.collect())
+        assert set(ids) == ({*range(40), None} if name == "some" else set()) and all(n == 1 for n in ids.values())
+        stage = table
+        for _, function in corpus_pipeline.STAGES[:-1]:
+            stage = function(spark, stage, f"{tmp_path}/{name}")
+            assert stage.columns == docs.columns

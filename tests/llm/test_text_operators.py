@@ -65,7 +65,8 @@ def check_packing(rows, expected):
     return len(places), -(-total // 2048)
 
 
-def test_packing_of_the_table(spark, small, tokenizer):
+def test_packing_of_the_table(spark, small):
+    tokenizer = Tokenizer.from_file(JSON)
     rows = queries.op1_best_fit_packing(spark, small).collect()
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
     used, least = check_packing(rows, [(d["doc_id"], [*tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 0]) for d in docs])
