@@ -308,6 +308,13 @@ def test_rules_agree_with_sql(spark, data):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+def test_many_groups_are_judged_alike(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    sent = Counter(map(tuple, quality.quality_rules(docs).collect()))
+    monkeypatch.setattr(quality, "SENT_ESTIMATES", 0)
+    assert Counter(map(tuple, quality.quality_rules(docs).collect())) == sent
+
+
 def test_outliers_are_found_and_clean_texts_kept(spark, data):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
     verdicts = Counter()

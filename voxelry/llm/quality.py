@@ -43,6 +43,7 @@ TAIL = 1e-3
 #: The weight of the wider group in an estimate, in documents: two more than twice the axes.
 PRIOR = 10
 BINS = 64
+SENT_ESTIMATES = 20_000
 #: Transformed statistics (for texts that pass the base rules) and how far from the centre of its group a document may
 #: lie on each alone, whatever the group: a quarter in word length, two symbols in a hundred characters, eight repeated
 #: lines, a quarter of the words in repeated windows. The square of that, as a share of the quantile of TAIL, is added to
@@ -196,7 +197,20 @@ def _concentrated(fit: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def _distances(fit: DataFrame, estimates: DataFrame) -> DataFrame:
-    return fit.join(estimates, _KEY).withColumn("d2", F.expr(distance_sql()))
+    return with_estimates(fit, estimates).withColumn("d2", F.expr(distance_sql()))
+
+
+def with_estimates(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the estimates of their group. Rows of one group never meet in one task, however many they are.
+
+    Estimates of up to ``SENT_ESTIMATES`` rows, a few megabytes, are sent to every task; more are joined on the group and a
+    salt, with each estimate repeated for all salts.
+    """
+    if estimates.count() <= SENT_ESTIMATES:
+        return rows.join(F.broadcast(estimates), _KEY, how)
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return salted.join(estimates.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*_KEY, "_salt"], how).drop("_salt")
 
 
 def robust_estimates(fit: DataFrame) -> DataFrame:
@@ -207,7 +221,7 @@ def robust_estimates(fit: DataFrame) -> DataFrame:
     now = written(_starts(fit), "starts")
     for _ in range(FIRST_STEPS):
         now = _concentrated(fit, now)
-    now = now.groupBy(*_KEY).agg(F.min_by(F.struct("start", *_M, *_P), F.struct("det", "start")).alias("best")).select(*_KEY, "best.*")
+    now = written(now.groupBy(*_KEY).agg(F.min_by(F.struct("start", *_M, *_P), F.struct("det", "start")).alias("best")).select(*_KEY, "best.*"), "best")
     for _ in range(LAST_STEPS):
         now = _concentrated(fit, now)
     # the core's own spread is too small for a whole sample: where its edge lies beyond that of a normal sample, distances are shrunk
@@ -257,7 +271,7 @@ def _judged(docs: DataFrame, carry: list[str]) -> DataFrame:
     rows = rows.withColumn("base_failed", F.expr(_BASE_SQL))
     vector = [F.when(~F.col("base_failed"), F.expr(f"case when n_words > 0 then {sql} end")).alias(a) for a, (sql, _) in VECTOR.items()]
     estimates = robust_estimates(rows.where("not base_failed").select(*_KEY, *STATISTICS, *vector))
-    judged = rows.select("*", *vector).join(estimates, _KEY, "left")
+    judged = with_estimates(rows.select("*", *vector), estimates, "left")
     return judged.withColumn("kept", F.expr(_KEPT_SQL))
 
 
