@@ -189,6 +189,29 @@ def feature_bank(px: DataFrame, sigmas: list[float], features: list[str] | None
     return stencil_blocks(px, block, halo).groupBy(*key).applyInPandas(compute, "image_id string, t int, z int, y int, x int, c int, f array<float>")
 
 
+#: The scales and features that users choose from, as rows and columns of a matrix.
+SCALES = [0.3, 0.7, 1.0, 1.6, 3.5, 5.0, 10.0]
+
+
+def select_features(px: DataFrame, matrix: dict[str, list[float]], block: int = 64) -> DataFrame:
+    """The bank of the chosen pairs of feature and scale: a pixel table with one channel for each pair, and its name.
+
+    ``matrix`` gives the scales of each feature; channels are numbered in the order of FEATURES, then of scales. A pixel
+    of several channels gives those of channel 0 first. Result: ``image_id, t, z, y, x, c, name, v``.
+    """
+    unknown = sorted(set(matrix) - set(FEATURES))
+    if unknown:
+        raise ValueError(f"no such features: {unknown}")
+    chosen = [(f, s) for f in FEATURES for s in sorted(set(matrix.get(f, [])))]
+    if not chosen:
+        raise ValueError("no features chosen")
+    scales = sorted({s for _, s in chosen})
+    bank = feature_bank(px, scales, FEATURES, block)
+    values = F.array(*(F.struct(F.lit(f"{f} {s}").alias("name"), F.get("f", F.lit(scales.index(s) * len(FEATURES) + FEATURES.index(f))).cast("double").alias("v")) for f, s in chosen))
+    rows = bank.select("image_id", "t", "z", "y", "x", F.col("c").alias("_c"), F.posexplode(values).alias("i", "u"))
+    return rows.select("image_id", "t", "z", "y", "x", (F.col("_c") * len(chosen) + F.col("i")).alias("c"), "u.name", "u.v")
+
+
 def invalid_scales(meta: DataFrame, scales: list[float]) -> DataFrame:
     """Scales whose kernels are wider than an image."""
     rows = meta.select("image_id", "n_y", "n_x", F.explode(F.array(*(F.lit(float(s)) for s in scales))).alias("scale"))

@@ -47,6 +47,12 @@ def nonzero_blocks(labels: DataFrame, block: dict[str, int]) -> DataFrame:
     return labels.where("v <> 0").select("image_id", "t", *(F.floor(F.col(a) / n).cast("int").alias(f"b{a}") for a, n in block.items())).distinct()
 
 
+def label_pipeline(strokes: DataFrame, block: dict[str, int], eraser: int = ERASER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Strokes on several images to their label image, the blocks that hold labels, and the counts of labels."""
+    painted = paint(strokes, eraser)
+    return painted, nonzero_blocks(painted, block), label_counts(painted)
+
+
 def label_counts(labels: DataFrame) -> DataFrame:
     return labels.groupBy("image_id", "v").agg(F.count(F.lit(1)).alias("n"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Model
+from collections.abc import Callable
+
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from voxelry.operators.geometry import PIXEL
 from voxelry.sources.tables import COORDINATES
 
+#: Makes an untrained model from a seed: any classifier of Spark ML with columns label, features and probability.
+Learner = Callable[[int], Estimator]
+
 
 def ensemble_margin(probabilities: DataFrame) -> DataFrame:
     """``1 - (largest - second)`` over the channels of each pixel; 0 for a single channel."""
@@ -30,17 +35,45 @@ def label_feature_matrix(features: DataFrame, labels: DataFrame, keys: list[str]
     return features.join(labels.where("label > 0").select(*keys, "label"), keys)
 
 
-def train(matrix: DataFrame, features: str = "f", trees: int = 100, depth: int = 8, seed: int = 0) -> Model | None:
-    """A random forest on an array column; None with fewer rows than the largest label."""
+def concat_matrices(matrices: list[DataFrame]) -> DataFrame:
+    """The labelled rows of several images as one matrix; all need the same number of features."""
+    if not matrices:
+        raise ValueError("no matrices")
+    out = matrices[0]
+    for m in matrices[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+def train(matrix: DataFrame, features: str = "f", trees: int = 100, depth: int = 8, seed: int = 0, learner: Learner | None = None) -> Model | None:
+    """A random forest, or what ``learner`` makes, on an array column; None with fewer rows than the largest label."""
     size = matrix.agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("m")).first()
     if not size["n"] or size["n"] < size["m"]:
         return None
     rows = matrix.select(F.col("label").cast("double").alias("label"), array_to_vector(F.col(features).cast("array<double>")).alias("features"))
-    return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(rows)
+    return (learner(seed) if learner else RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)).fit(rows)
 
 
-def predict(rows: DataFrame, model: Model | None, classes: int, features: str = "f") -> DataFrame:
-    """Adds ``p ARRAY<DOUBLE>`` with a probability for each class from 1 on; classes not seen in training get 0, as do all without a model."""
+def held_out_error(matrix: DataFrame, features: str = "f", trees: int = 100, seed: int = 0, learner: Learner | None = None) -> float | None:
+    """The share of wrong classes among a third of the rows, drawn by hash, for a model of the others."""
+    rows = matrix.withColumn("_held", F.pmod(F.xxhash64(features, "label"), F.lit(3)) == 0)
+    model = train(rows.where("not _held"), features, trees, seed=seed, learner=learner)
+    if model is None:
+        return None
+    scored = predict(rows.where("_held"), model, model.numClasses - 1, features)
+    return scored.agg(F.avg((F.array_position("p", F.array_max("p")) != F.col("label")).cast("double"))).first()[0]
+
+
+def predict(rows: DataFrame, model: Model | None, classes: int, features: str = "f", mask: DataFrame | None = None) -> DataFrame:
+    """Adds ``p ARRAY<DOUBLE>`` with a probability for each class from 1 on; classes not seen in training get 0, as do all without a model.
+
+    With a ``mask(image_id, t, z, y, x, v)`` only pixels where it is not 0 are predicted, others get 0.
+    """
+    if mask is not None:
+        inside = mask.where("v <> 0").select(*PIXEL).distinct().withColumn("_in", F.lit(True))
+        marked = rows.join(inside, PIXEL, "left")
+        scored = predict(marked.where("_in"), model, classes, features)
+        return scored.unionByName(predict(marked.where("_in is null"), None, classes, features)).drop("_in")
     if model is None:
         return rows.withColumn("p", F.array_repeat(F.lit(0.0), classes))
     scored = model.transform(rows.withColumn("features", array_to_vector(F.col(features).cast("array<double>"))))
@@ -59,6 +92,16 @@ def pixel_classification(bank: DataFrame, labels: DataFrame, classes: int, trees
     return predict(bank, train(label_feature_matrix(bank, labels, COORDINATES), trees=trees), classes)
 
 
+def predictions_to_segmentation(stored: DataFrame) -> DataFrame:
+    """Classes of probabilities read back from a stored table of pixels."""
+    return argmax_channel(stored)
+
+
+def predictions_to_uncertainty(stored: DataFrame) -> DataFrame:
+    """The margin between the two most probable classes of probabilities read back from a stored table of pixels."""
+    return ensemble_margin(stored)
+
+
 def feature_importances(model: Model, names: list[str]) -> list[tuple[str, float]]:
     """Names and importances, most important first."""
     return sorted(zip(names, model.featureImportances.toArray().tolist()), key=lambda p: (-p[1], p[0]))

@@ -141,6 +141,12 @@ def object_table(objects: DataFrame, labels: DataFrame, predictions: DataFrame)
     return out.fillna(0, ["user_label", "predicted"])
 
 
+def object_table_with_cutouts(table: DataFrame, cutouts: DataFrame) -> DataFrame:
+    """An object table with one more column, ``cutout``: the pixels of the padded box with value and mask, in raster order."""
+    pixel = F.struct("z", "y", "x", "c", "v", "mask")
+    return table.join(cutouts.groupBy(*OBJECT).agg(F.array_sort(F.collect_list(pixel)).alias("cutout")), OBJECT, "left")
+
+
 def label_info_json(objects: DataFrame, labels: DataFrame) -> DataFrame:
     """For each image and frame the boxes and classes of labelled objects, as a JSON array in the order of ids."""
     one = F.struct("object_id", "label", "min_y", "max_y", "min_x", "max_x")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators.components import connected_components as components_of_edges
+from voxelry.operators.filters import anisotropic_smoothing
 from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
@@ -122,6 +123,27 @@ def hysteresis_threshold(px: DataFrame, low: float, high: float) -> DataFrame:
     return labels.join(hit, [*FRAME, "v"], "left_semi").select(*COORDINATES, "v")
 
 
+def two_level_pipeline(
+    px: DataFrame, low: float = 0.5, high: float = 0.8, smallest: int = 10, largest: int = 1_000_000, value_range: tuple[float, float] = (0.0, 1.0),
+    sigmas: dict[str, float] | None = None, shape: dict[str, int] | None = None, channel: int = 0, core_channel: int | None = None,
+) -> DataFrame:
+    """Thresholding at two levels as users set it: normalize, choose channels, smooth, threshold at both levels, filter by size.
+
+    Values are scaled from ``value_range`` to [0, 1]. Cores come from ``core_channel``; if that is another than ``channel``,
+    the components are those of the sum of both. ``sigmas`` and ``shape`` are given by axis; without sigmas nothing is smoothed.
+    """
+    core_channel = channel if core_channel is None else core_channel
+    scaled = px.withColumn("v", (F.col("v") - value_range[0]) / (value_range[1] - value_range[0]))
+    one = lambda k: scaled.where(F.col("c") == k).withColumn("c", F.lit(0))
+    smooth = lambda image: anisotropic_smoothing(image, sigmas, shape) if sigmas else image
+    cores = smooth(one(core_channel))
+    final = cores if channel == core_channel else smooth(scaled.where(F.col("c").isin(channel, core_channel)).groupBy(*COORDINATES[:-1]).agg(F.sum("v").alias("v")).withColumn("c", F.lit(0)).select(*COORDINATES, "v"))
+    seeds = written(filter_labels(labeled_threshold(cores, high), smallest, largest), "cores")
+    labels = written(labeled_threshold(final, low), "labels")
+    hit = labels.join(seeds.select(*COORDINATES), COORDINATES).select(*FRAME, "v").distinct()
+    return relabel_consecutive(filter_labels(labels.join(hit, [*FRAME, "v"], "left_semi").select(*COORDINATES, "v"), smallest, largest))
+
+
 def two_level_threshold(px: DataFrame, low: float, high: float, smallest: int, largest: int) -> DataFrame:
     """Cores above ``high`` of sufficient size select components above ``low``, which are size-filtered and renumbered."""
     cores = filter_labels(labeled_threshold(px, high), smallest, largest)

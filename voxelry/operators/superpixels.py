@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Model
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators.components import connected_components
+from voxelry.operators.learning import Learner, predict, train
 from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
@@ -44,6 +46,53 @@ def untrained_probabilities(edges: DataFrame) -> DataFrame:
     return edges.join(span, "image_id").select(*EDGE, p.alias("p"))
 
 
+EDGE_FEATURES = ["max", "mean", "min", "n", "var"]
+
+
+def edge_labels_from_segments(superpixels: DataFrame, truth: DataFrame) -> DataFrame:
+    """Labels of edges from a segmentation that is known: 2 where the superpixels lie in different segments, else 1.
+
+    A superpixel lies in the segment that holds most of its pixels, the smallest on ties; pixels without one count as 0.
+    """
+    shares = superpixels.join(truth.select(*COORDINATES, F.col("v").alias("segment")), COORDINATES, "left").groupBy("image_id", F.col("v").alias("sp"), F.coalesce("segment", F.lit(0)).alias("segment")).agg(F.count(F.lit(1)).alias("n"))
+    own = shares.groupBy("image_id", "sp").agg(F.max_by("segment", F.struct("n", (-F.col("segment")).alias("k"))).alias("segment"))
+    a, b = (own.select("image_id", F.col("sp").alias(s), F.col("segment").alias(f"seg_{s}")) for s in ("sp1", "sp2"))
+    edges = region_adjacency(superpixels).select(*EDGE)
+    return edges.join(a, ["image_id", "sp1"]).join(b, ["image_id", "sp2"]).select(*EDGE, F.when(F.col("seg_sp1") != F.col("seg_sp2"), 2).otherwise(1).alias("label"))
+
+
+def edge_matrix(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """``image_id, sp1, sp2, label, f`` for labelled edges; label 1 keeps two superpixels together, 2 parts them, others do not count."""
+    return edges.join(labels.where("label in (1, 2)").select(*EDGE, "label"), EDGE).select(*EDGE, "label", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in EDGE_FEATURES)).alias("f"))
+
+
+def train_edges(edges: DataFrame, labels: DataFrame, trees: int = 100, learner: Learner | None = None) -> Model | None:
+    """A model of edge labels, a forest unless another learner is given; None without labels of both kinds."""
+    matrix = written(edge_matrix(edges, labels), "edge_matrix")
+    return train(matrix, trees=trees, learner=learner) if matrix.select("label").distinct().count() == 2 else None
+
+
+def trained_probabilities(edges: DataFrame, model: Model | None) -> DataFrame:
+    """``image_id, sp1, sp2, p``: the probability that an edge parts its superpixels; without a model the untrained one."""
+    if model is None:
+        return untrained_probabilities(edges)
+    rows = edges.select(*EDGE, F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in EDGE_FEATURES)).alias("f"))
+    return predict(rows, model, 2).select(*EDGE, F.get("p", F.lit(1)).alias("p"))
+
+
+def edge_training_multicut(superpixels: DataFrame, values: DataFrame, labels: DataFrame, beta: float = 0.5, threshold: float = 0.5, trees: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From superpixels and labels of some edges to segments: ``(nodes, edges with p, segment image)``.
+
+    Superpixels without any neighbour are segments of their own.
+    """
+    edges = written(edge_features(superpixels, values), "edges")
+    p = written(trained_probabilities(edges, train_edges(edges, labels, trees)), "probabilities")
+    merged = agglomerate(p.select(*EDGE, multicut_weights(F.col("p"), beta, threshold, F.col("sp1")).alias("weight")))
+    nodes = superpixels.select("image_id", F.col("v").alias("sp")).distinct().join(merged, ["image_id", "sp"], "left").select("image_id", "sp", F.coalesce("segment", "sp").alias("segment"))
+    nodes = written(nodes, "nodes")
+    return nodes, p, project_node_labels(superpixels, nodes)
+
+
 def merge_superpixels(nodes: DataFrame, edges: DataFrame, most: float = 0.5) -> DataFrame:
     """``image_id, sp, segment``: superpixels joined by edges with p <= ``most``; a segment is named after its smallest member."""
     name = lambda c: F.concat_ws("|", "image_id", F.lpad(F.col(c).cast("string"), 20, "0"))

@@ -66,6 +66,30 @@ def link_costs(links: DataFrame, weight: float = 10.0, scale: float = 5.0) -> Da
     return links.withColumn("cost", -weight * F.ln(p))
 
 
+def detection_costs(objects: DataFrame, counts: dict[int, float] | None = None, weight: float = 10.0) -> DataFrame:
+    """``image_id, t, object_id, k, cost``: the cost that an object holds k cells, from ``p ARRAY`` or from fixed shares ``counts``."""
+    p = F.col("p") if counts is None else F.array(*(F.lit(float(counts.get(k, 0.0))) for k in range(max(counts) + 1)))
+    return objects.select(*OBJECT, F.posexplode(p).alias("k", "p")).select(*OBJECT, "k", (-weight * F.ln(clamp_probabilities(F.col("p")))).alias("cost"))
+
+
+def division_costs(divisions: DataFrame, weight: float = 10.0) -> DataFrame:
+    """``image_id, t, object_id, divides, cost`` from probabilities ``p`` of division, for both outcomes."""
+    both = F.array(F.struct(F.lit(False).alias("divides"), (1 - F.col("p")).alias("p")), F.struct(F.lit(True).alias("divides"), F.col("p").alias("p")))
+    return divisions.select(*OBJECT, F.explode(both).alias("o")).select(*OBJECT, "o.divides", (-weight * F.ln(clamp_probabilities(F.col("o.p")))).alias("cost"))
+
+
+def border_costs(objects: DataFrame, last_frame: int, shape: dict[str, int], appearance: float = 500.0, disappearance: float = 500.0, border: float = 0.0) -> DataFrame:
+    """``appear`` and ``disappear`` for each object: nothing in the first and last frame, less within ``border`` of an edge of the image."""
+    margin = F.least(*(F.least(F.col(f"c{a}"), F.lit(float(n - 1)) - F.col(f"c{a}")) for a, n in shape.items()))
+    share = F.when(margin >= border, 1.0).otherwise(F.greatest(margin, F.lit(0.0)) / border) if border else F.lit(1.0)
+    return objects.select(*OBJECT, F.when(F.col("t") == 0, 0.0).otherwise(appearance * share).alias("appear"), F.when(F.col("t") == last_frame, 0.0).otherwise(disappearance * share).alias("disappear"))
+
+
+def combined_features(objects: DataFrame, divisions: DataFrame) -> DataFrame:
+    """Region and division features of each object in one table; objects without candidates keep null division features."""
+    return objects.join(divisions, OBJECT, "left")
+
+
 def link_tracks(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """One-to-one assignment between frames by rounds of mutually cheapest links; ties by ids."""
     left = written(links.select("image_id", "t", "src", "dst", "cost"), "links")
@@ -98,6 +122,28 @@ def tracking_table(objects: DataFrame, tracks: DataFrame) -> DataFrame:
     return objects.join(tracks, OBJECT, "left").select(F.col("t").alias("frame"), "image_id", F.col("object_id").alias("labelimageId"), F.coalesce("track_id", F.lit(-1)).alias("trackId"), "count", "cy", "cx")
 
 
+def full_tracking_table(objects: DataFrame, tree: DataFrame, mergers: DataFrame | None = None) -> DataFrame:
+    """One row for each object in the order of frames and ids: frame, object, track, lineage, parent track and merger, then its features.
+
+    Objects without a track have -1 as track and lineage and 0 as parent; ``mergers(image_id, t, object_id, merger_id)``
+    names the merged object an object was split from, 0 otherwise.
+    """
+    joined = objects.join(tree, OBJECT, "left")
+    joined = joined.join(mergers, OBJECT, "left") if mergers is not None else joined.withColumn("merger_id", F.lit(0))
+    rest = [c for c in objects.columns if c not in OBJECT]
+    table = joined.select(
+        "image_id", F.col("t").alias("frame"), F.col("object_id").alias("labelimageId"), F.coalesce("track_id", F.lit(-1)).alias("trackId"), F.coalesce("lineage_id", F.lit(-1)).alias("lineageId"),
+        F.coalesce("parent_track_id", F.lit(0)).alias("parentTrackId"), F.coalesce("merger_id", F.lit(0)).alias("mergerLabelId"), *rest,
+    )
+    return table.orderBy("image_id", "frame", "labelimageId")
+
+
+def track_lines(tree: DataFrame) -> DataFrame:
+    """``value``: for each track its id, first and last frame and parent (0 without), as lines of text for ``write.text``."""
+    spans = tree.groupBy("image_id", "track_id").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.max("parent_track_id").alias("parent"))
+    return spans.select("image_id", "track_id", F.concat_ws(" ", "track_id", "first", "last", F.coalesce("parent", F.lit(0))).alias("value"))
+
+
 def track_spans(tracks: DataFrame) -> DataFrame:
     """First and last frame and length of each track."""
     return tracks.groupBy("image_id", "track_id").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.count(F.lit(1)).alias("objects"))

@@ -64,8 +64,7 @@ def c10(spark, sf_dir):
 
 @query("c11_wrapper_selection")
 def c11(spark, sf_dir):
-    m = _matrix(spark, sf_dir).select("label", F.slice("f", 1, 3).alias("f"))
-    chosen = selection.wrapper_feature_selection(m, filters.FEATURES[:3], trees=3)
+    chosen = selection.wrapper_feature_selection(_matrix(spark, sf_dir), filters.FEATURES, trees=3)
     return spark.createDataFrame(list(enumerate(chosen, 1)), "rank int, feature string")
 
 
@@ -149,7 +148,7 @@ def d05(spark, sf_dir):
     return geometry.channel_mean(counting.predict_density(bank, models))
 
 
-BOXES = [("a", "A", 0, 4, 20, 4, 20, 12.0), ("b", "N", 2, 10, 40, 30, 48, 5.0), ("c", "A", 0, 30, 40, 30, 40, 7.0)]
+BOXES = [("a", "A0", 0, 4, 20, 4, 20, 12.0), ("b", "N0", 2, 10, 40, 30, 48, 5.0), ("c", "A0", 0, 30, 40, 30, 40, 7.0)]
 
 
 @query("d04_fit_to_boxes", _with(PX_SALES, ANNOTATED, *_smooth_sql("dots", 1.2, "g"), "boxes(box, image_id, t, y0, y1, x0, x1, count) as (values " + ", ".join(map(str, BOXES)) + ")", "s as (select box, any_value(count) / sum(v) as factor from g join boxes using (image_id, t) where y >= y0 and y < y1 and x >= x0 and x < x1 group by box)", "k as (select boxes.*, factor from boxes join s using (box))") + "select g.image_id, g.t, g.z, g.y, g.x, g.c, round(g.v * coalesce(factor, 1.0), 6) + 0.0 as v from g left join k on k.image_id = g.image_id and k.t = g.t and g.y >= y0 and g.y < y1 and g.x >= x0 and g.x < x1")

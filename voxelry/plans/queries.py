@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 
 def _all() -> None:
     """The other modules of queries register theirs when they are imported."""
-    from voxelry.plans import blocks, models, segmentation  # noqa: F401
+    from voxelry.plans import blocks, classes, models, segmentation  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -476,35 +476,41 @@ def u01(spark, sf_dir):
     return rounded(registry.apply_pixel(px_sales(spark, sf_dir), "sqrt"), "v")
 
 
-# superpixels: squares of 6 x 6 pixels stand in for a watershed
+# superpixels: squares of 6 x 6 pixels stand in for a watershed; each frame is an image of its own
 
-TILES = "sp as (select image_id, t, z, y, x, c, cast(y // 6 * 8 + x // 6 + 1 as bigint) as v from px where t = 2)"
+PX_FRAMES = PX_SALES[:-1].replace("px as (", "px as (select image_id || '/' || t as image_id, 0 as t, z, y, x, c, v from (", 1) + "))"
+
+TILES = "sp as (select image_id, t, z, y, x, c, cast(y // 6 * 8 + x // 6 + 1 as bigint) as v from px)"
 NEXT = "(values (0, 1), (1, 0)) d(dy, dx)"
 FACES = f"faces as (select a.image_id, least(a.v, b.v) as sp1, greatest(a.v, b.v) as sp2, a.t, a.y as ya, a.x as xa, b.y as yb, b.x as xb from sp a, {NEXT}, sp b where b.image_id = a.image_id and b.t = a.t and b.y = a.y + dy and b.x = a.x + dx and a.v <> b.v)"
 EDGES = "e as (select image_id, sp1, sp2, count(*) as n, avg(v) as mean, min(v) as min, max(v) as max, var_pop(v) as var from (select f.*, px.v from faces f join px on px.image_id = f.image_id and px.t = f.t and px.y = ya and px.x = xa union all select f.*, px.v from faces f join px on px.image_id = f.image_id and px.t = f.t and px.y = yb and px.x = xb) group by image_id, sp1, sp2)"
 SCALED = "pr as (select image_id, sp1, sp2, (mean - min(mean) over w) / (max(mean) over w - min(mean) over w) as p from e window w as (partition by image_id))"
 
 
+def px_frames(spark, sf_dir):
+    return px_sales(spark, sf_dir).withColumn("image_id", F.concat_ws("/", "image_id", F.col("t").cast("string"))).withColumn("t", F.lit(0))
+
+
 def _superpixels(spark, sf_dir):
     tiles = F.floor(F.col("y") / 6) * 8 + F.floor(F.col("x") / 6) + 1
-    return px_sales(spark, sf_dir).where("t = 2").withColumn("v", tiles.cast("long"))
+    return px_frames(spark, sf_dir).withColumn("v", tiles.cast("long"))
 
 
 def _edges(spark, sf_dir):
-    return superpixels.edge_features(_superpixels(spark, sf_dir), px_sales(spark, sf_dir))
+    return superpixels.edge_features(_superpixels(spark, sf_dir), px_frames(spark, sf_dir))
 
 
-@query("w04_region_adjacency", _with(PX_SALES, TILES, FACES) + "select image_id, sp1, sp2, count(*) as n_faces from faces group by 1, 2, 3")
+@query("w04_region_adjacency", _with(PX_FRAMES, TILES, FACES) + "select image_id, sp1, sp2, count(*) as n_faces from faces group by 1, 2, 3")
 def w04(spark, sf_dir):
     return superpixels.region_adjacency(_superpixels(spark, sf_dir))
 
 
-@query("w05_edge_features", _with(PX_SALES, TILES, FACES, EDGES) + "select image_id, sp1, sp2, n, round(mean, 6) as mean, min, max, round(var, 6) as var from e")
+@query("w05_edge_features", _with(PX_FRAMES, TILES, FACES, EDGES) + "select image_id, sp1, sp2, n, round(mean, 6) as mean, min, max, round(var, 6) as var from e")
 def w05(spark, sf_dir):
     return rounded(_edges(spark, sf_dir), "mean", "var")
 
 
-@query("w07_untrained_probabilities", _with(PX_SALES, TILES, FACES, EDGES, SCALED) + "select image_id, sp1, sp2, round(p, 6) as p from pr")
+@query("w07_untrained_probabilities", _with(PX_FRAMES, TILES, FACES, EDGES, SCALED) + "select image_id, sp1, sp2, round(p, 6) as p from pr")
 def w07(spark, sf_dir):
     return rounded(superpixels.untrained_probabilities(_edges(spark, sf_dir)), "p")
 
@@ -518,12 +524,12 @@ def _segments(spark, sf_dir):
     return sp, p, written(superpixels.merge_superpixels(sp.select("image_id", F.col("v").alias("sp")).distinct(), p, 0.4), "segments")
 
 
-@query("w08_naive_segmentation", _with(PX_SALES, TILES, FACES, EDGES, SCALED, MERGED) + "select * from seg")
+@query("w08_naive_segmentation", _with(PX_FRAMES, TILES, FACES, EDGES, SCALED, MERGED) + "select * from seg")
 def w08(spark, sf_dir):
     return _segments(spark, sf_dir)[2]
 
 
-@query("w09_multicut_weights", _with(PX_SALES, TILES, FACES, EDGES, SCALED, "q as (select *, least(greatest(p, 0.001), 0.999) as k from pr), s as (select *, case when k <= 0.4 then k * 0.5 / 0.4 else 1 - (1 - k) * 0.5 / 0.6 end as q from q)") + "select image_id, sp1, sp2, round(ln(1 / q - 1) + ln(1 / 0.45 - 1), 5) + 0.0 as weight from s")
+@query("w09_multicut_weights", _with(PX_FRAMES, TILES, FACES, EDGES, SCALED, "q as (select *, least(greatest(p, 0.001), 0.999) as k from pr), s as (select *, case when k <= 0.4 then k * 0.5 / 0.4 else 1 - (1 - k) * 0.5 / 0.6 end as q from q)") + "select image_id, sp1, sp2, round(ln(1 / q - 1) + ln(1 / 0.45 - 1), 5) + 0.0 as weight from s")
 def w09(spark, sf_dir):
     p = superpixels.untrained_probabilities(_edges(spark, sf_dir))
     return p.select(*superpixels.EDGE, (F.round(superpixels.multicut_weights(F.col("p"), 0.45, 0.4), 5) + 0.0).alias("weight"))
@@ -535,13 +541,13 @@ def w10(spark, sf_dir):
     return superpixels.agglomerate(p.select(*superpixels.EDGE, superpixels.multicut_weights(F.col("p"), 0.5, 0.3).alias("weight")))
 
 
-@query("w11_project_node_labels", _with(PX_SALES, TILES, FACES, EDGES, SCALED, MERGED) + f"select {P}, c, segment as v from sp join seg on seg.image_id = sp.image_id and seg.sp = sp.v".replace("select image_id", "select sp.image_id"))
+@query("w11_project_node_labels", _with(PX_FRAMES, TILES, FACES, EDGES, SCALED, MERGED) + f"select {P}, c, segment as v from sp join seg on seg.image_id = sp.image_id and seg.sp = sp.v".replace("select image_id", "select sp.image_id"))
 def w11(spark, sf_dir):
     sp, _, nodes = _segments(spark, sf_dir)
     return superpixels.project_node_labels(sp, nodes)
 
 
-@query("w12_edge_disagreement", _with(PX_SALES, TILES, FACES, EDGES, SCALED, MERGED) + "select pr.image_id, sp1, sp2, round(p, 6) as p from pr join seg a on a.image_id = pr.image_id and a.sp = sp1 join seg b on b.image_id = pr.image_id and b.sp = sp2 where (a.segment <> b.segment) <> (p > 0.5)")
+@query("w12_edge_disagreement", _with(PX_FRAMES, TILES, FACES, EDGES, SCALED, MERGED) + "select pr.image_id, sp1, sp2, round(p, 6) as p from pr join seg a on a.image_id = pr.image_id and a.sp = sp1 join seg b on b.image_id = pr.image_id and b.sp = sp2 where (a.segment <> b.segment) <> (p > 0.5)")
 def w12(spark, sf_dir):
     _, p, nodes = _segments(spark, sf_dir)
     return rounded(superpixels.edge_disagreement(nodes, p), "p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voxelry.operators import growing, regions
-from voxelry.plans.queries import LEVEL, SHAPE, P, _edges, _superpixels, _with, labels_of_sales, query, rounded
+from voxelry.plans.queries import LEVEL, PX_FRAMES, SHAPE, P, _edges, _superpixels, _with, labels_of_sales, query, rounded
 from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES, PX_SALES, px_sales
 
@@ -34,7 +34,7 @@ def w02(spark, sf_dir):
 
 @query("w03_unseeded_watershed")
 def w03(spark, sf_dir):
-    return growing.unseeded_watershed(px_sales(spark, sf_dir).where("t = 2"))
+    return growing.unseeded_watershed(px_sales(spark, sf_dir))
 
 
 MINIMA = (
@@ -59,7 +59,7 @@ def r07(spark, sf_dir):
 
 @query("w14_boundary_superpixels")
 def w14(spark, sf_dir):
-    return growing.boundary_superpixels(px_sales(spark, sf_dir).where("t = 2"), "gradient", 1.6, SHAPE)[1]
+    return growing.boundary_superpixels(px_sales(spark, sf_dir), "gradient", 1.6, SHAPE)[1]
 
 
 @query("w15_carve")
@@ -69,7 +69,7 @@ def w15(spark, sf_dir):
     return growing.carve(edges, seeds, 1, 0.95, 20.0)
 
 
-@query("w16_done_objects", _with(PX_SALES) + f"select {P}, c, case when y // 6 * 8 + x // 6 + 1 <= 20 then 'b' else 'a' end as name from px where t = 2 and (y // 6 * 8 + x // 6 + 1 <= 20 or (y // 6 * 8 + x // 6 + 1) % 3 = 0)")
+@query("w16_done_objects", _with(PX_FRAMES) + f"select {P}, c, case when y // 6 * 8 + x // 6 + 1 <= 20 then 'b' else 'a' end as name from px where y // 6 * 8 + x // 6 + 1 <= 20 or (y // 6 * 8 + x // 6 + 1) % 3 = 0")
 def w16(spark, sf_dir):
     sp = _superpixels(spark, sf_dir)
     nodes = sp.select("image_id", F.col("v").alias("sp")).distinct()

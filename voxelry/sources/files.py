@@ -87,6 +87,73 @@ def assemble_tiles(tiles: DataFrame, height: int, width: int) -> DataFrame:
     return tiles.withColumn("y", F.col("tile_y") * height + F.col("y")).withColumn("x", F.col("tile_x") * width + F.col("x")).select(*COORDINATES, "v")
 
 
+def block_arrays(px: DataFrame, block: int) -> DataFrame:
+    """Each block as one array in numpy's format: ``image_id, t, c, bz, by, bx, npy BINARY``; absent pixels are 0."""
+    key = ["image_id", "t", "c", "bz", "by", "bx"]
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((block, block, block) if pdf["bz"].iloc[0] or pdf["z"].max() else (1, block, block))
+        a[pdf["z"] % block if len(a) > 1 else 0, pdf["y"] % block, pdf["x"] % block] = pdf["v"]
+        out = io.BytesIO()
+        np.save(out, a)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "npy": [out.getvalue()]})
+
+    rows = px.withColumns({f"b{a}": F.floor(F.col(a) / block).cast("int") for a in "zyx"})
+    return rows.groupBy(*key).applyInPandas(pack, "image_id string, t int, c int, bz int, by int, bx int, npy binary")
+
+
+def write_volume(px: DataFrame, path: str, kind: str = "parquet", block: int = 64) -> None:
+    """Writes a pixel table as Parquet blocks, as CSV with a header, or as a table of arrays in numpy's format."""
+    if kind == "parquet":
+        write_blocks(px, path, block)
+    elif kind == "csv":
+        px.select(*COORDINATES, "v").write.csv(path, header=True)
+    elif kind == "npy":
+        block_arrays(px, block).write.parquet(path)
+    else:
+        raise ValueError(f"no such format: {kind}")
+
+
+def export_selected(results: dict[str, DataFrame], choice: str, path: str, lane: dict[str, str], kind: str = "parquet", **formatting) -> str:
+    """Writes the chosen one of several result images; ``path`` may name ``{choice}`` and the fields of the lane. Returns the path.
+
+    With ``formatting`` (the arguments of ``formatted``) the result is cut, renormalized and cast before.
+    """
+    if choice not in results:
+        raise ValueError(f"no result {choice!r}; there are {sorted(results)}")
+    at = path.format(choice=choice.lower().replace(" ", "-"), **lane)
+    write_volume(formatted(results[choice], **formatting) if formatting else results[choice], at, kind)
+    return at
+
+
+def dataset_catalog(roles: dict[str, DataFrame]) -> DataFrame:
+    """``image_id, role, n_t, n_z, n_y, n_x, n_c, pixels``: the images of each role with their extents."""
+    tables = [
+        px.groupBy("image_id").agg(*((F.max(a) + 1).alias(f"n_{a}") for a in "tzyxc"), F.count(F.lit(1)).alias("pixels")).select("image_id", F.lit(role).alias("role"), *(f"n_{a}" for a in "tzyxc"), "pixels")
+        for role, px in roles.items()
+    ]
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table)
+    return out
+
+
+def catalog_mismatches(catalog: DataFrame, role: str, axes: str = "tzyx") -> DataFrame:
+    """Images of other roles that lack an image of ``role`` or differ from it in an extent: ``image_id, role, missing, differs ARRAY``."""
+    base = catalog.where(F.col("role") == role).select("image_id", *(F.col(f"n_{a}").alias(f"b_{a}") for a in axes), F.lit(True).alias("_there"))
+    both = catalog.where(F.col("role") != role).join(base, "image_id", "left")
+    differs = F.array_compact(F.array(*(F.when(F.col(f"n_{a}") != F.col(f"b_{a}"), F.lit(a)) for a in axes)))
+    return both.select("image_id", "role", F.col("_there").isNull().alias("missing"), differs.alias("differs")).where(F.col("missing") | (F.size("differs") > 0))
+
+
+def check_catalog(catalog: DataFrame, role: str, axes: str = "tzyx") -> DataFrame:
+    """The catalog, or an error that names some images whose roles do not fit together."""
+    bad = catalog_mismatches(catalog, role, axes).orderBy("image_id", "role").limit(5).collect()
+    if bad:
+        raise ValueError(f"images do not fit those of role {role!r}: {[(r['image_id'], r['role'], r['differs']) for r in bad]}")
+    return catalog
+
+
 def write_sequence(px: DataFrame, path: str, axis: str) -> None:
     px.repartition(axis).write.partitionBy(axis).parquet(path)
 
