@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
-from voxelry.operators import filters, learning, object_classes, objects, regions, superpixels, tracking
+from voxelry.operators import components, filters, learning, object_classes, objects, regions, superpixels, tracking
 from voxelry.sources import files
 from voxelry.streaming.scoring import score_new_images
 
@@ -144,3 +144,11 @@ def test_new_images_are_scored_once(spark, tmp_path):
         image(name).coalesce(1).write.mode("append").parquet(paths[0])
         score_new_images(spark, *paths, score).awaitTermination()
     assert sorted((r["image_id"], r["total"]) for r in spark.read.parquet(paths[1]).collect()) == [("a", 6.0), ("b", 6.0)]
+
+
+def test_numbers_do_not_depend_on_chunks(spark):
+    rows = spark.createDataFrame([(k, i * 3) for k in "ab" for i in range(50)], "k string, i long")
+    for chunk in (F.lit(0), F.floor(F.col("i") / 7), F.floor(F.col("i") / 1000)):
+        got = {(r["k"], r["i"]): r["number"] for r in components.numbered(rows, ["k"], "i", chunk, 5).collect()}
+        assert got == {(k, i * 3): i + 5 for k in "ab" for i in range(50)}
+    assert components.numbered(rows.limit(0), ["k"], "i", F.lit(0)).count() == 0

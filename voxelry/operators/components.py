@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.plans.stored import written
 
+#: Ids of a group that are numbered in one task.
+NUMBERED_AT_ONCE = 65_536
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Connected components of ``edges(src, dst)`` as rows ``(node, component)``; component is the smallest node.
@@ -51,3 +54,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
     tied = F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v"))
     return edges.join(low, "u").select(tied.alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def numbered(rows: DataFrame, keys: list[str], order: str, chunk: Column, start: int = 1) -> DataFrame:
+    """Adds ``number``: the place of each row among those of its ``keys`` in ascending ``order``, counted from ``start``.
+
+    ``chunk`` must not fall as ``order`` rises. Rows are counted within chunks, and chunks by the sums of those before, so
+    that no task meets more than a chunk of one group.
+    """
+    rows = rows.withColumn("_chunk", chunk)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(order))
+    placed = rows.withColumn("_within", within).join(ahead, [*keys, "_chunk"])
+    return placed.withColumn("number", (F.col("_within") + F.col("_ahead") + (start - 1)).cast("long")).drop("_chunk", "_within", "_ahead")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxelry.operators.components import NUMBERED_AT_ONCE, numbered
 from voxelry.operators.components import connected_components as components_of_edges
 from voxelry.operators.filters import anisotropic_smoothing
 from voxelry.plans.stored import written
@@ -78,7 +79,8 @@ def connected_components(px: DataFrame, block: int = BLOCK, full: bool = False)
     links = ahead.join(faces.select(*COORDINATES, "v", F.col("node").alias("dst")), [*COORDINATES, "v"]).where("src <> dst").select("src", "dst").distinct()
     merged = components_of_edges(links)
     roots = local.select(*FRAME, "node").distinct().join(merged, "node", "left").select(*FRAME, "node", F.coalesce("component", "node").alias("root"))
-    numbers = roots.select(*FRAME, "root").distinct().withColumn("label", F.row_number().over(Window.partitionBy(*FRAME).orderBy("root")).cast("long"))
+    first = F.floor(F.element_at(F.split("root", r"\|"), -1).cast("long") / NUMBERED_AT_ONCE)
+    numbers = numbered(roots.select(*FRAME, "root").distinct(), FRAME, "root", first).withColumnRenamed("number", "label")
     labels = roots.join(numbers, [*FRAME, "root"]).select("node", "label")
     return local.join(labels, "node").select(*COORDINATES, F.col("label").alias("v"))
 
@@ -93,7 +95,7 @@ def filter_labels(labels: DataFrame, smallest: int, largest: int, binary: bool =
 def relabel_mapping(labels: DataFrame, start: int = 1) -> DataFrame:
     """``image_id, t, old, new``: labels of each frame numbered on from ``start`` in their order; 0 stays out."""
     old = labels.where("v <> 0").select("image_id", "t", F.col("v").alias("old")).distinct()
-    return old.withColumn("new", (F.row_number().over(Window.partitionBy("image_id", "t").orderBy("old")) + (start - 1)).cast("long"))
+    return numbered(old, ["image_id", "t"], "old", F.floor(F.col("old") / NUMBERED_AT_ONCE), start).withColumnRenamed("number", "new")
 
 
 def relabel_consecutive(labels: DataFrame, start: int = 1) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelry.operators.components import connected_components
+from voxelry.operators.components import NUMBERED_AT_ONCE, connected_components, numbered
 from voxelry.operators.objects import OBJECT
 from voxelry.operators.regions import boundary_pixels, relabel_by_map
 from voxelry.plans.stored import written
@@ -113,7 +113,11 @@ def lineages(objects: DataFrame, links: DataFrame) -> DataFrame:
     edges = links.select(name(F.col("t"), F.col("src")).alias("src"), name(F.col("t") + 1, F.col("dst")).alias("dst"))
     tracks = connected_components(edges)
     named = objects.select(*OBJECT).withColumn("node", name(F.col("t"), F.col("object_id"))).join(tracks, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    roots = named.select("image_id", "root").distinct().withColumn("track_id", F.row_number().over(Window.partitionBy("image_id").orderBy("root")).cast("long"))
+    roots = named.select("image_id", "root").distinct()
+    # names end with the frame and the object of a track's start
+    place = F.split("root", r"\|")
+    start = F.concat(F.element_at(place, -2), F.lpad(F.floor(F.element_at(place, -1).cast("long") / NUMBERED_AT_ONCE).cast("string"), 20, "0"))
+    roots = numbered(roots, ["image_id"], "root", start).withColumnRenamed("number", "track_id")
     return named.join(roots, ["image_id", "root"]).select(*OBJECT, "track_id")
 
 
