@@ -43,12 +43,12 @@ def responses_of_pages(pages: DataFrame, warc_date: str = "2024-01-01T00:00:00Z"
     """
 
     @F.pandas_udf("string")
-    def identifier(ids: pd.Series, urls: pd.Series, pages: pd.Series) -> pd.Series:
-        return pd.Series([record_identifier("response", i, u, None if p is None else digest(p.encode("utf-8"))) for i, u, p in zip(ids, urls, pages)], dtype=object)
+    def identifier(ids: pd.Series, urls: pd.Series, digests: pd.Series) -> pd.Series:
+        return pd.Series([record_identifier("response", *names) for names in zip(ids, urls, digests)], dtype=object)
 
     length = F.octet_length(F.coalesce("html", F.lit("")))
     headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"))
-    return pages.select("page_id", identifier(F.col("page_id").cast("string"), F.col("url"), F.col("html")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(warc_date).alias("warc_date"), headers.alias("http_headers"), F.col("html").alias("payload"))
+    return pages.select("page_id", identifier(F.col("page_id").cast("string"), F.col("url"), F.sha1("html")).alias("record_id"), F.col("url").alias("target_uri"), F.lit(warc_date).alias("warc_date"), headers.alias("http_headers"), F.col("html").alias("payload"))
 
 
 def http_head(source: str | None) -> dict:
