@@ -75,14 +75,18 @@ class _Open:
             self.places[self.stack.pop().tag].pop()
 
     def end(self, tag: str) -> None:
-        at = self.last((tag,))
-        if at < 0 or (tag == "p" or tag not in BLOCKS) and self.last(_P_SCOPE - {tag}) > at:
+        found = self.places.get(tag)
+        if not found:
+            return
+        at = found[-1]
+        if at < len(self.stack) - 1 and (tag == "p" or tag not in BLOCKS) and self.last(_P_SCOPE - {tag}) > at:
             return
         self.cut(at)
 
     def imply(self, tag: str) -> None:
-        if tag in _CLOSES_P and (at := self.last(("p",))) > self.last(_P_SCOPE):
-            self.cut(at)
+        paragraphs = self.places.get("p")
+        if paragraphs and tag in _CLOSES_P and paragraphs[-1] > self.last(_P_SCOPE):
+            self.cut(paragraphs[-1])
         if tag in _CLOSES:
             closed, walls = _CLOSES[tag]
             if (at := self.last(closed)) > self.last(walls):
