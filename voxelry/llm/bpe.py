@@ -18,6 +18,7 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +44,10 @@ class PrefixEncoder:
         self.ranks = ranks
         self.longest = max(map(len, ranks))
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.endings = ahocorasick.Automaton()  # finds the tokens that end at each byte; bytes as characters of Latin-1
+        for token, rank in ranks.items():
+            self.endings.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.endings.make_automaton()
         self._pairs: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
 
@@ -72,24 +77,25 @@ class PrefixEncoder:
 
     def extend(self, last: list[int], data: bytes, stop: int | None = None) -> list[int]:
         """Carries on ``last`` (the last token of each prefix computed so far) to all prefixes of ``data``."""
-        get, longest, pairs = self.ranks.get, self.longest, self._pairs
-        for end in range(len(last) + 1, (len(data) if stop is None else stop) + 1):
-            for start in range(max(0, end - longest), end):  # the longest token first
-                token = get(data[start:end])
-                if token is None:
-                    continue
-                if start == 0:
-                    fits = self.may_start(token)
-                else:
-                    before = last[start - 1]
-                    fits = pairs.get((before, token))
-                    if fits is None:
-                        fits = self.may_follow(before, token)
-                if fits:
-                    last.append(token)
+        pairs, done, stop = self._pairs, len(last), len(data) if stop is None else stop
+        begin = max(0, done + 1 - self.longest)
+        for end, (token, size) in self.endings.iter(data.decode("latin-1"), begin, stop):  # at each end the longest token first
+            if end != done:
+                if end > done:
                     break
+                continue
+            if size > end:
+                fits = self.may_start(token)
             else:
-                raise ValueError(f"the vocabulary lacks the byte {data[end - 1]}")
+                before = last[end - size]
+                fits = pairs.get((before, token))
+                if fits is None:
+                    fits = self.may_follow(before, token)
+            if fits:
+                last.append(token)
+                done += 1
+        if done < stop:
+            raise ValueError(f"the vocabulary lacks the byte {data[done]}")
         return last
 
     def tokens_of(self, last: list[int]) -> list[int]:
