@@ -157,12 +157,13 @@ def volume_hull_features(labels: DataFrame) -> DataFrame:
     lines = own.groupBy(*OBJECT, "z", "y").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), (F.max("x") + 1).alias("hi"))
     lines = lines.selectExpr(*OBJECT, "cast(z as long) z", "cast(y as long) y", "n", "cast(lo as long) lo", "cast(hi as long) hi")
 
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        z, y = pdf["z"].to_numpy(), pdf["y"].to_numpy()
-        corners = np.concatenate([np.stack([z + dz, y + dy, pdf[e].to_numpy()], axis=1) for dz in (0, 1) for dy in (0, 1) for e in ("lo", "hi")])
-        out = pdf.iloc[:1][OBJECT].copy()
-        out["count"], out["hull_volume"] = int(pdf["n"].sum()), _hull_volume(corners)
-        out["convexity"] = out["count"] / out["hull_volume"]
-        return out
+    @F.pandas_udf("double")
+    def hull_volume(ends: pd.Series) -> pd.Series:
+        def volume(flat: np.ndarray) -> float:
+            z, y, lo, hi = flat.reshape(-1, 4).T
+            return _hull_volume(np.concatenate([np.stack([z + dz, y + dy, x], axis=1) for dz in (0, 1) for dy in (0, 1) for x in (lo, hi)]))
+
+        return ends.map(volume)
 
-    return lines.groupBy(*OBJECT).applyInPandas(hull, "image_id string, t int, object_id long, count long, hull_volume double, convexity double")
+    whole = lines.groupBy(*OBJECT).agg(F.sum("n").alias("count"), F.flatten(F.collect_list(F.array("z", "y", "lo", "hi"))).alias("ends"))
+    return whole.select(*OBJECT, "count", hull_volume("ends").alias("hull_volume")).withColumn("convexity", F.col("count") / F.col("hull_volume"))

@@ -99,15 +99,17 @@ def convex_hull_features(labels: DataFrame) -> DataFrame:
     """
     rows = labels.where("v <> 0").groupBy("image_id", "t", F.col("v").alias("object_id"), "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.count(F.lit(1)).alias("n"))
 
-    def hull(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x0, x1 = (pdf[k].to_numpy(float) for k in ("y", "x0", "x1"))
-        corners = np.concatenate([np.stack([a, b], 1) for a in (y, y + 1) for b in (x0, x1 + 1)])
-        h = _hull(corners)
-        area = 0.5 * abs(float(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))))
-        size = int(pdf["n"].sum())
-        return pd.DataFrame({"image_id": [pdf["image_id"].iloc[0]], "t": [pdf["t"].iloc[0]], "object_id": [pdf["object_id"].iloc[0]], "area": [size], "hull_area": [area], "convexity": [size / area if area else math.nan]})
-
-    return rows.groupBy(*OBJECT).applyInPandas(hull, "image_id string, t int, object_id long, area long, hull_area double, convexity double")
+    @F.pandas_udf("double")
+    def hull_area(ends: pd.Series) -> pd.Series:
+        def area(flat: np.ndarray) -> float:
+            y, x0, x1 = flat.reshape(-1, 3).T.astype(float)
+            h = _hull(np.concatenate([np.stack([a, b], 1) for a in (y, y + 1) for b in (x0, x1 + 1)]))
+            return 0.5 * abs(float(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1))))
+
+        return ends.map(area)
+
+    own = rows.groupBy(*OBJECT).agg(F.sum("n").alias("area"), F.flatten(F.collect_list(F.array("y", "x0", "x1"))).alias("ends"))
+    return own.select(*OBJECT, "area", hull_area("ends").alias("hull_area")).withColumn("convexity", F.col("area") / F.col("hull_area"))
 
 
 def replace_missing(features: DataFrame, columns: list[str]) -> DataFrame:
