@@ -37,9 +37,13 @@ def f03(spark, sf_dir):
     return filters.hessian_eigenvalues(px_sales(spark, sf_dir), 1.0, SHAPE).withColumn("v", F.round("v", 5) + F.lit(0.0))
 
 
-@query("f05_structure_tensor")
+_UPPER = f"select {P}, max(case when c = 0 then v end) as a, max(case when c = 1 then v end) as b, max(case when c = 2 then v end) as d from"
+TENSOR = [*_smooth_sql("px", 1.0, "gy", 1, 0), *_smooth_sql("px", 1.0, "gx", 0, 1), f"two as ({_UPPER} (select {P}, 0 as c, v from gy union all select {P}, 1 as c, v from gx) group by {P})", f"products as (select {P}, u.c, u.v from (select *, unnest([{{'c': 0, 'v': a * a}}, {{'c': 1, 'v': a * b}}, {{'c': 2, 'v': b * b}}]) as u from two))", *_smooth_sql("products", 0.5, "s"), f"h as ({_UPPER} s group by {P})"]
+
+
+@query("f05_structure_tensor", _with(PX_SALES, *TENSOR, "e as (select *, (a + d) / 2 as m, sqrt(((a - d) / 2) ** 2 + b * b) as r from h)") + f"select {P}, 0 as c, round(m + r, 5) + 0.0 as v from e union all select {P}, 1 as c, round(m - r, 5) + 0.0 as v from e")
 def f05(spark, sf_dir):
-    return filters.structure_tensor_eigenvalues(px_sales(spark, sf_dir), 1.0, 0.5, SHAPE)
+    return filters.structure_tensor_eigenvalues(px_sales(spark, sf_dir), 1.0, 0.5, SHAPE).withColumn("v", F.round("v", 5) + F.lit(0.0))
 
 
 @query("f12_anisotropic_smoothing", _with(PX_SALES, *[s.replace("px_", "p_") for s in (_smooth_sql("px", 0.7, "q")[0], _smooth_sql("q_y", 1.5, "r")[1].replace("from r_y", "from q_y"))]) + f"select {P}, c, round(v, 6) + 0.0 as v from r")
