@@ -18,11 +18,12 @@ from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import ahocorasick
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from voxelry.llm.prefixes import PrefixTable
+
 CACHE_WORDS = 400_000
 BATCH_BYTES = 16 << 20
 
@@ -38,98 +39,47 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class PrefixEncoder:
-    """Encodings of all prefixes of byte strings, under one table of ranks."""
+    """Encodings of all prefixes of byte strings, under one table of ranks. Bytes go through the table as characters of Latin-1."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.longest = max(map(len, ranks))
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.endings = ahocorasick.Automaton()  # finds the tokens that end at each byte; bytes as characters of Latin-1
-        for token, rank in ranks.items():
-            self.endings.add_word(token.decode("latin-1"), (rank, len(token)))
-        self.endings.make_automaton()
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self._alone: dict[int, bool] = {}
+        names = {token.decode("latin-1"): rank for token, rank in ranks.items()}
+        self.table = PrefixTable(names, names, closed=True)
+        self.longest = self.table.longest
 
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until no pair is a token."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 62:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def may_follow(self, first: int, second: int) -> bool:
-        known = self._pairs.get((first, second))
-        if known is None:
-            if len(self._pairs) >= 4 * CACHE_WORDS:
-                self._pairs.clear()
-            known = self._pairs[first, second] = self.merged(self.tokens[first] + self.tokens[second]) == [first, second]
-        return known
-
-    def may_start(self, token: int) -> bool:
-        known = self._alone.get(token)
-        if known is None:
-            known = self._alone[token] = self.merged(self.tokens[token]) == [token]
-        return known
+        return [self.table.order[p] for p in self.table.merged(data.decode("latin-1"))]
 
     def extend(self, last: list[int], data: bytes, stop: int | None = None) -> list[int]:
         """Carries on ``last`` (the last token of each prefix computed so far) to all prefixes of ``data``."""
-        pairs, done, stop = self._pairs, len(last), len(data) if stop is None else stop
-        begin = max(0, done + 1 - self.longest)
-        for end, (token, size) in self.endings.iter(data.decode("latin-1"), begin, stop):  # at each end the longest token first
-            if end != done:
-                if end > done:
-                    break
-                continue
-            if size > end:
-                fits = self.may_start(token)
-            else:
-                before = last[end - size]
-                fits = pairs.get((before, token))
-                if fits is None:
-                    fits = self.may_follow(before, token)
-            if fits:
-                last.append(token)
-                done += 1
-        if done < stop:
-            raise ValueError(f"the vocabulary lacks the byte {data[done]}")
-        return last
+        return self.table.extend(last, data.decode("latin-1"), stop)
 
     def tokens_of(self, last: list[int]) -> list[int]:
         """The encoding that ends with the last token of the longest prefix, read backwards."""
-        ids, end = [], len(last)
-        while end:
-            ids.append(last[end - 1])
-            end -= len(self.tokens[last[end - 1]])
-        return ids[::-1]
+        return self.table.tokens_of(last)
 
     def encode(self, data: bytes) -> list[int]:
         whole = self.ranks.get(data)
-        if whole is not None and self.may_start(whole):
+        if whole is not None and self.table.may_start(whole):
             return [whole]
         return self.tokens_of(self.extend([], data))
 
     def append(self, last: list[int], data: bytes, more: bytes) -> list[int]:
         """The last tokens of ``data + more``, given those of ``data``: an exact append, whatever merges across."""
-        return self.extend(list(last), data + more)
+        reach = data[max(0, len(data) - self.longest) :]
+        return last + self.extend(last[len(data) - len(reach) :], reach + more)[len(reach) :]
 
     def edit(self, last: list[int], data: bytes, start: int, stop: int, new: bytes) -> list[int]:
-        """The last tokens after ``data[start:stop]`` has become ``new``; computes from the edit to where both agree.
-
-        Once as many successive prefixes as the longest token has bytes end as before, all later ones do.
-        """
-        changed = data[:start] + new + data[stop:]
-        fresh, shift, same = list(last[:start]), len(new) - (stop - start), 0
-        while len(fresh) < len(changed):
-            self.extend(fresh, changed, len(fresh) + 1)
-            at = len(fresh) - 1 - shift
-            same = same + 1 if len(fresh) > start + len(new) and last[at] == fresh[-1] else 0
-            if same >= self.longest:
-                return fresh + last[at + 1 :]
-        return fresh
+        """The last tokens after ``data[start:stop]`` has become ``new``; reads the text from just before the edit to where both agree."""
+        low, at, step = max(0, start - self.longest), stop, 4 * self.longest
+        while True:  # as much of the text as it takes, at least twice the longest token beyond the edit
+            at = min(len(data), at + step)
+            near = self.table.edit(last[low:at], data[low:at].decode("latin-1"), start - low, stop - low, new.decode("latin-1"))
+            if at == len(data) or near[-self.longest :] == last[at - self.longest : at]:
+                return last[:low] + near + last[at:]
+            step *= 2
 
 
 class TextEncoder:
@@ -229,24 +179,26 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, decode: bool = False)
         encoder = text_encoder(path, pattern)
         tokens = prefix_encoder(path).tokens
         for batch in batches:
-            yield from _encoded(batch, encoder, tokens if decode else None)
+            yield from coded_batches(batch, encoder.encode, (lambda ids: b"".join(map(tokens.__getitem__, ids))) if decode else None)
 
     columns = f"doc_id {_id_type(docs)}, ids binary" + ", decoded binary" * decode
     return docs.select("doc_id", "text").mapInArrow(run, columns)
 
 
-def _encoded(batch: pa.RecordBatch, encoder: TextEncoder, tokens: dict[int, bytes] | None) -> Iterator[pa.RecordBatch]:
+def coded_batches(batch: pa.RecordBatch, encode: Callable[[str], bytes], decode: Callable[[memoryview], bytes] | None) -> Iterator[pa.RecordBatch]:
+    """Ids, and what they decode to, of a batch of ids and texts, in pieces of about BATCH_BYTES of ids."""
+
     def out(start: int) -> pa.RecordBatch:
         columns = [batch.column(0).slice(start, len(ids)), pa.array(ids, pa.binary())]
         names = ["doc_id", "ids"]
-        if tokens is not None:
-            columns.append(pa.array([b"".join(map(tokens.__getitem__, memoryview(x).cast("I"))) for x in ids], pa.binary()))
+        if decode is not None:
+            columns.append(pa.array([decode(memoryview(x).cast("I")) for x in ids], pa.binary()))
             names.append("decoded")
         return pa.RecordBatch.from_arrays(columns, names=names)
 
     ids, start, size = [], 0, 0
     for text in batch.column(1):
-        ids.append(encoder.encode(text.as_py() or ""))
+        ids.append(encode(text.as_py() or ""))
         size += len(ids[-1])
         if size > BATCH_BYTES:
             yield out(start)
