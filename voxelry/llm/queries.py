@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelry.llm import ann, bpe, chat, extraction, packing, quality, sharding, simhash, toxicity, warc
+from voxelry.llm import ann, bpe, chat, extraction, packing, quality, sentences, sharding, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,10 +64,18 @@ def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = sentences.encode_sentences(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), decode=True)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_best_fit_packing, op2_toxicity_chain, op3_prefix_bpe, op4_warc_derivatives, op5_main_text,
         op6_minimax_shards, op7_simhash_classes, op8_posting_lists, op9_perspective_rotation, op10_quality_outliers,
+        op13_prefix_sentencepiece,
     ]
     return {f.__name__: f for f in found}
 
