@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelry.llm import ann, bpe, chat, extraction, packing, quality, sentences, sharding, simhash, toxicity, warc
+from voxelry.llm import ann, bpe, chat, extraction, packing, quality, sentences, sharding, simhash, toxicity, tries, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,14 @@ def op10_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op11_polarised_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_prefix_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -75,7 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_best_fit_packing, op2_toxicity_chain, op3_prefix_bpe, op4_warc_derivatives, op5_main_text,
         op6_minimax_shards, op7_simhash_classes, op8_posting_lists, op9_perspective_rotation, op10_quality_outliers,
-        op13_prefix_sentencepiece,
+        op11_polarised_whitening, op12_prefix_trie, op13_prefix_sentencepiece,
     ]
     return {f.__name__: f for f in found}
 
