@@ -9,7 +9,9 @@ as close, also in neighbouring cells. Centroids of a cell are searched by a neig
 reads the lists whose centroids are at most ``SEARCH_RATIO`` times as far as the nearest (or as that list is wide),
 at least ``LEAST_LISTS``, and as many more as it takes until they certainly hold more different ids than asked for. Long
 lists are read in blocks, by several tasks; within a block distances are exact, and only the best few of a block are
-passed on.
+passed on. A list's copies of entries of other lists are stored apart from its own entries: a query whose lists hold more
+copies than there are entries in all other lists reads the own entries of every list instead, so that no query reads more
+entries than the index has vectors.
 """
 
 from __future__ import annotations
@@ -36,7 +38,6 @@ REPLICA_RATIO = 1.15
 SEARCH_RATIO = 1.16
 #: Cells are only a way to hold centroids apart; a query looks at the lists of all cells that may hold one within SEARCH_RATIO.
 CELL_RATIO = 1.3
-CELLS_READ = 16
 LEAST_LISTS = 4
 BEAM = 160
 DEGREE = 24
@@ -171,12 +172,12 @@ def lists_to_read(graph: CentroidGraph, x: np.ndarray, radius: np.ndarray, certa
 
 
 def nearest_cells(cells: np.ndarray, certain: np.ndarray, x: np.ndarray, count: int = NEIGHBOURS) -> list[list[int]]:
-    """The cells whose lists a query looks at, nearest first: within CELL_RATIO, at most CELLS_READ, but as many as surely hold enough ids."""
+    """The cells whose lists a query looks at, nearest first: all within CELL_RATIO, and as many as surely hold enough ids."""
     out = []
     for d in np.sqrt(_squares(x, cells)):
         order = np.argsort(d, kind="stable")
         enough = int(np.searchsorted(np.cumsum(certain[order]), count, side="right")) + 1
-        out.append(order[: max(min(int((d <= CELL_RATIO * d[order[0]]).sum()), CELLS_READ), enough)].tolist())
+        out.append(order[: max(int((d <= CELL_RATIO * d[order[0]]).sum()), enough)].tolist())
     return out
 
 
@@ -297,12 +298,17 @@ def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, count:
         return vectors.sparkSession.createDataFrame([], f"query_id {_kind(vectors)}, rank int, vec_id {_kind(vectors)}, score double")
     cells, centroids, postings = index
     asked = written(rows.where("asks").select(F.col("vec_id").alias("query_id"), "v", F.xxhash64("v").alias("key")).distinct(), "queries")
-    probes = written(_probes(asked.groupBy("key").agg(F.first("v").alias("v")), cells, centroids, count), "probes")
-    blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    shares = probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
-    plan = written(blocks.join(shares, "list"), "plan")
-    stored = postings.join(plan, "list").select("list", F.pmod("key", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "ids", "v")
-    asking = probes.join(plan, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod("key", "shares").cast("int").alias("share"), "key", "v")
+    different = asked.groupBy("key").agg(F.first("v").alias("v"))
+    postings = postings.withColumn("copy", F.col("place") > 0)
+    sizes = written(postings.groupBy("list", "copy").agg(F.count(F.lit(1)).alias("entries")), "entries")
+    read = _without_excess(_probes(different, cells, centroids, count), sizes, centroids)
+    probes = written(read.join(different, "key").join(sizes.select("list", "copy"), ["list", "copy"]), "probes")
+    part = ["list", "copy"]
+    blocks = sizes.select(*part, F.ceil(F.col("entries") / BLOCK).cast("int").alias("blocks"))
+    shares = probes.groupBy(*part).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("shares"))
+    plan = written(blocks.join(shares, part), "plan")
+    stored = postings.join(plan, part).select(*part, F.pmod("key", "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "ids", "v")
+    asking = probes.join(plan, part).select(*part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod("key", "shares").cast("int").alias("share"), "key", "v")
 
     def search(queries_: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -313,13 +319,13 @@ def nearest_neighbours(vectors: DataFrame, queries: Column | None = None, count:
                 out.extend((keys[q], i, x) for x, i in found)
         return pd.DataFrame(out, columns=["key", "vec_id", "score"]).astype({"key": "int64", "vec_id": "int64", "score": "float64"})
 
-    group = ["list", "block", "share"]
+    group = [*part, "block", "share"]
     found = asking.groupBy(*group).cogroup(stored.groupBy(*group)).applyInPandas(search, "key long, vec_id long, score double")
     return _ranked(asked.select("query_id", "key"), found, count).select("query_id", "rank", F.col("vec_id").cast(_kind(vectors)).alias("vec_id"), "score")
 
 
 def _probes(asked: DataFrame, cells: np.ndarray, centroids: DataFrame, count: int) -> DataFrame:
-    """The lists ``asked(key, v)`` read: ``key, v, list``. Candidates come from the cells, the ratio is that to the nearest of all."""
+    """The lists ``asked(key, v)`` read: ``key, list``. Candidates come from the cells, the ratio is that to the nearest of all."""
     held = centroids.groupBy("cell").agg(F.sum("certain").alias("n"))
     certain = np.zeros(len(cells), dtype=np.int64)
     for r in held.collect():  # at most MOST_CELLS rows
@@ -352,7 +358,20 @@ def _probes(asked: DataFrame, cells: np.ndarray, centroids: DataFrame, count: in
     base = F.first(F.greatest("dist", "radius")).over(order)
     found = found.select("key", "list", "dist", base.alias("base"), F.row_number().over(order).alias("n"), F.coalesce(F.sum("certain").over(ahead), F.lit(0)).alias("ahead"))
     read = found.where((F.col("dist") <= SEARCH_RATIO * F.col("base")) | (F.col("n") <= LEAST_LISTS) | (F.col("ahead") <= count))
-    return read.select("key", "list").join(asked, "key").select("key", "v", "list")
+    return read.select("key", "list")
+
+
+def _without_excess(read: DataFrame, sizes: DataFrame, centroids: DataFrame) -> DataFrame:
+    """``key, list, copy``: the parts of lists that are read, own entries and copies; where the copies would be more than
+    the own entries of all other lists, the own entries of all lists."""
+    read = written(read, "read")
+    of_list = sizes.groupBy("list").agg(*(F.sum(F.when(F.col("copy") == c, F.col("entries")).otherwise(0)).alias(n) for c, n in ((False, "own"), (True, "copies"))))
+    total = of_list.agg(F.sum("own")).first()[0]
+    whole = written(read.join(of_list, "list").groupBy("key").agg(F.sum("own").alias("own"), F.sum("copies").alias("copies")).where(F.col("copies") >= total - F.col("own")).select("key"), "whole")
+    some = read.join(whole, "key", "left_anti").select("key", "list", F.explode(F.array(F.lit(False), F.lit(True))).alias("copy"))
+    most = centroids.agg(F.max("cell")).first()[0]
+    every = whole.select("key", F.explode(F.sequence(F.lit(0), F.lit(most))).alias("cell")).join(centroids.select("cell", "list"), "cell")
+    return some.unionByName(every.select("key", "list", F.lit(False).alias("copy")))
 
 
 def _ranked(asked: DataFrame, found: DataFrame, count: int) -> DataFrame:
