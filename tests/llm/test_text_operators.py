@@ -274,6 +274,56 @@ def test_names_do_not_empty_a_page(name):
     assert extraction.main_text(f"<body><div id='{name}'><div class='sidebar'>{ASIDE}</div>{TAGGED}</div><div class='site-footer'>A, b, c</div></body>").split("\n\n") == ARTICLE
 
 
+SLUGS = ["related-work", "search-algorithms", "social-impact", "header", "alerts", "comments", "hidden-markov-models", "advertising", "sidebar", "footer", "newsletter", "share"]
+PARTS = [("Part " + x, f"Of {x}, as of other things, there is much to tell, and this tells it.", f"And more of {x}, in short.") for x in SLUGS]
+
+
+def joined(parts):
+    return [x for p in parts for x in p]
+
+
+@pytest.mark.parametrize("slug", SLUGS)
+def test_titles_of_headings_and_sections_leave_nothing_out(slug):
+    more = f"{TAGGED}<h2 id='{slug}'>On {slug}</h2><p>This part, too, is of the article.</p>"
+    want = [*ARTICLE, f"On {slug}", "This part, too, is of the article."]
+    for page in (f"<body><article>{more}</article></body>", f"<body><div class='post'>{more}</div></body>", f"<body><article>{TAGGED}<h2 class='{slug}'>On {slug}</h2><p id='{slug}'>This part, too, is of the article.</p></article></body>"):
+        assert extraction.main_text(page).split("\n\n") == want
+    if slug != "comments":  # those of readers stand in such elements
+        for tag in ("section", "div"):
+            page = f"<body><article>{TAGGED}<{tag} id='{slug}'><h2>On {slug}</h2><p>This part, too, is of the article.</p></{tag}><p>End, then.</p></article></body>"
+            assert extraction.main_text(page).split("\n\n") == [*want, "End, then."]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div class='document'>{}</div>", "<div role='main' id='body'>{}</div>"])
+def test_pages_of_sections_are_kept_whole(wrap):
+    body = "".join(f"<section id='{s}'><h2>{a}</h2><p>{b}</p><p>{c}</p></section>" for s, (a, b, c) in zip(SLUGS, PARTS))
+    page = f"<body><nav><a href='/'>Home</a></nav>{wrap.format(body)}<footer>All, rights</footer></body>"
+    assert extraction.main_text(page).split("\n\n") == joined(PARTS)
+
+
+def test_headers_of_posts_and_words_in_a_line_stay():
+    page = f"<body><header><h1>The paper</h1></header><div class='post'><header><h1>{ARTICLE[0]}</h1></header>{TAGGED.split('</h1>')[1]}</div></body>"
+    assert extraction.main_text(page).split("\n\n") == ARTICLE
+    page = f"<body><article>{TAGGED}<p>Seen <a class='social' href='/x'>by all</a>, <span class='hidden-xs'>even here</span> and <em id='share'>there</em>.</p></article></body>"
+    assert extraction.main_text(page).split("\n\n") == [*ARTICLE, "Seen by all, even here and there."]
+
+
+LINKS = "<ul>" + "".join(f"<li><a href='/{k}'>Another story {k}</a></li>" for k in range(4)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        f"<div id='related-posts'><h3>Related</h3>{LINKS}</div>", f"<section class='related'><h2>More</h2>{LINKS}</section>", "<div id='newsletter'><h3>Newsletter</h3><p>Write, us</p><input name=mail></div>",
+        f"<div id='comments'><h3>Comments</h3>{ASIDE}</div>", f"<section id='comments'><h3>Comments</h3>{ASIDE}</section>", "<div class='share-buttons'><p>Tell, them</p></div>", "<div id='ad-slot-1'>Buy, now</div>",
+        "<div class='social-bar'><a href='/a'>A</a> <a href='/b'>B</a></div>", "<div class='advert'><p>Buy, buy, buy, and buy.</p></div>", f"<form class='signup'>{ASIDE}</form>", f"<aside>{ASIDE}</aside>",
+    ],
+)
+def test_what_is_no_part_of_an_article_goes(extra):
+    for page in (f"<body><article>{TAGGED}{extra}</article></body>", f"<body><div class='post'>{TAGGED}</div>{extra}</body>", f"<body><article>{TAGGED.replace('</h1>', '</h1>' + extra)}</article></body>"):
+        assert extraction.main_text(page).split("\n\n") == ARTICLE
+
+
 def test_a_page_of_which_nothing_would_be_left_ignores_names():
     assert extraction.main_text(f"<body><div class='sidebar'>{TAGGED.split('</h1>')[1]}</div></body>").split("\n\n") == ARTICLE[1:]
     assert extraction.main_text("<body><div><p>One, two</p><table class='form'><tr><td>cell</td></tr></table></div></body>") == "One, two\n\ncell"

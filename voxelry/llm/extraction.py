@@ -6,7 +6,10 @@ discounted by its link density, the share of its text that lies in links. The el
 container of the article; siblings that read like the article are kept with it.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments by readers are left out
-beforehand, wherever they stand. Tags and roles tell them for certain; names of classes and ids are read word by word.
+beforehand, wherever they stand. Tags and roles tell them for certain; names of classes of containers are read word by
+word, those of headings, paragraphs and parts of lines are not. Ids are often titles of sections, so that an id that might
+mean something else, or that stands on what begins with a heading, counts only together with a second sign: mostly links, or
+controls of a form. Within an article the same holds for doubtful names of classes.
 ``site-footer`` is a footer, ``has-sidebar`` says something about a layout, ``search-page`` and ``content-side`` may be
 either: such an element, or a form, goes only if it holds less than half of the page's text outside of links. One that
 is certain by its name stays if it holds that half together with a heading of first order or an ``article`` or ``main``.
@@ -16,6 +19,7 @@ If nothing is left, the names are not regarded. Time grows with the page only, n
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,6 +42,14 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies res
 ARTICLE_WORDS = frozenset("article content body entry post story blog".split())
 #: Words beside those above that do not change what an element is, unless they come last.
 _PLACES = frozenset("site page main global".split())
+#: Elements that hold parts of a page; names of others, as of headings, paragraphs and words in a line, are not judged.
+NAMED_TAGS = frozenset("div section ul ol dl li table tbody tr td th article main header form fieldset figure center".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_CONTROLS = frozenset("form input select textarea".split())
+#: Names of an article among others; its header holds its title.
+_POSTS = frozenset("article post entry story hentry".split())
+#: An element with a larger share of its text in links is dense.
+DENSE = 0.5
 _FORMS = frozenset("top bottom left right upper lower box block bar list item items wrapper wrap container inner outer area section panel group primary secondary text title links link icon icons thread form".split())
 #: Words of names that tell how an element looks or behaves, not what it is.
 _MANNERS = frozenset("has no with without not is layout enabled disabled open opened closed on off show".split())
@@ -52,7 +64,8 @@ MOST = 0.5
 #: With less than this share left, names have misled.
 LEAST_LEFT = 0.05
 
-PLAIN, DOUBT, OFF, COMMENTS, HARD = range(5)
+#: DOUBT may be anything, PART names something beside the text of an article after that article (``entry-share``).
+PLAIN, DOUBT, PART, OFF, COMMENTS, HARD = range(6)
 
 
 def _kind_of_name(name: str) -> int:
@@ -68,22 +81,22 @@ def _kind_of_name(name: str) -> int:
         return DOUBT
     if head in ("header", "headers") and ARTICLE_WORDS.intersection(rest):
         return PLAIN  # the title of an article
-    return OFF if all(w in OFF_WORDS or w in COMMENT_WORDS or w in _PLACES or w in _FORMS for w in rest) else DOUBT
+    beside = [w for w in rest if not (w in OFF_WORDS or w in COMMENT_WORDS or w in _PLACES or w in _FORMS )]
+    return OFF if not beside else PART if all(w in ARTICLE_WORDS for w in beside) else DOUBT
 
 
 @lru_cache(maxsize=4096)
-def kind_of_names(classes: str, identifier: str) -> int:
-    """What the names of an element say: PLAIN, DOUBT, OFF or COMMENTS."""
-    names = [*classes.split(), *identifier.split()]
-    kinds = {_kind_of_name(x) for x in names}
-    worst = max(kinds, default=PLAIN)
-    if worst in (OFF, COMMENTS) and any(x.lower() in ARTICLE_WORDS for x in names):
+def kind_of_names(names: str) -> int:
+    """What names say: PLAIN, DOUBT, PART, OFF or COMMENTS."""
+    each = names.split()
+    worst = max(map(_kind_of_name, each), default=PLAIN)
+    if worst in (OFF, COMMENTS) and any(x.lower() in ARTICLE_WORDS for x in each):
         return DOUBT
     return worst
 
 
 def kind_of(node: Node, in_article: bool) -> int:
-    """Whether an element is left out: for certain by tag, role or style (HARD), or by what its name says."""
+    """Whether an element is left out: for certain by tag, role or style (HARD), or by what the names of its classes say."""
     if node.tag in SKIPPED_TAGS:
         return HARD
     a = node.attributes
@@ -94,34 +107,79 @@ def kind_of(node: Node, in_article: bool) -> int:
             return HARD
     if node.tag == "header" and not in_article:
         return OFF
-    named = kind_of_names(a.get("class", ""), a.get("id", "")) if a else PLAIN
+    named = kind_of_names(a.get("class", "")) if a and node.tag in NAMED_TAGS else PLAIN
     if node.tag in ("article", "main"):
-        return COMMENTS if "comment" in f"{a.get('class', '')} {a.get('id', '')}".lower() and named != PLAIN else PLAIN
-    if node.tag in ("form", "label") and named == PLAIN:
+        return COMMENTS if "comment" in f"{a.get('class', '')} {a.get('id', '')}".lower() and max(named, kind_of_names(a.get("id", ""))) != PLAIN else PLAIN
+    if node.tag == "form" and max(named, kind_of_names(a.get("id", ""))) == PLAIN:
         return DOUBT
     return named
 
 
+def kind_of_id(node: Node, among_sections: bool, begins_with_heading: bool, dense: bool) -> int:
+    """What an id says. Ids are often the titles of sections: more than its words must tell, unless they are beyond doubt.
+
+    ``dense``: the element is mostly links, or holds controls of a form. The id of a section among sections is a title.
+    """
+    name = node.attributes.get("id")
+    if not name or among_sections or node.tag not in NAMED_TAGS:
+        return PLAIN
+    kind = kind_of_names(name)
+    if kind in (DOUBT, PART) or kind == OFF and (begins_with_heading or node.tag == "section"):
+        return kind if dense else PLAIN
+    return kind
+
+
 def elements(root: Node) -> tuple[list[Node], dict[int, int]]:
     """All elements but those below what is left out for certain, parents first, and the kinds of all that were met."""
     order: list[Node] = []
     kinds: dict[int, int] = {}
+    inside_article: set[int] = set()
+    controls: set[int] = set()
     stack = [(root, False)]
     while stack:
         node, inside = stack.pop()
         kind = kinds[id(node)] = kind_of(node, inside)
+        if node.tag in _CONTROLS and node.attributes.get("type", "").lower() != "hidden":
+            controls.add(id(node if node.tag == "form" else node.parent))
         if kind == HARD:
             continue
         order.append(node)
-        inside = inside or node.tag in ("article", "main")
+        if inside:
+            inside_article.add(id(node))
+        inside = inside or node.tag in ("article", "main") or node.tag in ("div", "section") and not _POSTS.isdisjoint(_BREAK.split(node.attributes.get("class", "").lower()))
         stack.extend((x, inside) for x in reversed(node.children) if not isinstance(x, str))
+    _second_signs(order, kinds, inside_article, controls)
     return order, kinds
 
 
+def _second_signs(order: list[Node], kinds: dict[int, int], inside_article: set[int], controls: set[int]) -> None:
+    """Adds what ids say to ``kinds``, and takes back doubts within an article that nothing but a name raises."""
+    size: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    heads: set[int] = set()  # elements whose first content is a heading
+    sections = Counter(id(node.parent) for node in order if node.tag == "section" and "id" in node.attributes)
+    for node in reversed(order):
+        key = id(node)
+        size[key] = size.get(key, 0) + sum(len(x.strip()) for x in node.children if isinstance(x, str))
+        linked[key] = size[key] if node.tag == "a" else linked.get(key, 0)
+        first = next((x for x in node.children if not isinstance(x, str) or not x.isspace()), None)
+        if node.tag in _HEADINGS or first is not None and not isinstance(first, str) and id(first) in heads:
+            heads.add(key)
+        dense = key in controls or linked[key] > DENSE * size[key]
+        kind = max(kinds[key], kind_of_id(node, node.tag == "section" and sections[id(node.parent)] > 1, key in heads, dense))
+        kinds[key] = PLAIN if kind == DOUBT and node.tag != "form" and key in inside_article and not dense else kind
+        if node.parent is not None:
+            up = id(node.parent)
+            size[up] = size.get(up, 0) + size[key]
+            linked[up] = linked.get(up, 0) + linked[key]
+            if key in controls:
+                controls.add(up)
+
+
 def left_out(order: list[Node], kinds: dict[int, int]) -> set[int]:
     """The elements to leave out, with all below them."""
     hard = {k for k, kind in kinds.items() if kind == HARD}
-    if not any(kind in (DOUBT, OFF, COMMENTS) for kind in kinds.values()):
+    if not any(kind in (DOUBT, PART, OFF, COMMENTS) for kind in kinds.values()):
         return hard
     own = {id(node): sum(len(x.strip()) for x in node.children if isinstance(x, str)) for node in order}
     comments = {k for k, kind in kinds.items() if kind == COMMENTS}
@@ -132,7 +190,7 @@ def left_out(order: list[Node], kinds: dict[int, int]) -> set[int]:
     drop = hard | comments
     for node in order:
         key = id(node)
-        if kinds[key] == OFF and not (heads[key] and whole[key] >= MOST * whole[top]) or kinds[key] == DOUBT and free[key] < MOST * free[top]:
+        if kinds[key] == OFF and not (heads[key] and whole[key] >= MOST * whole[top]) or kinds[key] in (DOUBT, PART) and free[key] < MOST * free[top]:
             drop.add(key)
     left, _ = _free_text(order, own, drop)
     return drop if left[top] > LEAST_LEFT * whole[top] else hard
