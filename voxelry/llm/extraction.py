@@ -50,7 +50,7 @@ _CONTROLS = frozenset("form input select textarea".split())
 _POSTS = frozenset("article post entry story hentry".split())
 #: An element with a larger share of its text in links is dense.
 DENSE = 0.5
-_FORMS = frozenset("top bottom left right upper lower box block bar list item items wrapper wrap container inner outer area section panel group primary secondary text title links link icon icons thread form".split())
+_FORMS = frozenset("top bottom left right upper lower box block bar list item items wrapper wrap container inner outer area section panel group primary secondary text title links link icon icons thread form slot slots unit zone button buttons posts articles stories".split())
 #: Words of names that tell how an element looks or behaves, not what it is.
 _MANNERS = frozenset("has no with without not is layout enabled disabled open opened closed on off show".split())
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
