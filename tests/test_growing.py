@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from voxelry.operators import growing
 
 PX = "image_id string, t int, z int, y int, x int, c int, v double"
@@ -109,3 +111,34 @@ def test_carving_a_region_graph(spark):
     edges = spark.createDataFrame([("i|1", 1, 2, 80.0), ("i|1", 2, 3, 90.0), ("i|1", 3, 4, 10.0)], "image_id string, sp1 long, sp2 long, w double")
     seeds = spark.createDataFrame([("i|1", 1, 1), ("i|1", 4, 2)], "image_id string, sp long, label int")
     assert sorted(map(tuple, growing.carve(edges, seeds).collect())) == [("i|1", 1, 1), ("i|1", 2, 1), ("i|1", 3, 2), ("i|1", 4, 2)]
+
+
+def test_blocks_change_no_label(spark, monkeypatch):
+    """Contracted blocks of any size against the graph of all pixels: plateaus, holes, several frames, seeds on faces."""
+    rng = random.Random(12)
+    pixels, marks = [], {}
+    for image, t, z in (("a", 0, 0), ("a", 1, 0), ("b|", 0, 0), ("b|", 0, 1)):
+        for y in range(14):
+            for x in range(17):
+                if rng.random() < 0.9:
+                    pixels.append((image, t, z, y, x, 0, float(rng.randrange(6))))
+        for k in range(5):
+            marks[image, t, z, rng.randrange(14), rng.randrange(17), 0] = k % 3 + 1 + 10 * z
+    px, seeds = spark.createDataFrame(pixels, PX), spark.createDataFrame([(*k, float(v)) for k, v in marks.items()], PX)
+    for axes in ("yx", "zyx"):
+        relief = growing.numbered_pixels(px)
+        edges = [(r["src"], r["dst"], r["w"]) for r in growing.pixel_edges(relief, axes).collect()]
+        node = {tuple(r[c] for c in ("image_id", "t", "z", "y", "x", "c")): r["node"] for r in relief.collect()}
+        assert len(set(node.values())) == len(pixels)
+        want = forest(edges, {node[k]: v for k, v in marks.items() if k in node})
+        for side in (64, 5, 3):
+            monkeypatch.setattr(growing, "BLOCK", {"z": side, "y": side, "x": side})
+            rows = growing.seeded_watershed(px, seeds, axes).collect()
+            assert {node[tuple(r[c] for c in ("image_id", "t", "z", "y", "x", "c"))]: r["v"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_few_edges_leave_the_blocks(spark):
+    rng = random.Random(13)
+    px = spark.createDataFrame([("a", 0, 0, y, x, 0, rng.random()) for y in range(128) for x in range(128)], PX).withColumn("label", F.lit(0).cast("long"))
+    rows = growing._contracted(growing.numbered_pixels(px), "yx")
+    assert rows.where("a is not null").count() < 0.1 * 2 * 128 * 128 and rows.where("node is not null").count() == 128 * 128

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators import regions, superpixels
+from voxelry.operators.components import numbered
 from voxelry.operators.filters import gaussian_smoothing, gradient_magnitude
 from voxelry.operators.geometry import zero_default
 from voxelry.plans.stored import written
@@ -17,13 +18,15 @@ from voxelry.sources.tables import COORDINATES
 def grow_over_edges(edges: DataFrame, seeds: DataFrame, background: int | None = None, priority: float = 1.0, unbiased_below: float = 0.0, max_rounds: int = 64) -> DataFrame:
     """``node, label``: labels of ``seeds(node, label)`` grown over ``edges(src, dst, w)``, lightest edges first.
 
+    Equal weights are ordered by columns ``a`` and ``b`` of the edges, if there are any, and else by their ends.
+
     The result is the minimum spanning forest rooted in the seeds: what flooding in ascending order of weight gives, but
-    in rounds. In each round every cluster without a seed is tied to the one across its lightest edge; equal weights are
-    ordered by the edge's ends. Clusters then become nodes and parallel edges are reduced to the lightest, so that the
+    in rounds. In each round every cluster without a seed is tied to the one across its lightest edge. Clusters then become nodes and parallel edges are reduced to the lightest, so that the
     edge table at least halves. Edges towards a cluster of label ``background`` count ``priority`` times their weight
     from ``unbiased_below`` on. Nodes that no seed reaches have no row; loops and null ends or weights are ignored.
     """
-    ordered = edges.where("src <> dst and w is not null").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.struct(F.col("w").cast("double").alias("w"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).alias("e"))
+    ends = [F.col("a"), F.col("b")] if "a" in edges.columns else [F.least("src", "dst"), F.greatest("src", "dst")]
+    ordered = edges.where("src <> dst and w is not null").select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), F.struct(F.col("w").cast("double").alias("w"), ends[0].alias("a"), ends[1].alias("b")).alias("e"))
     seeds = written(seeds.groupBy("node").agg(F.min("label").alias("label")), "seeds")
     now = _lightest(ordered, seeds)
     merged = []
@@ -73,29 +76,140 @@ def _roots(picks: DataFrame, max_rounds: int = 64) -> DataFrame | None:
     raise RuntimeError(f"chains have not settled after {max_rounds} rounds")
 
 
-def _name(*columns: str | Column) -> Column:
-    """Coordinates as one node name."""
-    return F.concat_ws("|", *(F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns))
+#: Sides of the blocks that are contracted one by one.
+BLOCK = {"z": 16, "y": 64, "x": 64}
+_VOLUME = ["image_id", "t", "c"]
+
+
+def numbered_pixels(px: DataFrame) -> DataFrame:
+    """Adds ``node LONG``: a number for each pixel, rising in raster order (z, y, x) within its frame and channel."""
+    low_high = px.agg(*(f(a).alias(f"{n}{a}") for a in "zyx" for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    span = {a: (low_high[f"hi{a}"] - low_high[f"lo{a}"] + 1) if low_high[f"lo{a}"] is not None else 1 for a in "zyx"}
+    bits = int(span["z"] * span["y"] * span["x"] - 1).bit_length()  # the others number the frames
+    start = {a: low_high[f"lo{a}"] or 0 for a in "zyx"}
+    frames = px.select(*_VOLUME).distinct().withColumn("_hash", F.xxhash64(*_VOLUME)).withColumn("_all", F.lit(0))
+    frames = written(numbered(frames, ["_all"], "_hash", F.shiftright("_hash", 48), 0).select(*_VOLUME, F.col("number").alias("_frame")), "frames")
+    at = {a: F.col(a).cast("long") - start[a] for a in "zyx"}
+    place = (at["z"] * span["y"] + at["y"]) * span["x"] + at["x"]
+    return px.join(frames, _VOLUME).withColumn("node", F.shiftleft("_frame", bits) + place).drop("_frame")
 
 
 def pixel_edges(px: DataFrame, axes: str = "zyx") -> DataFrame:
-    """Edges ``src, dst, w`` between pixels that share a face; w is the larger of both values."""
+    """Edges ``src, dst, w`` between pixels with numbers that share a face; w is the larger of both values."""
     steps = F.array(*(F.struct(*(F.lit(int(a == b)).alias(b) for b in "zyx")) for a in axes))
-    ahead = px.select(_name(*COORDINATES).alias("src"), "image_id", "t", "c", *(F.col(a).alias(f"{a}_") for a in "zyx"), F.col("v").alias("w"), F.explode(steps).alias("d"))
+    ahead = px.select(F.col("node").alias("src"), "image_id", "t", "c", *(F.col(a).alias(f"{a}_") for a in "zyx"), F.col("v").alias("w"), F.explode(steps).alias("d"))
     ahead = ahead.select("src", "w", "image_id", "t", "c", *((F.col(f"{a}_") + F.col(f"d.{a}")).alias(a) for a in "zyx"))
-    return ahead.join(px, COORDINATES).select("src", _name(*COORDINATES).alias("dst"), F.greatest("w", "v").alias("w"))
+    return ahead.join(px, COORDINATES).select("src", F.col("node").alias("dst"), F.greatest("w", "v").alias("w"))
+
+
+def contract(node: np.ndarray, label: np.ndarray, core: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ties pixels of a block together along edges that are sure to be in the spanning forest.
+
+    ``node`` are the pixels' numbers, ``label`` their seeds (0 without), ``core`` those of the block itself; the others lie
+    around it. ``u, v, w`` are edges between places of these arrays. A cluster of core pixels without a seed is tied across its
+    lightest edge unless that leads out of the block. Returns each pixel's root, a place of the arrays, and the places of
+    the edges that are left between different clusters: those to pixels around, and the lightest between two of the block.
+    """
+    order = np.lexsort((np.maximum(node[u], node[v]), np.minimum(node[u], node[v]), w))
+    u, v = u[order], v[order]
+    root, seeded = np.arange(len(node)), label != 0
+    left = np.arange(len(u))
+    while True:
+        a, b = root[u[left]], root[v[left]]
+        open_ = (a != b) & ~(seeded[a] & seeded[b])
+        left, a, b = left[open_], a[open_], b[open_]
+        best = np.full(len(node), len(order))
+        np.minimum.at(best, a, left)
+        np.minimum.at(best, b, left)
+        picks = np.nonzero((best < len(order)) & core & ~seeded & (root == np.arange(len(node))))[0]
+        to = np.where(root[u[best[picks]]] == picks, root[v[best[picks]]], root[u[best[picks]]])
+        picks, to = picks[core[to]], to[core[to]]
+        if not len(picks):
+            break
+        jump = np.arange(len(node))
+        jump[picks] = to
+        mutual = picks[(jump[to] == picks) & (picks < to)]
+        jump[mutual] = mutual  # of two clusters that pick each other the first is the root
+        while True:
+            further = jump[jump]
+            if (further == jump).all():
+                break
+            jump = further
+        root = jump[root]
+    a, b = root[u[left]], root[v[left]]
+    out = ~(core[a] & core[b])
+    _, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_index=True)  # edges are in order: the first of a pair is its lightest
+    keep = out.copy()
+    keep[first] = True
+    return root, order[left[keep]]
+
+
+def _contracted(px: DataFrame, axes: str) -> DataFrame:
+    """Blocks of ``px(COORDINATES, v, node, label)`` contracted one by one.
+
+    Rows ``a, b, w, node, cluster, label``: of pixels (``a`` null) their cluster, named after one of its pixels, and its
+    seed's label; of edges (``node`` null) their ends ``a`` and ``b``, pixels of different clusters.
+    """
+    spans = [F.array_distinct(F.array(*(F.floor((F.col(a) + d) / BLOCK[a]).cast("int") for d in (0, -1, 1)))) for a in axes]
+    rows = px
+    for a, span in zip(axes, spans):
+        rows = rows.withColumn(f"b{a}", F.explode(span))
+    key = [c for c in COORDINATES if c not in axes] + [f"b{a}" for a in axes]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node", ignore_index=True)
+        place = {a: pdf[a].to_numpy() - int(pdf[f"b{a}"].iloc[0]) * BLOCK[a] + 1 for a in axes}
+        core = np.ones(len(pdf), dtype=bool)
+        grid = np.full([BLOCK[a] + 2 for a in axes], -1, dtype=np.int64)
+        grid[tuple(place[a] for a in axes)] = np.arange(len(pdf))
+        for a in axes:
+            core &= (place[a] >= 1) & (place[a] <= BLOCK[a])
+        none = pd.DataFrame({"a": [], "b": [], "w": [], "node": [], "cluster": [], "label": []})
+        if not core.any():
+            return none
+        ends = []
+        for i in range(len(axes)):
+            near, far = np.moveaxis(grid, i, 0)[:-1].ravel(), np.moveaxis(grid, i, 0)[1:].ravel()
+            both = (near >= 0) & (far >= 0)
+            ends.append((near[both], far[both]))
+        u, v = (np.concatenate(x) for x in zip(*ends))
+        inner = core[u] | core[v]
+        u, v = u[inner], v[inner]
+        node, value, label = pdf["node"].to_numpy(), pdf["v"].to_numpy(), pdf["label"].to_numpy()
+        w = np.maximum(value[u], value[v])
+        root, edges = contract(node, np.where(core, label, 0), core, u, v, w)
+        low, high = np.minimum(node[u], node[v])[edges], np.maximum(node[u], node[v])[edges]
+        # an edge out of the block is met in both blocks and told by that of its lower end
+        lower_is_core = np.where(node[u[edges]] == low, core[u[edges]], core[v[edges]])
+        low, high, w = low[lower_is_core], high[lower_is_core], w[edges][lower_is_core]
+        ways = pd.DataFrame({"a": low, "b": high, "w": w})
+        mine = pd.DataFrame({"node": node[core], "cluster": node[root[core]], "label": label[root[core]]})
+        return pd.concat([none, mine, ways], ignore_index=True).astype({c: "Int64" for c in ("a", "b", "node", "cluster", "label")})
+
+    return rows.groupBy(*key).applyInPandas(work, "a long, b long, w double, node long, cluster long, label long")
 
 
 def seeded_watershed(px: DataFrame, seeds: DataFrame, axes: str = "zyx") -> DataFrame:
     """Labels of the pixels of ``px`` flooded from ``seeds`` (a label image) in ascending order of value.
 
     Only pixels present in ``px`` are flooded; seeds on absent pixels are ignored, as are those of label 0. Pixels no
-    seed reaches are absent from the result.
+    seed reaches are absent from the result. Equal values are ordered by the raster order of an edge's pixels. Blocks are
+    contracted one by one: within a block all clusters but those whose lightest edge leads out of it are tied together, so
+    that only clusters and edges along the faces of blocks enter the rounds of grow_over_edges.
     """
-    px = written(px.where("v is not null").select(*COORDINATES, "v"), "relief")
-    placed = seeds.where("v <> 0").select(*COORDINATES, F.col("v").cast("long").alias("label")).join(px.select(*COORDINATES), COORDINATES, "left_semi")
-    grown = grow_over_edges(pixel_edges(px, axes), placed.select(_name(*COORDINATES).alias("node"), "label"))
-    return px.select(*COORDINATES, _name(*COORDINATES).alias("node")).join(grown, "node").select(*COORDINATES, F.col("label").alias("v"))
+    relief = px.where("v is not null").select(*COORDINATES, F.col("v").cast("double").alias("v"))
+    marks = seeds.where("v <> 0").groupBy(*COORDINATES).agg(F.min(F.col("v").cast("long")).alias("label"))
+    relief = numbered_pixels(written(relief.join(marks, COORDINATES, "left").fillna({"label": 0}), "relief"))
+    relief = written(relief, "relief")
+    rows = written(_contracted(relief, axes), "contracted")
+    pixels = rows.where("node is not null").select("node", "cluster", "label")
+    ends = rows.where("a is not null").select("a", "b", "w")
+    for end, name in (("a", "src"), ("b", "dst")):
+        ends = ends.join(pixels.select(F.col("node").alias(end), F.col("cluster").alias(name)), end)
+    named = pixels.where("label <> 0").select(F.col("cluster").alias("node"), "label").distinct()
+    grown = grow_over_edges(written(ends, "faces"), named)
+    of_pixels = pixels.select("node", "cluster").join(grown.select(F.col("node").alias("cluster"), F.col("label").alias("found")), "cluster")
+    return relief.join(of_pixels.select("node", "found"), "node").select(*COORDINATES, F.col("found").alias("v"))
 
 
 def local_minima(px: DataFrame, axes: str = "zyx") -> DataFrame:
