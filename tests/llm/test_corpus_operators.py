@@ -492,3 +492,29 @@ def test_pipeline_of_awkward_and_empty_tables(spark, small, tmp_path):
         for _, function in corpus_pipeline.STAGES[:-1]:
             stage = function(spark, stage, f"{tmp_path}/{name}")
             assert stage.columns == docs.columns
+
+
+def test_evenly_spread_vectors_in_many_cells_reach_the_recall(spark, monkeypatch):
+    """No bound on the cells looked at: vectors on a sphere in 64 dimensions, as many small cells as there are, recall 0.9."""
+    monkeypatch.setattr(ann, "LIST_TARGET", 32)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.nearest_neighbours(frame, cell_target=200).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    asked = list(range(0, 8000, 100))
+    hits = sum(len(got[q] & {v for _, v in near}) for q, near in zip(asked, ann.exact_neighbours(x, np.arange(8000), asked)))
+    print(f"recall {hits / 10 / len(asked):.4f}")
+    assert hits >= 0.9 * 10 * len(asked)
+
+
+def test_no_query_reads_more_entries_than_there_are(spark, data):
+    vectors = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda c: c.cast("double")).alias("v"))
+    cells, centroids, postings = ann.build_index(vectors)
+    sizes = postings.groupBy("list", (F.col("place") > 0).alias("copy")).agg(F.count(F.lit(1)).alias("entries")).cache()
+    asked = vectors.where("vec_id % 100 = 0").select(F.xxhash64("v").alias("key"), "v")
+    read = ann._without_excess(ann._probes(asked, cells, centroids, 10), sizes, centroids)
+    entries = {r["key"]: r["n"] for r in read.join(sizes, ["list", "copy"]).groupBy("key").agg(F.sum("entries").alias("n")).collect()}
+    assert len(entries) == asked.count() and max(entries.values()) <= vectors.count()
