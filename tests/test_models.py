@@ -26,6 +26,10 @@ def test_the_informative_features_are_chosen_and_copies_come_last(spark):
     assert chosen[0] == "good" and chosen.index("copy") > 0
     assert selection.information_feature_selection(m.where("false"), ["noise", "good", "copy", "weak"], 2) == []
     assert selection.wrapper_feature_selection(m, ["noise", "good", "copy", "weak"], trees=3) == ["good"]
+    for parts in (1, 5):  # however the rows lie
+        assert selection.wrapper_feature_selection(m.repartition(parts), ["noise", "good", "copy", "weak"], trees=3) == ["good"]
+    left = selection.wrapper_feature_selection(m, ["noise", "good", "copy", "weak"], backward=True, trees=3)
+    assert left in (["good"], ["copy"])
 
 
 def test_missing_and_infinite_values_have_a_bin_of_their_own(spark):

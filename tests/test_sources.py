@@ -35,7 +35,8 @@ def test_blocks_and_pyramid(spark, small, tmp_path):
     files.write_blocks(px, str(tmp_path / "blocks"), 16)
     back = files.read_blocks(spark, str(tmp_path / "blocks"))
     assert back.select(*px.columns).exceptAll(px).count() == 0 and back.count() == px.count()
-    grid = spark.createDataFrame([("A", 0, 0, 0), ("A", 9, 9, 9)], "image_id string, bz int, by int, bx int")
+    image = px.agg(F.min("image_id")).first()[0]
+    grid = spark.createDataFrame([(image, 0, 0, 0), (image, 9, 9, 9)], "image_id string, bz int, by int, bx int")
     assert [r["bz"] for r in files.missing_blocks(back, grid).collect()] == [9]
     assert files.write_pyramid(px, str(tmp_path / "pyramid"), 48, 16) == 3
     half = files.read_scale(spark, str(tmp_path / "pyramid"), 1)

@@ -1,8 +1,10 @@
-"""Neighbourhood filters. Two forms: kernel joins in plain SQL for sparse pixels, and block numpy for dense feature banks."""
+"""Neighbourhood filters: dense blocks with a halo, each evaluated in numpy; ``stencil`` does so for any function of a user."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,47 +35,137 @@ def gaussian_kernel(sigma: float, order: int = 0, window: float = WINDOW) -> lis
     return g
 
 
-def kernel_along(px: DataFrame, axis: str, kernel: list[float]) -> DataFrame:
-    """Correlates present pixels with a kernel along one axis; absent pixels count as 0 and places next to pixels are filled.
-
-    Each pixel is sent to the places it contributes to; sums are combined before the shuffle.
-    """
-    r = len(kernel) // 2
-    parts = F.explode(F.array(*(F.struct(F.lit(i - r).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(kernel))))
-    spread = px.select(*COORDINATES, "v", parts.alias("k")).withColumn(axis, F.col(axis) - F.col("k.d"))
-    return spread.groupBy(*COORDINATES).agg(F.sum(F.col("v") * F.col("k.w")).alias("v"))
-
-
 def within(px: DataFrame, shape: dict[str, int]) -> DataFrame:
     for axis, n in shape.items():
         px = px.where(F.col(axis).between(0, n - 1))
     return px
 
 
-def gaussian_smoothing(px: DataFrame, sigma: float | dict[str, float], axes: str = "yx", shape: dict[str, int] | None = None) -> DataFrame:
-    """Separable Gaussian over sparse pixels, one axis after the other; ``sigma`` may differ by axis."""
+@dataclass
+class Block:
+    """A dense block with its halo: values (absent pixels are 0), which pixels are present, and which lie within the image."""
+
+    values: np.ndarray
+    present: np.ndarray
+    inside: np.ndarray
+    axes: str
+
+    def along(self, kernels: dict[str, list[float]], image: np.ndarray | None = None) -> np.ndarray:
+        """Correlates with a kernel along each named axis, in turn; what leaves the image on the way is dropped."""
+        image = self.values if image is None else image
+        for a, k in kernels.items():
+            image = correlate(image, k, self.axes.index(a)) * self.inside
+        return image
+
+    def reached(self, radii: dict[str, int], mask: np.ndarray | None = None) -> np.ndarray:
+        """Places within ``radii`` of present pixels."""
+        mask = self.present if mask is None else mask
+        for a, r in radii.items():
+            mask = dilate(mask, r, self.axes.index(a)) & self.inside
+        return mask
+
+
+def correlate(a: np.ndarray, kernel: list[float] | np.ndarray, axis: int) -> np.ndarray:
+    """The sums of ``kernel[i] * a[place + i - r]`` along one axis, r being the kernel's radius; 0 beyond the ends."""
+    a = np.moveaxis(a, axis, 0)
+    out, r, n = np.zeros_like(a), len(kernel) // 2, len(a)
+    for i, w in enumerate(kernel):
+        d = i - r
+        if w and abs(d) < n:
+            out[max(0, -d) : n - max(0, d)] += w * a[max(0, d) : n - max(0, -d)]
+    return np.moveaxis(out, 0, axis)
+
+
+def dilate(mask: np.ndarray, r: int, axis: int) -> np.ndarray:
+    """Places at most ``r`` from a marked one along one axis."""
+    m = np.moveaxis(mask, axis, 0)
+    n = len(m)
+    total = np.concatenate([np.zeros((1, *m.shape[1:]), dtype=np.int64), np.cumsum(m, axis=0, dtype=np.int64)])
+    k = np.arange(n)
+    return np.moveaxis(total[np.minimum(k + r + 1, n)] > total[np.maximum(k - r, 0)], 0, axis)
+
+
+#: What a user's stencil returns: the channels it makes of a block, and where they hold.
+Stencil = Callable[[Block], tuple[Sequence[np.ndarray], np.ndarray]]
+
+
+def stencil(px: DataFrame, fn: Stencil, halo: int | dict[str, int], block: int = 64, axes: str = "yx", shape: dict[str, int] | None = None) -> DataFrame:
+    """Evaluates ``fn`` on every dense block of 2D (``yx``) or 3D (``zyx``) images with its halo, in one shuffle.
+
+    ``fn`` gets a Block that is ``halo`` wider than its core on every side and returns arrays of the block's shape, the
+    channels, and a mask of the places where they hold; those of the core within ``shape`` become pixels. With k channels,
+    channel c of an image becomes channels c * k and following. The result does not depend on the blocks as long as no
+    place of ``fn``'s result looks further than the halo. Memory is bounded by the block with its halo.
+    """
+    reach = {a: halo if isinstance(halo, int) else halo.get(a, 0) for a in axes}
+    rows = px.select(*COORDINATES, F.col("v").cast("double").alias("v"))
+    if shape:
+        rows = within(rows, {a: n for a, n in shape.items() if a in axes})
     for a in axes:
-        s = sigma[a] if isinstance(sigma, dict) else sigma
-        px = kernel_along(px, a, gaussian_kernel(s))
-        if shape:
-            px = within(px, {a: shape[a]})
-    return px
+        rows = rows.select("*", F.explode(F.sequence(F.floor((F.col(a) - reach[a]) / block), F.floor((F.col(a) + reach[a]) / block))).alias(f"b{a}"))
+    key = [c for c in COORDINATES if c not in axes] + [f"b{a}" for a in axes]
+    core = tuple(slice(reach[a], reach[a] + block) for a in axes)
+
+    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
+        low = {a: int(pdf[f"b{a}"].iloc[0]) * block - reach[a] for a in axes}
+        size = tuple(block + 2 * reach[a] for a in axes)
+        values, present, inside = np.zeros(size), np.zeros(size, dtype=bool), np.ones(size, dtype=bool)
+        at = tuple(pdf[a].to_numpy() - low[a] for a in axes)
+        values[at] = pdf["v"].to_numpy()
+        present[at] = True
+        for i, a in enumerate(axes):
+            if shape and a in shape:
+                place = np.arange(low[a], low[a] + size[i])
+                inside &= ((place >= 0) & (place < shape[a])).reshape([-1 if j == i else 1 for j in range(len(axes))])
+        channels, mask = fn(Block(values, present, inside, axes))
+        found = np.nonzero((mask & inside)[core])
+        n, k = len(found[0]), len(channels)
+        out = {c: np.repeat(pdf[c].iloc[0], n * k) for c in COORDINATES if c not in axes}
+        out |= {a: np.tile(f + low[a] + reach[a], k) for a, f in zip(axes, found)}
+        out["c"] = out["c"] * k + np.repeat(np.arange(k), n)
+        out["v"] = np.concatenate([ch[core][found] for ch in channels])
+        return pd.DataFrame(out)[[*COORDINATES, "v"]]
+
+    return rows.groupBy(*key).applyInPandas(compute, "image_id string, t int, z int, y int, x int, c int, v double")
+
+
+def _radii(kernels: dict[str, list[float]]) -> dict[str, int]:
+    return {a: len(k) // 2 for a, k in kernels.items()}
+
+
+def gaussian_smoothing(px: DataFrame, sigma: float | dict[str, float], axes: str = "yx", shape: dict[str, int] | None = None) -> DataFrame:
+    """Separable Gaussian, block by block; ``sigma`` may differ by axis. Absent pixels count as 0, places that a pixel reaches are filled."""
+    if not axes:
+        return px.select(*COORDINATES, "v")
+    return smoothed_along(px, {a: gaussian_kernel(sigma[a] if isinstance(sigma, dict) else sigma) for a in axes}, shape)
+
+
+def smoothed_along(px: DataFrame, kernels: dict[str, list[float]], shape: dict[str, int] | None = None) -> DataFrame:
+    """Correlates with a kernel along each named axis, the others left alone."""
+    axes = "zyx" if "z" in kernels else "yx"
+    return stencil(px, lambda b: ([b.along(kernels)], b.reached(_radii(kernels))), _radii(kernels), _side(axes), axes, shape)
+
+
+def _side(axes: str) -> int:
+    return 32 if "z" in axes else 64
 
 
 def difference_of_gaussians(px: DataFrame, s0: float, s1: float, shape: dict[str, int]) -> DataFrame:
-    a, b = (gaussian_smoothing(px, s, "yx", shape) for s in (s0, s1))
-    return a.unionByName(b.withColumn("v", -F.col("v"))).groupBy(*COORDINATES).agg(F.sum("v").alias("v"))
+    first, second = ({a: gaussian_kernel(s) for a in "yx"} for s in (s0, s1))
+    widest = _radii(first if s0 >= s1 else second)
+    return stencil(px, lambda b: ([b.along(first) - b.along(second)], b.reached(widest)), widest, shape=shape)
+
+
+def _derived(sigma: float, orders: list[dict[str, int]], axes: str) -> Callable[[Block], list[np.ndarray]]:
+    """Separable derivative filters of a block, one for each of ``orders``."""
+    kernels = [{a: gaussian_kernel(sigma, order.get(a, 0)) for a in axes} for order in orders]
+    return lambda b: [b.along(k) for k in kernels]
 
 
-def _derivatives(px: DataFrame, sigma: float, orders: list[dict[str, int]], shape: dict[str, int], axes: str = "yx") -> DataFrame:
-    """Images of several separable derivative filters side by side, as channels."""
-    out = None
-    for c, order in enumerate(orders):
-        d = px.withColumn("c", F.lit(c))
-        for a in axes:
-            d = within(kernel_along(d, a, gaussian_kernel(sigma, order.get(a, 0))), {a: shape[a]})
-        out = d if out is None else out.unionByName(d)
-    return out
+def _derivative_stencil(px: DataFrame, sigma: float, orders: list[dict[str, int]], shape: dict[str, int], axes: str, then: Callable[[list[np.ndarray]], list[np.ndarray]] = list) -> DataFrame:
+    """What ``then`` makes of several derivatives, as channels."""
+    radii, derived = _radii({a: gaussian_kernel(sigma) for a in axes}), _derived(sigma, orders, axes)
+    return stencil(px, lambda b: (then(derived(b)), b.reached(radii)), radii, _side(axes), axes, shape)
 
 
 def anisotropic_smoothing(px: DataFrame, sigmas: dict[str, float], shape: dict[str, int] | None = None) -> DataFrame:
@@ -89,72 +181,104 @@ def _orders(axes: str) -> list[dict[str, int]]:
 
 def hessian(px: DataFrame, sigma: float, shape: dict[str, int], axes: str = "yx") -> DataFrame:
     """Second derivatives as channels: the upper triangle, row by row (3 channels in 2D, 6 in 3D)."""
-    return _derivatives(px, sigma, _orders(axes), shape, axes)
+    return _derivative_stencil(px, sigma, _orders(axes), shape, axes)
 
 
-def _eigen_image(matrices: DataFrame, axes: str) -> DataFrame:
-    """Eigenvalues of the symmetric matrices whose upper triangles are the channels, largest first, as channels; absent channels are 0."""
-    pixel, n = ["image_id", "t", "z", "y", "x"], len(axes)
-    entries = n * (n + 1) // 2
-    rows = matrices.groupBy(*pixel).agg(*(F.coalesce(F.max(F.when(F.col("c") == i, F.col("v"))), F.lit(0.0)).alias(f"h{i}") for i in range(entries)))
+def eigen_channels(triangle: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Eigenvalues, largest first, of the symmetric matrices whose upper triangles are given."""
+    n = 2 if len(triangle) == 3 else 3
+    m = np.empty((*triangle[0].shape, n, n))
+    for (i, j), v in zip(((i, j) for i in range(n) for j in range(i, n)), triangle):
+        m[..., i, j] = m[..., j, i] = v
+    return list(np.moveaxis(np.linalg.eigvalsh(m)[..., ::-1], -1, 0))
 
-    @F.pandas_udf("array<double>")
-    def eigenvalues(*h: pd.Series) -> pd.Series:
-        m = np.zeros((len(h[0]), n, n))
-        for (i, j), v in zip(((i, j) for i in range(n) for j in range(i, n)), h):
-            m[:, i, j] = m[:, j, i] = v.to_numpy()
-        return pd.Series(list(np.linalg.eigvalsh(m)[:, ::-1]))
 
-    return rows.select(*pixel, F.posexplode(eigenvalues(*(f"h{i}" for i in range(entries)))).alias("c", "v"))
+def hessian_eigenvalues(px: DataFrame, sigma: float, shape: dict[str, int], axes: str = "yx") -> DataFrame:
+    return _derivative_stencil(px, sigma, _orders(axes), shape, axes, eigen_channels)
 
 
-def hessian_eigenvalues(px: DataFrame, sigma: float, shape: dict[str, int], axes: str = "yx") -> DataFrame:
-    return _eigen_image(hessian(px, sigma, shape, axes), axes)
+def hessian_first_eigenvalue(px: DataFrame, sigma: float, shape: dict[str, int], axes: str = "yx") -> DataFrame:
+    """The largest eigenvalue of the Hessian."""
+    return _derivative_stencil(px, sigma, _orders(axes), shape, axes, lambda d: eigen_channels(d)[:1])
 
 
 def structure_tensor_eigenvalues(px: DataFrame, inner: float, outer: float, shape: dict[str, int], axes: str = "yx") -> DataFrame:
     """Products of gradients at ``inner``, smoothed at ``outer``, and their eigenvalues as channels."""
-    pixel = ["image_id", "t", "z", "y", "x"]
-    gradient = _derivatives(px, inner, [{a: 1} for a in axes], shape, axes)
-    rows = gradient.groupBy(*pixel).agg(*(F.coalesce(F.max(F.when(F.col("c") == i, F.col("v"))), F.lit(0.0)).alias(f"g{i}") for i in range(len(axes))))
-    products = F.array(*(F.col(f"g{i}") * F.col(f"g{j}") for i in range(len(axes)) for j in range(i, len(axes))))
-    tensor = rows.select(*pixel, F.posexplode(products).alias("c", "v"))
-    return _eigen_image(gaussian_smoothing(tensor, outer, axes, shape), axes)
+    slopes, smooth = _derived(inner, [{a: 1} for a in axes], axes), {a: gaussian_kernel(outer) for a in axes}
+    near, far = _radii({a: gaussian_kernel(inner) for a in axes}), _radii(smooth)
+
+    def tensor(b: Block) -> tuple[list[np.ndarray], np.ndarray]:
+        g = slopes(b)
+        products = [b.along(smooth, g[i] * g[j]) for i in range(len(axes)) for j in range(i, len(axes))]
+        return eigen_channels(products), b.reached(far, b.reached(near))
+
+    return stencil(px, tensor, {a: near[a] + far[a] for a in axes}, _side(axes), axes, shape)
 
 
 def gradient_magnitude(px: DataFrame, sigma: float, shape: dict[str, int]) -> DataFrame:
-    both = _derivatives(px, sigma, [{"y": 1}, {"x": 1}], shape)
-    return both.groupBy("image_id", "t", "z", "y", "x").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("v")).select("image_id", "t", "z", "y", "x", F.lit(0).alias("c"), "v")
+    return _derivative_stencil(px, sigma, [{"y": 1}, {"x": 1}], shape, "yx", lambda d: [np.sqrt(d[0] * d[0] + d[1] * d[1])])
 
 
 def laplacian(px: DataFrame, sigma: float, shape: dict[str, int]) -> DataFrame:
-    both = _derivatives(px, sigma, [{"y": 2}, {"x": 2}], shape)
-    return both.groupBy("image_id", "t", "z", "y", "x").agg(F.sum("v").alias("v")).select("image_id", "t", "z", "y", "x", F.lit(0).alias("c"), "v")
+    return _derivative_stencil(px, sigma, [{"y": 2}, {"x": 2}], shape, "yx", lambda d: [d[0] + d[1]])
 
 
 FEATURES = ["gaussian", "laplacian", "gradient", "dog", "hessian_0", "hessian_1", "tensor_0", "tensor_1"]
 
 
-def _along(a: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
-    return np.apply_along_axis(lambda line: np.convolve(line, kernel[::-1], mode="same"), axis, a)
-
-
 def _eigenvalues(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the matrices ((a, b), (b, c)), largest first."""
     half, root = (a + c) / 2, np.sqrt(((a - c) / 2) ** 2 + b * b)
     return half + root, half - root
 
 
-def block_features(image: np.ndarray, sigma: float) -> dict[str, np.ndarray]:
-    """All features of one dense 2D block at one scale."""
-    k = [np.array(gaussian_kernel(sigma, o)) for o in range(3)]
-    both = lambda oy, ox: _along(_along(image, k[oy], 0), k[ox], 1)
-    g, gy, gx, yy, xx, yx = both(0, 0), both(1, 0), both(0, 1), both(2, 0), both(0, 2), both(1, 1)
-    small, outer = (np.array(gaussian_kernel(s)) for s in (0.66 * sigma, 0.5 * sigma))
-    smooth = lambda a, w: _along(_along(a, w, 0), w, 1)
-    h = _eigenvalues(yy, yx, xx)
-    s = _eigenvalues(smooth(gy * gy, outer), smooth(gy * gx, outer), smooth(gx * gx, outer))
-    return {"gaussian": g, "laplacian": yy + xx, "gradient": np.sqrt(gy * gy + gx * gx), "dog": g - smooth(image, small), "hessian_0": h[0], "hessian_1": h[1], "tensor_0": s[0], "tensor_1": s[1]}
+def _smoothed(image: np.ndarray, kernel: list[float]) -> np.ndarray:
+    for axis in range(image.ndim):
+        image = correlate(image, kernel, axis)
+    return image
+
+
+def presmoothing(sigma: float) -> tuple[float, float]:
+    """Scales above 1 are those of the image smoothed beforehand, filtered at 1: the sigma of either step, 0 for none."""
+    return (math.sqrt(sigma * sigma - 1.0), 1.0) if sigma > 1.0 else (0.0, sigma)
+
+
+def halo_of(sigma: float) -> int:
+    """How far the features of a scale look: the smoothing beforehand, a derivative and the smoothing of a structure tensor."""
+    before, at = presmoothing(sigma)
+    radius = lambda s: len(gaussian_kernel(s)) // 2 if s else 0
+    return radius(before) + radius(at) + radius(0.5 * at)
+
+
+def block_features(image: np.ndarray, sigma: float, features: Sequence[str] = FEATURES) -> dict[str, np.ndarray]:
+    """The named features of one dense 2D block at one scale; what none of them needs is not computed."""
+    before, at = presmoothing(sigma)
+    if before:
+        image = _smoothed(image, gaussian_kernel(before))
+    wanted, known = set(features), {}
+    kernels = [gaussian_kernel(at, o) for o in range(3)]
+
+    def derived(oy: int, ox: int) -> np.ndarray:
+        for order in ((oy, None), (oy, ox)):
+            if order not in known:
+                known[order] = correlate(image, kernels[oy], 0) if order[1] is None else correlate(known[oy, None], kernels[ox], 1)
+        return known[oy, ox]
+
+    found = {}
+    if wanted & {"gaussian", "dog"}:
+        found["gaussian"] = derived(0, 0)
+    if "dog" in wanted:
+        found["dog"] = found["gaussian"] - _smoothed(image, gaussian_kernel(0.66 * at))
+    if "laplacian" in wanted:
+        found["laplacian"] = derived(2, 0) + derived(0, 2)
+    if "gradient" in wanted:
+        found["gradient"] = np.sqrt(derived(1, 0) ** 2 + derived(0, 1) ** 2)
+    if wanted & {"hessian_0", "hessian_1"}:
+        found["hessian_0"], found["hessian_1"] = _eigenvalues(derived(2, 0), derived(1, 1), derived(0, 2))
+    if wanted & {"tensor_0", "tensor_1"}:
+        gy, gx, outer = derived(1, 0), derived(0, 1), gaussian_kernel(0.5 * at)
+        found["tensor_0"], found["tensor_1"] = _eigenvalues(*(_smoothed(p, outer) for p in (gy * gy, gy * gx, gx * gx)))
+    return {f: found[f] for f in features}
 
 
 def stencil_blocks(px: DataFrame, block: int, halo: int) -> DataFrame:
@@ -166,11 +290,18 @@ def stencil_blocks(px: DataFrame, block: int, halo: int) -> DataFrame:
 def feature_bank(px: DataFrame, sigmas: list[float], features: list[str] | None = None, block: int = 64) -> DataFrame:
     """Selected features at several scales for every present pixel: ``image_id, t, z, y, x, c, f ARRAY<FLOAT>``.
 
-    Every block is computed with a halo wide enough for the largest kernel (structure tensors smooth twice), so that the
-    result does not depend on the blocks. All features are computed in one pass over a block. Absent pixels count as 0.
+    Scales above 1 are those of the image smoothed by ``sqrt(scale ** 2 - 1)``, filtered at 1. Every block is computed with a
+    halo as wide as the largest scale looks (structure tensors smooth twice), each scale on as much of it as that scale
+    needs, so that the result does not depend on the blocks. All scales are computed in one pass over a block. Absent
+    pixels count as 0.
     """
-    features = features or FEATURES
-    halo = math.ceil(WINDOW * max(sigmas)) + math.ceil(WINDOW * max(sigmas) * 0.66) + 1
+    return features_at(px, [(f, s) for s in sigmas for f in features or FEATURES], block)
+
+
+def features_at(px: DataFrame, chosen: list[tuple[str, float]], block: int = 64) -> DataFrame:
+    """The bank of chosen pairs of feature and scale, in their order."""
+    scales = sorted({s for _, s in chosen})
+    halo = max(map(halo_of, scales))
     key = ["image_id", "t", "z", "c", "by", "bx"]
 
     def compute(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -180,9 +311,14 @@ def feature_bank(px: DataFrame, sigmas: list[float], features: list[str] | None
         y, x = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
         image[y, x] = pdf["v"].to_numpy()
         core = (y >= halo) & (y < halo + block) & (x >= halo) & (x < halo + block)
-        found = [block_features(image, s) for s in sigmas]
-        values = np.stack([f[name][y[core], x[core]] for f in found for name in features], axis=1)
+        y, x, found = y[core], x[core], {}
+        for s in scales if core.any() else []:
+            cut = halo - halo_of(s)
+            names = list(dict.fromkeys(f for f, scale in chosen if scale == s))
+            for f, v in block_features(image[cut : n - cut, cut : n - cut], s, names).items():
+                found[f, s] = v[y - cut, x - cut]
         out = pdf.loc[core, COORDINATES].copy()
+        values = np.stack([found[c] for c in chosen], axis=1) if found else np.zeros((0, len(chosen)))
         out["f"] = pd.Series(list(values.astype(np.float32)), index=out.index, dtype=object)
         return out
 
@@ -205,9 +341,8 @@ def select_features(px: DataFrame, matrix: dict[str, list[float]], block: int =
     chosen = [(f, s) for f in FEATURES for s in sorted(set(matrix.get(f, [])))]
     if not chosen:
         raise ValueError("no features chosen")
-    scales = sorted({s for _, s in chosen})
-    bank = feature_bank(px, scales, FEATURES, block)
-    values = F.array(*(F.struct(F.lit(f"{f} {s}").alias("name"), F.get("f", F.lit(scales.index(s) * len(FEATURES) + FEATURES.index(f))).cast("double").alias("v")) for f, s in chosen))
+    bank = features_at(px, chosen, block)
+    values = F.array(*(F.struct(F.lit(f"{f} {s}").alias("name"), F.get("f", F.lit(i)).cast("double").alias("v")) for i, (f, s) in enumerate(chosen)))
     rows = bank.select("image_id", "t", "z", "y", "x", F.col("c").alias("_c"), F.posexplode(values).alias("i", "u"))
     return rows.select("image_id", "t", "z", "y", "x", (F.col("_c") * len(chosen) + F.col("i")).alias("c"), "u.name", "u.v")
 

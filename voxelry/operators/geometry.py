@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelry.operators.filters import gaussian_kernel, kernel_along, within
+from voxelry.operators.filters import gaussian_kernel, smoothed_along
 from voxelry.sources.tables import COORDINATES
 
 AXES = ["t", "z", "y", "x", "c"]
@@ -137,10 +137,11 @@ def resize(px: DataFrame, source: dict[str, int], target: dict[str, int], order:
     """
     if order not in (0, 1, 2, 3):
         raise ValueError("order 0, 1, 2 or 3")
+    shrunk = {a: gaussian_kernel((source[a] / n - 1) / 2) for a, n in target.items() if order and n < source[a]}
+    if shrunk:
+        px = smoothed_along(px, shrunk, {a: source[a] for a in shrunk})
     for a, n in target.items():
         m = source[a]
-        if order and n < m:
-            px = within(kernel_along(px, a, gaussian_kernel((m / n - 1) / 2)), {a: m})
         if n == m:
             continue
         parts = []

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,30 +73,38 @@ def information_feature_selection(matrix: DataFrame, names: list[str], count: in
 def wrapper_feature_selection(matrix: DataFrame, names: list[str], backward: bool = False, penalty: float = 0.07, trees: int = 10, features: str = "f", seed: int = 0) -> list[str]:
     """Greedy search of the set with the best held-out accuracy less ``penalty`` times its share of all features.
 
-    Forward search adds, backward search removes one feature at a time, as long as the score does not fall; forward search
-    needs it to rise. A quarter of the rows, chosen by hash of the row, is held out for every set alike.
+    Forward search adds one feature at a time as long as the score rises by more than its standard error; backward search
+    removes one at a time as long as the score does not fall. A third of the rows, chosen by the hash of the row, is held
+    out for every set alike. Of equal sets the one that differs in the first feature is taken. The answer depends on the
+    rows and the seed, not on their partitions.
     """
-    rows = written(matrix.select("label", F.col(features).alias("f")).withColumn("held", F.pmod(F.xxhash64("label", "f", F.lit(seed)), F.lit(4)) == 0), "matrix")
-    evaluator = MulticlassClassificationEvaluator(metricName="accuracy")
+    held = F.pmod(F.xxhash64("label", "f", F.lit(seed)), F.lit(3)) == 0
+    rows = written(matrix.select("label", F.col(features).alias("f")).withColumn("held", held), "matrix")
+    size = rows.where("held").count()
 
-    def score(kept: list[int]) -> float:
+    def accuracy(kept: list[int]) -> float:
         part = rows.select("label", "held", F.array(*(F.get("f", F.lit(i)) for i in kept)).alias("f"))
         model = train(part.where("not held"), trees=trees, seed=seed)
         if model is None:
             return -math.inf
-        classes = int(model.numClasses)
-        scored = predict(part.where("held"), model, classes).select(F.col("label").cast("double").alias("label"), F.array_position("p", F.array_max("p")).cast("double").alias("prediction"))
-        return evaluator.evaluate(scored) - penalty * len(kept) / len(names)
+        scored = predict(part.where("held"), model, int(model.numClasses) - 1)
+        return scored.where(F.array_position("p", F.array_max("p")) == F.col("label")).count() / size
+
+    def cost(kept: list[int]) -> float:
+        return penalty * len(kept) / len(names)
 
     kept = list(range(len(names))) if backward else []
-    best = score(kept) if backward else -math.inf
-    while (len(kept) > 1) if backward else (len(kept) < len(names)):
+    hit = accuracy(kept) if backward and size else -math.inf
+    best = hit - cost(kept)
+    while size and ((len(kept) > 1) if backward else (len(kept) < len(names))):
         options = [[k for k in kept if k != i] if backward else [*kept, i] for i in range(len(names)) if backward == (i in kept)]
-        found = [(score(o), -n) for n, o in enumerate(options)]
-        top, at = max(found)
-        if top < best or (not backward and top <= best):
+        found = [accuracy(o) for o in options]
+        at = max(range(len(options)), key=lambda i: (found[i], -i))
+        top = found[at] - cost(options[at])
+        noise = math.sqrt(sum(p * (1 - p) for p in (hit, found[at]) if 0 < p < 1) / size)
+        if top < best or not backward and top <= best + noise:
             break
-        best, kept = top, options[-at]
+        hit, best, kept = found[at], top, options[at]
     return [names[i] for i in sorted(kept)]
 
 

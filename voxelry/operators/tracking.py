@@ -44,20 +44,64 @@ def candidate_links(objects: DataFrame, nearest: int = 3, most: float = 30.0) ->
     return pairs.withColumn("rank", rank).where(F.col("rank") <= nearest).select("image_id", "t", "src", "dst", "dist", "rank")
 
 
+def window_links(objects: DataFrame, labels: DataFrame, window: int = 50, smallest: int = 4, nearest: int = 3) -> DataFrame:
+    """The nearest objects of the next frame that reach into a window around the centre: ``image_id, t, src, dst, dist, rank``.
+
+    The window is ``window`` pixels wide along every axis, around the centre rounded to even; an object counts if one of its
+    pixels lies in it and it has ``smallest`` pixels at least. Distances are those of centres, ties go to the smaller id.
+    Pixels are joined to runs along x; windows and runs meet in a grid of cells as wide as the window, of which a window
+    touches four at most.
+    """
+    half = window // 2
+    along = Window.partitionBy("image_id", "t", "z", "y", "c", "v").orderBy("x")
+    runs = labels.where("v <> 0").withColumn("at", F.col("x") - F.row_number().over(along)).groupBy("image_id", "t", "z", "y", "c", "v", "at").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    cells = F.sequence(F.floor(F.col("x0") / window), F.floor(F.col("x1") / window))
+    runs = runs.select("image_id", (F.col("t") - 1).alias("t"), "z", "y", "x0", "x1", F.col("v").cast("long").alias("dst"), F.floor(F.col("y") / window).alias("gy"), F.explode(cells).alias("gx"))
+    axes = [a for a in "zyx" if f"c{a}" in objects.columns]
+    first = {a: F.bround(F.col(f"c{a}"), 0).cast("int") - half for a in axes}
+    corners = lambda a: F.array_distinct(F.array(F.floor(F.col(f"{a}_") / window), F.floor((F.col(f"{a}_") + 2 * half - 1) / window)))
+    parents = objects.select("image_id", "t", F.col("object_id").cast("long").alias("src"), *(first[a].alias(f"{a}_") for a in axes))
+    parents = parents.withColumn("gy", F.explode(corners("y"))).withColumn("gx", F.explode(corners("x")))
+    inside = (F.col("x1") >= F.col("x_")) & (F.col("x0") < F.col("x_") + 2 * half)
+    for a in axes[:-1]:
+        inside &= (F.col(a) >= F.col(f"{a}_")) & (F.col(a) < F.col(f"{a}_") + 2 * half)
+    pairs = parents.join(runs, ["image_id", "t", "gy", "gx"]).where(inside).select("image_id", "t", "src", "dst").distinct()
+    here = objects.select("image_id", "t", F.col("object_id").cast("long").alias("src"), *(F.col(f"c{a}").alias(f"{a}1") for a in axes))
+    ahead = objects.where(F.col("count") >= smallest).select("image_id", (F.col("t") - 1).alias("t"), F.col("object_id").cast("long").alias("dst"), *(F.col(f"c{a}").alias(f"{a}2") for a in axes))
+    dist = F.sqrt(sum(((F.col(f"{a}1") - F.col(f"{a}2")) * (F.col(f"{a}1") - F.col(f"{a}2")) for a in axes), F.lit(0.0)))
+    rows = pairs.join(here, ["image_id", "t", "src"]).join(ahead, ["image_id", "t", "dst"]).withColumn("dist", dist)
+    rank = F.row_number().over(Window.partitionBy("image_id", "t", "src").orderBy("dist", "dst"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= nearest).select("image_id", "t", "src", "dst", "dist", "rank")
+
+
 def division_features(objects: DataFrame, links: DataFrame, default: float = 9999.0) -> DataFrame:
-    """Distances of the three best children, and the ratios and the angle a division would have, for each parent."""
-    child = objects.select("image_id", (F.col("t") - 1).alias("t"), F.col("object_id").alias("dst"), F.col("cy").alias("y2"), F.col("cx").alias("x2"), F.col("mean").alias("m2"))
-    rows = links.join(child, ["image_id", "t", "dst"]).groupBy("image_id", "t", "src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst", "y2", "x2", "m2"))).alias("k"))
-    rows = rows.join(objects.select("image_id", "t", F.col("object_id").alias("src"), "cy", "cx", "mean"), ["image_id", "t", "src"])
+    """Distances of the three best children, and the ratios and the angle a division would have, for each parent.
+
+    ``children_ratio`` (at most 1) and ``parent_children_ratio`` (parent over the sum of both) compare the means of the two
+    nearest, and those ending in ``_count`` their sizes; ``angle`` is the widest, in degrees, between two of the three.
+    Null where there are not two children or nothing to divide by.
+    """
+    features = [c for c in ("mean", "count") if c in objects.columns]
+    child = objects.select("image_id", (F.col("t") - 1).alias("t"), F.col("object_id").alias("dst"), F.col("cy").alias("y2"), F.col("cx").alias("x2"), *(F.col(c).cast("double").alias(f"{c}2") for c in features))
+    rows = links.join(child, ["image_id", "t", "dst"]).groupBy("image_id", "t", "src").agg(F.array_sort(F.collect_list(F.struct("dist", "dst", "y2", "x2", *(f"{c}2" for c in features)))).alias("k"))
+    rows = rows.join(objects.select("image_id", "t", F.col("object_id").alias("src"), "cy", "cx", *features), ["image_id", "t", "src"])
     at = lambda i, f: F.get(F.col("k"), i)[f]
-    two = F.size("k") >= 2
-    ratio = F.least(at(0, "m2") / F.nullif(at(1, "m2"), F.lit(0.0)), at(1, "m2") / F.nullif(at(0, "m2"), F.lit(0.0)))
-    dot = (at(0, "y2") - F.col("cy")) * (at(1, "y2") - F.col("cy")) + (at(0, "x2") - F.col("cx")) * (at(1, "x2") - F.col("cx"))
-    cosine = F.greatest(F.least(dot / F.nullif(at(0, "dist") * at(1, "dist"), F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
+    zero = F.lit(0.0)
+
+    def ratios(c: str) -> list[Column]:
+        one, other = at(0, f"{c}2"), at(1, f"{c}2")
+        end = "" if c == "mean" else f"_{c}"
+        return [F.least(one / F.nullif(other, zero), other / F.nullif(one, zero)).alias(f"children_ratio{end}"), (F.col(c) / F.nullif(one + other, zero)).alias(f"parent_children_ratio{end}")]
+
+    def angle(i: int, j: int) -> Column:
+        dot = (at(i, "y2") - F.col("cy")) * (at(j, "y2") - F.col("cy")) + (at(i, "x2") - F.col("cx")) * (at(j, "x2") - F.col("cx"))
+        cosine = F.greatest(F.least(dot / F.nullif(at(i, "dist") * at(j, "dist"), zero), F.lit(1.0)), F.lit(-1.0))
+        return F.when(at(j, "dist").isNotNull(), F.coalesce(F.degrees(F.acos(cosine)), zero))
+
+    widest = F.greatest(angle(0, 1), angle(0, 2), angle(1, 2))
     return rows.select(
-        "image_id", "t", F.col("src").alias("object_id"), *(F.coalesce(at(i, "dist"), F.lit(default)).alias(f"dist_{i}") for i in range(3)),
-        F.when(two, ratio).alias("children_ratio"), F.when(two, F.col("mean") / F.nullif((at(0, "m2") + at(1, "m2")) / 2, F.lit(0.0))).alias("parent_children_ratio"), F.when(two, F.degrees(F.acos(cosine))).alias("angle"),
-    )
+        "image_id", "t", F.col("src").alias("object_id"), *(F.coalesce(at(i, "dist"), F.lit(default)).alias(f"dist_{i}") for i in range(3)), *(r for c in features for r in ratios(c)), widest.alias("angle")
+    )
 
 
 def link_costs(links: DataFrame, weight: float = 10.0, scale: float = 5.0) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelry.operators import filters, labels, learning, object_classes, objects, regions, superpixels, tracking
+from voxelry.operators import assignment, filters, labels, learning, object_classes, objects, regions, superpixels, tracking
 from voxelry.plans.queries import (
-    COMPONENTS, EDGES, FACES, FEATURES, LABELS, LEVEL, PAINTED, PX_FRAMES, SHAPE, TILES, P, _edges, _superpixels, _with, features_of_sales, labels_of_sales, px_frames, query, rounded,
+    COMPONENTS, DIVISION_COLUMNS, EDGES, FACES, FEATURES, LABELS, LEVEL, PAINTED, PX_FRAMES, SHAPE, TILES, WINDOWS, P, _edges, _superpixels, _with, features_of_sales, labels_of_sales, px_frames, query, rounded, window_divisions,
 )
 from voxelry.plans.stored import written
 from voxelry.sources import files, tables
 from voxelry.sources.tables import COORDINATES, PX_CHANNELS, PX_SALES, PX_TIME, STROKES, px_sales, px_time
 
 OBJECT = objects.OBJECT
+LINK = ["image_id", "t", "src", "dst"]
 
 # objects
 
@@ -176,10 +177,11 @@ def w13(spark, sf_dir):
 # tracking
 
 
-@query("t05_combined_features", _with(LABELS, FEATURES) + "select image_id, t, object_id, count, case when object_id % 2 = 0 then object_id / 2.0 end as ratio from f")
+@query("t05_combined_features", _with(LABELS, FEATURES, WINDOWS) + "select f.image_id, f.t, f.object_id, count, " + ", ".join(f"round({c}, 5) as {c}" for c in DIVISION_COLUMNS) + " from f left join divs on divs.image_id = f.image_id and divs.t = f.t and divs.object_id = f.object_id")
 def t05(spark, sf_dir):
-    f = features_of_sales(spark, sf_dir).select(*OBJECT, "count")
-    return tracking.combined_features(f, f.where("object_id % 2 = 0").select(*OBJECT, (F.col("object_id") / 2).alias("ratio")))
+    f, divisions = window_divisions(spark, sf_dir)
+    both = tracking.combined_features(f.select(*OBJECT, "count"), divisions)
+    return both.select(*OBJECT, "count", *(F.round(c, 5).alias(c) for c in DIVISION_COLUMNS))
 
 
 @query("t06_border_costs", _with(LABELS, FEATURES, "k as (select image_id, t, object_id, least(cy, 47 - cy, cx, 47 - cx) as m from f)", "s as (select *, case when m >= 10 then 1.0 else greatest(m, 0.0) / 10.0 end as s from k)") + "select image_id, t, object_id, round(case when t = 0 then 0.0 else 500.0 * s end, 6) as appear, round(case when t = 6 then 0.0 else 300.0 * s end, 6) as disappear from s")
@@ -193,6 +195,32 @@ def t06b(spark, sf_dir):
     return tracking.division_costs(p).withColumn("cost", F.round("cost", 5) + F.lit(0.0))
 
 
+def _joint(spark, sf_dir):
+    """Tracking as a whole: links by distance, borders, false detections by size, divisions by size and shape of the children."""
+    f, divisions = window_divisions(spark, sf_dir)
+    borders = tracking.border_costs(f, 6, SHAPE, 60.0, 60.0, 10.0)
+    cells = f.select(*OBJECT, F.array(F.greatest(0.6 - F.col("count") / 20.0, F.lit(0.05)), F.least(0.4 + F.col("count") / 20.0, F.lit(0.95))).alias("p"))
+    able = f.join(divisions, OBJECT).where("angle >= 90 and count >= 4").select(*OBJECT, F.least(F.coalesce("children_ratio", F.lit(0.0)), F.lit(0.9)).alias("p"))
+    nodes = written(assignment.tracking_problem(f, borders, tracking.detection_costs(cells), tracking.division_costs(able)), "nodes")
+    links = written(tracking.link_costs(tracking.candidate_links(f, 3, 12.0)), "links")
+    return nodes, links
+
+
+@query("t07_joint_links")
+def t07_joint(spark, sf_dir):
+    links, false = assignment.joint_links(*_joint(spark, sf_dir))
+    return links.select(*LINK, F.round("cost", 6).alias("cost"), "second").unionByName(false.select("image_id", "t", F.col("object_id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(0.0).alias("cost"), F.lit(False).alias("second")))
+
+
+@query("t07_total_costs")
+def t07_costs(spark, sf_dir):
+    """The total cost of joint tracking for each image, beside that of mutually cheapest links."""
+    nodes, links = _joint(spark, sf_dir)
+    joint = assignment.assignment_cost(nodes, *assignment.joint_links(nodes, links))
+    greedy = assignment.assignment_cost(nodes, tracking.link_tracks(links))
+    return rounded(joint.join(greedy.withColumnRenamed("cost", "greedy_cost"), "image_id"), "cost", "greedy_cost")
+
+
 @query("t11_refreshed_features", _with(LABELS, FEATURES) + "select image_id, t, object_id, case when object_id % 2 = 0 then count + 1000 else count end as count from f where object_id % 3 <> 0 or object_id % 2 = 0")
 def t11(spark, sf_dir):
     f = written(features_of_sales(spark, sf_dir).select(*OBJECT, "count"), "features")

@@ -592,6 +592,31 @@ def t04(spark, sf_dir):
     return rounded(d, "dist_0", "dist_1", "dist_2", "children_ratio")
 
 
+WINDOWS = (
+    "w0 as (select distinct a.image_id, a.t, a.object_id as src, b.v as dst from f a join lab b on b.image_id = a.image_id and b.t = a.t + 1 and b.y >= round_even(a.cy, 0) - 6 and b.y < round_even(a.cy, 0) + 6 and b.x >= round_even(a.cx, 0) - 6 and b.x < round_even(a.cx, 0) + 6), "
+    "w1 as (select w0.*, a.cy, a.cx, a.mean as pm, a.count as pc, b.cy - a.cy as dy, b.cx - a.cx as dx, b.mean as m, b.count as n, sqrt((a.cy - b.cy) ** 2 + (a.cx - b.cx) ** 2) as dist from w0 join f a on a.image_id = w0.image_id and a.t = w0.t and a.object_id = src join f b on b.image_id = w0.image_id and b.t = w0.t + 1 and b.object_id = dst where b.count >= 2), "
+    "w2 as (select * from (select *, row_number() over (partition by image_id, t, src order by dist, dst) as rank from w1) where rank <= 3), "
+    "w3 as (select image_id, t, src, any_value(pm) as pm, any_value(pc) as pc, count(*) as k, " + ", ".join(f"max(case when rank = {i + 1} then {c} end) as {c}{i}" for i in range(3) for c in ("dist", "dy", "dx", "m", "n")) + " from w2 group by image_id, t, src), "
+    "divs as (select image_id, t, src as object_id, " + ", ".join(f"coalesce(dist{i}, 9999.0) as dist_{i}" for i in range(3)) + ", "
+    "least(m0 / m1, m1 / m0) as children_ratio, pm / (m0 + m1) as parent_children_ratio, least(n0 / n1, n1 / n0) as children_ratio_count, pc / (n0 + n1) as parent_children_ratio_count, "
+    "greatest(" + ", ".join(f"case when k > {j} then case when dist{i} * dist{j} = 0 then 0.0 else degrees(acos(greatest(least((dy{i} * dy{j} + dx{i} * dx{j}) / (dist{i} * dist{j}), 1.0), -1.0))) end end" for i, j in ((0, 1), (0, 2), (1, 2))) + ") as angle from w3)"
+)
+DIVISION_COLUMNS = ["dist_0", "dist_1", "dist_2", "children_ratio", "parent_children_ratio", "children_ratio_count", "parent_children_ratio_count", "angle"]
+
+
+def window_divisions(spark, sf_dir):
+    """Objects with the features of their divisions, candidates found by windows of 12 pixels."""
+    labels = written(labels_of_sales(spark, sf_dir), "labels")
+    f = written(objects.region_features(px_sales(spark, sf_dir), labels), "features")
+    return f, tracking.division_features(f, tracking.window_links(f, labels, 12, 2))
+
+
+@query("t04_window_divisions", _with(LABELS, FEATURES, WINDOWS) + "select image_id, t, object_id, " + ", ".join(f"round({c}, 5) as {c}" for c in DIVISION_COLUMNS) + " from divs")
+def t04_windows(spark, sf_dir):
+    d = window_divisions(spark, sf_dir)[1]
+    return d.select(*objects.OBJECT, *(F.round(c, 5).alias(c) for c in DIVISION_COLUMNS))
+
+
 @query("t07_link_tracks")
 def t07(spark, sf_dir):
     return tracking.link_tracks(tracking.link_costs(_links(spark, sf_dir)[1]))
