@@ -1,10 +1,11 @@
 """Growing from seeds against plain Python on small inputs."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from voxelry.operators import growing
+from voxelry.operators import growing, superpixels
 
 PX = "image_id string, t int, z int, y int, x int, c int, v double"
 
@@ -142,3 +143,46 @@ def test_few_edges_leave_the_blocks(spark):
     px = spark.createDataFrame([("a", 0, 0, y, x, 0, rng.random()) for y in range(128) for x in range(128)], PX).withColumn("label", F.lit(0).cast("long"))
     rows = growing._contracted(growing.numbered_pixels(px), "yx")
     assert rows.where("a is not null").count() < 0.1 * 2 * 128 * 128 and rows.where("node is not null").count() == 128 * 128
+
+
+def queue_merges(sizes, borders, left):
+    """Merging by one queue: always the cheapest border of all, until ``left`` regions are left."""
+    sizes, borders, into = dict(sizes), {tuple(sorted(k)): list(v) for k, v in borders.items()}, {n: n for n in sizes}
+
+    def cost(k):
+        return borders[k][0] / borders[k][1] / (sizes[k[0]] ** -0.5 + sizes[k[1]] ** -0.5)
+
+    while len(sizes) > left and borders:
+        a, b = min(borders, key=lambda k: (cost(k), k))
+        sizes[a] += sizes.pop(b)
+        into = {n: a if m == b else m for n, m in into.items()}
+        new = {}
+        for k, (total, n) in borders.items():
+            k = tuple(sorted({a if x == b else x for x in k}))
+            if len(k) == 2:
+                t, m = new.get(k, (0.0, 0.0))
+                new[k] = [t + total, m + n]
+        borders = new
+    return into
+
+
+def test_merging_in_rounds_is_that_of_one_queue(spark):
+    rng = random.Random(21)
+    sizes, borders, want = {}, {}, {}
+    for image in ("a", "b"):
+        mine = {n: rng.randint(1, 40) for n in range(1, 31)}
+        ways = {}
+        for _ in range(70):
+            a, b = rng.sample(range(1, 29), 2)  # 29 and 30 touch none
+            n = rng.randint(1, 9)
+            ways[tuple(sorted((a, b)))] = rng.random() * n, float(n)
+        sizes |= {(image, k): v for k, v in mine.items()}
+        borders |= {(image, *k): v for k, v in ways.items()}
+        for share in (0.5, 0.2, 0.0):
+            want[image, share] = queue_merges(mine, ways, math.ceil(30 * share))
+    nodes = spark.createDataFrame([(*k, v) for k, v in sizes.items()], "image_id string, sp long, size long")
+    edges = spark.createDataFrame([(*k, t / n, n) for k, (t, n) in borders.items()], "image_id string, sp1 long, sp2 long, w double, n double")
+    for share in (0.5, 0.2, 0.0):
+        got = {(r["image_id"], r["sp"]): r["segment"] for r in superpixels.reduce_superpixels(nodes, edges, share).collect()}
+        assert got == {(image, n): m for image in ("a", "b") for n, m in want[image, share].items()}
+    assert superpixels.reduce_superpixels(nodes.limit(0), edges.limit(0), 0.5).count() == 0

@@ -63,3 +63,27 @@ def test_axes_with_several_indexes_are_not_dropped(spark, small):
 def test_table_functions(spark):
     objects = spark.createDataFrame([("a", 0, 1), ("a", 0, 2)], "image_id string, t int, object_id long")
     assert registry.apply_table("frame_counts", objects).first()["objects"] == 2
+
+
+def test_every_written_volume_is_read_back(spark, small, tmp_path):
+    px = tables.px_sales(spark, small).where("image_id = 'A0'").cache()
+    want = {tuple(r) for r in px.select(*tables.COORDINATES, "v").collect()}
+    for kind in ("parquet", "csv", "npy"):
+        files.write_volume(px, str(tmp_path / f"volume.{kind}"), kind, 16)
+        where = str(tmp_path / f"volume.{kind}")
+        back = (files.read_arrays if kind == "npy" else files.read_images)(spark, where).where("v <> 0")
+        assert {tuple(r) for r in back.select(*tables.COORDINATES, "v").collect()} == want
+    files.write_volume(px, str(tmp_path / "arrays"), "npy", 16)
+    assert files.read_images(spark, str(tmp_path / "arrays")).where("v <> 0").count() == len(want)
+
+
+def test_tiles_sequences_and_clouds(spark, tmp_path):
+    tiles = spark.createDataFrame([("a", 0, 0, 1, 2, 0, 5.0, 1, 3)], files.PIXELS + ", tile_y int, tile_x int")
+    assert tuple(files.assemble_tiles(tiles, 10, 20).first()) == ("a", 0, 0, 11, 62, 0, 5.0)
+    files.write_sequence(spark.createDataFrame([("a", 0, z, 0, 0, 0, float(z)) for z in range(3)], files.PIXELS), str(tmp_path / "sequence"), "z")
+    assert sorted(p.name for p in (tmp_path / "sequence").iterdir() if p.is_dir()) == ["z=0", "z=1", "z=2"]
+    names = [f"{a}_px" for a in ("x", "y", "z", "size", "min_x", "min_y", "min_z", "max_x", "max_y", "max_z")]
+    (tmp_path / "cloud.csv").write_text("\t".join(names) + "\n" + "\t".join(str(float(k)) for k in range(10)) + "\n")
+    assert list(files.read_pointcloud(spark, str(tmp_path / "cloud.csv")).first()) == [float(k) for k in range(10)]
+    px = spark.createDataFrame([("a", 0, z, y, x, 0, 1.0) for z in range(4) for y in range(4) for x in range(4)], files.PIXELS)
+    assert files.write_pyramid(px, str(tmp_path / "scales"), 4, 2, "zyx") == 2 and files.read_scale(spark, str(tmp_path / "scales"), 1).count() == 8

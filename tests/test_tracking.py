@@ -152,3 +152,24 @@ def test_windows_find_what_pixels_in_them_show(spark):
         near = sorted((math.hypot(cy - y, cx - x), q) for _, u, q, y, x, n in objects if u == t + 1 and q in seen and n >= 4)[:3]
         want |= {(t, o, q, k + 1) for k, (_, q) in enumerate(near)}
     assert got == want
+
+
+def test_annotations_name_births_deaths_divisions_and_misdetections(spark):
+    objects = spark.createDataFrame([("a", t, o) for t in range(4) for o in (1, 2)], "image_id string, t int, object_id long")
+    chosen = spark.createDataFrame([("a", 0, 1, 1, 1.0), ("a", 1, 1, 1, 1.0), ("a", 2, 2, 2, 1.0)], LINKS)
+    second = spark.createDataFrame([("a", 1, 1, 2, 1.0)], LINKS)
+    kept = objects.where("not (t = 0 and object_id = 2) and not (t = 3 and object_id = 1)")
+    tree = tracking.family_tree(kept, chosen, second)
+    got = {(r["t"], r["object_id"], r["kind"]) for r in tracking.tracking_annotations(tree, 3, objects).collect()}
+    assert got == {(1, 1, "division"), (1, 2, "appearance"), (1, 2, "disappearance"), (2, 1, "disappearance"), (0, 2, "misdetection"), (3, 1, "misdetection")}
+
+
+def test_manual_divisions_and_mergers(spark):
+    given = spark.createDataFrame([("a", 0, 1, 5), ("a", 0, 1, 3), ("a", 0, 2, 4)], "image_id string, t int, object_id long, track_id int")
+    born = spark.createDataFrame([("a", 3, 5, 8), ("a", 3, 5, 7), ("a", 2, 4, 9)], "image_id string, t int, track_id int, child int")
+    tracks, divisions = tracking.manual_divisions(given, born)
+    assert {(r["object_id"], tuple(r["tracks"])) for r in tracks.collect()} == {(1, (3, 5)), (2, (4,))}
+    assert [tuple(r) for r in divisions.collect()] == [("a", 3, 5, 7, 8)]
+    labels = spark.createDataFrame([("a", 0, 0, 0, x, 0, x + 1) for x in range(3)], "image_id string, t int, z int, y int, x int, c int, v long")
+    counts = spark.createDataFrame([("a", 0, 2, 3), ("a", 0, 1, 1)], "image_id string, t int, object_id long, k int")
+    assert {(r["x"], r["v"]) for r in tracking.mergers_only(labels, counts).collect()} == {(0, 0), (1, 2), (2, 0)}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.operators.filters import gaussian_smoothing
+from voxelry.operators.learning import ensemble_margin
 from voxelry.sources.tables import COORDINATES
 
 BACKGROUND = 2
@@ -64,6 +65,11 @@ def predict_density(rows: DataFrame, models: list[Model]) -> DataFrame:
     return scored.select(*place, F.posexplode(found).alias("c", "v"))
 
 
+def density_margin(densities: DataFrame) -> DataFrame:
+    """How far the models agree on each pixel: 1 less the gap between their two largest densities; 0 for a single model."""
+    return ensemble_margin(densities)
+
+
 def fit_to_boxes(density: DataFrame, boxes: DataFrame) -> DataFrame:
     """Density inside boxes rescaled so that each box sums to its given count; a pixel in several boxes takes their mean factor.
 

@@ -237,17 +237,19 @@ def crop_members(px: DataFrame, crops: DataFrame) -> DataFrame:
     return pixels.join(cells, ["_cy", "_cx"]).where(inside).select("crop", *COORDINATES, "v")
 
 
-def contact_pixels(labels: DataFrame, a: int, b: int, distance: int) -> DataFrame:
+def contact_pixels(labels: DataFrame, a: int, b: int, distance: int, shell: bool = False) -> DataFrame:
     """Pixels of label b whose rounded distance to the nearest pixel of label a equals ``distance`` (2D or 3D).
 
-    Only offsets within the radius are tried: each pixel of a is sent to the places it can reach.
+    With ``shell`` those that a dilation of a by ``distance`` reaches and one by ``distance - 1`` does not. Only offsets
+    within the radius are tried: each pixel of a is sent to the places it can reach.
     """
     reach = distance + 1
     offsets = [(dz, dy, dx) for dz in range(-reach, reach + 1) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if dz * dz + dy * dy + dx * dx <= reach * reach]
     places = F.explode(F.array(*(F.struct((F.col("z") + dz).alias("z"), (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(float(dz * dz + dy * dy + dx * dx)).alias("d2")) for dz, dy, dx in offsets)))
     near = labels.where(F.col("v") == a).select("image_id", "t", places.alias("p")).groupBy("image_id", "t", "p.z", "p.y", "p.x").agg(F.min("p.d2").alias("d2"))
     touched = labels.where(F.col("v") == b).join(near, ["image_id", "t", "z", "y", "x"])
-    return touched.where(F.round(F.sqrt("d2")) == distance).select(*PIXEL)
+    met = (F.col("d2") <= distance * distance) & (F.col("d2") > (distance - 1) * (distance - 1)) if shell else F.round(F.sqrt("d2")) == distance
+    return touched.where(met).select(*PIXEL)
 
 
 def subsample(px: DataFrame, stride: dict[str, int]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelry.operators import regions, superpixels
 from voxelry.operators.components import numbered
-from voxelry.operators.filters import gaussian_smoothing, gradient_magnitude
+from voxelry.operators.filters import gaussian_smoothing, gradient_magnitude, hessian_first_eigenvalue
 from voxelry.operators.geometry import zero_default
 from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
@@ -285,9 +285,12 @@ def dt_watershed(px: DataFrame, threshold: float, sigma: float, smallest: int, a
 
 
 def boundary_filter(px: DataFrame, mode: str, sigma: float, shape: dict[str, int]) -> DataFrame:
-    """A boundary map: ``gradient`` (steps), ``raw`` or ``inverted`` (smoothed values, as they are or below the largest)."""
+    """A boundary map: ``bright`` or ``dark`` lines (the largest eigenvalue of the Hessian of the negative or of the image itself),
+    ``gradient`` (steps), ``raw`` or ``inverted`` (smoothed values, as they are or below the largest)."""
     if mode == "gradient":
         return gradient_magnitude(px, sigma, shape)
+    if mode in ("bright", "dark"):
+        return hessian_first_eigenvalue(px.withColumn("v", -F.col("v")) if mode == "bright" else px, sigma, shape)
     smooth = gaussian_smoothing(px, sigma, "yx", shape)
     if mode == "raw":
         return smooth
@@ -377,8 +380,17 @@ def split_mergers(labels: DataFrame, counts: DataFrame, iterations: int = 10) ->
     return labels.join(wanted, key, "left_anti").select(*COORDINATES, "v").unionByName(moved)
 
 
-def boundary_superpixels(px: DataFrame, mode: str, sigma: float, shape: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    """Basins of a boundary map and the graph of touching basins, weighted by the mean of the map along their border."""
+def boundary_superpixels(px: DataFrame, mode: str, sigma: float, shape: dict[str, int], reduce_to: float | None = None, regularizer: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Basins of a boundary map and the graph of touching basins, weighted by the mean of the map along their border.
+
+    Numbers of basins hold within an image: each frame is best an image of its own. With ``reduce_to`` basins are merged,
+    cheapest borders first, until that share of each image's basins is left (see superpixels.merge_tree).
+    """
     border = written(boundary_filter(px, mode, sigma, shape).withColumn("v", F.round("v", 9)), "border")
     basins = written(unseeded_watershed(border, "yx"), "basins")
+    if reduce_to is not None and reduce_to < 1:
+        low = border.groupBy("image_id").agg(F.min("v").alias("low"))  # borders of eigenvalues may be negative; costs start at 0
+        edges = superpixels.edge_features(basins, border).join(low, "image_id").select(*superpixels.EDGE, (F.col("mean") - F.col("low")).alias("w"), "n")
+        sizes = basins.groupBy("image_id", F.col("v").alias("sp")).agg(F.count(F.lit(1)).alias("size"))
+        basins = written(superpixels.project_node_labels(basins, superpixels.reduce_superpixels(written(sizes, "sizes"), edges, reduce_to, regularizer)), "reduced")
     return basins, superpixels.edge_features(basins, border).select(*superpixels.EDGE, F.col("mean").alias("w"))

@@ -20,6 +20,28 @@ def detect_missing(px: DataFrame, patch: int, bins: int = 30, value_range: tuple
     return px.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"), (F.max(place) == 0).alias("missing"))
 
 
+def missing_windows(px: DataFrame, shape: dict[str, int], patch: int = 128, halo: int = 30, bins: int = 30, value_range: tuple[float, float] = (0.0, 255.0)) -> DataFrame:
+    """Patches judged together with what surrounds them: ``image_id, t, z, c, y0, x0, pixels, missing``.
+
+    Patches are ``patch`` wide and start at its multiples; the last one of a row or column that would leave the image is moved
+    inwards, an image smaller than a patch has one. A patch is missing if all pixels of it and of the ``halo`` around it
+    lie in the first bin of the histogram. Each pixel is counted for the few patches it touches, before the shuffle.
+    """
+    low, high = value_range
+    place = F.greatest(F.least(F.floor((F.col("v") - low) * bins / (high - low)), F.lit(bins - 1)), F.lit(0))
+
+    def starts(axis: str) -> Column:
+        n = shape[axis]
+        count, last = -(-n // patch), max(0, n - patch)
+        first = F.greatest(F.lit(0), F.floor((F.col(axis) - halo - patch) / patch) + 1)
+        near = F.transform(F.sequence(F.least(first, F.lit(count - 1).cast("long")), F.least(F.floor((F.col(axis) + halo) / patch), F.lit(count - 1).cast("long"))), lambda k: F.least(k * patch, F.lit(last).cast("long")))
+        return F.filter(F.array_union(near, F.array(F.lit(last).cast("long"))), lambda s: (F.col(axis) >= s - halo) & (F.col(axis) < s + patch + halo))
+
+    rows = px.select("image_id", "t", "z", "c", place.alias("bin"), F.explode(starts("y")).alias("y0"), "x")
+    rows = rows.select("image_id", "t", "z", "c", "bin", F.col("y0").cast("int").alias("y0"), F.explode(starts("x")).alias("x0")).withColumn("x0", F.col("x0").cast("int"))
+    return rows.groupBy("image_id", "t", "z", "c", "y0", "x0").agg(F.count(F.lit(1)).alias("pixels"), (F.max("bin") == 0).alias("missing"))
+
+
 def patch_histograms(px: DataFrame, patch: int, bins: int = 30, value_range: tuple[float, float] = (0.0, 255.0)) -> DataFrame:
     """Shares of the pixels of each patch in equal bins: ``image_id, t, z, c, py, px, h ARRAY<DOUBLE>``; values outside the range count at its ends."""
     low, high = value_range

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators.regions import connected_components
@@ -75,6 +75,27 @@ def neighbourhood_features(raw: DataFrame, labels: DataFrame, margin: int) -> Da
     return shell.join(raw, ["image_id", "t", "z", "y", "x"]).groupBy(*OBJECT).agg(F.count(F.lit(1)).alias("shell_count"), F.avg("v").alias("shell_mean"))
 
 
+def neighbourhood_statistics(raw: DataFrame, labels: DataFrame, margin: int) -> DataFrame:
+    """Intensity statistics of the shell of pixels within ``margin`` (Euclidean) of an object, and of object and shell together.
+
+    ``image_id, t, object_id`` and ``count, mean, sum, min, max, var, skew, kurt`` with ``shell_`` and ``both_`` in front (population
+    variance, excess kurtosis, 0 where all values are equal). Pixels of other objects belong to a shell. Objects without any
+    shell pixel have null in its columns. Moments are summed in one pass; a pixel is sent to the places it reaches.
+    """
+    offsets = [(dy, dx) for dy in range(-margin, margin + 1) for dx in range(-margin, margin + 1) if dy * dy + dx * dx <= margin * margin]
+    places = F.explode(F.array(*(F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(not dy and not dx).alias("own")) for dy, dx in offsets)))
+    own = labels.where("v <> 0").select("image_id", "t", F.col("v").alias("object_id"), "z", "y", "x")
+    reached = own.select(*OBJECT, "z", places.alias("p")).groupBy(*OBJECT, "z", "p.y", "p.x").agg(F.max("p.own").alias("own"))
+    rows = reached.join(raw.select("image_id", "t", "z", "y", "x", "v"), ["image_id", "t", "z", "y", "x"])
+    zero = lambda c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0))
+
+    def statistics(v: Column, name: str) -> list[Column]:
+        found = {"count": F.count(v), "mean": F.avg(v), "sum": F.sum(v), "min": F.min(v), "max": F.max(v), "var": F.var_pop(v), "skew": zero(F.skewness(v)), "kurt": zero(F.kurtosis(v))}
+        return [(c if k == "count" else F.when(F.count(v) > 0, c)).alias(f"{name}_{k}") for k, c in found.items()]
+
+    return rows.groupBy(*OBJECT).agg(*statistics(F.when(~F.col("own"), F.col("v")), "shell"), *statistics(F.col("v"), "both"))
+
+
 def _hull(points: np.ndarray) -> np.ndarray:
     """Convex hull by monotone chains, counter-clockwise."""
     points = np.unique(points, axis=0)
@@ -137,9 +158,16 @@ def object_cutouts(labels: DataFrame, raw: DataFrame, margin: int) -> DataFrame:
     return inside.select(*OBJECT, "z", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "c", "v", F.col("label").eqNullSafe(F.col("object_id")).alias("mask"))
 
 
-def object_table(objects: DataFrame, labels: DataFrame, predictions: DataFrame) -> DataFrame:
-    """One row for each object with the user's label and the predicted class, 0 where there is none."""
-    out = objects.join(labels.withColumnRenamed("label", "user_label"), OBJECT, "left").join(predictions.withColumnRenamed("label", "predicted"), OBJECT, "left")
+def object_table(objects: DataFrame, labels: DataFrame, predictions: DataFrame, features: list[str] | None = None, classes: int = 0) -> DataFrame:
+    """One row for each object with the user's label and the predicted class, 0 where there is none.
+
+    ``features`` chooses columns of ``objects``, by default all. With ``classes`` the probabilities ``p ARRAY`` of the predictions
+    follow as ``probability_1`` and on, null for objects without a prediction.
+    """
+    chosen = objects.select(*OBJECT, *(features if features is not None else [c for c in objects.columns if c not in OBJECT]))
+    shares = [F.get("p", F.lit(k)).alias(f"probability_{k + 1}") for k in range(classes)]
+    predicted = predictions.select(*OBJECT, F.col("label").alias("predicted"), *shares)
+    out = chosen.join(labels.withColumnRenamed("label", "user_label"), OBJECT, "left").join(predicted, OBJECT, "left")
     return out.fillna(0, ["user_label", "predicted"])
 
 

@@ -67,14 +67,20 @@ def edge_matrix(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train_edges(edges: DataFrame, labels: DataFrame, trees: int = 100, learner: Learner | None = None) -> Model | None:
-    """A model of edge labels, a forest unless another learner is given; None without labels of both kinds."""
+    """A model of edge labels, a forest unless another learner is given; None without labels of both kinds, see trained_probabilities."""
     matrix = written(edge_matrix(edges, labels), "edge_matrix")
     return train(matrix, trees=trees, learner=learner) if matrix.select("label").distinct().count() == 2 else None
 
 
-def trained_probabilities(edges: DataFrame, model: Model | None) -> DataFrame:
-    """``image_id, sp1, sp2, p``: the probability that an edge parts its superpixels; without a model the untrained one."""
+def trained_probabilities(edges: DataFrame, model: Model | None, labels: DataFrame | None = None) -> DataFrame:
+    """``image_id, sp1, sp2, p``: the probability that an edge parts its superpixels; without a model the untrained one.
+
+    Where there is no model because all ``labels`` are of one kind, every edge has the probability of that kind: 0 or 1.
+    """
     if model is None:
+        kinds = [r["label"] for r in labels.where("label in (1, 2)").select("label").distinct().collect()] if labels is not None else []
+        if len(kinds) == 1:
+            return edges.select(*EDGE, F.lit(float(kinds[0] - 1)).alias("p"))
         return untrained_probabilities(edges)
     rows = edges.select(*EDGE, F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in EDGE_FEATURES)).alias("f"))
     return predict(rows, model, 2).select(*EDGE, F.get("p", F.lit(1)).alias("p"))
@@ -86,7 +92,7 @@ def edge_training_multicut(superpixels: DataFrame, values: DataFrame, labels: Da
     Superpixels without any neighbour are segments of their own.
     """
     edges = written(edge_features(superpixels, values), "edges")
-    p = written(trained_probabilities(edges, train_edges(edges, labels, trees)), "probabilities")
+    p = written(trained_probabilities(edges, train_edges(edges, labels, trees), labels), "probabilities")
     merged = agglomerate(p.select(*EDGE, multicut_weights(F.col("p"), beta, threshold, F.col("sp1")).alias("weight")))
     nodes = superpixels.select("image_id", F.col("v").alias("sp")).distinct().join(merged, ["image_id", "sp"], "left").select("image_id", "sp", F.coalesce("segment", "sp").alias("segment"))
     nodes = written(nodes, "nodes")
@@ -146,6 +152,53 @@ def agglomerate(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
+def merge_tree(nodes: DataFrame, edges: DataFrame, regularizer: float = 0.5, max_rounds: int = 200) -> DataFrame:
+    """The merges that join all touching regions, cheapest first: ``image_id, sp1, sp2, cost, round``; sp2 goes into sp1.
+
+    ``nodes(image_id, sp, size)`` are regions, ``edges(image_id, sp1, sp2, w, n)`` their borders with a mean weight (not
+    negative) and a length. A merge costs ``w / (size1 ** -r + size2 ** -r)``, r being the regularizer, so that small regions
+    go first; parallel borders become one with the mean weight of both lengths. Ties go to the smaller ids. No merge makes
+    a border cheaper than the cheaper of those it came from, so that all regions that are each other's cheapest may merge in
+    one round: the merges are those of one queue for all, and costs rise towards the root.
+    """
+    size = lambda c: F.pow(F.col(c).cast("double"), F.lit(-regularizer))
+    ends = [nodes.select("image_id", F.col("sp").alias(f"sp{k}"), F.col("size").cast("double").alias(f"size{k}")) for k in (1, 2)]
+    now = edges.select("image_id", F.least("sp1", "sp2").alias("sp1"), F.greatest("sp1", "sp2").alias("sp2"), (F.col("w") * F.col("n")).alias("total"), F.col("n").cast("double").alias("n")).where("sp1 <> sp2 and n > 0")
+    now = now.groupBy(*EDGE).agg(F.sum("total").alias("total"), F.sum("n").alias("n")).join(ends[0], ["image_id", "sp1"]).join(ends[1], ["image_id", "sp2"])
+    now, merges = written(now, "borders"), None
+    for turn in range(max_rounds):
+        cost = F.col("total") / F.col("n") / (size("size1") + size("size2"))
+        priced = now.select(*EDGE, "size1", "size2", F.struct(cost.alias("cost"), "sp1", "sp2").alias("e"))
+        best = priced.select("image_id", F.col("sp1").alias("sp"), "e").unionByName(priced.select("image_id", F.col("sp2").alias("sp"), "e")).groupBy("image_id", "sp").agg(F.min("e").alias("e"))
+        mutual = best.groupBy("image_id", "e").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("image_id", "e")
+        mutual = written(mutual.join(priced, ["image_id", "e"]).select(*EDGE, "e.cost", (F.col("size1") + F.col("size2")).alias("size"), F.lit(turn).alias("round")), "merges")
+        if mutual.isEmpty():
+            return merges if merges is not None else mutual.drop("size")
+        merges = mutual.drop("size") if merges is None else merges.unionByName(mutual.drop("size"))
+        into = mutual.select("image_id", F.explode(F.array("sp1", "sp2")).alias("old"), F.col("sp1").alias("new"), "size")
+        for k in (1, 2):
+            named = into.select("image_id", F.col("old").alias(f"sp{k}"), F.col("new").alias("_new"), F.col("size").alias("_size"))
+            now = now.join(named, ["image_id", f"sp{k}"], "left").withColumns({f"sp{k}": F.coalesce("_new", f"sp{k}"), f"size{k}": F.coalesce("_size", f"size{k}")}).drop("_new", "_size")
+        turned = F.col("sp1") > F.col("sp2")
+        now = now.where("sp1 <> sp2").select(
+            "image_id", F.least("sp1", "sp2").alias("sp1"), F.greatest("sp1", "sp2").alias("sp2"), "total", "n",
+            F.when(turned, F.col("size2")).otherwise(F.col("size1")).alias("size1"), F.when(turned, F.col("size1")).otherwise(F.col("size2")).alias("size2"),
+        )
+        now = written(now.groupBy(*EDGE, "size1", "size2").agg(F.sum("total").alias("total"), F.sum("n").alias("n")), "borders")
+    raise RuntimeError(f"not merged after {max_rounds} rounds")
+
+
+def reduce_superpixels(nodes: DataFrame, edges: DataFrame, share: float, regularizer: float = 0.5) -> DataFrame:
+    """``image_id, sp, segment``: regions merged, cheapest first, until ``share`` of an image's regions (rounded up) is left.
+
+    Arguments are those of merge_tree. A segment is named after its smallest member. Where regions do not touch more stay.
+    """
+    wanted = nodes.groupBy("image_id").agg((F.count(F.lit(1)) - F.ceil(F.count(F.lit(1)) * F.lit(share))).alias("merges"))
+    order = Window.partitionBy("image_id").orderBy("cost", "round", "sp1", "sp2")
+    cheapest = merge_tree(nodes, edges, regularizer).withColumn("rank", F.row_number().over(order)).join(wanted, "image_id").where(F.col("rank") <= F.col("merges"))
+    return merge_superpixels(nodes.select("image_id", "sp").distinct(), cheapest.select(*EDGE, F.lit(0.0).alias("p")))
+
+
 def best_edge_rank(edges: DataFrame) -> DataFrame:
     """Edges of each node ranked by probability, for reports."""
     return edges.withColumn("rank", F.row_number().over(Window.partitionBy("image_id", "sp1").orderBy("p", "sp2")))

@@ -14,6 +14,7 @@ from voxelry.operators.components import NUMBERED_AT_ONCE, connected_components,
 from voxelry.operators.objects import OBJECT
 from voxelry.operators.regions import boundary_pixels, relabel_by_map
 from voxelry.plans.stored import written
+from voxelry.sources.tables import COORDINATES
 
 
 def filter_detections(objects: DataFrame, size: tuple[int, int], field: dict[str, tuple[int, int]]) -> DataFrame:
@@ -216,6 +217,35 @@ def annotations(tracks: DataFrame, last_frame: int) -> DataFrame:
     return spans.select("image_id", "track_id", "first", "last", (F.col("first") > 0).alias("appears"), (F.col("last") < last_frame).alias("disappears"))
 
 
+def tracking_annotations(tree: DataFrame, last_frame: int, detections: DataFrame | None = None) -> DataFrame:
+    """Training annotations of tracks: ``image_id, t, object_id, track_id, kind`` with kind ``appearance``, ``disappearance``, ``division`` or ``misdetection``.
+
+    ``tree`` is as by family_tree. A track appears at its first object unless it starts in frame 0 or from a division, and
+    disappears at its last unless that lies in ``last_frame`` or divides; the last object of a track with children is a
+    division. Objects of ``detections(image_id, t, object_id)`` without a track are misdetections (track -1).
+    """
+    ends = tree.groupBy("image_id", "track_id").agg(F.min(F.struct("t", "object_id")).alias("first"), F.max(F.struct("t", "object_id")).alias("last"), F.max("parent_track_id").alias("parent"))
+    mothers = tree.where("parent_track_id > 0").select("image_id", F.col("parent_track_id").alias("track_id"), F.lit(True).alias("divides")).distinct()
+    ends = ends.join(mothers, ["image_id", "track_id"], "left")
+    divides = F.coalesce("divides", F.lit(False))
+    marks = F.array_compact(F.array(
+        F.when((F.col("first.t") > 0) & (F.col("parent") == 0), F.struct(F.col("first").alias("at"), F.lit("appearance").alias("kind"))),
+        F.when((F.col("last.t") < last_frame) & ~divides, F.struct(F.col("last").alias("at"), F.lit("disappearance").alias("kind"))),
+        F.when(divides, F.struct(F.col("last").alias("at"), F.lit("division").alias("kind"))),
+    ))
+    found = ends.select("image_id", F.explode(marks).alias("m"), "track_id").select("image_id", "m.at.t", "m.at.object_id", "track_id", "m.kind")
+    if detections is None:
+        return found
+    wrong = detections.select(*OBJECT).distinct().join(tree.select(*OBJECT), OBJECT, "left_anti")
+    return found.unionByName(wrong.select(*OBJECT, F.lit(-1).cast(tree.schema["track_id"].dataType).alias("track_id"), F.lit("misdetection").alias("kind")))
+
+
+def mergers_only(labels: DataFrame, counts: DataFrame) -> DataFrame:
+    """The label image with only the objects of ``counts(image_id, t, object_id, k)`` that hold more than one cell; the rest is 0."""
+    several = counts.where("k > 1").select("image_id", "t", F.col("object_id").alias("v"), F.lit(True).alias("_kept")).distinct()
+    return labels.join(several, ["image_id", "t", "v"], "left").select(*COORDINATES, F.when(F.col("_kept"), F.col("v")).otherwise(F.lit(0).cast(labels.schema["v"].dataType)).alias("v"))
+
+
 def division_links(links: DataFrame, chosen: DataFrame, divisions: DataFrame, max_rounds: int = 100) -> DataFrame:
     """Second children: objects of ``divisions(image_id, t, object_id)`` with a chosen link take one more target that no link
     has taken, by the same rounds of mutually cheapest links."""
@@ -254,6 +284,14 @@ def manual_tracking(labels: DataFrame, assignments: DataFrame) -> tuple[DataFram
     return image, image.withColumn("v", (F.col("v") == 0).cast("int"))
 
 
+def manual_divisions(assignments: DataFrame, divisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What users tracked by hand, as tables: the tracks of each object, ``image_id, t, object_id, tracks ARRAY``, and the divisions,
+    ``image_id, t, track_id, child_1, child_2`` of ``divisions(image_id, t, track_id, child)``; only those with two children."""
+    tracks = assignments.groupBy(*OBJECT).agg(F.array_sort(F.collect_set("track_id")).alias("tracks"))
+    children = divisions.groupBy("image_id", "t", "track_id").agg(F.array_sort(F.collect_set("child")).alias("k")).where(F.size("k") == 2)
+    return tracks, children.select("image_id", "t", "track_id", F.get("k", F.lit(0)).alias("child_1"), F.get("k", F.lit(1)).alias("child_2"))
+
+
 def learn_link_weights(links: DataFrame, annotated: DataFrame, columns: list[str]) -> dict[str, float]:
     """Weights of the features of links, by logistic regression of ``annotated(image_id, t, src, dst)`` against the other links of the same objects.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from voxelry.operators import assignment, filters, labels, learning, object_classes, objects, regions, superpixels, tracking
+from voxelry.operators import assignment, filters, geometry, labels, learning, object_classes, objects, regions, superpixels, tracking
 from voxelry.plans.queries import (
     COMPONENTS, DIVISION_COLUMNS, EDGES, FACES, FEATURES, LABELS, LEVEL, PAINTED, PX_FRAMES, SHAPE, TILES, WINDOWS, P, _edges, _superpixels, _with, features_of_sales, labels_of_sales, px_frames, query, rounded, window_divisions,
 )
@@ -113,10 +113,10 @@ def l10(spark, sf_dir):
 # matrices and stored results
 
 
-@query("c02_concat_matrices", _with(PX_SALES) + "select case when v >= 60 then 2 else 1 end as label, count(*) as n, round(sum(v), 4) as total from px where image_id like 'A%' or image_id like 'N%' group by 1")
+@query("c02_concat_matrices", _with(PX_SALES) + "select case when v >= 60 then 2 else 1 end as label, count(*) as n, round(sum(v), 4) as total from px group by 1")
 def c02(spark, sf_dir):
     matrix = lambda flag: px_sales(spark, sf_dir).where(F.col("image_id").startswith(flag)).select(F.when(F.col("v") >= 60, 2).otherwise(1).alias("label"), F.array("v").alias("f"))
-    rows = learning.concat_matrices([matrix("A"), matrix("N")])
+    rows = learning.concat_matrices([matrix(flag) for flag in "ANR"])
     return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.get("f", F.lit(0))), 4).alias("total"))
 
 
@@ -132,6 +132,75 @@ def c15(spark, sf_dir):
     return learning.predictions_to_segmentation(written(px_sales(spark, sf_dir, True), "probabilities"))
 
 
+@query("c15_stored_uncertainty", _with(PX_CHANNELS) + f"select {P}, 0 as c, round(case when count(*) > 1 then 1 - (max(v) - max(case when k = 2 then v end)) else 0.0 end, 6) + 0.0 as v from (select *, row_number() over (partition by {P} order by v desc, c) as k from px) group by {P}")
+def c15_uncertainty(spark, sf_dir):
+    return rounded(learning.predictions_to_uncertainty(written(px_sales(spark, sf_dir, True), "probabilities")), "v")
+
+
+@query("l10_labelled_blocks", f"with {STROKES}, {PAINTED} select distinct image_id, t, cast(y // 8 as int) as by, cast(x // 8 as int) as bx from lab where v <> 0")
+def l10_blocks(spark, sf_dir):
+    return labels.label_pipeline(tables.strokes(spark, sf_dir), {"y": 8, "x": 8})[1]
+
+
+@query("l04_clear_label", f"with {STROKES}, {PAINTED} select image_id, t, z, y, x, c, v from lab where v <> 2")
+def l04_clear(spark, sf_dir):
+    return labels.clear_label(labels.paint(tables.strokes(spark, sf_dir)), 2).select(*COORDINATES, "v")
+
+
+STATISTICS = ["count", "mean", "sum", "min", "max", "var"]
+
+
+@query("o02_moments", _with(LABELS) + "select *, case when m2 > 0 then round(m3 / m2 ** 1.5, 5) + 0.0 else 0.0 end as skew, case when m2 > 0 then round(m4 / m2 ** 2 - 3, 5) + 0.0 else 0.0 end as kurt from (select image_id, t, object_id, avg((v - m) ** 2) as m2, avg((v - m) ** 3) as m3, avg((v - m) ** 4) as m4 from (select px.image_id, px.t, lab.v as object_id, px.v, avg(px.v) over (partition by px.image_id, px.t, lab.v) as m from px join lab using (image_id, t, z, y, x)) group by all)".replace("select *, case", "select image_id, t, object_id, case", 1))
+def o02(spark, sf_dir):
+    f = features_of_sales(spark, sf_dir)
+    return f.select(*OBJECT, *(F.round(c, 5) + F.lit(0.0) for c in ("skew", "kurt"))).toDF(*OBJECT, "skew", "kurt")
+
+
+@query(
+    "o07_statistics",
+    _with(LABELS, "nearby as (select l.image_id, l.t, l.v as object_id, px.y, px.x, px.v, max(case when px.y = l.y and px.x = l.x then 1 else 0 end) as own from lab l join px on px.image_id = l.image_id and px.t = l.t and (px.y - l.y) ** 2 + (px.x - l.x) ** 2 <= 4 group by all)")
+    + "select image_id, t, object_id, " + ", ".join(f"{f'round({e}, 5)' if s in ('mean', 'sum', 'var') else e} as {n}_{s}" for n, v in (("shell", "case when own = 0 then v end"), ("both", "v")) for s, e in (("count", f"count({v})"), ("mean", f"avg({v})"), ("sum", f"sum({v})"), ("min", f"min({v})"), ("max", f"max({v})"), ("var", f"var_pop({v})"))) + " from nearby group by all",
+)
+def o07_statistics(spark, sf_dir):
+    found = objects.neighbourhood_statistics(px_sales(spark, sf_dir), labels_of_sales(spark, sf_dir), 2)
+    return found.select(*OBJECT, *((F.round(c, 5) if s in ("mean", "sum", "var") else F.col(c)).alias(c) for n in ("shell", "both") for s in STATISTICS for c in [f"{n}_{s}"]))
+
+
+@query("g23_contact_shell", _with(PX_SALES, "l as (select image_id, t, z, y, x, case when v < 20 then 1 when v >= 60 then 2 end as v from px)") + f"select b.image_id, b.t, b.z, b.y, b.x from l b join l a on a.image_id = b.image_id and a.t = b.t and a.v = 1 and b.v = 2 group by all having min((a.y - b.y) ** 2 + (a.x - b.x) ** 2) > 1 and min((a.y - b.y) ** 2 + (a.x - b.x) ** 2) <= 4")
+def g23_shell(spark, sf_dir):
+    two = px_sales(spark, sf_dir).withColumn("v", F.when(F.col("v") < 20, 1).when(F.col("v") >= 60, 2))
+    return geometry.contact_pixels(two, 1, 2, 2, shell=True)
+
+
+@query("g20_merged_metadata", _with(PX_SALES) + "select image_id, max(t) + 1 as n_t, case when image_id like 'A%' then 99 else count(*) end as pixels, case when image_id like 'A%' then 'first' end as nickname from px group by image_id")
+def g20_merged(spark, sf_dir):
+    meta = geometry.image_meta(px_sales(spark, sf_dir)).select("image_id", "n_t", "pixels")
+    other = meta.where("image_id like 'A%'").select("image_id", F.lit(99).cast("long").alias("pixels"), F.lit("first").alias("nickname"))
+    return geometry.merge_metadata(meta, other).select("image_id", "n_t", "pixels", "nickname")
+
+
+@query("m01_missing_windows", _with(PX_TIME, "s as (select unnest([0, 7, 14, 17]) as s)") + "select image_id, t, z, c, a.s as y0, b.s as x0, count(*) as pixels, max(greatest(least(floor(v * 30 / 900.0), 29), 0)) = 0 as missing from px, s a, s b where y >= a.s - 2 and y < a.s + 9 and x >= b.s - 2 and x < b.s + 9 group by all")
+def m01_windows(spark, sf_dir):
+    from voxelry.operators.missing import missing_windows
+
+    return missing_windows(px_time(spark, sf_dir), {"y": 24, "x": 24}, 7, 2, 30, (0.0, 900.0))
+
+
+@query("s12_formatted", _with(PX_SALES) + "select image_id, cast(x as int) as x, cast(y - 5 as int) as y, t, z, c, cast(round(greatest(least(v, 120.0), 0.0) / 120.0 * 255) as int) as v from px where y >= 5 and y < 30".replace("greatest(least(v, 120.0), 0.0)", "v") + " and v between 0 and 120")
+def s12(spark, sf_dir):
+    px = px_sales(spark, sf_dir).where("v between 0 and 120")
+    return files.formatted(px, {"y": 5, "x": -3}, {"y": 30, "x": 99}, (0.0, 120.0), 255.0, "int", "xytzc")
+
+
+@query("s19_count_table", _with(PX_SALES) + "select 'lane ' || image_id as nickname, round(sum(v), 4) as total from px group by image_id")
+def s19(spark, sf_dir):
+    from voxelry.operators.counting import count_table
+
+    px = px_sales(spark, sf_dir)
+    names = px.select("image_id", F.concat(F.lit("lane "), "image_id").alias("nickname")).distinct()
+    return count_table(px, names).select("nickname", F.round("total", 4).alias("total"))
+
+
 @query("f11_select_features")
 def f11(spark, sf_dir):
     return filters.select_features(px_sales(spark, sf_dir), {"gaussian": [0.7, 1.6], "gradient": [1.0]}, block=16)
@@ -227,6 +296,16 @@ def t11(spark, sf_dir):
     return tracking.merge_refreshed_features(f.where("object_id % 3 <> 0"), f.where("object_id % 2 = 0").withColumn("count", F.col("count") + 1000))
 
 
+@query("t13_track_annotations")
+def t13_annotations(spark, sf_dir):
+    """Annotations of the joint tracks: appearances, disappearances, divisions, and misdetections."""
+    nodes, links = _joint(spark, sf_dir)
+    chosen, false = assignment.joint_links(nodes, links)
+    kept = nodes.select(*OBJECT).join(false, OBJECT, "left_anti")
+    tree = tracking.family_tree(kept, chosen.where("not second"), chosen.where("second"))
+    return tracking.tracking_annotations(written(tree, "tree"), 6, nodes.select(*OBJECT))
+
+
 @query("t13_annotations", _with(LABELS) + "select image_id, v as track_id, min(t) as first, max(t) as last, min(t) > 0 as appears, max(t) < 6 as disappears from (select distinct image_id, t, v from lab) group by all")
 def t13(spark, sf_dir):
     tracks = labels_of_sales(spark, sf_dir).select("image_id", "t", F.col("v").alias("track_id")).distinct()

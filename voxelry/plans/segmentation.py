@@ -62,6 +62,16 @@ def w14(spark, sf_dir):
     return growing.boundary_superpixels(px_sales(spark, sf_dir), "gradient", 1.6, SHAPE)[1]
 
 
+@query("w14_reduced_superpixels")
+def w14_reduced(spark, sf_dir):
+    """Basins of bright lines, merged until a quarter of each frame's basins is left."""
+    px = px_sales(spark, sf_dir).withColumns({"image_id": F.concat_ws("/", "image_id", "t"), "t": F.lit(0)})
+    basins, edges = growing.boundary_superpixels(px, "bright", 1.0, SHAPE, 0.25)
+    sizes = basins.groupBy("image_id", F.col("v").alias("sp")).agg(F.count(F.lit(1)).alias("pixels"))
+    degree = edges.select("image_id", F.explode(F.array("sp1", "sp2")).alias("sp")).groupBy("image_id", "sp").agg(F.count(F.lit(1)).alias("neighbours"))
+    return sizes.join(degree, ["image_id", "sp"], "left").select("image_id", "sp", "pixels", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+
+
 @query("w15_carve")
 def w15(spark, sf_dir):
     edges = _edges(spark, sf_dir).select("image_id", "sp1", "sp2", F.col("mean").alias("w"))

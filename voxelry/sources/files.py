@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voxelry.operators.geometry import downscale, renormalize, subregion
+from voxelry.operators.geometry import downscale, renormalize, reorder_axes, subregion
 from voxelry.sources.tables import COORDINATES
 
 PIXELS = "image_id string, t int, z int, y int, x int, c int, v double"
@@ -45,8 +45,31 @@ def read_raw(spark: SparkSession, path: str, shape: tuple[int, ...], dtype: str,
 
 
 def read_images(spark: SparkSession, path: str, axes: str = "yx") -> DataFrame:
-    """By extension: .npy arrays, else Parquet pixel tables."""
-    return read_npy(spark, path, axes) if path.rstrip("*").endswith(".npy") else spark.read.schema(PIXELS).parquet(path)
+    """By extension and content: .npy arrays, CSV with a header, Parquet tables of pixels, blocks or arrays, as write_volume makes them."""
+    if path.rstrip("*").endswith(".npy"):
+        return read_npy(spark, path, axes)
+    if path.rstrip("*").endswith(".csv"):
+        return spark.read.csv(path, header=True, schema=PIXELS)
+    columns = spark.read.parquet(path).columns
+    if "npy" in columns:
+        return read_arrays(spark, path)
+    return (read_blocks(spark, path) if "image" in columns else spark.read.schema(PIXELS).parquet(path)).select(*COORDINATES, "v")
+
+
+def read_arrays(spark: SparkSession, path: str) -> DataFrame:
+    """The pixels of a table of arrays as by block_arrays, zeros included; arrays are decoded one by one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples():
+                a = np.load(io.BytesIO(r.npy), allow_pickle=False)
+                rows = _rows(r.image_id, a, "zyx")
+                rows["t"], rows["c"] = np.int32(r.t), np.int32(r.c)
+                for axis, b, n in zip("zyx", (r.bz, r.by, r.bx), (a.shape[1] if a.shape[0] > 1 else 1, a.shape[1], a.shape[2])):
+                    rows[axis] += np.int32(b * n)
+                yield rows
+
+    return spark.read.parquet(path).mapInPandas(run, PIXELS)
 
 
 def read_stack(spark: SparkSession, path: str, axis: str = "z", axes: str = "yx", name: str = "stack") -> DataFrame:
@@ -158,13 +181,13 @@ def write_sequence(px: DataFrame, path: str, axis: str) -> None:
     px.repartition(axis).write.partitionBy(axis).parquet(path)
 
 
-def write_pyramid(px: DataFrame, path: str, size: int, smallest: int = 64) -> int:
-    """Halves y and x until an image of ``size`` fits into ``smallest``; one partition for each scale. Returns the number of scales."""
+def write_pyramid(px: DataFrame, path: str, size: int, smallest: int = 64, axes: str = "yx") -> int:
+    """Halves the named axes until an image of ``size`` fits into ``smallest``; one partition for each scale. Returns the number of scales."""
     scales = max(1, math.ceil(math.log2(max(1, size / smallest))) + 1)
     level = px
     for s in range(scales):
         level.withColumn("scale", F.lit(s)).write.mode("append").partitionBy("scale").parquet(path)
-        level = downscale(level, {"y": 2, "x": 2})
+        level = downscale(level, dict.fromkeys(axes, 2))
     return scales
 
 
@@ -172,7 +195,12 @@ def read_scale(spark: SparkSession, path: str, scale: int) -> DataFrame:
     return spark.read.parquet(path).where(F.col("scale") == scale).drop("scale")
 
 
-def formatted(px: DataFrame, start: dict[str, int], stop: dict[str, int], in_range: tuple[float, float], top: float, kind: str) -> DataFrame:
-    """Subregion, renormalized from a data range to [0, top], and cast."""
-    out = renormalize(subregion(px, start, stop), *in_range)
-    return out.withColumn("v", F.round(F.col("v") * top).cast(kind))
+def formatted(px: DataFrame, start: dict[str, int], stop: dict[str, int], in_range: tuple[float, float], top: float, kind: str, axes: str | None = None) -> DataFrame:
+    """Subregion, renormalized from a data range to [0, top], and cast; with ``axes`` only these are kept, in this order.
+
+    The region is clipped to the images: it starts at 0 at the least, and what lies beyond their ends holds no pixels.
+    """
+    low = {a: max(0, n) for a, n in start.items()}
+    out = renormalize(subregion(px, low, {a: max(low[a], n) for a, n in stop.items()}), *in_range)
+    out = out.withColumn("v", F.round(F.col("v") * top).cast(kind))
+    return out if axes is None else reorder_axes(out, axes)
