@@ -147,7 +147,7 @@ def l04_clear(spark, sf_dir):
     return labels.clear_label(labels.paint(tables.strokes(spark, sf_dir)), 2).select(*COORDINATES, "v")
 
 
-STATISTICS = ["count", "mean", "sum", "min", "max", "var"]
+STATISTICS = ["count", "mean", "sum", "min", "max", "deviation"]
 
 
 @query("o02_moments", _with(LABELS) + "select *, case when m2 > 0 then round(m3 / m2 ** 1.5, 5) + 0.0 else 0.0 end as skew, case when m2 > 0 then round(m4 / m2 ** 2 - 3, 5) + 0.0 else 0.0 end as kurt from (select image_id, t, object_id, avg((v - m) ** 2) as m2, avg((v - m) ** 3) as m3, avg((v - m) ** 4) as m4 from (select px.image_id, px.t, lab.v as object_id, px.v, avg(px.v) over (partition by px.image_id, px.t, lab.v) as m from px join lab using (image_id, t, z, y, x)) group by all)".replace("select *, case", "select image_id, t, object_id, case", 1))
@@ -159,11 +159,12 @@ def o02(spark, sf_dir):
 @query(
     "o07_statistics",
     _with(LABELS, "nearby as (select l.image_id, l.t, l.v as object_id, px.y, px.x, px.v, max(case when px.y = l.y and px.x = l.x then 1 else 0 end) as own from lab l join px on px.image_id = l.image_id and px.t = l.t and (px.y - l.y) ** 2 + (px.x - l.x) ** 2 <= 4 group by all)")
-    + "select image_id, t, object_id, " + ", ".join(f"{f'round({e}, 5)' if s in ('mean', 'sum', 'var') else e} as {n}_{s}" for n, v in (("shell", "case when own = 0 then v end"), ("both", "v")) for s, e in (("count", f"count({v})"), ("mean", f"avg({v})"), ("sum", f"sum({v})"), ("min", f"min({v})"), ("max", f"max({v})"), ("var", f"var_pop({v})"))) + " from nearby group by all",
+    + "select image_id, t, object_id, " + ", ".join(f"{f'round({e}, 5)' if s in ('mean', 'sum') else e} as {n}_{s}" for n, v in (("shell", "case when own = 0 then v end"), ("both", "v")) for s, e in (("count", f"count({v})"), ("mean", f"avg({v})"), ("sum", f"sum({v})"), ("min", f"min({v})"), ("max", f"max({v})"), ("deviation", f"round(stddev_pop({v}), 5)"))) + " from nearby group by all",
 )
 def o07_statistics(spark, sf_dir):
     found = objects.neighbourhood_statistics(px_sales(spark, sf_dir), labels_of_sales(spark, sf_dir), 2)
-    return found.select(*OBJECT, *((F.round(c, 5) if s in ("mean", "sum", "var") else F.col(c)).alias(c) for n in ("shell", "both") for s in STATISTICS for c in [f"{n}_{s}"]))
+    found = found.withColumns({f"{n}_deviation": F.sqrt(f"{n}_var") for n in ("shell", "both")})
+    return found.select(*OBJECT, *((F.round(c, 5) if s in ("mean", "sum", "deviation") else F.col(c)).alias(c) for n in ("shell", "both") for s in STATISTICS for c in [f"{n}_{s}"]))
 
 
 @query("g23_contact_shell", _with(PX_SALES, "l as (select image_id, t, z, y, x, case when v < 20 then 1 when v >= 60 then 2 end as v from px)") + f"select b.image_id, b.t, b.z, b.y, b.x from l b join l a on a.image_id = b.image_id and a.t = b.t and a.v = 1 and b.v = 2 group by all having min((a.y - b.y) ** 2 + (a.x - b.x) ** 2) > 1 and min((a.y - b.y) ** 2 + (a.x - b.x) ** 2) <= 4")
