@@ -43,12 +43,14 @@ def within(px: DataFrame, shape: dict[str, int]) -> DataFrame:
 
 @dataclass
 class Block:
-    """A dense block with its halo: values (absent pixels are 0), which pixels are present, and which lie within the image."""
+    """A dense block with its halo: values (absent pixels are 0), which pixels are present, which lie within the image, and
+    where the block begins along each axis."""
 
     values: np.ndarray
     present: np.ndarray
     inside: np.ndarray
     axes: str
+    low: dict[str, int]
 
     def along(self, kernels: dict[str, list[float]], image: np.ndarray | None = None) -> np.ndarray:
         """Correlates with a kernel along each named axis, in turn; what leaves the image on the way is dropped."""
@@ -117,7 +119,7 @@ def stencil(px: DataFrame, fn: Stencil, halo: int | dict[str, int], block: int =
             if shape and a in shape:
                 place = np.arange(low[a], low[a] + size[i])
                 inside &= ((place >= 0) & (place < shape[a])).reshape([-1 if j == i else 1 for j in range(len(axes))])
-        channels, mask = fn(Block(values, present, inside, axes))
+        channels, mask = fn(Block(values, present, inside, axes, low))
         found = np.nonzero((mask & inside)[core])
         n, k = len(found[0]), len(channels)
         out = {c: np.repeat(pdf[c].iloc[0], n * k) for c in COORDINATES if c not in axes}

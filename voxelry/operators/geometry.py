@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelry.operators.filters import gaussian_kernel, smoothed_along
+from voxelry.operators.filters import Block, correlate, gaussian_kernel, smoothed_along, stencil
 from voxelry.sources.tables import COORDINATES
 
 AXES = ["t", "z", "y", "x", "c"]
+#: What is left of a spline's recursive filter where it is cut.
+SPLINE_REST = 1e-14
 PIXEL = ["image_id", "t", "z", "y", "x"]
 
 
@@ -107,9 +111,15 @@ def resize_nearest(px: DataFrame, factor: dict[str, int]) -> DataFrame:
     return px
 
 
-def _weights(at: float, order: int) -> list[tuple[int, float]]:
+def _weights(at: float, order: int, spline: bool = False) -> list[tuple[int, float]]:
     """The places around ``at`` and their shares in the value there."""
     near, low = int(at + 0.5), int(at)
+    if spline and order == 2:
+        d = at - near
+        return [(near - 1, (0.5 - d) ** 2 / 2), (near, 0.75 - d * d), (near + 1, (0.5 + d) ** 2 / 2)]
+    if spline and order == 3:
+        d = at - low
+        return [(low - 1, (1 - d) ** 3 / 6), (low, (4 - 6 * d * d + 3 * d**3) / 6), (low + 1, (1 + 3 * d + 3 * d * d - 3 * d**3) / 6), (low + 2, d**3 / 6)]
     if order == 0:
         return [(near, 1.0)]
     if order == 1:
@@ -127,11 +137,33 @@ def _mirrored(place: int, n: int) -> int:
     return min(place % period, period - place % period) if n > 1 else 0
 
 
-def resize(px: DataFrame, source: dict[str, int], target: dict[str, int], order: int = 1) -> DataFrame:
+def spline_coefficients(px: DataFrame, order: int, shape: dict[str, int]) -> DataFrame:
+    """Coefficients of the B-splines of order 2 or 3 that pass through all pixels along the axes of ``shape``; the border is a mirror.
+
+    The recursive filter that gives them fades by its pole from place to place; it is cut where it has fallen below
+    SPLINE_REST, so that blocks need a halo of that width and no carries.
+    """
+    pole = {2: 2 * math.sqrt(2) - 3, 3: math.sqrt(3) - 2}[order]
+    gain = {2: -8.0, 3: -6.0}[order] * pole / (1 - pole * pole)
+    r = math.ceil(math.log(SPLINE_REST) / math.log(abs(pole)))
+    kernel, axes = [gain * pole ** abs(k) for k in range(-r, r + 1)], "".join(a for a in "zyx" if a in shape)
+
+    def fitted(b: Block) -> tuple[list[np.ndarray], np.ndarray]:
+        image = b.values
+        for i, a in enumerate(axes):
+            # places beyond the border take the mirrored pixel; what lies further out than the halo is not looked at
+            place = [_mirrored(b.low[a] + k, shape[a]) - b.low[a] for k in range(image.shape[i])]
+            image = correlate(np.take(image, np.clip(place, 0, image.shape[i] - 1), axis=i), kernel, i)
+        return [image], b.reached(dict.fromkeys(axes, r))
+
+    return stencil(px, fitted, r, 64 if "z" not in axes else 32, axes, shape)
+
+
+def resize(px: DataFrame, source: dict[str, int], target: dict[str, int], order: int = 1, spline: bool = False) -> DataFrame:
     """Images resized from ``source`` to ``target`` lengths of the named axes, by interpolation of order 0 (nearest) to 3.
 
-    Orders 1, 2 and 3 are linear, the parabola through the three nearest pixels, and cubic convolution; the border is a
-    mirror. Corners are kept: place i of n comes from ``i * (source - 1) / (n - 1)``. An axis that shrinks is first
+    Orders 1, 2 and 3 are linear, the parabola through the three nearest pixels, and cubic convolution, or with ``spline``
+    the B-splines of order 2 and 3 through all pixels of the resized axes; the border is a mirror. Corners are kept: place i of n comes from ``i * (source - 1) / (n - 1)``. An axis that shrinks is first
     smoothed with sigma ``(source / target - 1) / 2`` unless the order is 0. Each pixel is sent to the places it
     contributes to; absent pixels count as 0 but for order 0.
     """
@@ -140,6 +172,9 @@ def resize(px: DataFrame, source: dict[str, int], target: dict[str, int], order:
     shrunk = {a: gaussian_kernel((source[a] / n - 1) / 2) for a, n in target.items() if order and n < source[a]}
     if shrunk:
         px = smoothed_along(px, shrunk, {a: source[a] for a in shrunk})
+    spline = spline and order > 1
+    if spline and any(n != source[a] for a, n in target.items()):
+        px = spline_coefficients(px, order, {a: source[a] for a, n in target.items() if n != source[a]})
     for a, n in target.items():
         m = source[a]
         if n == m:
@@ -147,7 +182,7 @@ def resize(px: DataFrame, source: dict[str, int], target: dict[str, int], order:
         parts = []
         for i in range(n):
             at = i * (m - 1) / (n - 1) if n > 1 else (m - 1) / 2
-            parts.extend((_mirrored(j, m), i, w) for j, w in _weights(at, order) if w)
+            parts.extend((_mirrored(j, m), i, w) for j, w in _weights(at, order, spline) if w)
         plan = F.broadcast(px.sparkSession.createDataFrame(parts, f"{a} int, to int, w double"))  # at most four rows for each place of one axis
         moved = px.join(plan, a).withColumn(a, F.col("to"))
         px = moved.groupBy(*COORDINATES).agg(F.sum(F.col("v") * F.col("w")).alias("v")) if order else moved.select(*COORDINATES, "v")

@@ -24,6 +24,19 @@ def g11(spark, sf_dir):
     return px.where("abs(v) > 1e-4").withColumn("v", F.round("v", 5) + F.lit(0.0))
 
 
+@query("g11_resize_shrunk", _with(PX_SALES, *_smooth_sql("px", 0.5, "g"), _linear_sql("g", "y", 48, 24, "a"), _linear_sql("a", "x", 48, 24, "b")) + f"select {P}, c, round(v, 5) + 0.0 as v from b where abs(v) > 1e-4")
+def g11_shrunk(spark, sf_dir):
+    """Images of half the size, smoothed beforehand."""
+    px = geometry.resize(px_sales(spark, sf_dir), SHAPE, {"y": 24, "x": 24})
+    return px.where("abs(v) > 1e-4").withColumn("v", F.round("v", 5) + F.lit(0.0))
+
+
+@query("g11_resize_spline")
+def g11_spline(spark, sf_dir):
+    px = geometry.resize(px_sales(spark, sf_dir), SHAPE, {"y": 60, "x": 70}, 3, spline=True)
+    return px.where("abs(v) > 1e-4").withColumn("v", F.round("v", 5) + F.lit(0.0))
+
+
 HESSIAN = [*_smooth_sql("px", 1.0, "hyy", 2, 0), *_smooth_sql("px", 1.0, "hyx", 1, 1), *_smooth_sql("px", 1.0, "hxx", 0, 2), f"h as (select {P}, max(case when k = 0 then v end) as a, max(case when k = 1 then v end) as b, max(case when k = 2 then v end) as d from (select *, 0 as k from hyy union all select *, 1 as k from hyx union all select *, 2 as k from hxx) group by {P})"]
 
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators.geometry import downscale, renormalize, reorder_axes, subregion
+from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
 PIXELS = "image_id string, t int, z int, y int, x int, c int, v double"
@@ -97,7 +99,42 @@ def write_blocks(px: DataFrame, path: str, block: int) -> None:
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).withColumn("image_id", F.col("image").cast("string"))
+    """The pixels of blocks as write_blocks and replace_blocks store them."""
+    return spark.read.parquet(path).where("v is not null").withColumn("image_id", F.col("image").cast("string"))
+
+
+def replace_blocks(px: DataFrame, blocks: DataFrame, path: str, block: int) -> None:
+    """Writes the pixels of ``blocks(image_id, bz, by, bx)``; other stored blocks stay, and blocks without pixels become empty.
+
+    Folders of blocks are replaced as a whole, so that writing the same blocks twice does no harm. An empty block keeps a
+    row without a value.
+    """
+    rows = px.select(*COORDINATES, F.col("v").cast("double").alias("v")).withColumns({f"b{a}": F.floor(F.col(a) / block).cast("int") for a in "zyx"})
+    rows = rows.join(blocks, ["image_id", "bz", "by", "bx"], "left_semi")
+    marks = blocks.select("image_id", *(F.lit(0).alias(c) for c in COORDINATES[1:]), F.lit(None).cast("double").alias("v"), "bz", "by", "bx")
+    both = rows.select(*COORDINATES, "v", "bz", "by", "bx").unionByName(marks).withColumnRenamed("image_id", "image")
+    both.repartition("image", "bz", "by", "bx").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("image", "bz", "by", "bx").parquet(path)
+
+
+def write_missing_blocks(grid: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, block: int, at_once: int = 1000) -> int:
+    """Computes and writes the blocks of ``grid(image_id, bz, by, bx)`` that ``path`` lacks, up to ``at_once`` in one go.
+
+    A run that was stopped goes on where it was: what is stored is the list of what is done, and a block is stored as a whole.
+    Returns the number of goes.
+    """
+    spark, goes = grid.sparkSession, 0
+    order = ["image_id", "bz", "by", "bx"]
+    while True:
+        try:
+            done = spark.read.parquet(path).select(F.col("image").cast("string").alias("image_id"), "bz", "by", "bx").distinct()
+            left = missing_blocks(done, grid)
+        except AnalysisException:  # nothing is stored yet
+            left = grid
+        todo = written(left.select(*order).distinct().orderBy(*order).limit(at_once), "todo")
+        if todo.isEmpty():
+            return goes
+        replace_blocks(compute(todo), todo, path, block)
+        goes += 1
 
 
 def missing_blocks(blocks: DataFrame, grid: DataFrame) -> DataFrame:

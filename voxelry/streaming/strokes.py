@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from voxelry.operators.labels import ERASER
+from voxelry.sources.files import replace_blocks
 from voxelry.sources.tables import COORDINATES
 
 
@@ -36,3 +37,18 @@ def on_changed_blocks(changes: DataFrame, block: int, act: Callable[[DataFrame,
         act(blocks, number)
 
     return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(each).start()
+
+
+def keep_updated(changes: DataFrame, block: int, compute: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Recomputes the blocks that changed pixels touch and replaces them, and only them, in the blocks stored at ``path``.
+
+    ``compute(blocks)`` gets ``image_id, bz, by, bx`` and returns the pixels of these blocks. A batch that is repeated after a
+    crash writes the same blocks again.
+    """
+
+    def act(blocks: DataFrame, number: int) -> None:
+        touched = blocks.select("image_id", F.lit(0).alias("bz"), "by", "bx").distinct()
+        if not touched.isEmpty():
+            replace_blocks(compute(touched), touched, path, block)
+
+    return on_changed_blocks(changes, block, act, checkpoint)
