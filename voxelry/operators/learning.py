@@ -50,14 +50,14 @@ def concat_matrices(matrices: list[DataFrame]) -> DataFrame:
 def train(matrix: DataFrame, features: str = "f", trees: int = 100, depth: int = 8, seed: int = 0, learner: Learner | None = None) -> Model | None:
     """A random forest, or what ``learner`` makes, on an array column; None with fewer rows than the largest label.
 
-    Rows are dealt and sorted by their hash before the fit, so that the model depends on the rows and the seed alone, not on
+    Rows are dealt by their hash and sorted before the fit, so that the model depends on the rows and the seed alone, not on
     how the rows came to lie in partitions.
     """
     size = matrix.agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("m")).first()
     if not size["n"] or size["n"] < size["m"]:
         return None
     rows = matrix.select(F.col("label").cast("double").alias("label"), F.col(features).cast("array<double>").alias("features")).withColumn("_at", F.xxhash64("label", "features"))
-    rows = rows.repartition(-(-size["n"] // FITTED_AT_ONCE), "_at").sortWithinPartitions("_at", "label", "features").select("label", array_to_vector("features").alias("features"))
+    rows = rows.repartition(-(-size["n"] // FITTED_AT_ONCE), "_at").sortWithinPartitions("label", "features").select("label", array_to_vector("features").alias("features"))
     return (learner(seed) if learner else RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)).fit(rows)
 
 
