@@ -247,11 +247,11 @@ def w13(spark, sf_dir):
 # tracking
 
 
-@query("t05_combined_features", _with(LABELS, FEATURES, WINDOWS) + "select f.image_id, f.t, f.object_id, count, " + ", ".join(f"round({c}, 5) as {c}" for c in DIVISION_COLUMNS) + " from f left join divs on divs.image_id = f.image_id and divs.t = f.t and divs.object_id = f.object_id")
+@query("t05_combined_features", _with(LABELS, FEATURES, WINDOWS) + "select f.image_id, f.t, f.object_id, count, " + ", ".join(f"round({c} + 1e-9, 5) as {c}" for c in DIVISION_COLUMNS) + " from f left join divs on divs.image_id = f.image_id and divs.t = f.t and divs.object_id = f.object_id")
 def t05(spark, sf_dir):
     f, divisions = window_divisions(spark, sf_dir)
     both = tracking.combined_features(f.select(*OBJECT, "count"), divisions)
-    return both.select(*OBJECT, "count", *(F.round(c, 5).alias(c) for c in DIVISION_COLUMNS))
+    return both.select(*OBJECT, "count", *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in DIVISION_COLUMNS))
 
 
 @query("t06_border_costs", _with(LABELS, FEATURES, "k as (select image_id, t, object_id, least(cy, 47 - cy, cx, 47 - cx) as m from f)", "s as (select *, case when m >= 10 then 1.0 else greatest(m, 0.0) / 10.0 end as s from k)") + "select image_id, t, object_id, round(case when t = 0 then 0.0 else 500.0 * s end, 6) as appear, round(case when t = 6 then 0.0 else 300.0 * s end, 6) as disappear from s")

@@ -611,10 +611,11 @@ def window_divisions(spark, sf_dir):
     return f, tracking.division_features(f, tracking.window_links(f, labels, 12, 2))
 
 
-@query("t04_window_divisions", _with(LABELS, FEATURES, WINDOWS) + "select image_id, t, object_id, " + ", ".join(f"round({c}, 5) as {c}" for c in DIVISION_COLUMNS) + " from divs")
+@query("t04_window_divisions", _with(LABELS, FEATURES, WINDOWS) + "select image_id, t, object_id, " + ", ".join(f"round({c} + 1e-9, 5) as {c}" for c in DIVISION_COLUMNS) + " from divs")
 def t04_windows(spark, sf_dir):
     d = window_divisions(spark, sf_dir)[1]
-    return d.select(*objects.OBJECT, *(F.round(c, 5).alias(c) for c in DIVISION_COLUMNS))
+    # ratios of small numbers often lie half way between two rounded values
+    return d.select(*objects.OBJECT, *(F.round(F.col(c) + 1e-9, 5).alias(c) for c in DIVISION_COLUMNS))
 
 
 @query("t07_link_tracks")
