@@ -128,7 +128,12 @@ def stencil(px: DataFrame, fn: Stencil, halo: int | dict[str, int], block: int =
         out["v"] = np.concatenate([ch[core][found] for ch in channels])
         return pd.DataFrame(out)[[*COORDINATES, "v"]]
 
-    return rows.groupBy(*key).applyInPandas(compute, "image_id string, t int, z int, y int, x int, c int, v double")
+    return _dealt(rows, key).groupBy(*key).applyInPandas(compute, "image_id string, t int, z int, y int, x int, c int, v double")
+
+
+def _dealt(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Blocks over all shuffle partitions: few pixels may still be many blocks, which few tasks would compute one after the other."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
 
 
 def _radii(kernels: dict[str, list[float]]) -> dict[str, int]:
