@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelry.functions import registry
 from voxelry.operators import counting, filters, geometry, labels, learning, missing, objects, regions, superpixels, tracking
-from voxelry.plans.stored import written
+from voxelry.plans.stored import expect_packed_files, written
 from voxelry.sources import tables
 from voxelry.sources.tables import COORDINATES, POINTS, PX_CHANNELS, PX_PATCH, PX_SALES, PX_TIME, STROKES, px_patch, px_sales, px_time
 
@@ -24,7 +25,12 @@ def query(name: str, sql: str | None = None):
     """Registers a query of (spark, sf_dir) under a name, and its SQL."""
 
     def keep(f: Query) -> Query:
-        _queries[name] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            expect_packed_files(spark)
+            return f(spark, sf_dir)
+
+        _queries[name] = run
         if sql:
             _sql[name] = sql
         return f

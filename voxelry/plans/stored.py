@@ -7,6 +7,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FACTOR = "spark.sql.sources.fileCompressionFactor"
+#: Pixel tables take two to five bytes a row in a file and over a hundred in a broadcast.
+EXPANSION = 32
+
+
+def expect_packed_files(spark: SparkSession) -> None:
+    """Lets the planner count ``EXPANSION`` bytes for each byte of a table's file when it looks for small sides of joins.
+
+    Coordinates and labels are packed so well that a file below the limit for broadcasts may hold millions of rows, more than
+    the driver can build. Sides that turn out small are still broadcast by adaptive execution, which knows the rows themselves.
+    A larger factor that the session has already is kept.
+    """
+    if float(spark.conf.get(_FACTOR, "1.0")) < EXPANSION:
+        spark.conf.set(_FACTOR, str(float(EXPANSION)))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
