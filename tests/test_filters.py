@@ -98,3 +98,15 @@ def test_three_dimensions_and_single_axes(spark):
     first = arrays(filters.hessian_first_eigenvalue(px, 0.8, {"z": 5, "y": 12, "x": 13}, "zyx"), dense.shape)
     every = filters.hessian_eigenvalues(px, 0.8, {"z": 5, "y": 12, "x": 13}, "zyx")
     assert np.abs(first - arrays(every, dense.shape)).max() < 1e-9 and every.agg({"c": "max"}).first()[0] == 2
+
+
+@pytest.mark.parametrize("axes, block, side", [("yx", 16, 48 + 22), ("zyx", 16, 32 + 22)])
+def test_small_blocks_share_a_tile(spark, axes, block, side):
+    """Blocks of 16 do not each bring a halo of their own, and arrays are no larger than what is present."""
+    full = [(k, y, x) for k in range(2) for y in range(48) for x in range(48)]
+    px = spark.createDataFrame([("a", 0 if "z" in axes else k, k if "z" in axes else 0, y, x, 0, 1.0) for k, y, x in full], "image_id string, t int, z int, y int, x int, c int, v double")
+    found = filters.at_pixels(px, lambda values, at: np.tile([values.shape[-1], values.sum()], (at.shape[1], 1)), 11, block, axes)
+    rows = found.collect()
+    assert len(rows) == len(full)
+    assert max(r.f[0] for r in rows) == side
+    assert len({(r.image_id, r.t, r.f[0], r.f[1]) for r in rows}) <= 4

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.operators.filters import WINDOW, gaussian_kernel
+from voxelry.operators.filters import WINDOW, _smoothed, at_pixels, correlate, gaussian_kernel
 from voxelry.operators.objects import OBJECT, region_features
 from voxelry.operators.regions import connected_components
 from voxelry.plans.stored import written
@@ -64,12 +64,6 @@ VOLUME_FEATURES = ["gaussian", "laplacian", "gradient", "dog", "hessian_0", "hes
 _UPPER = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
-def _filtered(a: np.ndarray, kernels: list[np.ndarray]) -> np.ndarray:
-    for axis, k in enumerate(kernels):
-        a = np.apply_along_axis(lambda line: np.convolve(line, k[::-1], mode="same"), axis, a)  # noqa: B023
-    return a
-
-
 def _eigenvalues(entries: list[np.ndarray]) -> np.ndarray:
     """Of symmetric matrices given by their upper triangles, largest first, along the last axis."""
     m = np.empty((*entries[0].shape, 3, 3))
@@ -78,45 +72,40 @@ def _eigenvalues(entries: list[np.ndarray]) -> np.ndarray:
     return np.linalg.eigvalsh(m)[..., ::-1]
 
 
-def volume_features(volume: np.ndarray, sigma: float) -> dict[str, np.ndarray]:
-    """All features of one dense block z, y, x at one scale. The block must not be shorter than the kernels."""
-    k = [np.array(gaussian_kernel(sigma, o)) for o in range(3)]
-    small, outer = (np.array(gaussian_kernel(s)) for s in (0.66 * sigma, 0.5 * sigma))
-    derived = lambda *axes: _filtered(volume, [k[axes.count(a)] for a in range(3)])
-    smooth, slopes, second = derived(), [derived(a) for a in range(3)], [derived(i, j) for i, j in _UPPER]
+def volume_features(volume: np.ndarray, sigma: float, at: tuple = (...,)) -> dict[str, np.ndarray]:
+    """All features of one dense block z, y, x at one scale, at the places ``at`` of the block or at all."""
+    kernels = [gaussian_kernel(sigma, o) for o in range(3)]
+    small, outer = gaussian_kernel(0.66 * sigma), gaussian_kernel(0.5 * sigma)
+    known: dict[tuple, np.ndarray] = {(): volume}
+
+    def derived(*axes: int) -> np.ndarray:
+        orders = tuple(axes.count(a) for a in range(3))
+        for a in range(3):
+            if orders[: a + 1] not in known:
+                known[orders[: a + 1]] = correlate(known[orders[:a]], kernels[orders[a]], a)
+        return known[orders]
+
+    smooth, slopes, second = derived(), [derived(a) for a in range(3)], [derived(i, j)[at] for i, j in _UPPER]
     hessian = _eigenvalues(second)
-    tensor = _eigenvalues([_filtered(slopes[i] * slopes[j], [outer] * 3) for i, j in _UPPER])
-    found = {"gaussian": smooth, "laplacian": second[0] + second[3] + second[5], "gradient": np.sqrt(sum(s * s for s in slopes)), "dog": smooth - _filtered(volume, [small] * 3)}
+    tensor = _eigenvalues([_smoothed(slopes[i] * slopes[j], outer)[at] for i, j in _UPPER])
+    found = {"gaussian": smooth[at], "laplacian": second[0] + second[3] + second[5], "gradient": np.sqrt(sum(s[at] * s[at] for s in slopes)), "dog": smooth[at] - _smoothed(volume, small)[at]}
     return found | {f"hessian_{i}": hessian[..., i] for i in range(3)} | {f"tensor_{i}": tensor[..., i] for i in range(3)}
 
 
 def volume_feature_bank(px: DataFrame, sigmas: list[float], features: list[str] | None = None, block: int = 32) -> DataFrame:
     """Features of volumes at several scales for every present pixel: ``image_id, t, z, y, x, c, f ARRAY<FLOAT>``.
 
-    Blocks of z, y and x are computed one by one with a halo as wide as the kernels reach, so that the result does not
+    Blocks of z, y and x are computed with a halo as wide as the kernels reach, so that the result does not
     depend on them and memory is bounded by block, halo and scales. Absent pixels count as 0.
     """
     features = features or VOLUME_FEATURES
     halo = math.ceil(WINDOW * max(sigmas)) + math.ceil(WINDOW * max(sigmas) * 0.66) + 1
-    rows = px.select(*COORDINATES, "v")
-    for a in "zyx":
-        rows = rows.select("*", F.explode(F.sequence(F.floor((F.col(a) - halo) / block), F.floor((F.col(a) + halo) / block))).alias(f"b{a}"))
-
-    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.stack([pdf[a].to_numpy() - int(pdf[f"b{a}"].iloc[0]) * block + halo for a in "zyx"])
-        core = ((at >= halo) & (at < halo + block)).all(axis=0)
-        out = pdf.loc[core, COORDINATES].copy()
-        if core.any():
-            volume = np.zeros((block + 2 * halo,) * 3)
-            volume[tuple(at)] = pdf["v"].to_numpy()
-            found = [volume_features(volume, s) for s in sigmas]
-            values = np.stack([f[name][tuple(at[:, core])] for f in found for name in features], axis=1)
-            out["f"] = pd.Series(list(values.astype(np.float32)), index=out.index, dtype=object)
-        else:
-            out["f"] = pd.Series([], dtype=object)
-        return out
-
-    return rows.groupBy("image_id", "t", "c", "bz", "by", "bx").applyInPandas(compute, "image_id string, t int, z int, y int, x int, c int, f array<float>")
+
+    def compute(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        found = [volume_features(values, s, tuple(at)) for s in sigmas]
+        return np.stack([f[name] for f in found for name in features], axis=1)
+
+    return at_pixels(px, compute, halo, block, "zyx")
 
 
 def _hull_volume(points: np.ndarray) -> float:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,7 +240,7 @@ def _eigenvalues(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarra
     return half + root, half - root
 
 
-def _smoothed(image: np.ndarray, kernel: list[float]) -> np.ndarray:
+def _smoothed(image: np.ndarray, kernel: list[float] | np.ndarray) -> np.ndarray:
     for axis in range(image.ndim):
         image = correlate(image, kernel, axis)
     return image
@@ -288,12 +289,6 @@ def block_features(image: np.ndarray, sigma: float, features: Sequence[str] = FE
     return {f: found[f] for f in features}
 
 
-def stencil_blocks(px: DataFrame, block: int, halo: int) -> DataFrame:
-    """Pixels with every block (``by, bx``) whose core or halo they lie in."""
-    span = lambda a: F.sequence(F.floor((F.col(a) - halo) / block), F.floor((F.col(a) + halo) / block))
-    return px.select("*", F.explode(span("y")).alias("by")).select("*", F.explode(span("x")).alias("bx"))
-
-
 def feature_bank(px: DataFrame, sigmas: list[float], features: list[str] | None = None, block: int = 64) -> DataFrame:
     """Selected features at several scales for every present pixel: ``image_id, t, z, y, x, c, f ARRAY<FLOAT>``.
 
@@ -309,27 +304,54 @@ def features_at(px: DataFrame, chosen: list[tuple[str, float]], block: int = 64)
     """The bank of chosen pairs of feature and scale, in their order."""
     scales = sorted({s for _, s in chosen})
     halo = max(map(halo_of, scales))
-    key = ["image_id", "t", "z", "c", "by", "bx"]
 
-    def compute(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["by"].iloc[0]) * block - halo, int(pdf["bx"].iloc[0]) * block - halo
-        n = block + 2 * halo
-        image = np.zeros((n, n))
-        y, x = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
-        image[y, x] = pdf["v"].to_numpy()
-        core = (y >= halo) & (y < halo + block) & (x >= halo) & (x < halo + block)
-        y, x, found = y[core], x[core], {}
-        for s in scales if core.any() else []:
+    def compute(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+        found = {}
+        for s in scales:
             cut = halo - halo_of(s)
             names = list(dict.fromkeys(f for f, scale in chosen if scale == s))
-            for f, v in block_features(image[cut : n - cut, cut : n - cut], s, names).items():
-                found[f, s] = v[y - cut, x - cut]
-        out = pdf.loc[core, COORDINATES].copy()
-        values = np.stack([found[c] for c in chosen], axis=1) if found else np.zeros((0, len(chosen)))
-        out["f"] = pd.Series(list(values.astype(np.float32)), index=out.index, dtype=object)
-        return out
-
-    return stencil_blocks(px, block, halo).groupBy(*key).applyInPandas(compute, "image_id string, t int, z int, y int, x int, c int, f array<float>")
+            y, x = at - cut
+            inner = values[tuple(slice(cut, n - cut) for n in values.shape)]
+            for f, v in block_features(inner, s, names).items():
+                found[f, s] = v[y, x]
+        return np.stack([found[c] for c in chosen], axis=1)
+
+    return at_pixels(px, compute, halo, block, "yx")
+
+
+#: Blocks of a bank are gathered in tiles about as wide, so that not each small block has a halo of its own.
+TILE = {"yx": 64, "zyx": 32}
+
+
+def at_pixels(px: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], halo: int, block: int, axes: str) -> DataFrame:
+    """Evaluates ``fn`` at every present pixel: ``image_id, t, z, y, x, c, f ARRAY<FLOAT>``, in one shuffle.
+
+    ``fn`` gets a dense array and the places, one column for each pixel, at which a row of features is wanted; the array reaches
+    ``halo`` beyond these places on every side. Pixels are gathered in tiles of as many whole blocks as ``TILE`` holds, one
+    at least, and an array is no larger than what is present in the tile and its halo. Memory is bounded by the tile.
+    """
+    tile = block * max(1, TILE[axes] // block)
+    rows = px.select(*COORDINATES, F.col("v").cast("double").alias("v"))
+    for a in axes:
+        rows = rows.select("*", F.explode(F.sequence(F.floor((F.col(a) - halo) / tile), F.floor((F.col(a) + halo) / tile))).alias(f"b{a}"))
+    fields = [*((c, pa.string() if c == "image_id" else pa.int32()) for c in COORDINATES), ("f", pa.list_(pa.float32()))]
+
+    def compute(table: pa.Table) -> pa.Table:
+        at = np.stack([table[a].to_numpy().astype(np.int64) - table[f"b{a}"][0].as_py() * tile for a in axes])
+        core = ((at >= 0) & (at < tile)).all(axis=0)
+        if not core.any():
+            return pa.schema(fields).empty_table()
+        low, high = at[:, core].min(axis=1) - halo, at[:, core].max(axis=1) + halo + 1
+        near = ((at >= low[:, None]) & (at < high[:, None])).all(axis=0)
+        values = np.zeros(high - low)
+        values[tuple(at[:, near] - low[:, None])] = table["v"].to_numpy()[near]
+        found = fn(values, at[:, core] - low[:, None]).astype(np.float32)
+        starts = np.arange(len(found) + 1, dtype=np.int32) * found.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(found.ravel()))
+        return table.select(COORDINATES).filter(pa.array(core)).append_column("f", lists).cast(pa.schema(fields))
+
+    key = [c for c in COORDINATES if c not in axes] + [f"b{a}" for a in axes]
+    return _dealt(rows, key).groupBy(*key).applyInArrow(compute, "image_id string, t int, z int, y int, x int, c int, f array<float>")
 
 
 #: The scales and features that users choose from, as rows and columns of a matrix.
