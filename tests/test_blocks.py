@@ -60,6 +60,13 @@ def test_the_detector_learns_from_hard_examples(spark):
     assert missing.train_missing_detector(spark.createDataFrame(good, schema)) is None
 
 
+def test_without_a_trained_detector_patches_of_the_first_bin_are_missing(spark):
+    px = spark.createDataFrame([("i", 0, 0, 0, x, 0, 0.0 if x < 4 else 150.0) for x in range(8)], PX)
+    found = missing.detect_missing_trained(px, None, 4, 3, (0.0, 300.0))
+    assert found.columns == ["image_id", "t", "z", "c", "py", "px", "missing"]
+    assert {(r["px"], r["missing"]) for r in found.collect()} == {(0, True), (1, False)}
+
+
 def test_outlines_go_around(spark):
     square = spark.createDataFrame([("i", 0, 0, y, x, 0, 1) for y in range(3) for x in range(3)], LAB)
     got = [(r["y"], r["x"]) for r in sorted(tracking.outline_records(square).collect(), key=lambda r: r["position"])]
