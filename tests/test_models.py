@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from voxelry.operators import counting, filters, geometry, labels, objects, selection, tracking
 
@@ -88,3 +89,18 @@ def test_density_is_rescaled_to_counts_of_boxes(spark):
     boxes = spark.createDataFrame([("a", "i", 0, 0, 1, 0, 2, 3.0), ("b", "i", 0, 8, 9, 0, 2, 4.0)], "box string, image_id string, t int, y0 int, y1 int, x0 int, x1 int, count double")
     assert sorted(r["v"] for r in counting.fit_to_boxes(density, boxes).collect()) == [1.5, 1.5, 2.0]
     assert counting.train_density(spark.createDataFrame([], "f array<double>, v double")) == []
+
+
+def test_autocontext_computes_each_bank_once(spark):
+    px = spark.createDataFrame([("a", 0, 0, y, x, 0, float(30 * (x % 3))) for y in range(6) for x in range(6)], "image_id string, t int, z int, y int, x int, c int, v double")
+    marks = px.select("image_id", "t", "z", "y", "x", "c", (F.col("v") > 20).cast("int").alias("label")).withColumn("label", F.col("label") + 1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(v):
+        seen.add(1)
+        return [float(v)]
+
+    once = F.udf(count, "array<float>").asNondeterministic()
+    scored = selection.autocontext(px, marks, 2, lambda p: p.withColumn("f", once("v")), 2, trees=2)
+    assert scored.count() == 36
+    assert seen.value == 36 + 2 * 36  # the image, and two channels of probabilities

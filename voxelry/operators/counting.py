@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxelry.operators.filters import gaussian_smoothing
 from voxelry.operators.learning import ensemble_margin
+from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
 BACKGROUND = 2
@@ -48,6 +49,7 @@ def box_residuals(density: DataFrame, boxes: DataFrame) -> DataFrame:
 def train_density(samples: DataFrame, count: int = 4, trees: int = 10, depth: int = 8) -> list[Model]:
     """``count`` forests of different seeds on ``samples(f ARRAY, v)``; none without samples."""
     rows = samples.select(F.col("v").cast("double").alias("label"), array_to_vector(F.col("f").cast("array<double>")).alias("features"))
+    rows = written(rows, "samples")
     if rows.isEmpty():
         return []
     return [RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=i).fit(rows) for i in range(count)]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.operators.geometry import PIXEL
+from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
 #: Makes an untrained model from a seed: any classifier of Spark ML with columns label, features and probability.
@@ -96,7 +97,8 @@ def probability_image(rows: DataFrame) -> DataFrame:
 
 def pixel_classification(bank: DataFrame, labels: DataFrame, classes: int, trees: int = 20) -> DataFrame:
     """Features and labels to class probabilities for all pixels: ``image_id, t, z, y, x, c, p``."""
-    return predict(bank, train(label_feature_matrix(bank, labels, COORDINATES), trees=trees), classes)
+    matrix = written(label_feature_matrix(bank, labels, COORDINATES).select("label", "f"), "matrix")
+    return predict(bank, train(matrix, trees=trees), classes)
 
 
 def predictions_to_segmentation(stored: DataFrame) -> DataFrame:

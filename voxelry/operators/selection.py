@@ -117,11 +117,11 @@ def autocontext(images: DataFrame, labels: DataFrame, classes: int, bank: Callab
     place = COORDINATES[:-1]
     rows, scored = own, own
     for stage in range(stages):
-        matrix = rows.join(labels.where("label > 0").select(*COORDINATES, "label"), COORDINATES)
+        matrix = written(rows.join(labels.where("label > 0").select(*COORDINATES, "label"), COORDINATES).select("label", "f"), "matrix")
         scored = written(predict(rows, train(matrix, trees=trees, seed=stage), classes).select(*COORDINATES, "p"), "stage")
         if stage + 1 == stages:
             break
         context = bank(scored.select(*place, F.posexplode("p").alias("k", "v")).select(*place, F.col("k").alias("c"), "v"))
         wide = context.groupBy(*place).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("c", "f"))), lambda s: s["f"])).alias("more"))
-        rows = own.join(wide, place).select(*COORDINATES, F.concat("f", "more").alias("f"))
+        rows = written(own.join(wide, place).select(*COORDINATES, F.concat("f", "more").alias("f")), "rows")
     return scored

@@ -24,7 +24,7 @@ def c07_classes(spark, sf_dir):
     px = px_sales(spark, sf_dir)
     vectors = written(blockwise.neighbourhood_vectors(px, 1), "windows")
     marks = px.where((F.col("y") + F.col("x")) % 5 == 0).select(*COORDINATES, F.when(F.col("v") >= 30, 2).otherwise(1).alias("label"))
-    model = learning.train(learning.label_feature_matrix(vectors, marks, COORDINATES), trees=10)
+    model = learning.train(written(learning.label_feature_matrix(vectors, marks, COORDINATES).select("label", "f"), "matrix"), trees=10)
     return learning.argmax_channel(learning.probability_image(learning.predict(vectors, model, 2)))
 
 
