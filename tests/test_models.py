@@ -1,6 +1,7 @@
 """Selection, skeletons, regions of annotations, family trees and filters on small known inputs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,18 @@ def test_autocontext_computes_each_bank_once(spark):
     scored = selection.autocontext(px, marks, 2, lambda p: p.withColumn("f", once("v")), 2, trees=2)
     assert scored.count() == 36
     assert seen.value == 36 + 2 * 36  # the image, and two channels of probabilities
+
+
+def test_sets_of_features_are_tried_side_by_side(spark, monkeypatch):
+    matrix = spark.createDataFrame([(1 + i % 2, [float(i), float(-i), float(i % 2)]) for i in range(30)], "label int, f array<double>")
+    running, most = [], []
+
+    def slow(*_, **__):
+        running.append(1)
+        most.append(len(running))
+        time.sleep(0.5)
+        running.pop()
+
+    monkeypatch.setattr(selection, "train", slow)
+    assert selection.wrapper_feature_selection(matrix, ["a", "b", "c"]) == []
+    assert max(most) > 1

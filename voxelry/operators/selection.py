@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from voxelry.operators.learning import predict, train
 from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
+#: Sets of features that are tried side by side: the many short jobs of one fit leave most of a cluster idle.
+TRIED_AT_ONCE = 4
+
 
 def binned(matrix: DataFrame, count: int, bins: int = 16, features: str = "f") -> DataFrame:
     """``label, b ARRAY<INT>``: each feature in ``bins`` equal bins between its extremes; values missing or not finite in bin -1."""
@@ -98,7 +103,8 @@ def wrapper_feature_selection(matrix: DataFrame, names: list[str], backward: boo
     best = hit - cost(kept)
     while size and ((len(kept) > 1) if backward else (len(kept) < len(names))):
         options = [[k for k in kept if k != i] if backward else [*kept, i] for i in range(len(names)) if backward == (i in kept)]
-        found = [accuracy(o) for o in options]
+        with ThreadPool(min(TRIED_AT_ONCE, len(options))) as pool:
+            found = pool.map(inheritable_thread_target(rows.sparkSession)(accuracy), options, chunksize=1)
         at = max(range(len(options)), key=lambda i: (found[i], -i))
         top = found[at] - cost(options[at])
         noise = math.sqrt(sum(p * (1 - p) for p in (hit, found[at]) if 0 < p < 1) / size)
