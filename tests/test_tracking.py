@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -173,3 +174,25 @@ def test_manual_divisions_and_mergers(spark):
     labels = spark.createDataFrame([("a", 0, 0, 0, x, 0, x + 1) for x in range(3)], "image_id string, t int, z int, y int, x int, c int, v long")
     counts = spark.createDataFrame([("a", 0, 2, 3), ("a", 0, 1, 1)], "image_id string, t int, object_id long, k int")
     assert {(r["x"], r["v"]) for r in tracking.mergers_only(labels, counts).collect()} == {(0, 0), (1, 2), (2, 0)}
+
+
+def test_sparse_choice_equals_brute_force_and_is_quick():
+    def brute(options, used=frozenset()):
+        if not options:
+            return 0.0
+        rest = [c + brute(options[1:], used | {j}) for j, c in options[0].items() if j not in used]
+        return min([brute(options[1:], used), *rest])
+
+    for seed in range(200):
+        rng = random.Random(seed)
+        options = [{j: -rng.choice([rng.random() * 9, float(rng.randint(1, 4))]) for j in range(5) if rng.random() < 0.6} for _ in range(rng.randint(1, 5))]
+        got = assignment.least_cost_choice(options)
+        taken = [j for j in got if j >= 0]
+        assert len(taken) == len(set(taken))
+        assert sum(o[j] for o, j in zip(options, got) if j >= 0) == pytest.approx(brute(options))
+    rng = random.Random(1)
+    nodes = [(k, 60.0, 60.0, None, None, True, True, True) for k in range(1500)]
+    links = [(k, min(1499, k + rng.randint(1, 30)), rng.uniform(1, 90)) for k in range(1499) for _ in range(3)]
+    began = time.time()
+    chosen, _ = assignment.solve(nodes, links)
+    assert chosen and time.time() - began < 2.0

@@ -11,6 +11,10 @@ which is the assignment by mutually cheapest links.
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -81,6 +85,51 @@ def least_cost_columns(cost: np.ndarray) -> np.ndarray:
     return columns
 
 
+def least_cost_choice(options: list[dict[int, float]]) -> list[int]:
+    """For each row one of its columns (``options[row]``: column -> cost), or -1 at cost 0, at the least total cost, no column twice.
+
+    Shortest augmenting paths over the given pairs only, row after row; a row that stays free does so for good.
+    """
+    u, v = [0.0] * len(options), defaultdict(float)
+    chosen, owner = [-1] * len(options), {}
+    for i, mine in enumerate(options):
+        u[i] = min(0.0, min((c - v[j] for j, c in mine.items()), default=0.0))
+        row, far, best, end = i, 0.0, math.inf, (i, -1)
+        rows, least, way, done, heap = {i: 0.0}, {}, {}, {}, []
+        while True:
+            if far - u[row] < best:
+                best, end = far - u[row], (row, -1)
+            for j, c in options[row].items():
+                d = far + c - u[row] - v[j]
+                if j not in done and d < best and d < least.get(j, math.inf):
+                    least[j], way[j] = d, row
+                    heappush(heap, (d, j))
+            while heap and heap[0][1] in done:
+                heappop(heap)
+            if not heap or heap[0][0] >= best:
+                break
+            far, j = heappop(heap)
+            done[j] = far
+            if j not in owner:
+                best, end = far, (way[j], j)
+                break
+            row = owner[j]
+            rows[row] = far
+        for row, d in rows.items():
+            u[row] += best - d
+        for j, d in done.items():
+            v[j] -= best - d
+        row, j = end
+        while True:  # every row on the path hands its column to the row before it
+            left, chosen[row] = chosen[row], j
+            if j >= 0:
+                owner[j] = row
+            if row == i:
+                break
+            row, j = way[left], left
+    return chosen
+
+
 def solve(nodes: list[tuple], links: list[tuple]) -> tuple[list[tuple], list]:
     """The cheapest choice for ``nodes (name, appear, disappear, false, divide, start, end, more)`` and ``links (src, dst, cost)``.
 
@@ -113,29 +162,30 @@ def solve(nodes: list[tuple], links: list[tuple]) -> tuple[list[tuple], list]:
 
 def _solve_component(nodes: list[tuple], links: list[tuple]) -> tuple[list[tuple], list]:
     place = {x[0]: k for k, x in enumerate(nodes)}
-    n = len(nodes)
     starts = [(k, False) for k, x in enumerate(nodes) if x[5]] + [(k, True) for k, x in enumerate(nodes) if x[4] is not None and x[7]]
-    row = {s: i for i, s in enumerate(starts)}
-    gain = np.full((len(starts), n), -np.inf)
+    gain: dict[tuple[int, bool], dict[int, float]] = {s: {} for s in starts}
+
+    def offer(start: tuple[int, bool], j: int, value: float) -> None:
+        if start in gain and value > gain[start].get(j, 0.0):  # what gains nothing stays free
+            gain[start][j] = value
+
     for src, dst, cost in links:
         i, j = place[src], place[dst]
         if nodes[j][6]:
-            if (i, False) in row:
-                gain[row[i, False], j] = max(gain[row[i, False], j], nodes[i][2] + nodes[j][1] - cost)
-            if (i, True) in row:
-                gain[row[i, True], j] = max(gain[row[i, True], j], nodes[j][1] - cost - nodes[i][4])
+            offer((i, False), j, nodes[i][2] + nodes[j][1] - cost)
+            if (i, True) in gain:
+                offer((i, True), j, nodes[j][1] - cost - nodes[i][4])
     for k, (_, appear, disappear, wrong, _, start, end, _) in enumerate(nodes):
         if wrong is not None and start and end:
-            gain[row[k, False], k] = appear + disappear - wrong
-    # what gains nothing stays free: a column for each row
-    cost = np.hstack([np.where(gain > 0, -gain, 1e18), np.zeros((len(starts), len(starts)))])
-    taken = {s: int(j) for s, j in zip(starts, least_cost_columns(cost)) if j < n and gain[row[s], j] > 0}
+            offer((k, False), k, appear + disappear - wrong)
+    columns = least_cost_choice([{j: -g for j, g in gain[s].items()} for s in starts])
+    taken = {s: j for s, j in zip(starts, columns) if j >= 0}
     chosen, false = [], []
     for k, x in enumerate(nodes):
         first, second = taken.get((k, False)), taken.get((k, True))
         if second is not None and x[5]:
             if first == k:  # a false detection does not divide: the better of both stays
-                if gain[row[k, False], second] > gain[row[k, False], k]:
+                if gain[k, False].get(second, 0.0) > gain[k, False][k]:
                     first = second
                 second = None
             elif first is None:
