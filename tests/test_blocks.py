@@ -1,5 +1,6 @@
 """Blocks, volumes, trained detection of missing patches, outlines and resizing on small known inputs."""
 
+import numpy as np
 import pytest
 
 from voxelry.operators import blockwise, filters, geometry, missing, tracking
@@ -41,6 +42,15 @@ def test_volume_features_equal_the_single_filters_and_do_not_depend_on_blocks(sp
         assert [f[names.index(f"hessian_{i}")] for i in range(3)] == pytest.approx([eigen[(*k, i)] for i in range(3)], abs=1e-3)
 
 
+def test_hulls_of_flat_objects_need_no_search_in_space(monkeypatch):
+    rng, thin = np.random.default_rng(3), blockwise._hull_of_lines
+    shapes = [np.argwhere(rng.random(np.where(np.arange(3) == i % 3, 1, 4)) < 0.6) for i in range(60)]
+    lines = [np.array([(z, y, min(x for a, b, x in v.tolist() if (a, b) == (z, y)), 1 + max(x for a, b, x in v.tolist() if (a, b) == (z, y))) for z, y in sorted({(a, b) for a, b, _ in v.tolist()})]).T for v in shapes if len(v)]
+    whole = [blockwise._hull_volume(np.concatenate([np.stack([z + dz, y + dy, x], axis=1) for dz in (0, 1) for dy in (0, 1) for x in (lo, hi)])) for z, y, lo, hi in lines]
+    monkeypatch.setattr(blockwise, "_hull_volume", None)
+    assert [thin(*at) for at in lines] == whole
+
+
 def test_hulls_of_a_box_a_voxel_and_two_far_voxels(spark):
     box = [("i", 0, z, y, x, 0, 1) for z in range(2) for y in range(3) for x in range(4)]
     pair = [("i", 0, 0, 20, 20, 0, 3), ("i", 0, 0, 20, 25, 0, 3)]

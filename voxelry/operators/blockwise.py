@@ -136,11 +136,39 @@ def _hull_volume(points: np.ndarray) -> float:
     return float((points[faces[:, 0]] * normals).sum()) / 6.0
 
 
+def _hull_area(points: set[tuple[int, int]]) -> float:
+    """Area of the convex hull of integer points in the plane."""
+    ordered, twice = sorted(points), 0
+    for way in (ordered, ordered[::-1]):
+        chain: list[tuple[int, int]] = []
+        for p in way:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) <= (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]):
+                chain.pop()
+            chain.append(p)
+        twice += sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(chain, chain[1:]))
+    return abs(twice) / 2
+
+
+def _hull_of_lines(z: np.ndarray, y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> float:
+    """Volume of the hull of lines of voxels along x, from ``lo`` up to ``hi``. Objects one voxel thick along an axis are prisms."""
+    pairs = None
+    if (z == z[0]).all():
+        pairs = ((y, lo), (y, hi), (y + 1, lo), (y + 1, hi))
+    elif (y == y[0]).all():
+        pairs = ((z, lo), (z, hi), (z + 1, lo), (z + 1, hi))
+    elif (lo == lo[0]).all() and (hi == lo[0] + 1).all():
+        pairs = ((z, y), (z, y + 1), (z + 1, y), (z + 1, y + 1))
+    if pairs:
+        return _hull_area({p for a, b in pairs for p in zip(a.tolist(), b.tolist())})
+    return _hull_volume(np.concatenate([np.stack([z + dz, y + dy, x], axis=1) for dz in (0, 1) for dy in (0, 1) for x in (lo, hi)]))
+
+
 def volume_hull_features(labels: DataFrame) -> DataFrame:
     """Voxels, volume of the convex hull and convexity of each object in space: ``image_id, t, object_id, count, hull_volume, convexity``.
 
     A voxel is a cube of side 1 and the hull is that of all cubes, so that flat objects need no rule and convexity is at
-    most 1. Lines of voxels along x are reduced to their two ends before objects are gathered.
+    most 1. Lines of voxels along x are reduced to their two ends before objects are gathered. Objects that fill their box
+    are their own hull and are not looked at one by one.
     """
     own = labels.where("v <> 0").select("image_id", "t", F.col("v").alias("object_id"), "z", "y", "x")
     lines = own.groupBy(*OBJECT, "z", "y").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), (F.max("x") + 1).alias("hi"))
@@ -148,11 +176,10 @@ def volume_hull_features(labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def hull_volume(ends: pd.Series) -> pd.Series:
-        def volume(flat: np.ndarray) -> float:
-            z, y, lo, hi = flat.reshape(-1, 4).T
-            return _hull_volume(np.concatenate([np.stack([z + dz, y + dy, x], axis=1) for dz in (0, 1) for dy in (0, 1) for x in (lo, hi)]))
-
-        return ends.map(volume)
+        return ends.map(lambda flat: np.nan if flat is None else _hull_of_lines(*flat.reshape(-1, 4).T))
 
-    whole = lines.groupBy(*OBJECT).agg(F.sum("n").alias("count"), F.flatten(F.collect_list(F.array("z", "y", "lo", "hi"))).alias("ends"))
-    return whole.select(*OBJECT, "count", hull_volume("ends").alias("hull_volume")).withColumn("convexity", F.col("count") / F.col("hull_volume"))
+    box = (F.max("z") - F.min("z") + 1) * (F.max("y") - F.min("y") + 1) * (F.max("hi") - F.min("lo"))
+    whole = lines.groupBy(*OBJECT).agg(F.sum("n").alias("count"), box.alias("box"), F.flatten(F.collect_list(F.array("z", "y", "lo", "hi"))).alias("ends"))
+    hull = hull_volume(F.when(F.col("count") < F.col("box"), F.col("ends")))
+    volume = F.when(F.col("count") < F.col("box"), hull).otherwise(F.col("box").cast("double"))
+    return whole.select(*OBJECT, "count", volume.alias("hull_volume")).withColumn("convexity", F.col("count") / F.col("hull_volume"))
