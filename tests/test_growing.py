@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voxelry.operators import growing, superpixels
@@ -186,3 +187,14 @@ def test_merging_in_rounds_is_that_of_one_queue(spark):
         got = {(r["image_id"], r["sp"]): r["segment"] for r in superpixels.reduce_superpixels(nodes, edges, share).collect()}
         assert got == {(image, n): m for image in ("a", "b") for n, m in want[image, share].items()}
     assert superpixels.reduce_superpixels(nodes.limit(0), edges.limit(0), 0.5).count() == 0
+
+
+def test_distances_across_strips_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(5)
+    at = [("a", y, x) for y, x in {(int(rng.integers(0, 7)), int(rng.integers(0, 200))) for _ in range(9)}] + [("c", 1, 1), ("a", 3, 250)]
+    mask = spark.createDataFrame([(i, 0, 0, y, x, 0, 1.0) for i, y, x in at], PX)
+    frames = spark.createDataFrame([("a", 0, 0, 0), ("b", 0, 0, 0)], "image_id string, t int, z int, c int")
+    found = growing.distance_transform(mask, frames, 7, 200)
+    got = {(r["image_id"], r["y"], r["x"]): r["v"] for r in found.collect()}
+    assert len(got) == 2 * 7 * 200 and all(got["b", y, x] is None for y in range(7) for x in range(200))
+    assert all(got["a", y, x] == min(((y - b) ** 2 + (x - k) ** 2) ** 0.5 for i, b, k in at if i == "a" and k < 200) for y in range(7) for x in range(200))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators import regions, superpixels
 from voxelry.operators.components import numbered
-from voxelry.operators.filters import gaussian_smoothing, gradient_magnitude, hessian_first_eigenvalue
+from voxelry.operators.filters import _dealt, gaussian_smoothing, gradient_magnitude, hessian_first_eigenvalue
 from voxelry.operators.geometry import zero_default
 from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
@@ -237,31 +239,62 @@ def labeled_threshold_cores(px: DataFrame, level: float, cores: DataFrame) -> Da
     return seeded_watershed(px.where(F.col("v") >= level).withColumn("v", -F.col("v")), cores)
 
 
+#: Columns of a frame whose distances are found at once.
+STRIP = 64
+
+
+def strip_distances(y: np.ndarray, x: np.ndarray, height: int, first: int, n: int) -> np.ndarray:
+    """Squared distances of ``n`` columns from ``first`` on to the nearest of the given pixels; infinite without any.
+
+    Of a row's pixels outside the strip only the nearest on either side matter.
+    """
+    rows, at = np.unique(y, return_inverse=True)
+    left, right = np.full((len(rows), n), -np.inf), np.full((len(rows), n), np.inf)
+    place, before, after = x - first, x < first + n, x >= first
+    np.maximum.at(left, (at[before], np.maximum(place[before], 0)), x[before])
+    np.minimum.at(right, (at[after], np.minimum(place[after], n - 1)), x[after])
+    left, right = np.maximum.accumulate(left, axis=1), np.minimum.accumulate(right[:, ::-1], axis=1)[:, ::-1]
+    columns = np.arange(first, first + n)
+    across = np.minimum(columns - left, right - columns) ** 2
+    best = np.full((height, n), np.inf)
+    down = np.arange(height)[:, None]
+    for r, g in zip(rows, across):
+        np.minimum(best, (down - r) ** 2 + g, out=best)
+    return best
+
+
 def distance_transform(mask: DataFrame, frames: DataFrame, height: int, width: int) -> DataFrame:
     """Euclidean distance of every place of 2D ``frames(image_id, t, z, c)`` to the nearest pixel of ``mask``; null in frames without any.
 
-    First the nearest mask pixel in each row, then, column by column, the least sum of squares: nothing larger than a row
-    or a column is gathered.
+    Only mask pixels are shuffled: each goes to the strips of ``STRIP`` columns for which it is the nearest of its row somewhere.
+    In a strip the nearest pixel of each row is found first, then, column by column, the least sum of squares: nothing
+    larger than a strip is gathered.
     """
-    marked = mask.select(*COORDINATES).distinct().withColumn("v", F.lit(1.0))
-    row = Window.partitionBy("image_id", "t", "z", "c", "y").orderBy("x")
-    here = F.when(F.col("v") == 1.0, F.col("x"))
-    left, right = F.last(here, True).over(row.rowsBetween(Window.unboundedPreceding, 0)), F.first(here, True).over(row.rowsBetween(0, Window.unboundedFollowing))
-    rows = zero_default(marked, frames, height, width).withColumn("g", F.least(F.col("x") - left, right - F.col("x")).cast("double"))
-
-    def column(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, g = pdf["y"].to_numpy().astype(float), pdf["g"].to_numpy(dtype=float)
-        known = ~np.isnan(g)
-        best = np.full(len(y), np.nan)
-        if known.any():
-            for i in range(0, len(y), 256):
-                best[i : i + 256] = np.sqrt(((y[i : i + 256, None] - y[known]) ** 2 + g[known] ** 2).min(axis=1))
-        out = pdf[COORDINATES].copy()
-        out["v"] = best
-        return out
-
-    found = rows.select(*COORDINATES, "g").groupBy("image_id", "t", "z", "c", "x").applyInPandas(column, "image_id string, t int, z int, y int, x int, c int, v double")
-    return found.withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    frame, strips = ["image_id", "t", "z", "c"], -(-width // STRIP)
+    marked = mask.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).select(*COORDINATES).distinct()
+    if strips > 1:
+        row = Window.partitionBy(*frame, "y").orderBy("x")
+        sent = F.sequence(*(F.floor(x.over(row) / STRIP).cast("int") for x in (F.lag("x", 1, 0), F.lead("x", 1, width - 1))))
+        marked = marked.select(*COORDINATES, sent.alias("sent")).select(*frame, "y", "x", F.explode("sent").alias("strip"))
+    else:
+        marked = marked.select(*frame, "y", "x", F.lit(0).alias("strip"))
+    none = F.lit(None).cast("int")
+    wanted = frames.select(*frame, none.alias("y"), none.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("strip"))
+    fields = [*((c, pa.string() if c == "image_id" else pa.int32()) for c in COORDINATES), ("v", pa.float64())]
+
+    def strip(table: pa.Table) -> pa.Table:
+        at = table.filter(pc.is_valid(table["x"]))
+        if len(at) == len(table):  # pixels of a frame that is not asked for
+            return pa.schema(fields).empty_table()
+        first = table["strip"][0].as_py() * STRIP
+        n = min(STRIP, width - first)
+        best = np.sqrt(strip_distances(at["y"].to_numpy().astype(np.int64), at["x"].to_numpy().astype(np.int64), height, first, n)).ravel()
+        out = {c: pa.repeat(table[c][0].cast(dict(fields)[c]), len(best)) for c in frame}
+        out |= {"y": np.repeat(np.arange(height, dtype=np.int32), n), "x": np.tile(np.arange(first, first + n, dtype=np.int32), height)}
+        return pa.table([*(pa.array(out[c]) for c in COORDINATES), pa.array(best, mask=np.isinf(best))], schema=pa.schema(fields))
+
+    key = [*frame, "strip"]
+    return _dealt(marked.unionByName(wanted), key).groupBy(*key).applyInArrow(strip, "image_id string, t int, z int, y int, x int, c int, v double")
 
 
 def dt_watershed(px: DataFrame, threshold: float, sigma: float, smallest: int, alpha: float, height: int, width: int) -> DataFrame:

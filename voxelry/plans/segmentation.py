@@ -14,13 +14,13 @@ FRAMES = ["image_id", "t", "z", "c"]
 
 @query("w01_distance_transform", _with(PX_SALES) + "select f.image_id, f.t, f.z, g.y, h.x, f.c, round(sqrt(min((b.y - g.y) ** 2 + (b.x - h.x) ** 2)), 6) as v from (select distinct image_id, t, z, c from px) f, (select unnest(range(48))::int as y) g, (select unnest(range(48))::int as x) h left join (select * from px where v >= 90) b on b.image_id = f.image_id and b.t = f.t group by all")
 def w01(spark, sf_dir):
-    px = px_sales(spark, sf_dir)
+    px = written(px_sales(spark, sf_dir), "pixels")
     return rounded(growing.distance_transform(px.where("v >= 90"), px.select(*FRAMES).distinct(), 48, 48), "v")
 
 
 @query("w01_dt_watershed")
 def w01b(spark, sf_dir):
-    px = px_sales(spark, sf_dir)
+    px = written(px_sales(spark, sf_dir), "pixels")
     top = px.groupBy("image_id").agg(F.max("v").alias("top"))
     scaled = px.join(top, "image_id").select(*COORDINATES, (F.col("v") / F.col("top")).alias("v"))
     return growing.dt_watershed(scaled, 0.4, 1.0, 6, 0.9, 48, 48)
