@@ -5,6 +5,8 @@ Objects have ``image_id, t, object_id, cy, cx`` and further features; links go f
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -135,19 +137,48 @@ def combined_features(objects: DataFrame, divisions: DataFrame) -> DataFrame:
     return objects.join(divisions, OBJECT, "left")
 
 
+#: Links of a frame that are chosen in one task; frames with more are settled in rounds.
+LINKS_AT_ONCE = 100_000
+
+
+def _cheapest_first(table: pa.Table) -> pa.Table:
+    """The links of a frame taken in the order of cost, source and target unless either end is taken."""
+    order = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in ("cost", "src", "dst")])
+    table = table.take(order)
+    sources, targets, taken = set(), set(), []
+    for i, (src, dst) in enumerate(zip(table["src"].to_pylist(), table["dst"].to_pylist())):
+        if src not in sources and dst not in targets:
+            sources.add(src)
+            targets.add(dst)
+            taken.append(i)
+    return table.take(pa.array(taken, pa.int64()))
+
+
 def link_tracks(links: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """One-to-one assignment between frames by rounds of mutually cheapest links; ties by ids."""
-    left = written(links.select("image_id", "t", "src", "dst", "cost"), "links")
-    chosen = None
+    """One-to-one assignment between frames: the cheapest links first, ties by ids. Links without ends or cost are ignored.
+
+    Frames of up to ``LINKS_AT_ONCE`` links are settled one by one; larger ones in rounds of mutually cheapest links, which
+    come to the same.
+    """
+    frame = ["image_id", "t"]
+    left = links.select(*frame, "src", "dst", "cost")
+    left = written(left.dropna(), "links")
+    sizes = left.groupBy(*frame).agg(F.count(F.lit(1)).alias("n"))
+    small = left.join(sizes.where(F.col("n") <= LINKS_AT_ONCE).select(*frame), frame, "left_semi")
+    chosen = small.groupBy(*frame).applyInArrow(_cheapest_first, left.schema)
+    large = sizes.where(F.col("n") > LINKS_AT_ONCE).select(*frame)
+    if large.isEmpty():
+        return chosen
+    left = written(left.join(large, frame, "left_semi"), "links")
     for _ in range(max_rounds):
         by = F.struct("cost", "src", "dst")
-        out = left.groupBy("image_id", "t", "src").agg(F.min(by).alias("b")).select("image_id", "t", "b.*")
-        back = left.groupBy("image_id", "t", "dst").agg(F.min(by).alias("b")).select("image_id", "t", "b.*")
-        mutual = written(out.join(back, ["image_id", "t", "src", "dst", "cost"]), "mutual")
-        if not mutual.limit(1).count():
-            return chosen if chosen is not None else mutual
-        chosen = mutual if chosen is None else written(chosen.unionByName(mutual), "chosen")
-        left = left.join(mutual.select("image_id", "t", "src"), ["image_id", "t", "src"], "left_anti").join(mutual.select("image_id", "t", "dst"), ["image_id", "t", "dst"], "left_anti")
+        out = left.groupBy(*frame, "src").agg(F.min(by).alias("b")).select(*frame, "b.src", "b.dst", "b.cost")
+        back = left.groupBy(*frame, "dst").agg(F.min(by).alias("b")).select(*frame, "b.src", "b.dst", "b.cost")
+        mutual = written(out.join(back, [*frame, "src", "dst", "cost"]), "mutual")
+        if mutual.isEmpty():
+            return chosen
+        chosen = chosen.unionByName(mutual)
+        left = left.join(mutual.select(*frame, "src"), [*frame, "src"], "left_anti").join(mutual.select(*frame, "dst"), [*frame, "dst"], "left_anti")
         left = written(left, "links")
     raise RuntimeError(f"not settled after {max_rounds} rounds")
 
@@ -299,6 +330,7 @@ def learn_link_weights(links: DataFrame, annotated: DataFrame, columns: list[str
     """
     key = ["image_id", "t", "src"]
     known = links.join(annotated.select(*key).distinct(), key, "left_semi").join(annotated.select(*key, "dst", F.lit(1.0).alias("label")).distinct(), [*key, "dst"], "left").fillna({"label": 0.0})
+    known = written(known.select("label", *columns), "known")  # it is read once for the classes and again by each step of training
     rows = known.select("label", array_to_vector(F.array(*(F.col(c).cast("double") for c in columns))).alias("features"))
     if rows.select("label").distinct().count() < 2:
         return {c: 0.0 for c in ["", *columns]}

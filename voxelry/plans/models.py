@@ -144,7 +144,7 @@ def t08(spark, sf_dir):
 
 @query("t14_link_weights")
 def t14(spark, sf_dir):
-    _, links = _links(spark, sf_dir)
+    links = written(_links(spark, sf_dir)[1], "candidates")
     weights = tracking.learn_link_weights(links, tracking.link_tracks(tracking.link_costs(links)), ["dist", "rank"])
     return spark.createDataFrame(list(weights.items()), "feature string, weight double")
 
