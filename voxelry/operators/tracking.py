@@ -52,29 +52,29 @@ def window_links(objects: DataFrame, labels: DataFrame, window: int = 50, smalle
 
     The window is ``window`` pixels wide along every axis, around the centre rounded to even; an object counts if one of its
     pixels lies in it and it has ``smallest`` pixels at least. Distances are those of centres, ties go to the smaller id.
-    Pixels are joined to runs along x; windows and runs meet in a grid of cells as wide as the window, of which a window
-    touches four at most.
+    Pixels are joined to runs along x that carry their object's centre; windows and runs meet in a grid of cells twice as wide
+    as the window, of which a window touches four at most. What is not among the nearest of its cell is not shuffled.
     """
-    half = window // 2
-    along = Window.partitionBy("image_id", "t", "z", "y", "c", "v").orderBy("x")
-    runs = labels.where("v <> 0").withColumn("at", F.col("x") - F.row_number().over(along)).groupBy("image_id", "t", "z", "y", "c", "v", "at").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-    cells = F.sequence(F.floor(F.col("x0") / window), F.floor(F.col("x1") / window))
-    runs = runs.select("image_id", (F.col("t") - 1).alias("t"), "z", "y", "x0", "x1", F.col("v").cast("long").alias("dst"), F.floor(F.col("y") / window).alias("gy"), F.explode(cells).alias("gx"))
+    half, cell = window // 2, 2 * window
     axes = [a for a in "zyx" if f"c{a}" in objects.columns]
+    ahead = objects.where(F.col("count") >= smallest).select("image_id", "t", F.col("object_id").cast("long").alias("dst"), *(F.col(f"c{a}").alias(f"c{a}2") for a in axes))
+    row = ["image_id", "t", "z", "y", "c", "dst", *(f"c{a}2" for a in axes)]
+    runs = labels.where("v <> 0").select(*COORDINATES, F.col("v").cast("long").alias("dst")).join(ahead, ["image_id", "t", "dst"])
+    runs = runs.withColumn("at", F.col("x") - F.dense_rank().over(Window.partitionBy(*row).orderBy("x"))).groupBy(*row, "at").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    cells = F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))
+    runs = runs.select("image_id", (F.col("t") - 1).alias("t"), "z", "y", "x0", "x1", "dst", *(f"c{a}2" for a in axes), F.floor(F.col("y") / cell).alias("gy"), F.explode(cells).alias("gx"))
     first = {a: F.bround(F.col(f"c{a}"), 0).cast("int") - half for a in axes}
-    corners = lambda a: F.array_distinct(F.array(F.floor(F.col(f"{a}_") / window), F.floor((F.col(f"{a}_") + 2 * half - 1) / window)))
-    parents = objects.select("image_id", "t", F.col("object_id").cast("long").alias("src"), *(first[a].alias(f"{a}_") for a in axes))
+    corners = lambda a: F.array_distinct(F.array(F.floor(F.col(f"{a}_") / cell), F.floor((F.col(f"{a}_") + 2 * half - 1) / cell)))
+    parents = objects.select("image_id", "t", F.col("object_id").cast("long").alias("src"), *(F.col(f"c{a}").alias(f"c{a}1") for a in axes), *(first[a].alias(f"{a}_") for a in axes))
     parents = parents.withColumn("gy", F.explode(corners("y"))).withColumn("gx", F.explode(corners("x")))
     inside = (F.col("x1") >= F.col("x_")) & (F.col("x0") < F.col("x_") + 2 * half)
     for a in axes[:-1]:
         inside &= (F.col(a) >= F.col(f"{a}_")) & (F.col(a) < F.col(f"{a}_") + 2 * half)
-    pairs = parents.join(runs, ["image_id", "t", "gy", "gx"]).where(inside).select("image_id", "t", "src", "dst").distinct()
-    here = objects.select("image_id", "t", F.col("object_id").cast("long").alias("src"), *(F.col(f"c{a}").alias(f"{a}1") for a in axes))
-    ahead = objects.where(F.col("count") >= smallest).select("image_id", (F.col("t") - 1).alias("t"), F.col("object_id").cast("long").alias("dst"), *(F.col(f"c{a}").alias(f"{a}2") for a in axes))
-    dist = F.sqrt(sum(((F.col(f"{a}1") - F.col(f"{a}2")) * (F.col(f"{a}1") - F.col(f"{a}2")) for a in axes), F.lit(0.0)))
-    rows = pairs.join(here, ["image_id", "t", "src"]).join(ahead, ["image_id", "t", "dst"]).withColumn("dist", dist)
-    rank = F.row_number().over(Window.partitionBy("image_id", "t", "src").orderBy("dist", "dst"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= nearest).select("image_id", "t", "src", "dst", "dist", "rank")
+    dist = F.sqrt(sum(((F.col(f"c{a}1") - F.col(f"c{a}2")) * (F.col(f"c{a}1") - F.col(f"c{a}2")) for a in axes), F.lit(0.0)))
+    pairs = parents.join(runs, ["image_id", "t", "gy", "gx"]).where(inside).select("image_id", "t", "src", "dst", dist.alias("dist"))
+    # an object is met once for each of its runs: equal places share a rank
+    rank = F.dense_rank().over(Window.partitionBy("image_id", "t", "src").orderBy("dist", "dst"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= nearest).distinct()
 
 
 def division_features(objects: DataFrame, links: DataFrame, default: float = 9999.0) -> DataFrame:

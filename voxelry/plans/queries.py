@@ -82,8 +82,14 @@ def labels_of_sales(spark: SparkSession, sf_dir: str, level: float = LEVEL) -> D
 FEATURES = "f as (select px.image_id, px.t, lab.v as object_id, count(*) as count, avg(px.y) as cy, avg(px.x) as cx, min(px.y) as min_y, max(px.y) + 1 as max_y, min(px.x) as min_x, max(px.x) + 1 as max_x, avg(px.v) as mean, sum(px.v) as sum, min(px.v) as min, max(px.v) as max, var_pop(px.v) as var from px join lab using (image_id, t, z, y, x) group by all)"
 
 
+def bright_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels that objects of sales consist of, written as their labels and values are read apart."""
+    return written(px_sales(spark, sf_dir).where(F.col("v") >= LEVEL), "bright")
+
+
 def features_of_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return objects.region_features(px_sales(spark, sf_dir), labels_of_sales(spark, sf_dir))
+    bright = bright_pixels(spark, sf_dir)
+    return objects.region_features(bright, regions.labeled_threshold(bright, LEVEL))
 
 
 @query("bright_objects", _with(LABELS, FEATURES) + "select image_id, t, object_id, count, round(cy, 6) as cy, round(cx, 6) as cx, min_y, max_y, min_x, max_x, round(mean, 6) as mean, sum, min, max, round(var, 6) as var from f")
@@ -612,8 +618,9 @@ DIVISION_COLUMNS = ["dist_0", "dist_1", "dist_2", "children_ratio", "parent_chil
 
 def window_divisions(spark, sf_dir):
     """Objects with the features of their divisions, candidates found by windows of 12 pixels."""
-    labels = written(labels_of_sales(spark, sf_dir), "labels")
-    f = written(objects.region_features(px_sales(spark, sf_dir), labels), "features")
+    bright = bright_pixels(spark, sf_dir)
+    labels = written(regions.labeled_threshold(bright, LEVEL), "labels")
+    f = written(objects.region_features(bright, labels), "features")
     return f, tracking.division_features(f, tracking.window_links(f, labels, 12, 2))
 
 
