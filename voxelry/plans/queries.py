@@ -503,13 +503,18 @@ def px_frames(spark, sf_dir):
     return px_sales(spark, sf_dir).withColumn("image_id", F.concat_ws("/", "image_id", F.col("t").cast("string"))).withColumn("t", F.lit(0))
 
 
-def _superpixels(spark, sf_dir):
+def _tiles(px):
     tiles = F.floor(F.col("y") / 6) * 8 + F.floor(F.col("x") / 6) + 1
-    return px_frames(spark, sf_dir).withColumn("v", tiles.cast("long"))
+    return px.withColumn("v", tiles.cast("long"))
+
+
+def _superpixels(spark, sf_dir):
+    return _tiles(px_frames(spark, sf_dir))
 
 
 def _edges(spark, sf_dir):
-    return superpixels.edge_features(_superpixels(spark, sf_dir), px_frames(spark, sf_dir))
+    px = written(px_frames(spark, sf_dir), "frames")
+    return superpixels.edge_features(_tiles(px), px)
 
 
 @query("w04_region_adjacency", _with(PX_FRAMES, TILES, FACES) + "select image_id, sp1, sp2, count(*) as n_faces from faces group by 1, 2, 3")

@@ -74,7 +74,7 @@ def w14_reduced(spark, sf_dir):
 
 @query("w15_carve")
 def w15(spark, sf_dir):
-    edges = _edges(spark, sf_dir).select("image_id", "sp1", "sp2", F.col("mean").alias("w"))
+    edges = written(_edges(spark, sf_dir).select("image_id", "sp1", "sp2", F.col("mean").alias("w")), "edges")
     seeds = edges.select("image_id").distinct().select("image_id", F.explode(F.array(F.struct(F.lit(1).alias("sp"), F.lit(1).alias("label")), F.struct(F.lit(28).alias("sp"), F.lit(2).alias("label")))).alias("s")).select("image_id", "s.sp", "s.label")
     return growing.carve(edges, seeds, 1, 0.95, 20.0)
 
