@@ -1,12 +1,14 @@
 """Selection, skeletons, regions of annotations, family trees and filters on small known inputs."""
 
+import os
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from voxelry.operators import counting, filters, geometry, labels, objects, selection, tracking
+from voxelry.operators import counting, filters, geometry, labels, learning, objects, selection, tracking
+from voxelry.plans.stored import written
 
 PX = "image_id string, t int, z int, y int, x int, c int, v double"
 LAB = PX.replace("v double", "v long")
@@ -120,3 +122,29 @@ def test_sets_of_features_are_tried_side_by_side(spark, monkeypatch):
     monkeypatch.setattr(selection, "train", slow)
     assert selection.wrapper_feature_selection(matrix, ["a", "b", "c"]) == []
     assert max(most) > 1
+
+
+def test_rows_are_dealt_once_for_all_sets_of_features(spark, monkeypatch):
+    matrix = spark.createDataFrame([(1 + i % 2, [float(i), float(-i), float(i % 2)]) for i in range(60)], "label int, f array<double>")
+    learned = []
+
+    class Forest(learning.RandomForestClassifier):
+        def fit(self, rows):
+            learned.append(rows._jdf.queryExecution().optimizedPlan().toString())
+            return super().fit(rows)
+
+    monkeypatch.setattr(learning, "RandomForestClassifier", Forest)
+    assert selection.wrapper_feature_selection(matrix, ["a", "b", "c"], trees=3) == ["c"]
+    assert len(learned) > 1 and all("InMemoryRelation" in plan and "Repartition" not in plan for plan in learned)
+
+
+def test_what_is_shuffled_for_a_written_table_goes_with_it(spark):
+    rows = written(spark.range(2000).repartition(7, "id"), "rows")
+    held = lambda: {p for d, _, names in os.walk(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]) for p in names if p.startswith("shuffle_")}
+    before = held()
+    assert len(written(rows.repartition(5, "id"), "again").collect()) == 2000
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.1)
+    assert held() <= before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"

@@ -48,20 +48,27 @@ def concat_matrices(matrices: list[DataFrame]) -> DataFrame:
     return out
 
 
-def train(matrix: DataFrame, features: str = "f", trees: int = 100, depth: int = 8, seed: int = 0, learner: Learner | None = None) -> Model | None:
+def train(matrix: DataFrame, features: str = "f", trees: int = 100, depth: int = 8, seed: int = 0, learner: Learner | None = None, lies: bool = False) -> Model | None:
     """A random forest, or what ``learner`` makes, on an array column; None with fewer rows than the largest label.
 
     Rows are dealt by their hash and sorted before the fit, so that the model depends on the rows and the seed alone, not on
-    how the rows came to lie in partitions.
+    how the rows came to lie in partitions. With ``lies`` the rows, enough of them, have been dealt before and are taken as they lie.
     """
-    size = matrix.agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("m")).first()
-    if not size["n"] or size["n"] < size["m"]:
-        return None
-    rows = matrix.select(F.col("label").cast("double").alias("label"), F.col(features).cast("array<double>").alias("features")).withColumn("_at", F.xxhash64("label", "features"))
-    rows = rows.repartition(-(-size["n"] // FITTED_AT_ONCE), "_at").sortWithinPartitions("label", "features").select("label", array_to_vector("features").alias("features"))
+    rows = matrix.select(F.col("label").cast("double").alias("label"), F.col(features).cast("array<double>").alias("features"))
+    if not lies:
+        size = matrix.agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("m")).first()
+        if not size["n"] or size["n"] < size["m"]:
+            return None
+        rows = dealt(rows, size["n"])
+    rows = rows.select("label", array_to_vector("features").alias("features"))
     return (learner(seed) if learner else RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)).fit(rows)
 
 
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows ``label, features`` in partitions by their hash, sorted in each."""
+    return rows.withColumn("_at", F.xxhash64("label", "features")).repartition(max(1, -(-n // FITTED_AT_ONCE)), "_at").sortWithinPartitions("label", "features").drop("_at")
+
+
 def held_out_error(matrix: DataFrame, features: str = "f", trees: int = 100, seed: int = 0, learner: Learner | None = None) -> float | None:
     """The share of wrong classes among a third of the rows, drawn by hash, for a model of the others."""
     rows = matrix.withColumn("_held", F.pmod(F.xxhash64(features, "label"), F.lit(3)) == 0)

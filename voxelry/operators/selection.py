@@ -6,16 +6,18 @@ import math
 from collections.abc import Callable
 from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelry.operators.learning import predict, train
+from voxelry.operators.learning import dealt, predict, train
 from voxelry.plans.stored import written
 from voxelry.sources.tables import COORDINATES
 
 #: Sets of features that are tried side by side: the many short jobs of one fit leave most of a cluster idle.
 TRIED_AT_ONCE = 4
+#: Training rows of all sets that are tried side by side: a fit keeps its rows, in memory or on disk.
+TRIED_ROWS = 16_000_000
 
 
 def binned(matrix: DataFrame, count: int, bins: int = 16, features: str = "f") -> DataFrame:
@@ -85,32 +87,41 @@ def wrapper_feature_selection(matrix: DataFrame, names: list[str], backward: boo
     """
     held = F.pmod(F.xxhash64("label", "f", F.lit(seed)), F.lit(3)) == 0
     rows = written(matrix.select("label", F.col(features).alias("f")).withColumn("held", held), "matrix")
-    size = rows.where("held").count()
+    sizes = rows.agg(F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("others"), F.max(F.when(~F.col("held"), F.col("label"))).alias("most")).first()
+    size, learned = sizes["held"], sizes["others"]
+    # dealt once, by whole rows: a set of features is a projection of what lies there
+    known = dealt(rows.where("not held").select("label", F.col("f").alias("features")), learned).persist(StorageLevel.DISK_ONLY)
 
     def accuracy(kept: list[int]) -> float:
-        part = rows.select("label", "held", F.array(*(F.get("f", F.lit(i)) for i in kept)).alias("f"))
-        model = train(part.where("not held"), trees=trees, seed=seed)
+        if not learned or learned < sizes["most"]:
+            return -math.inf
+        model = train(known.select("label", F.array(*(F.get("features", F.lit(i)) for i in kept)).alias("f")), trees=trees, seed=seed, lies=True)
         if model is None:
             return -math.inf
-        scored = predict(part.where("held"), model, int(model.numClasses) - 1)
+        part = rows.where("held").select("label", F.array(*(F.get("f", F.lit(i)) for i in kept)).alias("f"))
+        scored = predict(part, model, int(model.numClasses) - 1)
         return scored.where(F.array_position("p", F.array_max("p")) == F.col("label")).count() / size
 
     def cost(kept: list[int]) -> float:
         return penalty * len(kept) / len(names)
 
-    kept = list(range(len(names))) if backward else []
-    hit = accuracy(kept) if backward and size else -math.inf
-    best = hit - cost(kept)
-    while size and ((len(kept) > 1) if backward else (len(kept) < len(names))):
-        options = [[k for k in kept if k != i] if backward else [*kept, i] for i in range(len(names)) if backward == (i in kept)]
-        with ThreadPool(min(TRIED_AT_ONCE, len(options))) as pool:
-            found = pool.map(inheritable_thread_target(rows.sparkSession)(accuracy), options, chunksize=1)
-        at = max(range(len(options)), key=lambda i: (found[i], -i))
-        top = found[at] - cost(options[at])
-        noise = math.sqrt(sum(p * (1 - p) for p in (hit, found[at]) if 0 < p < 1) / size)
-        if top < best or not backward and top <= best + noise:
-            break
-        hit, best, kept = found[at], top, options[at]
+    at_once = max(1, min(TRIED_AT_ONCE, TRIED_ROWS // max(learned, 1)))
+    try:
+        kept = list(range(len(names))) if backward else []
+        hit = accuracy(kept) if backward and size else -math.inf
+        best = hit - cost(kept)
+        while size and ((len(kept) > 1) if backward else (len(kept) < len(names))):
+            options = [[k for k in kept if k != i] if backward else [*kept, i] for i in range(len(names)) if backward == (i in kept)]
+            with ThreadPool(min(at_once, len(options))) as pool:
+                found = pool.map(inheritable_thread_target(rows.sparkSession)(accuracy), options, chunksize=1)
+            at = max(range(len(options)), key=lambda i: (found[i], -i))
+            top = found[at] - cost(options[at])
+            noise = math.sqrt(sum(p * (1 - p) for p in (hit, found[at]) if 0 < p < 1) / size)
+            if top < best or not backward and top <= best + noise:
+                break
+            hit, best, kept = found[at], top, options[at]
+    finally:
+        known.unpersist()
     return [names[i] for i in sorted(kept)]
 
 

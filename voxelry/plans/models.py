@@ -67,10 +67,14 @@ def f12(spark, sf_dir):
 # choice of features
 
 
-def _matrix(spark, sf_dir):
+def _labelled_features(spark, sf_dir):
     bank = filters.feature_bank(px_sales(spark, sf_dir), [0.7], block=16)
     marks = px_sales(spark, sf_dir).select(*COORDINATES, F.when(F.col("v") >= 30, 2).otherwise(1).alias("label"))
-    return written(learning.label_feature_matrix(bank, marks, COORDINATES).select("label", "f"), "matrix")
+    return learning.label_feature_matrix(bank, marks, COORDINATES).select("label", "f")
+
+
+def _matrix(spark, sf_dir):
+    return written(_labelled_features(spark, sf_dir), "matrix")
 
 
 @query("c10_information_selection")
@@ -81,7 +85,7 @@ def c10(spark, sf_dir):
 
 @query("c11_wrapper_selection")
 def c11(spark, sf_dir):
-    chosen = selection.wrapper_feature_selection(_matrix(spark, sf_dir), filters.FEATURES, trees=3)
+    chosen = selection.wrapper_feature_selection(_labelled_features(spark, sf_dir), filters.FEATURES, trees=3)
     return spark.createDataFrame(list(enumerate(chosen, 1)), "rank int, feature string")
 
 

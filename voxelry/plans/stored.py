@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FACTOR = "spark.sql.sources.fileCompressionFactor"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Pixel tables take two to five bytes a row in a file and over a hundred in a broadcast.
 EXPANSION = 32
 
@@ -42,9 +43,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and reads it back.
 
     This cuts the lineage: a lost executor costs at most the stage at hand, and an expensive pass runs once however many
-    later steps read its result. The table lives as long as the shared folder does.
+    later steps read its result. The table lives as long as the shared folder does. What was shuffled for it goes as soon as
+    it is written, not when the driver happens to collect its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/voxelry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
