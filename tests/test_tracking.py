@@ -196,3 +196,39 @@ def test_sparse_choice_equals_brute_force_and_is_quick():
     began = time.time()
     chosen, _ = assignment.solve(nodes, links)
     assert chosen and time.time() - began < 2.0
+
+
+def test_whole_images_are_solved_exactly_and_without_tiles(spark, monkeypatch):
+    nodes, links = (x.cache() for x in movie(spark, 80, 6))
+    with monkeypatch.context() as m:
+        for name in ("_tiles", "connected_components"):
+            m.setattr(assignment, name, None)
+        chosen, false = assignment.joint_links(nodes, links.unionByName(links.withColumn("cost", links.cost + 1)))
+        joint = cost_of(assignment.assignment_cost(nodes, chosen, false))["a"]
+    rows = [((r["t"], r["object_id"]), r["appear"], r["disappear"], r["false_cost"], r["divide_cost"], True, True, True) for r in nodes.collect()]
+    ways = {((r["t"], r["src"]), (r["t"] + 1, r["dst"])): r["cost"] for r in links.collect()}
+    best, wrong = assignment.solve(rows, [(*k, c) for k, c in ways.items()])
+    taken, given, wrong = {a for a, _, _ in best}, {b for _, b, _ in best}, set(wrong)
+    free = sum(n[3] if n[0] in wrong else n[2] * (n[0] not in taken) + n[1] * (n[0] not in given) for n in rows)
+    assert joint == pytest.approx(sum(ways[a, b] for a, b, _ in best) + free)
+
+
+def test_small_and_large_images_are_solved_side_by_side(spark):
+    both = [movie(spark, 4, 3, ("s",)), movie(spark, 20, 4, ("w",))]
+    nodes, links = (both[0][i].unionByName(both[1][i]).cache() for i in (0, 1))
+    whole = cost_of(assignment.assignment_cost(nodes, *assignment.joint_links(nodes, links)))
+    parts = cost_of(assignment.assignment_cost(nodes, *assignment.joint_links(nodes, links, passes=1, at_once=30)))
+    assert parts["s"] == pytest.approx(whole["s"]) and parts["w"] >= whole["w"] - 1e-6
+
+
+def test_tracks_of_bundles_are_those_of_contraction(spark, monkeypatch):
+    rng = random.Random(4)
+    objects = spark.createDataFrame([(i, t, o) for i in ("a", "b|1") for t in range(12) for o in range(1, 5) if rng.random() < 0.9], "image_id string, t int, object_id int")
+    links = spark.createDataFrame([(i, t, rng.randint(1, 4), rng.randint(1, 4)) for i in ("a", "b|1", "none") for t in range(11) for _ in range(2)], "image_id string, t int, src int, dst int")
+    rows = lambda: sorted(map(tuple, tracking.lineages(objects, links).collect()))
+    with monkeypatch.context() as m:
+        m.setattr(tracking, "connected_components", None)
+        bundled = rows()
+    for most in (0, objects.where("image_id = 'a'").count() - 1):
+        monkeypatch.setattr(tracking, "TRACKED_AT_ONCE", most)
+        assert rows() == bundled

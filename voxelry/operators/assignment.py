@@ -3,8 +3,8 @@
 Every object offers a start (where a link leaves it) and an end (where one comes in). A link takes one of each; what is left
 free costs a disappearance or an appearance; a false detection takes both of its own; a division offers a second start. The
 cheapest choice is an assignment of starts to ends, over all frames at once. It falls apart into the connected components of
-the graph of links. Components of up to ``AT_ONCE`` objects are solved exactly, in bundles, many at a time. Larger ones are cut
-into tiles of space and time with no more objects than that; a tile is solved exactly, given the links that leave it, and
+the graph of links. Images of up to ``AT_ONCE`` objects are solved exactly, in bundles, many at a time, and so are components
+of that many objects in larger images. Larger ones are cut into tiles of space and time with no more objects than that; a tile is solved exactly, given the links that leave it, and
 the tiles of the next pass lie elsewhere, so that the cost falls from pass to pass and never exceeds that of the start,
 which is the assignment by mutually cheapest links.
 """
@@ -17,15 +17,17 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelry.operators.components import connected_components
 from voxelry.operators.objects import OBJECT
-from voxelry.operators.tracking import link_tracks
+from voxelry.operators.tracking import bundled, by_bundle, link_tracks
 from voxelry.plans.stored import written
 
-AT_ONCE = 400
+#: Objects that are solved together: about a second's work, which grows in proportion.
+AT_ONCE = 20_000
 #: Frames that a tile spans at most, and its side in pixels before it is halved.
 TILE_FRAMES = 16
 TILE_SIDE = 1024.0
@@ -206,8 +208,44 @@ def joint_links(nodes: DataFrame, links: DataFrame, passes: int = 6, at_once: in
     objects the cheapest counts, links of objects that are no nodes are left out. ``second`` marks the second child of a
     division. ``passes`` bounds the rounds over components of more than ``at_once`` objects; smaller ones are exact.
     """
-    key = F.concat_ws("|", "image_id", F.lpad(F.col("t").cast("string"), 10, "0"), F.lpad("object_id", 20, "0"))
-    nodes = written(nodes.withColumn("object_id", F.col("object_id").cast("long")).withColumn("node", key), "objects")
+    nodes = written(nodes.select(*OBJECT[:2], F.col("object_id").cast("long").alias("object_id"), "cy", "cx", "appear", "disappear", "false_cost", "divide_cost"), "objects")
+    bundles, large = bundled(nodes, at_once)
+    links = links.select(*_LINK, "cost")
+    if large is None:
+        return _whole_images(nodes, links, bundles)
+    chosen, false = _whole_images(nodes.join(large, "image_id", "left_anti"), links.join(large, "image_id", "left_anti"), bundles)
+    more, wrong = _large_images(nodes.join(large, "image_id", "left_semi"), links.join(large, "image_id", "left_semi"), passes, at_once)
+    return chosen.unionByName(more), false.unionByName(wrong)
+
+
+def _whole_images(nodes: DataFrame, links: DataFrame, bundles: int) -> tuple[DataFrame, DataFrame]:
+    """The exact choice for images that are no larger than what is solved at once."""
+    kind = pa.schema([("image_id", pa.string()), ("t", pa.int32()), ("src", pa.int64()), ("dst", pa.int64()), ("cost", pa.float64()), ("second", pa.bool_())])
+
+    def work(mine: pa.Table, ways: pa.Table) -> pa.Table:
+        mine = mine.sort_by([(c, "ascending") for c in OBJECT])
+        names = list(zip(*(mine[c].to_pylist() for c in OBJECT)))
+        place = {name: k for k, name in enumerate(names)}
+        costs = list(zip(*(mine[c].to_pylist() for c in ("appear", "disappear", "false_cost", "divide_cost"))))
+        cheapest: dict[tuple[int, int], float] = {}
+        for image, t, src, dst, cost in zip(*(ways[c].to_pylist() for c in (*_LINK, "cost"))):
+            a, b = place.get((image, t, src)), place.get((image, t + 1, dst))
+            # a link that costs more than both its ends left free is never a first child, nor a second one
+            if a is not None and b is not None and cost is not None and cost < costs[a][1] + costs[b][0] and cost < cheapest.get((a, b), math.inf):
+                cheapest[a, b] = cost
+        chosen, false = solve([(k, *c, True, True, True) for k, c in enumerate(costs)], [(a, b, c) for (a, b), c in sorted(cheapest.items())])
+        out = [(*names[a], names[b][2], cheapest[a, b], second) for a, b, second in chosen] + [(*names[k], None, None, False) for k in false]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kind)] if out else [pa.array([], f.type) for f in kind], schema=kind)
+
+    both = by_bundle(nodes, bundles).cogroup(by_bundle(links, bundles))
+    found = written(both.applyInArrow(work, "image_id string, t int, src long, dst long, cost double, second boolean"), "found")
+    return found.where("dst is not null"), found.where("dst is null").select("image_id", "t", F.col("src").alias("object_id"))
+
+
+def _large_images(nodes: DataFrame, links: DataFrame, passes: int, at_once: int) -> tuple[DataFrame, DataFrame]:
+    """Components of up to ``at_once`` objects exactly, others in tiles."""
+    key = F.concat_ws("|", "image_id", F.lpad(F.col("t").cast("string"), 10, "0"), F.lpad(F.col("object_id").cast("string"), 20, "0"))
+    nodes = written(nodes.withColumn("node", key), "objects")
     ends = nodes.select("image_id", "t", F.col("object_id").alias("src"), F.col("node").alias("a"), "disappear")
     others = nodes.select("image_id", (F.col("t") - 1).alias("t"), F.col("object_id").alias("dst"), F.col("node").alias("b"), "appear")
     links = links.groupBy(*_LINK).agg(F.min("cost").alias("cost")).join(ends, ["image_id", "t", "src"]).join(others, ["image_id", "t", "dst"])

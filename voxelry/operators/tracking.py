@@ -9,10 +9,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from voxelry.operators.components import NUMBERED_AT_ONCE, connected_components, numbered
+from voxelry.operators.filters import _dealt
 from voxelry.operators.objects import OBJECT
 from voxelry.operators.regions import boundary_pixels, relabel_by_map
 from voxelry.plans.stored import written
@@ -165,7 +166,7 @@ def link_tracks(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     left = written(left.dropna(), "links")
     sizes = left.groupBy(*frame).agg(F.count(F.lit(1)).alias("n"))
     small = left.join(sizes.where(F.col("n") <= LINKS_AT_ONCE).select(*frame), frame, "left_semi")
-    chosen = small.groupBy(*frame).applyInArrow(_cheapest_first, left.schema)
+    chosen = _dealt(small, frame).groupBy(*frame).applyInArrow(_cheapest_first, left.schema)
     large = sizes.where(F.col("n") > LINKS_AT_ONCE).select(*frame)
     if large.isEmpty():
         return chosen
@@ -183,8 +184,67 @@ def link_tracks(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     raise RuntimeError(f"not settled after {max_rounds} rounds")
 
 
+#: Objects that images are bundled to, so that not each small image is a group of its own.
+BUNDLE = 400
+#: Objects of an image whose tracks are found in one task.
+TRACKED_AT_ONCE = 200_000
+
+
+def bundled(objects: DataFrame, most: int) -> tuple[int, DataFrame | None]:
+    """The number of bundles for images of up to ``most`` objects, and the larger images, if any."""
+    sizes = objects.groupBy("image_id").agg(F.count(F.lit(1)).alias("n"))
+    all_ = sizes.agg(F.sum(F.when(F.col("n") <= most, F.col("n"))).alias("small"), F.max("n").alias("most")).first()
+    large = written(sizes.where(F.col("n") > most).select("image_id"), "large") if (all_["most"] or 0) > most else None
+    return max(1, -(-(all_["small"] or 0) // BUNDLE)), large
+
+
+def by_bundle(rows: DataFrame, bundles: int) -> GroupedData:
+    """Rows grouped with all others of their image, over all shuffle partitions."""
+    rows = rows.withColumn("bundle", F.pmod(F.xxhash64("image_id"), F.lit(bundles)))
+    return _dealt(rows, ["bundle"]).groupBy("bundle")
+
+
 def lineages(objects: DataFrame, links: DataFrame) -> DataFrame:
-    """``image_id, t, object_id, track_id``: objects joined by chosen links form a track, named after its first object."""
+    """``image_id, t, object_id, track_id``: objects joined by chosen links form a track, named after its first object.
+
+    Images of up to ``TRACKED_AT_ONCE`` objects are settled in bundles, larger ones by contraction of their links.
+    """
+    own = written(objects.select(*OBJECT), "objects")
+    links = links.select("image_id", "t", "src", "dst")
+    bundles, large = bundled(own, TRACKED_AT_ONCE)
+    if large is None:
+        return _tracked(own, links, bundles)
+    small, rest = ([x.join(large, "image_id", how) for x in (own, links)] for how in ("left_anti", "left_semi"))
+    return _tracked(*small, bundles).unionByName(_contracted_tracks(*rest))
+
+
+def _tracked(objects: DataFrame, links: DataFrame, bundles: int) -> DataFrame:
+    def tracks(mine: pa.Table, ways: pa.Table) -> pa.Table:
+        places = list(zip(*(mine[c].to_pylist() for c in OBJECT)))
+        links = [((i, t, a), (i, t + 1, b)) for i, t, a, b in zip(*(ways[c].to_pylist() for c in ("image_id", "t", "src", "dst"))) if a is not None and b is not None]
+        above = {p: p for p in places} | {p: p for ends in links for p in ends}
+
+        def root(p: tuple) -> tuple:
+            while above[p] != p:
+                above[p] = above[above[p]]
+                p = above[p]
+            return p
+
+        for a, b in links:
+            a, b = root(a), root(b)
+            above[max(a, b)] = min(a, b)
+        roots = [root(p) for p in places]
+        number, seen = {}, {}
+        for r in sorted(set(roots)):
+            number[r] = seen[r[0]] = seen.get(r[0], 0) + 1
+        return mine.select(OBJECT).append_column("track_id", pa.array([number[r] for r in roots], pa.int64()))
+
+    types = {f.name: f.dataType.simpleString() for f in objects.schema}
+    both = by_bundle(objects, bundles).cogroup(by_bundle(links, bundles))
+    return both.applyInArrow(tracks, ", ".join(f"{c} {types[c]}" for c in OBJECT) + ", track_id long")
+
+
+def _contracted_tracks(objects: DataFrame, links: DataFrame) -> DataFrame:
     name = lambda t, o: F.concat_ws("|", "image_id", F.lpad(t.cast("string"), 10, "0"), F.lpad(o.cast("string"), 20, "0"))
     edges = links.select(name(F.col("t"), F.col("src")).alias("src"), name(F.col("t") + 1, F.col("dst")).alias("dst"))
     tracks = connected_components(edges)
