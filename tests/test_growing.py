@@ -198,3 +198,42 @@ def test_distances_across_strips_are_those_of_brute_force(spark):
     got = {(r["image_id"], r["y"], r["x"]): r["v"] for r in found.collect()}
     assert len(got) == 2 * 7 * 200 and all(got["b", y, x] is None for y in range(7) for x in range(200))
     assert all(got["a", y, x] == min(((y - b) ** 2 + (x - k) ** 2) ** 0.5 for i, b, k in at if i == "a" and k < 200) for y in range(7) for x in range(200))
+
+
+def _slic(pixels, height, width, count, compactness, iterations):
+    """Superpixels of one frame ``(y, x) -> v``, by looking at all."""
+    s = max(1, int((height * width / count) ** 0.5))
+    across, down = -(-width // s), -(-height // s)
+    of = {(y, x): y // s * across + x // s + 1 for y, x in pixels}
+    for _ in range(iterations):
+        members: dict = {}
+        for p, k in of.items():
+            members.setdefault(k, []).append(p)
+        mean = lambda a: sum(a) / len(a)
+        centre = {k: (mean([y for y, _ in m]), mean([x for _, x in m]), mean([pixels[p] for p in m])) for k, m in members.items()}
+
+        def far(y, x, k):
+            dy, dx, dv = y - centre[k][0], x - centre[k][1], pixels[y, x] - centre[k][2]
+            return dv * dv + compactness * compactness / (s * s) * (dy * dy + dx * dx)
+
+        near = lambda y, x: [ky * across + kx + 1 for ky in range(y // s - 1, y // s + 2) for kx in range(x // s - 1, x // s + 2) if 0 <= ky < down and 0 <= kx < across]
+        of = {(y, x): min((far(y, x, k), k) for k in near(y, x) if k in centre)[1] for y, x in of}
+    return of
+
+
+def test_superpixels_by_blocks_are_those_of_the_whole_frame(spark, monkeypatch):
+    rng = random.Random(6)
+    frames = {t: {(y, x): float(rng.randrange(40)) for y in range(26) for x in range(31) if rng.random() < 0.8} for t in range(2)}
+    px = spark.createDataFrame([("a", t, 0, y, x, 0, v) for t, f in frames.items() for (y, x), v in f.items()], "image_id string, t int, z int, y int, x int, c int, v double")
+    want = {(t, *p, k) for t, f in frames.items() for p, k in _slic(f, 26, 31, 50, 5.0, 3).items()}
+    for side in (256, 12, 3):  # s is 4
+        monkeypatch.setattr(growing, "SLIC_BLOCK", side)
+        found = growing.slic_superpixels(px, 26, 31, 50, 5.0, 3)
+        assert {(r["t"], r["y"], r["x"], r["v"]) for r in found.collect()} == want
+
+
+def test_superpixels_of_a_frame_within_a_block_take_one_shuffle(spark):
+    px = spark.range(100).selectExpr("'a' image_id", "0 t", "0 z", "cast(id div 10 as int) y", "cast(id % 10 as int) x", "0 c", "if(id = 7, null, cast(id % 3 as double)) v")
+    found = growing.slic_superpixels(px, 10, 10, 4, 10.0, 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1 and found.count() == 100

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -360,33 +362,73 @@ def done_image(store: DataFrame, sp: DataFrame) -> DataFrame:
     return sp.join(owner, ["image_id", "v"]).select(*COORDINATES, "name")
 
 
+#: Side in pixels of the blocks in which superpixels are found, in whole cells.
+SLIC_BLOCK = 256
+
+
 def slic_superpixels(px: DataFrame, height: int, width: int, count: int = 100, compactness: float = 10.0, iterations: int = 10) -> DataFrame:
     """k-means of value and position with about ``count`` centres a frame: ``v`` is the number of the pixel's centre.
 
     Centres start as means of grid cells of side s. A pixel is compared with the centres that started in its own and the
-    eight neighbouring cells, so that every round is an equi-join on cells and a grouped mean. Distance is
-    ``(dv)^2 + (compactness / s)^2 (dy^2 + dx^2)``, ties go to the smaller number. Regions need not be connected;
-    ``regions.connected_components`` of the result parts them.
+    eight neighbouring cells. Distance is ``(dv)^2 + (compactness / s)^2 (dy^2 + dx^2)``, ties go to the smaller number.
+    Pixels outside the grid are left out. Regions need not be connected; ``regions.connected_components`` of the result parts them.
+
+    A round looks two cells far: from a pixel to a centre and on to its members. Frames within a block go through all rounds at
+    once; others in passes of as many rounds as a halo of half a block, one round at least, allows. Memory is bounded by the block
+    with its halo.
     """
     s = max(1, int((height * width / count) ** 0.5))
-    across = -(-width // s)
-    down = -(-height // s)
+    across, down = -(-width // s), -(-height // s)
     frame = ["image_id", "t", "z", "c"]
-    cell = lambda y, x: (F.floor(y / s) * across + F.floor(x / s) + 1).cast("long")
-    px = written(px.select(*COORDINATES, "v", cell(F.col("y"), F.col("x")).alias("k")), "pixels")
-    near = F.explode(F.array(*(F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in (-1, 0, 1) for dx in (-1, 0, 1))))
-    cy, cx = F.floor(F.col("y") / s) + F.col("d.dy"), F.floor(F.col("x") / s) + F.col("d.dx")
-    options = px.drop("k").withColumn("d", near).where(cy.between(0, down - 1) & cx.between(0, across - 1)).withColumn("k", (cy * across + cx + 1).cast("long")).drop("d")
-    weight = compactness * compactness / (s * s)
-    assigned = px
-    for _ in range(iterations):
-        centres = assigned.groupBy(*frame, "k").agg(F.avg("y").alias("my"), F.avg("x").alias("mx"), F.avg("v").alias("mv"))
-        far = (F.col("v") - F.col("mv")) * (F.col("v") - F.col("mv")) + weight * ((F.col("y") - F.col("my")) * (F.col("y") - F.col("my")) + (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx")))
-        best = options.join(centres, [*frame, "k"]).groupBy(*COORDINATES).agg(F.min(F.struct(far.alias("far"), "k")).alias("b"), F.first("v").alias("v"))
-        assigned = written(best.select(*COORDINATES, "v", "b.k"), "assigned")
+    cells = max(1, SLIC_BLOCK // s)
+    single = across <= cells and down <= cells
+    at = {"y": F.floor(F.col("y") / s), "x": F.floor(F.col("x") / s)}
+    inside = at["y"].between(0, down - 1) & at["x"].between(0, across - 1)
+    assigned = px.where(inside).select("image_id", *(F.col(a).cast("int").alias(a) for a in COORDINATES[1:]), F.col("v").cast("double").alias("v"), (at["y"] * across + at["x"] + 1).cast("long").alias("k"))
+    left = iterations
+    while left:
+        rounds = left if single else min(left, max(1, cells // 4))
+        left -= rounds
+        rows = assigned
+        for a, n in (("y", down), ("x", across)):
+            ends = [F.floor((F.greatest(F.least(at[a] + d, F.lit(n - 1)), F.lit(0))) / cells).cast("int") for d in (-2 * rounds, 2 * rounds)]
+            rows = rows.withColumn(f"b{a}", F.lit(0) if single else F.explode(F.sequence(*ends)))
+        work = _slic_rounds(s, across, down, cells, rounds, compactness * compactness / (s * s))
+        key = [*frame, "by", "bx"]
+        assigned = _dealt(rows, key).groupBy(*key).applyInArrow(work, "image_id string, t int, z int, y int, x int, c int, v double, k long")
+        if left:
+            assigned = written(assigned, "assigned")
     return assigned.select(*COORDINATES, F.col("k").alias("v"))
 
 
+def _slic_rounds(s: int, across: int, down: int, cells: int, rounds: int, weight: float) -> Callable[[pa.Table], pa.Table]:
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("y", "ascending"), ("x", "ascending")])  # sums do not depend on the order of rows
+        y, x, k = (table[c].to_numpy().astype(np.int64) for c in "yxk")
+        v, known = table["v"].to_numpy(), table["v"].is_valid().to_numpy()
+        cy, cx = y // s, x // s
+        low, wide = (cy.min() - 1, cx.min() - 1), cx.max() - cx.min() + 3
+        size = (cy.max() - cy.min() + 3) * wide
+        of = lambda ky, kx: (ky - low[0]) * wide + kx - low[1]
+        for _ in range(rounds):
+            mine = of((k - 1) // across, (k - 1) % across)
+            n, values = np.bincount(mine, minlength=size), np.bincount(mine[known], minlength=size)
+            my, mx = (np.bincount(mine, p, minlength=size) / np.maximum(n, 1) for p in (y, x))
+            mv = np.bincount(mine[known], v[known], minlength=size) / np.maximum(values, 1)
+            best, k = np.full(len(y), np.inf), np.zeros(len(y), dtype=np.int64)
+            for ky, kx in ((cy + dy, cx + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)):
+                to = of(ky, kx)
+                dv, dy, dx = v - mv[to], y - my[to], x - mx[to]
+                far = dv * dv + weight * (dy * dy + dx * dx)
+                nearer = (ky >= 0) & (ky < down) & (kx >= 0) & (kx < across) & (n[to] > 0) & ((k == 0) | (far < best))
+                k[nearer] = (ky * across + kx + 1)[nearer]
+                best[nearer] = np.where(np.isnan(far), np.inf, far)[nearer]
+        core = (cy // cells == table["by"][0].as_py()) & (cx // cells == table["bx"][0].as_py())
+        return table.select([*COORDINATES, "v"]).append_column("k", pa.array(k)).filter(pa.array(core))
+
+    return work
+
+
 def split_mergers(labels: DataFrame, counts: DataFrame, iterations: int = 10) -> DataFrame:
     """Objects of ``counts(image_id, t, object_id, k)`` with k > 1 become k objects by k-means of their pixels' places.
 
