@@ -237,3 +237,37 @@ def test_superpixels_of_a_frame_within_a_block_take_one_shuffle(spark):
     found = growing.slic_superpixels(px, 10, 10, 4, 10.0, 3)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("Exchange") == 1 and found.count() == 100
+
+
+def test_basins_of_frames_within_a_block_are_those_of_rounds(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [("a", t, z, y, x, 0, None if rng.random() < 0.03 else float(rng.randrange(6))) for t in range(2) for z in range(2) for y in range(13) for x in range(17) if rng.random() < 0.9]
+    px = spark.createDataFrame(rows, "image_id string, t int, z int, y int, x int, c int, v double")
+    for axes in ("yx", "zyx"):
+        with monkeypatch.context() as m:
+            for name in ("local_minima", "seeded_watershed"):
+                m.setattr(growing, name, None)
+            within = {tuple(r) for r in growing.unseeded_watershed(px, axes).collect()}
+        px = px.cache()
+        assert within == {tuple(r) for r in growing.seeded_watershed(px, growing.local_minima(px, axes), axes).collect()} and len(within) > 500
+    monkeypatch.setattr(growing, "BLOCK", {"z": 16, "y": 10, "x": 20})
+    mixed = px.where("t = 0 or y < 10")  # frame 0 is wide, frame 1 is not
+    assert {tuple(r) for r in growing.unseeded_watershed(mixed).collect() if r["t"] == 0} == {r for r in within if r[1] == 0}
+
+
+def test_regions_of_small_images_are_merged_one_by_one(spark, monkeypatch):
+    rng = random.Random(9)
+    nodes = spark.createDataFrame([(i, k, rng.randrange(1, 4)) for i in ("a", "b") for k in range(1, 41)] + [("c", 5, 1)], "image_id string, sp long, size long")
+    pairs = {(i, *sorted(rng.sample(range(1, 41), 2))) for i in ("a", "b") for _ in range(90)}
+    edges = spark.createDataFrame([(*p, None if rng.random() < 0.03 else float(rng.randrange(1, 5)), rng.randrange(1, 4)) for p in sorted(pairs)] + [("a", 3, 99, 0.5, 1)], "image_id string, sp1 long, sp2 long, w double, n long")
+    for share in (0.0, 0.3, 0.8, 1.0):
+        rows = lambda: sorted(map(tuple, superpixels.reduce_superpixels(nodes, edges, share).collect()))  # noqa: B023, E731
+        with monkeypatch.context() as m:
+            for name in ("merge_tree", "merge_superpixels"):
+                m.setattr(superpixels, name, None)
+            alone = rows()
+        if share == 0.3:
+            with monkeypatch.context() as m:
+                m.setattr(superpixels, "MERGED_AT_ONCE", 0)
+                assert rows() == alone
+        assert len(alone) == 81 and len({r[2] for r in alone if r[0] == "a"}) >= math.ceil(40 * share)
